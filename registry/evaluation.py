@@ -103,5 +103,4 @@ def _(spark, sf):
 
 @query("auc_churn_months", star(curve_sql(_MONTHS_SQL) + f"select * from ({AUC_ROC_SQL}) cross join ({AUC_PR_SQL})"))
 def _(spark, sf):
-    curve = evaluate.confusion_curve(_scored_months(spark, sf))
-    return _round9(evaluate.auc_roc(curve).crossJoin(evaluate.auc_pr(curve)), ["auc_roc", "auc_pr"])
+    return _round9(evaluate.areas(evaluate.confusion_curve(_scored_months(spark, sf))), ["auc_roc", "auc_pr"])

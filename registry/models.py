@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from registry.core import FEATURES, dates, query, star
 from seatwise.fixtures import STAR
-from seatwise.operators.evaluate import auc_pr, auc_roc, model_comparison
+from seatwise.operators.evaluate import areas, model_comparison
 from seatwise.plans import models
 from seatwise.plans.prep import prep_seat_monthly, prep_sequence_baseline, prep_tabular_baseline
 
@@ -24,8 +24,7 @@ def _sequence(used):
 
 
 def _areas(model, rows, features):
-    curve = models.test_curve(model, rows, features)
-    return auc_roc(curve).crossJoin(auc_pr(curve))
+    return areas(models.test_curve(model, rows, features))
 
 
 @query("logreg_monthly")

@@ -57,8 +57,9 @@ def _(spark, sf):
 
 @query("interval_join_bucketed", star(_ASSIGNED_SQL))
 def _(spark, sf):
-    # A low floor, so that the heaviest members really are split.
-    df = assign.interval_join_bucketed(*_prepared(spark, sf), bucket_days=7, floor=10)
+    # Low limits, so that members are split even in small tables.
+    window = (STAR.event_from, STAR.event_to)
+    df = assign.interval_join_bucketed(*_prepared(spark, sf), bucket_days=7, window=window, share=1e-5, floor=2)
     return _assigned_columns(df)
 
 

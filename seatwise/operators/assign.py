@@ -80,6 +80,8 @@ def interval_join_bucketed(
     An event lies in one bucket; a session is copied to each bucket it touches inside ``window``, the
     dates that events can have (taken from the events when not given). A member with a third of all
     events is thus spread over the buckets of the window, and each of its hot buckets over several parts.
+
+    The events are read twice, once to count the hot keys: give a stage table when they are costly to make.
     """
     events = usage.withColumn("_bucket", time_bucket(F.col("event_date"), bucket_days))
     first_day = F.greatest(F.to_date("start_time"), "create_date")
@@ -115,9 +117,8 @@ def interval_join_bucketed(
     ).drop("_bucket")
 
 
-def assigned_usage(usage: DataFrame, taxonomy: DataFrame, assignments: DataFrame, cfg: ChurnConfig) -> DataFrame:
-    """Raw events and cleaned assignments → one row per event and seat it was made on."""
-    events = prepare_usage(usage, taxonomy, cfg)
+def assigned_usage(events: DataFrame, assignments: DataFrame, cfg: ChurnConfig) -> DataFrame:
+    """Prepared events and cleaned assignments → one row per event and seat it was made on."""
     df = interval_join_bucketed(events, assignments, cfg.bucket_days, (cfg.event_from, cfg.event_to))
     if cfg.dedup_per_seat:
         df = df.dropDuplicates([*events.columns, "seat_id"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seatwise.operators.running import running_totals, value_buckets
 
@@ -44,12 +44,16 @@ def roc_curve(curve: DataFrame) -> DataFrame:
     )
 
 
-def auc_roc(curve: DataFrame) -> DataFrame:
-    """Trapezoid area under the ROC curve from (0, 0)."""
+def _roc_area() -> Column:
     # The point before a score has its true positives without the score's own; doubled to stay integral.
     twice_area = F.sum((F.col("neg") * (F.col("tp") * 2 - F.col("pos"))).cast("decimal(38,0)")).cast("double")
     cells = F.max("n_pos").cast("double") * F.max("n_neg").cast("double")
-    return curve.agg(F.try_divide(twice_area, cells * 2).alias("auc_roc"))
+    return F.try_divide(twice_area, cells * 2).alias("auc_roc")
+
+
+def auc_roc(curve: DataFrame) -> DataFrame:
+    """Trapezoid area under the ROC curve from (0, 0)."""
+    return curve.agg(_roc_area())
 
 
 def pr_curve(curve: DataFrame) -> DataFrame:
@@ -57,7 +61,7 @@ def pr_curve(curve: DataFrame) -> DataFrame:
     points = curve.select(
         "threshold",
         F.try_divide(F.col("tp"), F.col("n_pos")).alias("recall"),
-        (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
+        F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
     )
     totals = curve.agg(F.max("n_pos").alias("n_pos"))
     end = totals.select(
@@ -66,16 +70,25 @@ def pr_curve(curve: DataFrame) -> DataFrame:
     return points.unionByName(end)
 
 
+def _pr_area() -> Column:
+    tp, fp, pos, neg = (F.col(c) for c in ("tp", "fp", "pos", "neg"))
+    before = tp + fp - pos - neg
+    precision_before = F.when(before == 0, F.lit(1.0)).otherwise(F.try_divide(tp - pos, before))
+    step = F.try_divide(pos, F.col("n_pos")) * (precision_before + F.try_divide(tp, tp + fp)) / 2
+    return F.sum(step).alias("auc_pr")
+
+
 def auc_pr(curve: DataFrame) -> DataFrame:
     """Trapezoid area under the precision-recall curve from (0, 1).
 
     Not Spark's ``areaUnderPR``, whose curve starts at (0, first precision).
     """
-    tp, fp, pos, neg = (F.col(c) for c in ("tp", "fp", "pos", "neg"))
-    before = tp + fp - pos - neg
-    precision_before = F.when(before == 0, F.lit(1.0)).otherwise(F.try_divide(tp - pos, before))
-    step = F.try_divide(pos, F.col("n_pos")) * (precision_before + tp / (tp + fp)) / 2
-    return curve.agg(F.sum(step).alias("auc_pr"))
+    return curve.agg(_pr_area())
+
+
+def areas(curve: DataFrame) -> DataFrame:
+    """``(auc_roc, auc_pr)`` in one pass over the curve."""
+    return curve.agg(_roc_area(), _pr_area())
 
 
 def curve_tables(curve: DataFrame, n_steps: int | None = None) -> DataFrame:
@@ -96,6 +109,6 @@ def model_comparison(results: dict[str, DataFrame]) -> DataFrame:
     """``(model, auc_roc, auc_pr)`` from one confusion curve per model."""
     rows = None
     for model, curve in results.items():
-        row = auc_roc(curve).crossJoin(auc_pr(curve)).select(F.lit(model).alias("model"), "auc_roc", "auc_pr")
+        row = areas(curve).select(F.lit(model).alias("model"), "auc_roc", "auc_pr")
         rows = row if rows is None else rows.unionByName(row)
     return rows

@@ -32,7 +32,7 @@ def seat_month_usage(dates: DataFrame, cfg: ChurnConfig, lifetime: bool = False)
     ``dates`` is the output of ``seat_dates`` with ``day_zero``. The lifetime sum of month m covers all
     days up to the last summed day of m, so it includes the unsummed days of the months before.
 
-    Two shuffles: (seat, month) after a map-side combine, then seat. Each seat then has at most
+    Two shuffles: (seat, contract, month) after a map-side combine, then seat. Each seat then has at most
     ``n_months + 1`` rows, and windows over them fill the gaps: a row also stands for the empty months
     that follow it, and the first row for those before it.
     """
@@ -43,22 +43,29 @@ def seat_month_usage(dates: DataFrame, cfg: ChurnConfig, lifetime: bool = False)
     sums = [F.sum(F.when(_in_sum(cfg), F.col(f)).otherwise(F.lit(0))).alias(f) for f in features]
     if lifetime:
         sums += [F.sum(f).alias(f"full_{f}") for f in features]
-    sparse = (
+    by_contract = (
         with_day(dates)
         .withColumn("_month", F.coalesce(slot, F.lit(n)))
-        .groupBy("seat_id", "_month")
+        .groupBy("seat_id", "contract_id", "_month")
         .agg(
             *sums,
-            F.min("contract_id").alias("contract_id"),
             F.min(day_index(F.col("create_date"), F.col("day_zero"))).alias("create_day"),
             F.min(day_index(F.col("seat_cancelled_date"), F.col("day_zero"))).alias("cancel_day"),
         )
     )
-
-    seat = Window.partitionBy("seat_id")
-    by_month = seat.orderBy("_month")
+    # The least contract is found here and not above: a minimum of text cannot be hash-aggregated, and at
+    # this point the sort it needs instead is the one of the windows. Partitioned by seat, nothing more moves.
+    carried = features + ([f"full_{f}" for f in features] if lifetime else [])
     spans = ["contract_id", "create_day", "cancel_day"]
-    columns = {c: F.min(c).over(seat) for c in spans}
+    sparse = (
+        by_contract.repartition("seat_id")
+        .groupBy("seat_id", "_month")
+        .agg(*[F.sum(f).alias(f) for f in carried], *[F.min(c).alias(c) for c in spans])
+    )
+
+    by_month = Window.partitionBy("seat_id").orderBy("_month")
+    whole = by_month.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    columns = {c: F.min(c).over(whole) for c in spans}
     columns["_first"] = F.when(F.lag("_month").over(by_month).isNull(), 0).otherwise(F.col("_month"))
     columns["_last"] = F.coalesce(F.lead("_month").over(by_month), F.lit(n)) - 1
     if lifetime:

@@ -26,8 +26,11 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = F
 
 
 def check_functional_dependency(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Per column: number of keys that have more than one value of it."""
-    spans = df.groupBy(key).agg(
+    """Per column: number of keys that have more than one value of it.
+
+    Rows are reduced to distinct combinations first, so a heavy key is small before it is gathered.
+    """
+    spans = df.select(key, *columns).distinct().groupBy(key).agg(
         *[F.min(c).alias(f"_min_{c}") for c in columns], *[F.max(c).alias(f"_max_{c}") for c in columns]
     )
     counts = spans.agg(

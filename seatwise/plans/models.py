@@ -22,8 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from seatwise.config import ChurnConfig
 from seatwise.functions.vectors import encode_missing, total
-from seatwise.operators.evaluate import auc_pr, auc_roc, confusion_curve, filter_scored
-from seatwise.operators.labels import sample_weights
+from seatwise.operators.evaluate import areas, confusion_curve, filter_scored
 from seatwise.operators.pool import pooled_names
 from seatwise.operators.scale import apply_std_scaler, fit_std_scaler
 from seatwise.operators.split import split_of
@@ -32,7 +31,7 @@ from seatwise.workspace import stage, use_checkpoints
 
 SHARES = {"train": 0.6, "valid": 0.2, "test": 0.2}
 SEED = "churn"
-# Positions of a contract inside the hash order are independent of its split.
+# Another seed, so that folds do not follow the split.
 FOLD_SEED = "fold"
 N_FOLDS = 3
 
@@ -226,7 +225,7 @@ def select_best(candidates: Mapping[str, object], rows: DataFrame, features: Seq
     table = None
     for name, model in candidates.items():
         curve = test_curve(model, rows, features, "valid")
-        row = auc_roc(curve).crossJoin(auc_pr(curve)).withColumn("candidate", F.lit(name))
+        row = areas(curve).withColumn("candidate", F.lit(name))
         table = row if table is None else table.unionByName(row)
     # One row per candidate.
     rank = F.row_number().over(Window.orderBy(F.desc("auc_roc"), "candidate"))
@@ -249,8 +248,3 @@ def gbt_history(model: GBTClassificationModel, rows: DataFrame, features: Sequen
     train = training_history(spark, name, loss["train"], "train_loss")
     valid = training_history(spark, name, loss["valid"], "valid_loss")
     return train.join(valid, ["model", "iteration"])
-
-
-def reweighted(df: DataFrame, cfg: ChurnConfig) -> DataFrame:
-    """Restore the weights of rows that carry a label."""
-    return sample_weights(df, cfg)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from seatwise.config import ChurnConfig
-from seatwise.operators.assign import assigned_usage
+from seatwise.operators.assign import assigned_usage, prepare_usage
 from seatwise.operators.clean import clean_assignments
 from seatwise.operators.grid import mask_by_label
 from seatwise.operators.labels import (
@@ -24,8 +24,13 @@ from seatwise.workspace import stage
 
 
 def assigned_from_raw(assignment: DataFrame, usage: DataFrame, taxonomy: DataFrame, cfg: ChurnConfig) -> DataFrame:
-    """Raw assignments and raw events → assigned usage."""
-    return assigned_usage(usage, taxonomy, clean_assignments(assignment, cfg), cfg)
+    """Raw assignments and raw events → assigned usage.
+
+    The prepared events are a stage table: the raw events are scanned once, filtered, named and freed of
+    copies, and the join's search for hot members then reads two columns of the result.
+    """
+    events = stage(prepare_usage(usage, taxonomy, cfg), "events")
+    return assigned_usage(events, clean_assignments(assignment, cfg), cfg)
 
 
 def dated_usage(assigned: DataFrame, cfg: ChurnConfig, path: str | None = None) -> DataFrame:
