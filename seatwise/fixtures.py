@@ -11,6 +11,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seatwise.config import ChurnConfig
+from seatwise.sources.tables import scan_parquet
 
 DAY_ONE = date(1995, 5, 1)
 
@@ -41,8 +42,19 @@ EVENTS = ChurnConfig(
 )
 
 
+# Columns used here; with a schema given, no footer is read to plan a scan.
+SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_quantity double",
+    "part": "p_partkey bigint, p_name string",
+    "events": "ts timestamp_ntz, user_id bigint, event_type string, value double",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return scan_parquet(spark, f"{sf_dir}/{name}.parquet", SCHEMAS.get(name))
 
 
 def _day(offset: Column) -> Column:

@@ -74,6 +74,7 @@ def interval_join_bucketed(
     window: tuple[date, date] | None = None,
     share: float = HOT_SHARE,
     floor: int = HOT_FLOOR,
+    n_events: int | None = None,
 ) -> DataFrame:
     """``interval_join`` on (member, time bucket), with hot pairs split further.
 
@@ -81,7 +82,8 @@ def interval_join_bucketed(
     dates that events can have (taken from the events when not given). A member with a third of all
     events is thus spread over the buckets of the window, and each of its hot buckets over several parts.
 
-    The events are read twice, once to count the hot keys: give a stage table when they are costly to make.
+    The events are read twice, once to count the hot keys: give a stage table when they are costly to
+    make, and their number ``n_events`` if known, since a small table has no hot keys.
     """
     events = usage.withColumn("_bucket", time_bucket(F.col("event_date"), bucket_days))
     first_day = F.greatest(F.to_date("start_time"), "create_date")
@@ -113,13 +115,23 @@ def interval_join_bucketed(
     )
     spread = ["event_time", "product_name", "session_time"]
     return skew_join(
-        events, sessions, ["member_id", "_bucket"], spread, condition=in_session, share=share, floor=floor
+        events,
+        sessions,
+        ["member_id", "_bucket"],
+        spread,
+        condition=in_session,
+        share=share,
+        floor=floor,
+        n_rows=n_events,
     ).drop("_bucket")
 
 
-def assigned_usage(events: DataFrame, assignments: DataFrame, cfg: ChurnConfig) -> DataFrame:
+def assigned_usage(
+    events: DataFrame, assignments: DataFrame, cfg: ChurnConfig, n_events: int | None = None
+) -> DataFrame:
     """Prepared events and cleaned assignments → one row per event and seat it was made on."""
-    df = interval_join_bucketed(events, assignments, cfg.bucket_days, (cfg.event_from, cfg.event_to))
+    window = (cfg.event_from, cfg.event_to)
+    df = interval_join_bucketed(events, assignments, cfg.bucket_days, window, n_events=n_events)
     if cfg.dedup_per_seat:
         df = df.dropDuplicates([*events.columns, "seat_id"])
     return df.drop("event_time", "start_time", "end_time")

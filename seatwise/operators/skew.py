@@ -47,6 +47,7 @@ def skew_join(
     condition: Column | None = None,
     share: float = HOT_SHARE,
     floor: int = HOT_FLOOR,
+    n_rows: int | None = None,
 ) -> DataFrame:
     """Equi-join ``facts`` to ``dims`` on ``keys``, splitting the hot keys of ``facts``.
 
@@ -55,8 +56,13 @@ def skew_join(
     ``how`` is ``inner``, ``left`` or ``left_semi``: each fact row is in one part only, so the result is
     that of the plain join. The part is a hash, never a random number: a task that is run again after an
     executor loss sends its rows to the same place.
+
+    ``n_rows`` is an upper bound of the fact rows, if known: up to ``floor`` no key can be hot, and the
+    search for hot keys is left out.
     """
     keys = list(keys)
+    if n_rows is not None and n_rows <= floor:
+        return _plain_join(facts, dims, keys, how, condition)
     hot = F.broadcast(hot_keys(facts, keys, share, floor))
     n_salts = F.coalesce("n_salts", F.lit(1))
     left = facts.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), n_salts).cast("int"))
@@ -64,12 +70,18 @@ def skew_join(
         "_salt", F.explode(F.sequence(F.lit(0), n_salts - 1))
     )
     left, right = left.drop("n_salts"), right.drop("n_salts")
+    return _plain_join(left, right, [*keys, "_salt"], how, condition).drop("_salt")
+
+
+def _plain_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, condition: Column | None
+) -> DataFrame:
     if condition is None:
-        return left.join(right, [*keys, "_salt"], how).drop("_salt")
+        return left.join(right, list(keys), how)
     on = condition
-    for name in [*keys, "_salt"]:
+    for name in keys:
         on = on & (left[name] == right[name])
     joined = left.join(right, on, how)
-    for name in [*keys, "_salt"]:
+    for name in keys:
         joined = joined.drop(right[name])
-    return joined.drop("_salt")
+    return joined

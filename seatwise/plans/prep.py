@@ -30,7 +30,8 @@ def assigned_from_raw(assignment: DataFrame, usage: DataFrame, taxonomy: DataFra
     copies, and the join's search for hot members then reads two columns of the result.
     """
     events = stage(prepare_usage(usage, taxonomy, cfg), "events")
-    return assigned_usage(events, clean_assignments(assignment, cfg), cfg)
+    # Counting a Parquet table reads its footers only.
+    return assigned_usage(events, clean_assignments(assignment, cfg), cfg, events.count())
 
 
 def dated_usage(assigned: DataFrame, cfg: ChurnConfig, path: str | None = None) -> DataFrame:
