@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registry.core import CATEGORIES, FEATURES, LOG_FEATURES, WEIGHT_SQL, dates, encoded, label_sql, log, query, rounded, star
+from registry.core import CATEGORIES, FEATURES, LOG_FEATURES, WEIGHT_SQL, dates, encoded, label_sql, log, query, rounded, star, sums_sql
 from seatwise.fixtures import EVENTS, STAR, event_spans
 from seatwise.functions.vectors import squeeze_array
 from seatwise.operators import grid, labels, pool
@@ -148,3 +148,33 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return encoded(prep.prep_seat_monthly(dates(spark, sf), STAR), FEATURES)
+
+
+@query(
+    "prep_seat_daily",
+    star(f"""select s.seat_id, s.contract_id, d.day, {label_sql('d.day', 's.create_day', 's.cancel_day', 365)} as label,
+  {', '.join(f'case when u.seat_id is not null then u.{f} when d.day between s.create_day and s.cancel_day then 0 else -1 end as {f}' for f in FEATURES)}
+from seats s cross join (select cast(unnest(range(365)) as int) as day) d
+left join (select a.seat_id, a.day, {sums_sql()} from aged a group by a.seat_id, a.day) u on u.seat_id = s.seat_id and u.day = d.day"""),
+)
+def _(spark, sf):
+    return encoded(prep.prep_seat_daily(dates(spark, sf), STAR), FEATURES)
+
+
+_SQUEEZED = ["time", "count"]
+
+
+@query(
+    "prep_group_daily",
+    star(f"""select p.contract_id, p.day, {', '.join(f"round(p.mean_alive, 6) as mean_{f}, p.max_alive as max_{f}, p.min_alive as min_{f}" for f in _SQUEEZED)},
+  case when p.n = 0 then -1 else p.n end as n_seats,
+  case when p.day % 30 = 0 then {label_sql('(p.day // 30)', 'cast(floor(c.create_day / 30.0) as int)', 'cast(floor(c.cancel_day / 30.0) as int)', 13)} else 0 end as label,
+  case when p.day % 30 = 0 and {label_sql('(p.day // 30)', 'cast(floor(c.create_day / 30.0) as int)', 'cast(floor(c.cancel_day / 30.0) as int)', 13)} <> -1 then 1 else 0 end as weight
+from (select contract_id, day, avg(alive) as mean_alive, max(alive)::double as max_alive, min(alive)::double as min_alive, cast(sum(alive) as bigint) as n
+      from (select s.contract_id, d.day, case when {label_sql('d.day', 's.create_day', 's.cancel_day', 365)} <> -1 then 1 else 0 end as alive
+            from seats s cross join (select cast(unnest(range(365)) as int) as day) d)
+      group by contract_id, day) p join contracts c on c.contract_id = p.contract_id"""),
+)
+def _(spark, sf):
+    df = prep.prep_group_daily(dates(spark, sf), _SQUEEZED, STAR)
+    return rounded(df, [f"mean_{f}" for f in _SQUEEZED])

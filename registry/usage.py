@@ -31,6 +31,8 @@ from seatwise.operators import assign, grid, months, quality, usage
 from seatwise.operators.clean import clean_assignments
 from seatwise.operators.labels import seat_rollup
 from seatwise.plans.prep import contract_month_features, seat_samples
+from seatwise.streaming.monthly import ingest_months
+from seatwise.workspace import new_path
 
 _ASSIGNED_SQL = """select member_id, product_name, session_time, strftime(event_date, '%Y-%m-%d') as event_date,
   contract_id, seat_id, strftime(seat_cancelled_date, '%Y-%m-%d') as seat_cancelled_date,
@@ -83,6 +85,16 @@ def _(spark, sf):
     return _assigned_columns(assigned(spark, sf))
 
 
+@query("ingest_months", star(_ASSIGNED_SQL))
+def _(spark, sf):
+    base, out = new_path(spark, "monthly_usage"), new_path(spark, "assigned")
+    events = star_usage(spark, sf)
+    events.withColumn("month", F.date_format("event_time", "yyyy-MM")).write.partitionBy("month").parquet(base)
+    sessions = clean_assignments(star_assignment(spark, sf), STAR)
+    ingest_months(spark, base, star_taxonomy(spark, sf), sessions, STAR, out).awaitTermination()
+    return _assigned_columns(spark.read.parquet(out))
+
+
 @query(
     "sum_by_category",
     star("select a.seat_id, " + ", ".join(

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def pool_sum(df: DataFrame, features: Sequence[str], step: str = "month") -> DataFrame:
@@ -49,6 +49,52 @@ def pool_presence(df: DataFrame, features: Sequence[str], step: str = "day", mis
     )
 
 
+def presence_from_spans(spans: DataFrame, features: Sequence[str], n_steps: int, missing: int = -1) -> DataFrame:
+    """``pool_presence`` over days, for features that are present exactly while the seat is alive.
+
+    Counts arrivals and departures per (contract, day) and sums them up along the days, instead of making
+    a row per seat and day: a seat costs two rows, a contract ``n_steps``.
+    """
+    cancelled = F.col("cancel_day")
+    first = F.when(cancelled < F.col("create_day"), cancelled).otherwise(F.col("create_day"))
+    last = F.least(F.coalesce(cancelled, F.lit(n_steps - 1)), F.lit(n_steps - 1))
+    lives = spans.select("contract_id", first.alias("_first"), last.alias("_last")).filter(
+        (F.col("_first") >= 0) & (F.col("_first") <= F.col("_last"))
+    )
+    change = F.explode(
+        F.array(
+            F.struct(F.col("_first").alias("day"), F.lit(1).alias("change")),
+            F.struct((F.col("_last") + 1).alias("day"), F.lit(-1).alias("change")),
+        )
+    )
+    changes = lives.select("contract_id", change.alias("c")).select(
+        "contract_id", "c.day", "c.change", F.lit(0).cast("bigint").alias("seats")
+    )
+    grid = (
+        spans.groupBy("contract_id").agg(F.count(F.lit(1)).alias("seats"))
+        .select("contract_id", F.explode(F.sequence(F.lit(0), F.lit(n_steps - 1))).alias("day"), F.lit(0).alias("change"), "seats")
+    )
+    per_day = (
+        changes.filter(F.col("day") < n_steps).unionByName(grid)
+        .groupBy("contract_id", "day")
+        .agg(F.sum("change").alias("change"), F.sum("seats").alias("seats"))
+    )
+    by_day = Window.partitionBy("contract_id").orderBy("day")
+    live = F.sum("change").over(by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = per_day.withColumn("live", live)
+    kinds = {
+        "mean": F.col("live") / F.col("seats"),
+        "max": (F.col("live") > 0).cast("double"),
+        "min": (F.col("live") == F.col("seats")).cast("double"),
+    }
+    return counted.select(
+        "contract_id",
+        "day",
+        *[value.alias(f"{kind}_{f}") for kind, value in kinds.items() for f in features],
+        F.when(F.col("live") == 0, F.lit(missing)).otherwise(F.col("live")).alias("n_seats"),
+    )
+
+
 def attach_group_id(features: DataFrame, seats: DataFrame) -> DataFrame:
     """Seat rows with their contract, by key. A seat has few rows (one per step) on the left, one on the right."""
     return features.join(seats.select("seat_id", "contract_id"), "seat_id")

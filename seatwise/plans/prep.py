@@ -7,19 +7,22 @@ from pyspark.sql import DataFrame, functions as F
 from seatwise.config import ChurnConfig
 from seatwise.operators.assign import assigned_usage, prepare_usage
 from seatwise.operators.clean import clean_assignments
-from seatwise.operators.grid import mask_by_label
+from seatwise.operators.grid import mask_by_label, zero_fill_life
 from seatwise.operators.labels import (
     contract_rollup,
+    day_labels,
+    expand_monthly_to_daily,
     join_features_labels,
     join_seat_contract_labels,
+    period_labels,
     sample_labels,
     sample_weights,
     seat_rollup,
     with_month_label,
 )
 from seatwise.operators.months import seat_months
-from seatwise.operators.pool import pool_mean_max_min, pool_sum, pooled_names
-from seatwise.operators.usage import daily_feature_vector, seat_dates, with_day_zero
+from seatwise.operators.pool import pool_mean_max_min, pool_sum, pooled_names, presence_from_spans
+from seatwise.operators.usage import daily_feature_vector, seat_dates, seat_days, with_day_zero
 from seatwise.workspace import stage
 
 
@@ -95,6 +98,25 @@ def prep_pooled(seat_rows: DataFrame, dates: DataFrame, features: list[str], cfg
     return label_contract_months(pool_mean_max_min(seat_rows, features), dates, pooled_names(features), cfg)
 
 
+def prep_seat_daily(dates: DataFrame, cfg: ChurnConfig) -> DataFrame:
+    """Seat days: features (0 on days of life without usage, NULL outside life) and the daily label.
+
+    A row per seat and day of the horizon: for daily models only, everything monthly starts from the
+    days with usage.
+    """
+    spans = seat_rollup(dates)
+    filled = zero_fill_life(seat_days(dates, cfg), spans, cfg.features, cfg.horizon_days)
+    days = day_labels(spans, cfg).join(filled, ["seat_id", "day"], "left")
+    return days.select("seat_id", "contract_id", "day", *cfg.features, "label")
+
+
+def prep_group_daily(dates: DataFrame, features: list[str], cfg: ChurnConfig) -> DataFrame:
+    """Contract days: pooled presence of the seats, and the monthly label on the first day of its period."""
+    presence = presence_from_spans(seat_rollup(dates), features, cfg.horizon_days, cfg.missing_value)
+    periods = period_labels(contract_rollup(dates), cfg)
+    return presence.join(expand_monthly_to_daily(periods, "contract_id", cfg), ["contract_id", "day"])
+
+
 def contract_month_features(
     assignment: DataFrame, usage: DataFrame, taxonomy: DataFrame, cfg: ChurnConfig
 ) -> DataFrame:

@@ -198,3 +198,15 @@ def test_pinned_day_zero(dates):
     first = {r.seat_id: r.create_day for r in labels.seat_rollup(df).collect()}
     plain = {r.seat_id: r.create_day for r in labels.seat_rollup(dates).collect()}
     assert first == {k: v + 30 for k, v in plain.items()}
+
+
+def test_presence_from_spans(spark):
+    spans = [(f"s{i}", f"c{i % 3}", a, b) for i, (a, b) in enumerate(
+        [(0, 5), (3, None), (9, 20), (2, 2), (8, 4), (6, -1), (12, 15), (0, 9), (1, 10), (4, 11)])]
+    df = spark.createDataFrame(spans, "seat_id string, contract_id string, create_day int, cancel_day int")
+    n = 10
+    cfg = replace(CFG, horizon_days=n)
+    masked = grid.mask_by_label(labels.day_labels(df, cfg).withColumn("x", F.lit(0)), ["x"])
+    slow = {(r.contract_id, r.day): r.asDict() for r in pool.pool_presence(masked, ["x"]).collect()}
+    fast = {(r.contract_id, r.day): r.asDict() for r in pool.presence_from_spans(df, ["x"], n).collect()}
+    assert slow == fast and len(fast) == 30

@@ -87,3 +87,25 @@ def test_scaler(spark):
     assert all(r.y is None for r in rows)
     centred = scale.standardize(df, scale.fit_standardizer(df, ["x"]), ["x"]).collect()
     assert sorted(r.x for r in centred if r.x is not None) == [-1.0, -1.0, 1.0, 1.0]
+
+
+def test_ingest_takes_each_month_once(spark, tmp_path):
+    from seatwise.fixtures import STAR
+    from seatwise.streaming.monthly import USAGE_SCHEMA, ingest_months
+
+    taxonomy_rows = spark.createDataFrame([("old bolt", "bolt")], "alias string, category string")
+    sessions = spark.sql(
+        "select 'm' as member_id, 'c' as contract_id, 's' as seat_id, timestamp_ntz '1995-05-01' as start_time, "
+        "timestamp_ntz '1996-05-01' as end_time, date '1996-05-01' as seat_cancelled_date, "
+        "date '1997-05-01' as contract_cancelled_date, date '1995-05-01' as create_date"
+    )
+    base, out, state = (str(tmp_path / name) for name in ("usage", "out", "state"))
+    for months in (["1995-05", "1995-06"], ["1995-07"], []):
+        for month in months:
+            rows = spark.sql(f"select 'm', timestamp_ntz '{month}-03 10:00:00', 'old bolt', 5L from range(2)").toDF(
+                *[c.split()[0] for c in USAGE_SCHEMA.split(", ")]
+            )
+            rows.write.parquet(f"{base}/{month}")
+        ingest_months(spark, base, taxonomy_rows, sessions, STAR, out, state).awaitTermination()
+    rows = spark.read.parquet(out).collect()
+    assert sorted(r.event_date.month for r in rows) == [5, 6, 7] and {r.batch for r in rows} == {0, 1}
