@@ -23,9 +23,27 @@ def label_at(step: Column, created: Column, cancelled: Column, n_steps: int) ->
 
 
 def label_array(created: Column, cancelled: Column, n_steps: int) -> Column:
-    """``label_at`` for steps ``0 … n_steps - 1``."""
-    steps = F.sequence(F.lit(0), F.lit(n_steps - 1))
-    return F.transform(steps, lambda step: label_at(step, created, cancelled, n_steps))
+    """``label_at`` for steps ``0 … n_steps - 1``.
+
+    Put together from runs of equal labels, which stays in generated code; a function applied to each
+    step would not.
+    """
+
+    def run(label: int, length: Column) -> Column:
+        return F.array_repeat(F.lit(label), length)
+
+    n = F.lit(n_steps)
+    censored = cancelled.isNull() | (cancelled >= n_steps)
+    end = F.when(censored, n).otherwise(cancelled)
+    start = F.greatest(F.least(created, n), F.lit(0))
+    churn = F.when(censored, F.lit(0)).otherwise(F.lit(1))
+    line = F.concat(
+        run(OUTSIDE, F.least(start, end)),
+        run(ALIVE, F.greatest(end - start, F.lit(0))),
+        run(CHURN, churn),
+        run(OUTSIDE, n - end - churn),
+    )
+    return F.when(cancelled < 0, run(OUTSIDE, n)).otherwise(line)
 
 
 def label_weight(label: Column, positive_weight: float) -> Column:

@@ -27,6 +27,10 @@ def hot_keys(
     df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, floor: int = HOT_FLOOR
 ) -> DataFrame:
     """``(keys…, n_salts)`` of the hot keys: fewer than ``1 / share`` rows."""
+    # NULL keys match nothing. Saying so here gives all uses of the counts the same filters, so that
+    # they share one shuffle.
+    for key in keys:
+        df = df.filter(F.col(key).isNotNull())
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     limit = counts.agg(
         F.greatest(F.sum("_rows") * F.lit(share), F.lit(float(floor))).alias("_limit")

@@ -5,7 +5,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from seatwise.fixtures import STAR
-from seatwise.functions.labels import label_array, label_weight
+from seatwise.functions.labels import label_array, label_at, label_weight
 from seatwise.operators import labels
 
 
@@ -24,13 +24,17 @@ def expected(created, cancelled, n):
 
 def test_label_array_all_small_spans(spark):
     n = 6
-    spans = list(itertools.product(range(0, 9), [None, *range(-3, 10)]))
+    spans = list(itertools.product(range(-2, 9), [None, *range(-3, 10)]))
     df = spark.createDataFrame(spans, "created int, cancelled int")
     rows = df.withColumn("labels", label_array(F.col("created"), F.col("cancelled"), n)).collect()
     assert len(rows) == len(spans)
     for row in rows:
         assert row.labels == expected(row.created, row.cancelled, n), row
         assert row.labels.count(1) <= 1
+    one = label_at(F.col("step"), F.col("created"), F.col("cancelled"), n)
+    steps = df.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("label", one)
+    for row in steps.collect():
+        assert row.label == expected(row.created, row.cancelled, n)[row.step]
 
 
 def test_hand_spans(spark):
