@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from registry.usage import log_days
 from registry.core import CATEGORIES, FEATURES, LOG_FEATURES, WEIGHT_SQL, dates, encoded, label_sql, log, query, rounded, star, sums_sql
 from seatwise.fixtures import EVENTS, STAR, event_spans
 from seatwise.functions.vectors import squeeze_array
@@ -78,12 +79,10 @@ from (select s.contract_id, d.day, case when {label_sql('d.day', 's.create_day',
 group by contract_id, day"""),
 )
 def _(spark, sf):
-    from registry.usage import _filled_log
-
-    filled, spans = _filled_log(spark, sf)
-    days = labels.day_labels(spans, EVENTS).join(filled, ["seat_id", "day"], "left")
-    masked = grid.mask_by_label(days, LOG_FEATURES)
-    df = pool.pool_presence(masked, LOG_FEATURES)
+    spans = event_spans(spark, sf)
+    days = grid.dense_days(log_days(spark, sf), spans, LOG_FEATURES, EVENTS.horizon_days)
+    masked = grid.mask_by_label(labels.with_day_label(days, EVENTS), LOG_FEATURES)
+    df = pool.pool_presence(pool.attach_group_id(masked, spans), LOG_FEATURES)
     return rounded(df, [f"mean_{f}" for f in LOG_FEATURES])
 
 
@@ -152,7 +151,7 @@ def _(spark, sf):
 
 @query(
     "prep_seat_daily",
-    star(f"""select s.seat_id, s.contract_id, d.day, {label_sql('d.day', 's.create_day', 's.cancel_day', 365)} as label,
+    star(f"""select s.seat_id, d.day, {label_sql('d.day', 's.create_day', 's.cancel_day', 365)} as label,
   {', '.join(f'case when u.seat_id is not null then u.{f} when d.day between s.create_day and s.cancel_day then 0 else -1 end as {f}' for f in FEATURES)}
 from seats s cross join (select cast(unnest(range(365)) as int) as day) d
 left join (select a.seat_id, a.day, {sums_sql()} from aged a group by a.seat_id, a.day) u on u.seat_id = s.seat_id and u.day = d.day"""),

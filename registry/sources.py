@@ -10,7 +10,7 @@ from registry.core import FEATURES, WEIGHT_SQL, cleaned, dates, encoded, query,
 from seatwise.fixtures import STAR, star_taxonomy, table
 from seatwise.plans.models import fit_logreg, scaled_split, training_history
 from seatwise.plans.prep import prep_seat_monthly, prep_tabular_baseline, seat_samples
-from seatwise.operators.split import apply_split, group_split_fraction
+from seatwise.operators.split import split_of
 from seatwise.sources import samples as sample_files, tables, taxonomy
 from seatwise.workspace import new_path
 
@@ -116,10 +116,9 @@ def _(spark, sf):
     from seatwise.operators.labels import seat_rollup
 
     path = new_path(spark, "splits")
-    used = dates(spark, sf)
-    rows = seat_rollup(used)
-    membership = group_split_fraction(used, _SHARES, "churn")
-    tables.write_split_sets(apply_split(rows, membership), path)
+    rows = seat_rollup(dates(spark, sf))
+    # The split follows from the contract id, so no membership table is joined.
+    tables.write_split_sets(rows.withColumn("split", split_of(F.col("contract_id"), _SHARES, "churn")), path)
     parts = [
         tables.read_split_set(spark, path, split).withColumn("split", F.lit(split)) for split in _SHARES
     ]

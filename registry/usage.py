@@ -166,12 +166,10 @@ def _(spark, sf):
     return df.select("seat_id", "month", *STAR.lifetime_features)
 
 
-def _filled_log(spark, sf):
-    spans = event_spans(spark, sf)
-    df = _log_joined(spark, sf).groupBy("seat_id", "day").agg(
+def log_days(spark, sf):
+    return _log_joined(spark, sf).groupBy("seat_id", "day").agg(
         *usage.time_sums(EVENTS.categories), *usage.count_sums(EVENTS.categories)
     )
-    return grid.zero_fill_life(df, spans, LOG_FEATURES, EVENTS.horizon_days), spans
 
 
 _LOG_SUMS = ", ".join(
@@ -187,8 +185,7 @@ from spans s join (select cast(unnest(range(30)) as int) as day) d on d.day betw
 left join joined j on j.seat_id = s.seat_id and j.day = d.day group by s.seat_id, d.day"""),
 )
 def _(spark, sf):
-    filled, _ = _filled_log(spark, sf)
-    return filled
+    return grid.zero_fill_life(log_days(spark, sf), event_spans(spark, sf), LOG_FEATURES, EVENTS.horizon_days)
 
 
 _ALIVE = "d.day between s.create_day and s.cancel_day"
@@ -203,9 +200,8 @@ left join (select j.seat_id, j.day, {_LOG_SUMS} from joined j group by j.seat_id
   on u.seat_id = s.seat_id and u.day = d.day"""),
 )
 def _(spark, sf):
-    filled, spans = _filled_log(spark, sf)
     times = EVENTS.time_features
-    df = grid.dense_days(filled, spans, EVENTS)
+    df = grid.dense_days(log_days(spark, sf), event_spans(spark, sf), times, EVENTS.horizon_days)
     present = F.col(times[0]).isNotNull().cast("int").alias("present")
     df = df.select("seat_id", "day", present, *times)
     return encoded(df, times)

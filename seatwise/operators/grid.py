@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
-
-from seatwise.config import ChurnConfig
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def dense_grid(entities: DataFrame, n_steps: int, name: str) -> DataFrame:
@@ -14,6 +12,10 @@ def dense_grid(entities: DataFrame, n_steps: int, name: str) -> DataFrame:
     return entities.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n_steps - 1))))
 
 
+def _life_end(n_days: int) -> Column:
+    return F.least(F.coalesce("cancel_day", F.lit(n_days - 1)), F.lit(n_days - 1))
+
+
 def zero_fill_life(days: DataFrame, spans: DataFrame, features: Sequence[str], n_days: int) -> DataFrame:
     """Usage days plus a zero row for every day of life without usage.
 
@@ -21,9 +23,8 @@ def zero_fill_life(days: DataFrame, spans: DataFrame, features: Sequence[str], n
     stay missing unless there is usage on them. Zero rows are added to the usage rows and summed, one
     shuffle on (seat, day) instead of a join.
     """
-    last = F.least(F.coalesce("cancel_day", F.lit(n_days - 1)), F.lit(n_days - 1))
     zeros = (
-        spans.withColumn("_last", last)
+        spans.withColumn("_last", _life_end(n_days))
         .filter(F.col("create_day") <= F.col("_last"))
         .select("seat_id", F.explode(F.sequence("create_day", "_last")).alias("day"))
         .withColumns({f: F.lit(0).cast("bigint") for f in features})
@@ -32,10 +33,20 @@ def zero_fill_life(days: DataFrame, spans: DataFrame, features: Sequence[str], n
     return rows.groupBy("seat_id", "day").agg(*[F.sum(f).alias(f) for f in features])
 
 
-def dense_days(filled: DataFrame, spans: DataFrame, cfg: ChurnConfig) -> DataFrame:
-    """All days of every seat, features NULL where missing."""
-    grid = dense_grid(spans, cfg.horizon_days, "day")
-    return grid.join(filled, ["seat_id", "day"], "left")
+def dense_days(days: DataFrame, spans: DataFrame, features: Sequence[str], n_days: int) -> DataFrame:
+    """All days of every seat, with its span: ``zero_fill_life``, NULL where that has no row.
+
+    The same single shuffle: the grid rows carry the zeros of life, NULLs outside it, and the span.
+    """
+    in_life = F.col("day").between(F.col("create_day"), _life_end(n_days))
+    span = ["create_day", "cancel_day"]
+    grid = dense_grid(spans.select("seat_id", *span), n_days, "day").withColumns(
+        {f: F.when(in_life, F.lit(0)).cast("bigint") for f in features}
+    )
+    rows = days.select("seat_id", "day", *features).unionByName(grid, allowMissingColumns=True)
+    return rows.groupBy("seat_id", "day").agg(
+        *[F.max(c).alias(c) for c in span], *[F.sum(f).alias(f) for f in features]
+    )
 
 
 def mask_by_label(df: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:

@@ -61,11 +61,15 @@ def period_labels(spans: DataFrame, cfg: ChurnConfig) -> DataFrame:
     return grid.withColumn("label", label_at(F.col("period"), *_periods(cfg), cfg.n_periods))
 
 
+def with_day_label(df: DataFrame, cfg: ChurnConfig) -> DataFrame:
+    """Add the daily label to rows that have ``day``, ``create_day`` and ``cancel_day``."""
+    label = label_at(F.col("day"), F.col("create_day"), F.col("cancel_day"), cfg.horizon_days)
+    return df.withColumn("label", label)
+
+
 def day_labels(spans: DataFrame, cfg: ChurnConfig) -> DataFrame:
     """Long form of the daily labels: one row per day."""
-    grid = dense_grid(spans, cfg.horizon_days, "day")
-    label = label_at(F.col("day"), F.col("create_day"), F.col("cancel_day"), cfg.horizon_days)
-    return grid.withColumn("label", label)
+    return with_day_label(dense_grid(spans, cfg.horizon_days, "day"), cfg)
 
 
 def lead_labels(periods: DataFrame) -> DataFrame:
@@ -106,18 +110,18 @@ def expand_monthly_to_daily(periods: DataFrame, key: str, cfg: ChurnConfig) -> D
     )
 
 
-def join_seat_contract_labels(seats: DataFrame, contracts: DataFrame) -> DataFrame:
+def join_seat_contract_labels(seats: DataFrame, contracts: DataFrame, n_seats: int | None = None) -> DataFrame:
     """Seat spans with the span of their contract.
 
-    A contract with a third of all seats is split, and the label arrays are made after the join so that
-    the shuffle carries day numbers only.
+    A contract with a third of all seats is split (``n_seats``, if known, tells when there are too few seats
+    for that), and the label arrays are made after the join so that the shuffle carries day numbers only.
     """
     spans = contracts.select(
         "contract_id",
         F.col("create_day").alias("contract_create_day"),
         F.col("cancel_day").alias("contract_cancel_day"),
     )
-    return skew_join(seats, spans, ["contract_id"], ["seat_id"])
+    return skew_join(seats, spans, ["contract_id"], ["seat_id"], n_rows=n_seats)
 
 
 def join_features_labels(features: DataFrame, labels: DataFrame, how: str = "inner") -> DataFrame:

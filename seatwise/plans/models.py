@@ -34,6 +34,8 @@ SEED = "churn"
 # Another seed, so that folds do not follow the split.
 FOLD_SEED = "fold"
 N_FOLDS = 3
+# Widths of the hidden layers of the perceptron.
+HIDDEN = (40, 20, 10)
 
 
 def with_split(df: DataFrame, shares: Mapping[str, float] = SHARES, seed: str = SEED) -> DataFrame:
@@ -58,9 +60,11 @@ def encode_features(df: DataFrame, features: Sequence[str], cfg: ChurnConfig) ->
 def scaled_split(prep: DataFrame, features: Sequence[str], cfg: ChurnConfig) -> DataFrame:
     """Month rows inside life with split, scaled and encoded features, ready for ``assemble``.
 
-    Written as a stage table: the trainers pass over it many times.
+    Two stage tables: the months, which the scaler reads twice, and the result, which the trainers pass
+    over many times.
     """
-    scaled = encode_features(scale_months(with_split(prep), features), features, cfg)
+    months = stage(with_split(prep), "months")
+    scaled = encode_features(scale_months(months, features), features, cfg)
     return stage(filter_scored(scaled), "model_input")
 
 
@@ -84,7 +88,7 @@ def fit_logreg(split: DataFrame, features: Sequence[str], reg: float = 0.0) -> L
 
 
 def fit_mlp(
-    split: DataFrame, features: Sequence[str], hidden: Sequence[int] = (40, 20, 10), iterations: int = 100
+    split: DataFrame, features: Sequence[str], hidden: Sequence[int] = HIDDEN, iterations: int = 100
 ) -> MultilayerPerceptronClassificationModel:
     """Multilayer perceptron. It takes no weights, so a row of weight w is given w times."""
     copies = F.explode(F.sequence(F.lit(1), F.col("weight").cast("int"))).alias("_copy")
@@ -145,7 +149,8 @@ def fit_gbt(
 
 def sequence_input(prep: DataFrame, features: Sequence[str], cfg: ChurnConfig, key: str, use: str) -> DataFrame:
     """Scaled months inside life with their history features, as a stage table."""
-    scaled = filter_scored(encode_features(scale_months(with_split(prep), features), features, cfg))
+    months = stage(with_split(prep), "months")
+    scaled = filter_scored(encode_features(scale_months(months, features), features, cfg))
     return stage(history_features(scaled, key, features, use), "sequence_input")
 
 
@@ -160,7 +165,7 @@ def seat_stage_scores(seat_rows: DataFrame, cfg: ChurnConfig, weighted: bool = F
     are kept, with NULLs. ``seat_rows`` is the output of ``prep_seat_monthly``.
     """
     features = cfg.features
-    scaled = scale_months(with_split(seat_rows), features)
+    scaled = scale_months(stage(with_split(seat_rows), "seat_months"), features)
     live = encode_features(filter_scored(scaled), features, cfg)
     fold = F.pmod(F.xxhash64(F.lit(FOLD_SEED), "contract_id"), F.lit(N_FOLDS))
     live = live.withColumns(

@@ -7,10 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from seatwise.config import ChurnConfig
 from seatwise.operators.assign import assigned_usage, prepare_usage
 from seatwise.operators.clean import clean_assignments
-from seatwise.operators.grid import mask_by_label, zero_fill_life
+from seatwise.operators.grid import dense_days, mask_by_label
 from seatwise.operators.labels import (
     contract_rollup,
-    day_labels,
     expand_monthly_to_daily,
     join_features_labels,
     join_seat_contract_labels,
@@ -18,6 +17,7 @@ from seatwise.operators.labels import (
     sample_labels,
     sample_weights,
     seat_rollup,
+    with_day_label,
     with_month_label,
 )
 from seatwise.operators.months import seat_months
@@ -50,7 +50,9 @@ def seat_samples(dates: DataFrame, cfg: ChurnConfig) -> DataFrame:
     """One row per seat: usage days, labels and spans of the seat and of its contract."""
     vectors = daily_feature_vector(dates, cfg)
     x = vectors.groupBy("seat_id").agg(F.sort_array(F.collect_list(F.struct("day", "f"))).alias("x"))
-    spans = join_seat_contract_labels(seat_rollup(dates), contract_rollup(dates))
+    # One row per seat; the search for hot contracts reads it again.
+    seats = stage(seat_rollup(dates), "seats")
+    spans = join_seat_contract_labels(seats, contract_rollup(dates), seats.count())
     # A seat whose usage all lies outside the horizon still is a sample, without usage days.
     joined = join_features_labels(x, spans, "right")
     return sample_labels(joined, cfg).select(
@@ -104,10 +106,8 @@ def prep_seat_daily(dates: DataFrame, cfg: ChurnConfig) -> DataFrame:
     A row per seat and day of the horizon: for daily models only, everything monthly starts from the
     days with usage.
     """
-    spans = seat_rollup(dates)
-    filled = zero_fill_life(seat_days(dates, cfg), spans, cfg.features, cfg.horizon_days)
-    days = day_labels(spans, cfg).join(filled, ["seat_id", "day"], "left")
-    return days.select("seat_id", "contract_id", "day", *cfg.features, "label")
+    days = dense_days(seat_days(dates, cfg), seat_rollup(dates), cfg.features, cfg.horizon_days)
+    return with_day_label(days, cfg).select("seat_id", "day", *cfg.features, "label")
 
 
 def prep_group_daily(dates: DataFrame, features: list[str], cfg: ChurnConfig) -> DataFrame:

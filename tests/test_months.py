@@ -153,9 +153,11 @@ def test_zero_fill_life(dates, truth):
         assert set(got[seat]) == set(range(created, min(cancelled, 364) + 1)) | usage_days
         for d, r in got[seat].items():
             assert all(r[f] == sums[seat].get((d, f), 0) for f in CFG.features)
-    dense = grid.dense_days(filled, spans, CFG)
+    dense = grid.dense_days(usage.seat_days(dates, CFG), spans, CFG.features, CFG.horizon_days)
     assert dense.count() == 365 * len(seats)
-    assert dense.filter("time_a is not null").count() == sum(len(v) for v in got.values())
+    cells = {(r.seat_id, r.day): r for r in dense.filter("time_a is not null").collect()}
+    assert set(cells) == {(seat, d) for seat, days in got.items() for d in days}
+    assert all(cells[seat, d][f] == r[f] for seat, days in got.items() for d, r in days.items() for f in CFG.features)
 
 
 def test_pool_presence(spark):
