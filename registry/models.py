@@ -61,8 +61,8 @@ def _(spark, sf):
         "contract_id", "month", F.col("lag1_used").alias("lag1"), F.col("lag2_used").alias("lag2"),
         F.round("mean_so_far_used", 6).alias("mean_so_far"), F.col("max_so_far_used").alias("max_so_far"),
         F.col("delta_used").alias("delta"),
-        "months_alive",
-        "months_since_use",
+        F.col("steps_alive").alias("months_alive"),
+        F.col("steps_since_use").alias("months_since_use"),
     )
 
 
@@ -72,6 +72,12 @@ def _(spark, sf):
     return _areas(models.fit_gbt(rows, names), rows, names)
 
 
+@query("sequence_daily")
+def _(spark, sf):
+    rows, names = models.daily_group_input(dates(spark, sf), STAR)
+    return _areas(models.fit_gbt(rows, names), rows, names)
+
+
 @query("seat_stage_scores")
 def _(spark, sf):
     return models.seat_stage_scores(prep_seat_monthly(dates(spark, sf), STAR), STAR)

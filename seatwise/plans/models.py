@@ -26,7 +26,7 @@ from seatwise.operators.evaluate import areas, confusion_curve, filter_scored
 from seatwise.operators.pool import pooled_names
 from seatwise.operators.scale import apply_std_scaler, fit_std_scaler
 from seatwise.operators.split import split_of
-from seatwise.plans.prep import prep_pooled
+from seatwise.plans.prep import prep_group_daily, prep_pooled
 from seatwise.workspace import stage, use_checkpoints
 
 SHARES = {"train": 0.6, "valid": 0.2, "test": 0.2}
@@ -34,6 +34,9 @@ SEED = "churn"
 # Another seed, so that folds do not follow the split.
 FOLD_SEED = "fold"
 N_FOLDS = 3
+# How far back a month and a day look.
+MONTH_LAGS = (1, 2)
+DAY_LAGS = (7, 30)
 # Widths of the hidden layers of the perceptron.
 HIDDEN = (40, 20, 10)
 
@@ -102,34 +105,39 @@ def fit_mlp(
 # ---- sequence models --------------------------------------------------------------------------
 
 
-def history_names(features: Sequence[str], lags: int = 2) -> list[str]:
-    names = [f"lag{k}_{f}" for k in range(1, lags + 1) for f in features]
+def history_names(features: Sequence[str], lags: Sequence[int] = MONTH_LAGS) -> list[str]:
+    names = [f"lag{k}_{f}" for k in lags for f in features]
     names += [f"{kind}_so_far_{f}" for kind in ("mean", "max") for f in features]
     names += [f"delta_{f}" for f in features]
-    return [*features, *names, "months_alive", "months_since_use"]
+    return [*features, *names, "steps_alive", "steps_since_use"]
 
 
 def history_features(
-    df: DataFrame, key: str, features: Sequence[str], use: str, lags: int = 2
+    df: DataFrame,
+    key: str,
+    features: Sequence[str],
+    use: str,
+    lags: Sequence[int] = MONTH_LAGS,
+    step: str = "month",
 ) -> DataFrame:
-    """What each month knows of the months before it in the same life.
+    """What each step knows of the steps before it in the same life.
 
-    Lags, mean and maximum so far, change since the previous month, months alive, and months since
-    ``use`` was last above 0 (since the start if never). A key has at most one row per month.
+    Lags, mean and maximum so far, change since the previous step, steps alive, and steps since ``use``
+    was last above 0 (since the start if never). A key has at most one row per step of the horizon.
     """
-    by_month = Window.partitionBy(key).orderBy("month")
-    so_far = by_month.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_step = Window.partitionBy(key).orderBy(step)
+    so_far = by_step.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     columns = {}
     for f in features:
-        for k in range(1, lags + 1):
-            columns[f"lag{k}_{f}"] = F.coalesce(F.lag(f, k).over(by_month), F.lit(0.0))
+        for k in lags:
+            columns[f"lag{k}_{f}"] = F.coalesce(F.lag(f, k).over(by_step), F.lit(0.0))
         columns[f"mean_so_far_{f}"] = F.avg(f).over(so_far)
         columns[f"max_so_far_{f}"] = F.max(f).over(so_far)
-        columns[f"delta_{f}"] = F.col(f) - F.coalesce(F.lag(f).over(by_month), F.col(f))
-    first = F.min("month").over(so_far)
-    last_use = F.max(F.when(F.col(use) > 0, F.col("month"))).over(so_far)
-    columns["months_alive"] = F.col("month") - first
-    columns["months_since_use"] = F.col("month") - F.coalesce(last_use, first)
+        columns[f"delta_{f}"] = F.col(f) - F.coalesce(F.lag(f).over(by_step), F.col(f))
+    first = F.min(step).over(so_far)
+    last_use = F.max(F.when(F.col(use) > 0, F.col(step))).over(so_far)
+    columns["steps_alive"] = F.col(step) - first
+    columns["steps_since_use"] = F.col(step) - F.coalesce(last_use, first)
     return df.withColumns(columns)
 
 
@@ -154,6 +162,20 @@ def sequence_input(prep: DataFrame, features: Sequence[str], cfg: ChurnConfig, k
     return stage(history_features(scaled, key, features, use), "sequence_input")
 
 
+def daily_group_input(dates: DataFrame, cfg: ChurnConfig) -> tuple[DataFrame, list[str]]:
+    """Contract days with presence of the seats and its history; only the days that carry a label.
+
+    Days need no scaling: presence is a share, and the seat count is all there is beside it.
+    """
+    presence = ["alive"]
+    features = [*pooled_names(presence), "n_seats"]
+    days = with_split(prep_group_daily(dates, presence, cfg))
+    days = days.withColumns({f: F.col(f).cast("double") for f in features})
+    rows = history_features(days, "contract_id", features, "max_alive", DAY_LAGS, "day")
+    labelled = rows.filter(F.col("weight") != 0).withColumn("weight", F.col("weight").cast("double"))
+    return stage(labelled, "daily_input"), history_names(features, DAY_LAGS)
+
+
 # ---- two stages: seats, then contracts ----------------------------------------------------------
 
 

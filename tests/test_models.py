@@ -42,9 +42,9 @@ def test_history_features(spark):
     df = spark.createDataFrame([("k", m, v) for m, v in [(2, 1.0), (3, 0.0), (4, 4.0)]] + [("j", 0, 0.0)], "id string, month int, x double")
     rows = {(r.id, r.month): r for r in models.history_features(df, "id", ["x"], "x").collect()}
     last = rows["k", 4]
-    assert (last.lag1_x, last.lag2_x, last.max_so_far_x, last.delta_x, last.months_alive, last.months_since_use) == (0, 1, 4, 4, 2, 0)
+    assert (last.lag1_x, last.lag2_x, last.max_so_far_x, last.delta_x, last.steps_alive, last.steps_since_use) == (0, 1, 4, 4, 2, 0)
     assert last.mean_so_far_x == pytest.approx(5 / 3)
-    assert (rows["k", 3].months_since_use, rows["k", 2].delta_x, rows["j", 0].months_since_use) == (1, 0, 0)
+    assert (rows["k", 3].steps_since_use, rows["k", 2].delta_x, rows["j", 0].steps_since_use) == (1, 0, 0)
     assert set(models.history_names(["x"])) <= set(models.history_features(df, "id", ["x"], "x").columns)
 
 
@@ -57,7 +57,7 @@ def test_seat_stage_scores(used):
     assert pooled.filter(" or ".join(f"{n} is null" for n in names)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["logreg_monthly", "mlp_monthly", "sequence_monthly"])
+@pytest.mark.parametrize("name", ["logreg_monthly", "mlp_monthly", "sequence_monthly", "sequence_daily"])
 def test_areas(spark, name):
     row = QUERIES[name](spark, SF).first()
     for value in row:
