@@ -63,13 +63,13 @@ def _day(offset: Column) -> Column:
 
 def star_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer")
-    n_customers = customer.agg(F.count(F.lit(1)).alias("n"))
+    n_customers = customer.agg(F.count(F.lit(1))).scalar()
     key, k = F.col("c_custkey"), F.col("k")
     start = key * 37 % 200
     first = k == 0
     member = ((key + k) % F.col("n")).cast("string")
     contract_end = 250 + (F.col("c_nationkey") * 97 + F.length("c_mktsegment") * 41) % 500
-    rows = customer.crossJoin(F.broadcast(n_customers)).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = customer.withColumn("n", n_customers).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
     return rows.select(
         F.when((key % 50 == 0) & first, F.lit(STAR.unassigned_member)).otherwise(member).alias("member_id"),
         F.concat(F.col("c_nationkey").cast("string"), F.lit("-"), "c_mktsegment").alias("contract_id"),

@@ -89,15 +89,13 @@ def interval_join_bucketed(
     first_day = F.greatest(F.to_date("start_time"), "create_date")
     last_day = F.to_date("end_time")
     if window is None:
-        bounds = usage.agg(F.min("event_date").alias("_first"), F.max("event_date").alias("_last"))
-        sessions = assignments.crossJoin(F.broadcast(bounds))
-        first_event, last_event = F.col("_first"), F.col("_last")
+        first_event = usage.agg(F.min("event_date")).scalar()
+        last_event = usage.agg(F.max("event_date")).scalar()
     else:
-        sessions = assignments
         first_event, last_event = F.lit(window[0]), F.lit(window[1])
         events = events.filter(F.col("event_date").between(first_event, last_event))
     sessions = (
-        sessions.withColumn("_from", F.greatest(first_day, first_event))
+        assignments.withColumn("_from", F.greatest(first_day, first_event))
         .withColumn("_to", F.least(last_day, last_event))
         .filter((F.col("_from") <= F.col("_to")) & (F.col("start_time") <= F.col("end_time")))
         .withColumn(

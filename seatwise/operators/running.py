@@ -15,9 +15,9 @@ def value_buckets(df: DataFrame, column: str, n_buckets: int, counted: Column |
     """
     shares = [i / n_buckets for i in range(1, n_buckets)]
     values = F.col(column) if counted is None else F.when(counted, F.col(column))
-    cuts = df.agg(F.percentile_approx(values, shares, 10 * n_buckets).alias("_cuts"))
+    cuts = df.agg(F.percentile_approx(values, shares, 10 * n_buckets)).scalar()
     below = F.size(F.filter("_cuts", lambda cut: cut < F.col(column)))
-    return df.crossJoin(F.broadcast(cuts)).withColumn("_bucket", below).drop("_cuts")
+    return df.withColumn("_cuts", cuts).withColumn("_bucket", below).drop("_cuts")
 
 
 def running_totals(

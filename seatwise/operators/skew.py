@@ -32,13 +32,9 @@ def hot_keys(
     for key in keys:
         df = df.filter(F.col(key).isNotNull())
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    limit = counts.agg(
-        F.greatest(F.sum("_rows") * F.lit(share), F.lit(float(floor))).alias("_limit")
-    )
-    return (
-        counts.crossJoin(F.broadcast(limit))
-        .filter(F.col("_rows") > F.col("_limit"))
-        .select(*keys, F.ceil(F.col("_rows") / F.col("_limit")).cast("int").alias("n_salts"))
+    limit = counts.agg(F.greatest(F.sum("_rows") * F.lit(share), F.lit(float(floor)))).scalar()
+    return counts.filter(F.col("_rows") > limit).select(
+        *keys, F.ceil(F.col("_rows") / limit).cast("int").alias("n_salts")
     )
 
 

@@ -59,8 +59,8 @@ def global_min_date(df: DataFrame, column: str = "create_date") -> DataFrame:
 
 
 def constant_column(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row table to every row, without a trip to the driver."""
-    return df.crossJoin(F.broadcast(one_row))
+    """Attach the columns of a one-row table to every row: scalar subqueries, run once, inside the same plan."""
+    return df.withColumns({name: one_row.select(name).scalar() for name in one_row.columns})
 
 
 def with_day_zero(df: DataFrame, cfg: ChurnConfig) -> DataFrame:
