@@ -26,14 +26,13 @@ def confusion_curve(
     per_score = scored.groupBy(F.col(score).cast("double").alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    # Naming both counts keeps this branch on the same shuffle of per_score as the others.
+    # Naming both counts, here and in the totals, keeps all branches on one shuffle of per_score.
     bucketed = value_buckets(per_score, "threshold", n_buckets, F.col("pos") + F.col("neg") > 0)
     curve = running_totals(
         bucketed, F.desc("threshold"), {"tp": "pos", "fp": "neg"}, ascending=False
     ).drop("_bucket")
-    return curve.withColumns(
-        {"n_pos": per_score.agg(F.sum("pos")).scalar(), "n_neg": per_score.agg(F.sum("neg")).scalar()}
-    )
+    totals = per_score.agg(F.struct(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))).scalar()
+    return curve.withColumns({name: totals[name] for name in ("n_pos", "n_neg")})
 
 
 def roc_curve(curve: DataFrame) -> DataFrame:
