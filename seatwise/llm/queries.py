@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from seatwise.llm import bpe, decontaminate, licenses, line_dedup, pii, quality, secrets, toxicity
+from seatwise.llm import bpe, decontaminate, licenses, line_dedup, neighbours, pii, quality, secrets, toxicity
 from seatwise.llm.text import digest, span_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,11 @@ def _based(spans: Column, kinds: tuple[str, ...]) -> Column:
     return digest(span_text(F.filter(spans, lambda s: s["kind"].isin(*kinds)))).alias("base_sha256")
 
 
+@query
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
