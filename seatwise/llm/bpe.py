@@ -2,11 +2,13 @@
 
 1. Tasks split texts into words and write them in chunks: a chunk has the dictionary of its words and, for each
    document, the places of its words in it. A chunk holds a bounded number of words (or one longer document).
-2. The distinct words of all chunks are one table. Each is encoded once, and decoded once by a join of its ids with the
-   vocabulary's id-to-piece table, which is of a fixed size.
-3. The ids of words go back to their chunks, and there to the places of the documents.
+2. The dictionary entries of all chunks are dealt and sorted by word: equal words stand together, and each distinct word
+   is encoded once.
+3. The ids go back to their chunks, which have been written in buckets and need no shuffle, and there to the places of
+   the documents.
+4. Decoding joins ids with the vocabulary's id-to-piece table, which is of a fixed size.
 
-Only distinct words per chunk are shuffled by word, so frequent words cost a row per chunk. Results by case: NULL and
+Only distinct words per chunk are shuffled, so a frequent word costs a row per chunk. Results by case: NULL and
 empty texts have no ids and decode to ''; copies of a row each give a row; an empty table gives an empty one. Only the
 id and text columns are read; ids may be NULL or repeat.
 """
@@ -14,25 +16,23 @@ id and text columns are read; ids may be NULL or repeat.
 from __future__ import annotations
 
 import json
-import zlib
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
 from pathlib import Path
+from uuid import uuid4
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from seatwise.llm.text import texts_of
 from seatwise.workspace import new_path
 
-CHUNK_WORDS = 3_000_000
+CHUNK_WORDS = 5_000_000
 # Texts of these characters are normalised by lower-casing alone: no combining marks, no special spaces, no dotted I.
 _PLAIN = regex.compile("[\t\n\r\x20-\x7e\xa1-įı-ňŊ-ſ]*")
 
@@ -78,9 +78,15 @@ class WordEncoder:
         return [t.id for piece, _ in self.to_bytes.pre_tokenize_str(word) for t in self.model.tokenize(piece)]
 
 
-@lru_cache(maxsize=2)
-def word_encoder(definition: str) -> WordEncoder:
-    return WordEncoder(definition)
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32, compressed: the four bytes of all numbers apart, since the upper ones are mostly 0."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 _SPLIT = "chunk bigint, doc_id {id}, words array<string>, places binary"
@@ -119,7 +125,7 @@ def split_documents(docs: DataFrame, definition: str, chunk_words: int = CHUNK_W
                 held += len(words)
                 found = [dictionary.setdefault(w, len(dictionary)) for w in words]
                 ids.append(doc_id)
-                places.append(zlib.compress(np.array(found, np.int32).tobytes(), 1))
+                places.append(packed(np.array(found, np.uint32)))
             yield flushed(False)
         if held:
             yield pa.RecordBatch.from_arrays(
@@ -133,72 +139,92 @@ def split_documents(docs: DataFrame, definition: str, chunk_words: int = CHUNK_W
     return docs.mapInArrow(run, _SPLIT.format(id=id_type))
 
 
-def encoded_words(words: DataFrame, definition: str) -> DataFrame:
-    """``(word, ids)`` for each row of ``words``."""
-    shared = words.sparkSession.sparkContext.broadcast(definition)
-
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def encode(column: pd.Series) -> pd.Series:
-        encoder = word_encoder(shared.value)
-        return pd.Series([encoder.ids(w) for w in column])
+def encoded_entries(entries: DataFrame, definition: str) -> DataFrame:
+    """``(chunk, slot, ids)`` for ``(chunk, slot, word)``: dealt and sorted by word, each distinct word is encoded once."""
+    shared = entries.sparkSession.sparkContext.broadcast(definition)
 
-    return words.select("word", encode("word").alias("ids"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = WordEncoder(shared.value)
+        last, data = None, b""
+        for batch in batches:
+            found = []
+            for word in batch.column("word").to_pylist():
+                if word != last:
+                    last, data = word, np.array(encoder.ids(word), "<i4").tobytes()
+                found.append(data)
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("slot"), pa.array(found, pa.binary())], ["chunk", "slot", "ids"])
+
+    dealt = entries.repartition("word").sortWithinPartitions("word")
+    return dealt.mapInArrow(run, "chunk bigint, slot int, ids binary")
+
+
+def assemble(coded: pa.Table, table: pa.Table) -> pa.Table:
+    """One chunk: the ids of its words to the places of its documents."""
+    slots = table.column("slot").to_numpy()
+    data = table.column("ids").combine_chunks()
+    order = np.argsort(slots)
+    words = data.take(pa.array(order)) if len(order) else data
+    sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    flat = np.frombuffer(b"".join(words.to_pylist()), "<i4")
+    starts = np.cumsum(sizes) - sizes
+    rows = []
+    for raw in coded.column("places").to_pylist():
+        at = unpacked(raw)
+        n = sizes[at]
+        # The ids of word after word: each word's start, then one further at a time.
+        ends = np.cumsum(n)
+        steps = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - (ends - n), n)
+        rows.append(flat[steps])
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    values = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
+    return pa.Table.from_arrays([coded.column("doc_id").combine_chunks(), ids], names=["doc_id", "ids"])
+
+
+def encode(
+    docs: DataFrame, tokenizer_file: str, id_column: str = "doc_id", text_column: str = "text", chunk_words: int = CHUNK_WORDS
+) -> DataFrame:
+    """``(doc_id, ids)``: the ids of each whole text."""
+    spark = docs.sparkSession
+    definition = Path(tokenizer_file).read_text(encoding="utf-8")
+    read = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    name = f"words_{uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    split_documents(read, definition, chunk_words).write.bucketBy(buckets, "chunk").option("compression", "zstd").option(
+        "path", new_path(spark, "words")
+    ).saveAsTable(name)
+
+    entries = spark.table(name).filter(F.col("words").isNotNull()).select("chunk", F.posexplode("words").alias("slot", "word"))
+    places = spark.table(name).filter(F.col("places").isNotNull()).select("chunk", "doc_id", "places")
+    sent = encoded_entries(entries, definition)
+    id_type = read.schema["doc_id"].dataType.simpleString()
+    return places.groupBy("chunk").cogroup(sent.groupBy("chunk")).applyInArrow(assemble, f"doc_id {id_type}, ids array<int>")
 
 
-def decoded_words(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Add ``pieces``, joined by a space, by a join of each id with ``vocabulary (id, piece)``; rows are unique by word.
+def decode(coded: DataFrame, tokenizer_file: str, ids_column: str = "ids", name: str = "decoded") -> DataFrame:
+    """``coded`` with the decoded text: each id joined with its piece, pieces joined by a space. NULL ids decode to ''.
 
-    The vocabulary is a table of fixed size. Rows stay partitioned by word, so they are not shuffled again.
+    The id-to-piece table is the tokenizer's vocabulary, of a fixed size, and so is sent to all tasks. An id that is not
+    in it is left out.
     """
-    flat = words.select("word", F.posexplode("ids").alias("place", "id"))
-    joined = flat.join(F.broadcast(vocabulary), "id")
-    return joined.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("place", "id", "piece"))).alias("tokens")).select(
-        "word", F.transform("tokens", lambda t: t["id"]).alias("ids"), F.array_join(F.transform("tokens", lambda t: t["piece"]), " ").alias("pieces")
-    )
+    pieces = Tokenizer.from_file(tokenizer_file).get_vocab(with_added_tokens=True)
+    by_id: list[str | None] = [None] * (max(pieces.values()) + 1)
+    for piece, i in pieces.items():
+        by_id[i] = piece
+    shared = coded.sparkSession.sparkContext.broadcast(by_id)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.array(shared.value, pa.string())
+        for batch in batches:
+            ids = pc.fill_null(batch.column(ids_column), pa.scalar([], batch.schema.field(ids_column).type))
+            found = pc.if_else(pc.and_(pc.less(ids.flatten(), len(table)), pc.greater_equal(ids.flatten(), 0)), ids.flatten(), None)
+            lists = pa.LargeListArray.from_arrays(pc.cast(ids.offsets, pa.int64()), table.take(found).cast(pa.large_string()))
+            text = pc.binary_join(lists, pa.scalar(" ", pa.large_string())) if not found.null_count else _joined(lists)
+            yield pa.RecordBatch.from_arrays([*batch.columns, text.cast(pa.string())], [*batch.schema.names, name])
 
-def vocabulary(docs: DataFrame, definition: str) -> DataFrame:
-    """``(id, piece)`` of the tokenizer, special tokens included."""
-    pieces = Tokenizer.from_str(definition).get_vocab(with_added_tokens=True)
-    return docs.sparkSession.createDataFrame(sorted((i, p) for p, i in pieces.items()), "id int, piece string")
+    others = coded.drop(name)
+    return others.mapInArrow(run, others.select("*", F.lit("").alias(name)).schema)
 
 
-def encode_decode(
-    docs: DataFrame, tokenizer_file: str, id_column: str = "doc_id", text_column: str = "text", chunk_words: int = CHUNK_WORDS
-) -> DataFrame:
-    """``(doc_id, ids, decoded)``: ids of each whole text, and their pieces joined by a space."""
-    spark = docs.sparkSession
-    definition = Path(tokenizer_file).read_text(encoding="utf-8")
-    read = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    split = split_documents(read, definition, chunk_words)
-    path = new_path(spark, "words")
-    split.write.option("compression", "zstd").parquet(path)
-    chunks = spark.read.schema(split.schema).parquet(path)
-
-    entries = chunks.filter(F.col("words").isNotNull()).select("chunk", F.posexplode("words").alias("slot", "word"))
-    by_word = entries.repartition("word")
-    encoded = decoded_words(encoded_words(by_word.select("word").distinct(), definition), vocabulary(docs, definition))
-    sent = by_word.join(encoded, "word").select("chunk", "slot", "ids", "pieces")
-    documents = spark.read.schema(split.schema).parquet(path)
-    places = documents.filter(F.col("places").isNotNull()).select("chunk", "doc_id", "places")
-
-    def assemble(coded: pa.Table, table: pa.Table) -> pa.Table:
-        """One chunk: the ids and pieces of its words to the places of its documents."""
-        ids: list[list[int]] = [[]] * table.num_rows
-        pieces = [""] * table.num_rows
-        for slot, i, p in zip(*[table.column(c).to_pylist() for c in ("slot", "ids", "pieces")], strict=True):
-            ids[slot], pieces[slot] = i, p
-        id_rows, texts = [], []
-        for raw in coded.column("places").to_pylist():
-            at = np.frombuffer(zlib.decompress(raw), np.int32).tolist()
-            id_rows.append(list(chain.from_iterable([ids[x] for x in at])))
-            texts.append(" ".join([pieces[x] for x in at]))
-        return pa.Table.from_arrays(
-            [coded.column("doc_id"), pa.array(id_rows, pa.list_(pa.int32())), pa.array(texts, pa.string())],
-            names=["doc_id", "ids", "decoded"],
-        )
-
-    id_type = read.schema["doc_id"].dataType.simpleString()
-    return (
-        places.groupBy("chunk").cogroup(sent.groupBy("chunk")).applyInArrow(assemble, f"doc_id {id_type}, ids array<int>, decoded string")
-    )
+def _joined(lists: pa.LargeListArray) -> pa.Array:
+    return pa.array([" ".join(p for p in row if p is not None) for row in lists.to_pylist()], pa.large_string())

@@ -71,8 +71,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    coded = bpe.encode_decode(table(spark, sf_dir, "documents"), path)
-    return coded.select(
+    coded = bpe.encode(table(spark, sf_dir, "documents"), path)
+    return bpe.decode(coded, path).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
