@@ -292,6 +292,6 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, config: Decontam
     Whether a text has a match depends on the text alone, so texts are compared by digest: ids may be NULL or repeat.
     """
     key = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    keyed = docs.withColumn("_text_key", key)
-    found = contamination(keyed, benchmark, config, id_column="_text_key").filter(F.size("runs") > 0)
-    return keyed.join(found.select(F.col("doc_id").alias("_text_key")).distinct(), "_text_key", "left_anti").drop("_text_key")
+    keyed = docs.select(F.struct("*").alias("row"), key.alias("key"), "text")
+    found = contamination(keyed, benchmark, config, id_column="key").filter(F.size("runs") > 0)
+    return keyed.join(found.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select("row.*")

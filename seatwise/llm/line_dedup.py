@@ -61,19 +61,27 @@ def drop_boilerplate(pages: DataFrame, host: str, text: str = "text", config: Li
     """All pages, ``text`` without its host's boilerplate lines, and ``lines_dropped``."""
     sets = stage(boilerplate(pages, host, text, config), "boilerplate")
     held = sets.agg(F.coalesce(F.sum(F.size("_set")), F.lit(0))).first()[0]
-    keyed = pages.withColumn("_host", F.array(F.col(host)))
+    # The row is one column meanwhile, so that its columns clash with none of these.
+    lines = _lines(F.col(text))
+    keyed = pages.select(F.struct("*").alias("row"), F.array(F.col(host)).alias("_host"), F.col(text).alias("text"), lines.alias("lines"))
     if held <= MAX_BROADCAST_LINES:
         joined = keyed.join(F.broadcast(sets), "_host", "left")
     else:
-        joined = skew_join(keyed, sets, ["_host"], spread=[text], how="left")
-    lines = _lines(F.col(text))
-    kept = F.filter(lines, lambda line: (F.trim(line) == "") | ~F.array_contains(F.col("_set"), _line_key(line)))
-    affected = F.col("_set").isNotNull() & F.col(text).isNotNull()
-    cleaned = joined.withColumn("_kept", F.when(affected, kept))
-    dropped = F.when(F.col("_kept").isNotNull(), F.size(lines) - F.size("_kept")).otherwise(0)
-    return cleaned.withColumn("lines_dropped", dropped.cast("bigint")).withColumn(
-        text, F.when(F.col("lines_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text))
-    ).drop("_host", "_set", "_kept")
+        joined = skew_join(keyed, sets, ["_host"], spread=["text"], how="left")
+    left = F.filter("lines", lambda line: (F.trim(line) == "") | ~F.array_contains(F.col("_set"), _line_key(line)))
+    kept = joined.select("row", "text", "lines", F.when(F.col("_set").isNotNull() & F.col("text").isNotNull(), left).alias("kept"))
+    dropped = F.when(F.col("kept").isNotNull(), F.size("lines") - F.size("kept")).otherwise(0).cast("bigint")
+    changed = kept.select("row", "text", "kept", dropped.alias("dropped"))
+    cleaned = F.when(F.col("dropped") > 0, F.array_join("kept", "\n")).otherwise(F.col("text"))
+    return changed.select(F.col("row").withField(f"`{text}`", cleaned).alias("row"), "dropped").select("row.*", "dropped").transform(
+        lambda df: _renamed_last(df, pages.columns, "lines_dropped")
+    )
+
+
+def _renamed_last(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """``df``, whose last column gets ``name``; an input column of that name goes."""
+    named = df.toDF(*[f"c{i}" for i in range(len(columns))], "last")
+    return named.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns) if c.lower() != name], F.col("last").alias(name))
 
 
 # The same over the documents table; fixed values stand in for LineConfig's defaults.

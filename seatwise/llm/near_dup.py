@@ -321,13 +321,13 @@ def without_near_duplicates(
     # Rows to drop: members of a class of several rows, apart from those equal in id and text to the one that stays.
     gone = (
         found.join(least, "class").filter((F.col("key") != F.col("kept.key")) | ~F.col("doc_id").eqNullSafe(F.col("kept.doc_id")))
-        .select(F.col("key").alias("_key"), F.array("doc_id").alias("_id")).distinct()
+        .select("key", F.array("doc_id").alias("id")).distinct()
     )
-    # NULL equals NULL inside an array.
-    marked = docs.withColumn("_key", text_key(F.col(text_column))).withColumn("_id", F.array(F.col(id_column)))
-    kept = marked.join(gone, ["_key", "_id"], "left_anti")
+    # NULL equals NULL inside an array. The row is one column, so that its columns clash with none of these.
+    marked = docs.select(F.struct("*").alias("row"), text_key(F.col(text_column)).alias("key"), F.array(id_column).alias("id"), F.col(text_column).alias("text"))
+    kept = marked.join(gone, ["key", "id"], "left_anti")
     repeated = found.groupBy("key", "doc_id").count().filter("count > 1")
     if not repeated.isEmpty():
-        words_in = F.regexp_like(F.coalesce(F.col(text_column), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
-        kept = kept.filter(words_in).dropDuplicates(["_key", "_id"]).unionByName(kept.filter(~words_in))
-    return kept.drop("_key", "_id")
+        words_in = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
+        kept = kept.filter(words_in).dropDuplicates(["key", "id"]).unionByName(kept.filter(~words_in))
+    return kept.select("row.*")

@@ -31,5 +31,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, config: SubwordConfig =
 
 def without_toxic(docs: DataFrame, labels: DataFrame, config: SubwordConfig = CONFIG, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score stays below the threshold, all columns kept."""
-    kept = scored(docs, fit_toxicity(docs, labels, config), tokens, "_toxicity").filter(F.col("_toxicity") < threshold)
-    return kept.drop("_toxicity")
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return scored(rows, fit_toxicity(docs, labels, config), tokens).filter(F.col("score") < threshold).select("row.*")
