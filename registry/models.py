@@ -1,11 +1,14 @@
-"""Models. Fitted numbers have no SQL equivalent; their inputs do."""
+"""Models. Fitted numbers have no SQL equivalent, so queries return what SQL knows of them: keys, labels, counts, and
+whether scores, areas, losses and optimality are as they must be."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from registry.core import FEATURES, dates, query, star
+from registry.core import CATEGORIES, FEATURES, dates, label_sql, query, star
+from registry.splits import SPLIT_SQL
 from seatwise.fixtures import STAR
+from seatwise.functions.vectors import total
 from seatwise.operators.evaluate import areas, model_comparison
 from seatwise.plans import models
 from seatwise.plans.prep import prep_seat_monthly, prep_sequence_baseline, prep_tabular_baseline
@@ -19,46 +22,88 @@ def _tabular(used):
 
 
 def _sequence(used):
-    rows = models.sequence_input(prep_sequence_baseline(used, STAR), SEQUENCE, STAR, "contract_id", STAR.count_features[0])
+    rows = models.sequence_input(prep_sequence_baseline(used, STAR), SEQUENCE, STAR, "contract_id", total(STAR.count_features))
     return rows, models.history_names(SEQUENCE)
 
 
-def _areas(model, rows, features):
-    return areas(models.test_curve(model, rows, features))
+def rank_area(scored: DataFrame) -> DataFrame:
+    """Rows by label and the share of (churned, kept) pairs in the right order, ties counting half: another way to the ROC
+    area, for tables that fit a window."""
+    ties = Window.partitionBy("score")
+    place = F.rank().over(Window.orderBy("score")) + (F.count(F.lit(1)).over(ties) - 1) / 2
+    churned, kept = F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)
+    ranks = F.sum(F.when(F.col("label") == 1, F.col("place")))
+    return scored.withColumn("place", place).agg(
+        churned.alias("n_churned"), kept.alias("n_kept"),
+        F.try_divide(ranks - churned * (churned + 1) / 2, (churned * kept).cast("double")).alias("rank_area"),
+        F.count_if(~F.col("score").between(0, 1)).alias("n_outside"),
+    )
+
+
+def _evaluated(model, rows, features):
+    """Test rows by label, and whether both areas and all scores are as they must be."""
+    scored = models.stage(models.scores(model, models.assemble(models.part(rows, "test"), features)).select("label", "score"), "scored")
+    found = areas(models.confusion_curve(scored))
+    same = (F.abs(F.coalesce("auc_roc", F.lit(-1.0)) - F.coalesce("rank_area", F.lit(-1.0))) < 1e-9)
+    return rank_area(scored).withColumns({c: found.select(c).scalar() for c in ("auc_roc", "auc_pr")}).select(
+        "n_churned", "n_kept", (F.col("n_outside") == 0).alias("scores_in_range"), same.alias("area_agrees"),
+        F.coalesce(F.col("auc_pr").between(0, 1), F.col("n_churned") == 0).alias("pr_in_range"),
+    )
+
+
+_EVALUATED_SQL = star(f"""select count(case when l.label = 1 then 1 end) as n_churned, count(case when l.label = 0 then 1 end) as n_kept,
+  true as scores_in_range, true as area_agrees, true as pr_in_range
+from contract_label l join ({SPLIT_SQL}) s on s.contract_id = l.contract_id where s.split = 'test' and l.label <> -1""")
 
 
-@query("logreg_monthly")
+@query("logreg_monthly", _EVALUATED_SQL)
 def _(spark, sf):
     rows = _tabular(dates(spark, sf))
-    return _areas(models.fit_logreg(rows, TABULAR), rows, TABULAR)
+    return _evaluated(models.fit_logreg(rows, TABULAR), rows, TABULAR)
 
 
-@query("mlp_monthly")
+@query("logreg_optimality", " union all ".join(f"select '{f}' as feature, 0.0::double as residual" for f in TABULAR))
 def _(spark, sf):
+    """At the optimum the weighted mean of (probability - label) times a feature is 0 for every feature."""
     rows = _tabular(dates(spark, sf))
-    return _areas(models.fit_mlp(rows, TABULAR), rows, TABULAR)
+    train = models.scores(models.fit_logreg(rows, TABULAR, iterations=2000, tolerance=1e-10), models.assemble(models.part(rows, "train"), TABULAR))
+    miss = F.col("weight") * (F.col("score") - F.col("label"))
+    means = train.agg(*[F.round(F.sum(miss * F.col(f)) / F.sum("weight"), 3).alias(f) for f in TABULAR])
+    residual = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), (F.col(f) + F.lit(0.0)).alias("residual")) for f in TABULAR]))
+    return means.select(residual.alias("r")).select("r.feature", F.when(F.col("r.residual") == 0, 0.0).otherwise(F.col("r.residual")).alias("residual"))
+
+
+@query("mlp_monthly", _EVALUATED_SQL)
+def _(spark, sf):
+    rows = _tabular(dates(spark, sf))
+    return _evaluated(models.fit_mlp(rows, TABULAR), rows, TABULAR)
+
+
+LAGGED = [FEATURES[0], FEATURES[-1]]
+_LAGS = ", ".join(f"coalesce(lag({f}, {k}) over w, 0) as lag{k}_{f}" for f in LAGGED for k in (1, 2))
 
 
 @query(
     "sequence_features",
-    star(f"""select contract_id, month,
-  coalesce(lag(used, 1) over w, 0) as lag1, coalesce(lag(used, 2) over w, 0) as lag2,
+    star(f"""select contract_id, month, coalesce(lag(used, 1) over w, 0) as lag1, coalesce(lag(used, 2) over w, 0) as lag2, {_LAGS},
   round(avg(used) over w, 6) as mean_so_far, max(used) over w as max_so_far, used - coalesce(lag(used, 1) over w, used) as delta,
   month - min(month) over w as months_alive,
   month - coalesce(max(case when used > 0 then month end) over w, min(month) over w) as months_since_use
-from (select p.contract_id, p.month, p.used from
-  (select contract_id, month, cast(coalesce(sum(case when label <> -1 then {FEATURES[7]} end), 0) as double) as used
+from (select p.* from
+  (select contract_id, month, cast(coalesce(sum(case when label <> -1 then {" + ".join(f"count_{c}" for c in CATEGORIES)} end), 0) as double) as used,
+     {", ".join(f"cast(coalesce(sum(case when label <> -1 then {f} end), 0) as double) as {f}" for f in LAGGED)}
    from seat_month group by contract_id, month) p
   join contract_label l on l.contract_id = p.contract_id and l.month = p.month where l.label <> -1)
 window w as (partition by contract_id order by month)"""),
 )
 def _(spark, sf):
-    used = FEATURES[7]
     months = models.filter_scored(prep_sequence_baseline(dates(spark, sf), STAR))
-    rows = months.select("contract_id", "month", F.col(used).cast("double").alias("used"))
-    df = models.history_features(rows, "contract_id", ["used"], "used")
+    features = ["used", *LAGGED]
+    rows = months.select("contract_id", "month", total(STAR.count_features).cast("double").alias("used"), *[F.col(f).cast("double").alias(f) for f in LAGGED])
+    df = models.history_features(rows, "contract_id", features, "used")
     return df.select(
         "contract_id", "month", F.col("lag1_used").alias("lag1"), F.col("lag2_used").alias("lag2"),
+        *[f"lag{k}_{f}" for f in LAGGED for k in (1, 2)],
         F.round("mean_so_far_used", 6).alias("mean_so_far"), F.col("max_so_far_used").alias("max_so_far"),
         F.col("delta_used").alias("delta"),
         F.col("steps_alive").alias("months_alive"),
@@ -66,21 +111,75 @@ def _(spark, sf):
     )
 
 
-@query("sequence_monthly")
+@query("sequence_monthly", _EVALUATED_SQL)
 def _(spark, sf):
     rows, names = _sequence(dates(spark, sf))
-    return _areas(models.fit_gbt(rows, names), rows, names)
+    return _evaluated(models.fit_gbt(rows, names), rows, names)
+
+
+_DAY_LABEL = label_sql("p.period", "cast(floor(c.create_day / 30.0) as int)", "cast(floor(c.cancel_day / 30.0) as int)", 13)
 
 
-@query("sequence_daily")
+@query(
+    "sequence_daily",
+    star(f"""select count(case when label = 1 then 1 end) as n_churned, count(case when label = 0 then 1 end) as n_kept,
+  true as scores_in_range, true as area_agrees, true as pr_in_range
+from (select c.contract_id, {_DAY_LABEL} as label from contracts c cross join (select cast(unnest(range(13)) as int) as period) p) l
+join ({SPLIT_SQL}) s on s.contract_id = l.contract_id where s.split = 'test' and l.label <> -1"""),
+)
 def _(spark, sf):
     rows, names = models.daily_group_input(dates(spark, sf), STAR)
-    return _areas(models.fit_gbt(rows, names), rows, names)
+    return _evaluated(models.fit_gbt(rows, names), rows, names)
+
+
+_SEAT_STATE = ", ".join(f"stddev_pop(case when split = 'train' and label <> -1 then {f} end) as std_{f}" for f in FEATURES)
+
+
+def _squeezed(features) -> str:
+    return " + ".join(f"coalesce(m.{f} / nullif(t.std_{f}, 0), -1)" for f in features)
+
+
+_SEAT_SQL = f"""with parts as (select m.*, s.split from seat_month m join ({SPLIT_SQL}) s on s.contract_id = m.contract_id),
+state as (select month, {_SEAT_STATE} from parts group by month)"""
 
 
-@query("seat_stage_scores")
+@query(
+    "seat_stage_scores",
+    star(f"""{_SEAT_SQL}
+select m.seat_id, m.contract_id, m.month, m.split, m.label, true as scored_if_live,
+  case when m.label <> -1 then round({_squeezed(STAR.time_features)}, 6) else -999 end as squeezed_time,
+  case when m.label <> -1 then round({_squeezed(STAR.count_features)}, 6) else -999 end as squeezed_count
+from parts m join state t on t.month = m.month"""),
+)
 def _(spark, sf):
-    return models.seat_stage_scores(prep_seat_monthly(dates(spark, sf), STAR), STAR)
+    scored = models.seat_stage_scores(prep_seat_monthly(dates(spark, sf), STAR), STAR)
+    live = F.col("label") != -1
+    right = F.when(live, F.coalesce(F.col("latent_score").between(0, 1) & F.col("latent_margin").isNotNull(), F.lit(False))).otherwise(F.col("latent_score").isNull())
+    return scored.select(
+        "seat_id", "contract_id", "month", "split", "label", right.alias("scored_if_live"),
+        *[F.round(F.coalesce(c, F.lit(-999.0)), 6).alias(c) for c in ("squeezed_time", "squeezed_count")],
+    )
+
+
+@query(
+    "seat_stage_areas",
+    star(f"""select s.split, count(case when m.label = 1 then 1 end) as n_churned, count(case when m.label = 0 then 1 end) as n_kept,
+  true as area_agrees
+from seat_month m join ({SPLIT_SQL}) s on s.contract_id = m.contract_id where m.label <> -1 group by s.split"""),
+)
+def _(spark, sf):
+    """Stage 1 on its own: areas of the seat-level score by split."""
+    scored = models.stage(models.seat_stage_scores(prep_seat_monthly(dates(spark, sf), STAR), STAR), "seat_scores")
+    result = None
+    for split in models.SHARES:
+        rows = models.part(scored, split).filter("label <> -1").select("label", F.col("latent_score").alias("score"))
+        area = areas(models.confusion_curve(rows)).select("auc_roc").scalar()
+        row = rank_area(rows).select(
+            F.lit(split).alias("split"), "n_churned", "n_kept",
+            (F.abs(F.coalesce(area, F.lit(-1.0)) - F.coalesce("rank_area", F.lit(-1.0))) < 1e-9).alias("area_agrees"),
+        )
+        result = row if result is None else result.unionByName(row)
+    return result
 
 
 def _hierarchical(used):
@@ -88,40 +187,73 @@ def _hierarchical(used):
     return models.hierarchical_input(seat_scores, used, STAR)
 
 
-@query("hierarchical_monthly")
+@query("hierarchical_monthly", _EVALUATED_SQL)
 def _(spark, sf):
     rows, names = _hierarchical(dates(spark, sf))
-    return _areas(models.fit_gbt(rows, names), rows, names)
+    return _evaluated(models.fit_gbt(rows, names), rows, names)
 
 
-@query("batch_score")
+@query(
+    "batch_score",
+    star(f"""select l.contract_id, l.month, l.label, true as in_range
+from contract_label l join ({SPLIT_SQL}) s on s.contract_id = l.contract_id where s.split = 'test' and l.label <> -1"""),
+)
 def _(spark, sf):
     rows = _tabular(dates(spark, sf))
     model = models.fit_logreg(rows, TABULAR)
     scored = models.scores(model, models.assemble(models.part(rows, "test"), TABULAR))
-    return scored.select("contract_id", "month", "label", "score")
+    return scored.select("contract_id", "month", "label", F.col("score").between(0, 1).alias("in_range"))
 
 
-@query("select_best")
+@query(
+    "select_best",
+    "select 'reg=0.0' as candidate, 1 as n_best, true as best_is_largest union all select 'reg=0.01', 1, true union all select 'reg=0.1', 1, true",
+)
 def _(spark, sf):
     rows = _tabular(dates(spark, sf))
     candidates = {f"reg={reg}": models.fit_logreg(rows, TABULAR, reg) for reg in (0.0, 0.01, 0.1)}
-    return models.select_best(candidates, rows, TABULAR)
+    chosen = models.stage(models.select_best(candidates, rows, TABULAR), "chosen")
+    best = chosen.agg(
+        F.struct(F.count_if("is_best").cast("int").alias("n_best"), (F.max(F.when(F.col("is_best"), F.col("auc_roc"))) == F.max("auc_roc")).alias("largest"))
+    ).scalar()
+    return chosen.select("candidate", best["n_best"].alias("n_best"), F.coalesce(best["largest"], F.lit(True)).alias("best_is_largest"))
+
+
+def _history_checks(history: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per model: iterations without a gap, and losses that never rise by more than rounding."""
+    step = Window.partitionBy("model").orderBy("iteration")
+    marked = history.withColumns(
+        {"gap": F.col("iteration") - F.row_number().over(step) + 1}
+        | {f"rise_{c}": F.col(c) - F.lag(c).over(step) for c in columns}
+    )
+    return marked.groupBy("model").agg(
+        (F.max(F.abs("gap")) == 0).alias("consecutive"),
+        *[F.coalesce(F.max(f"rise_{c}") <= 1e-9, F.lit(True)).alias(f"{c}_falls") for c in columns],
+    )
+
+
+@query("training_history", "select 'logreg' as model, true as consecutive, true as objective_falls")
+def _(spark, sf):
+    rows = _tabular(dates(spark, sf))
+    return _history_checks(models.training_history(spark, "logreg", models.fit_logreg(rows, TABULAR).summary.objectiveHistory), ["objective"])
 
 
-@query("gbt_history")
+@query("gbt_history", "select 'sequence' as model, true as consecutive, true as train_loss_falls")
 def _(spark, sf):
     rows, names = _sequence(dates(spark, sf))
-    return models.gbt_history(models.fit_gbt(rows, names), rows, names, "sequence")
+    return _history_checks(models.gbt_history(models.fit_gbt(rows, names), rows, names, "sequence"), ["train_loss"])
 
 
-@query("model_comparison")
+@query(
+    "model_comparison",
+    " union all ".join(f"select '{m}' as model, true as roc_in_range, true as pr_in_range" for m in ("hierarchical", "single sequence", "mlp", "logistic regression")),
+)
 def _(spark, sf):
     used = dates(spark, sf)
     tabular = _tabular(used)
     sequence, sequence_names = _sequence(used)
     nested, nested_names = _hierarchical(used)
-    return model_comparison(
+    compared = model_comparison(
         {
             "hierarchical": models.test_curve(models.fit_gbt(nested, nested_names), nested, nested_names),
             "single sequence": models.test_curve(models.fit_gbt(sequence, sequence_names), sequence, sequence_names),
@@ -129,3 +261,6 @@ def _(spark, sf):
             "logistic regression": models.test_curve(models.fit_logreg(tabular, TABULAR), tabular, TABULAR),
         }
     )
+    return compared.select(
+        "model", *[F.coalesce(F.col(f"auc_{k}").between(0, 1), F.lit(True)).alias(f"{k}_in_range") for k in ("roc", "pr")]
+    )

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from registry.core import FEATURES, WEIGHT_SQL, cleaned, dates, encoded, query, star, sums_sql, text, label_sql
 from seatwise.fixtures import STAR, star_taxonomy, table
-from seatwise.plans.models import fit_logreg, scaled_split, training_history
-from seatwise.plans.prep import prep_seat_monthly, prep_tabular_baseline, seat_samples
+from seatwise.plans.prep import prep_seat_monthly, seat_samples
 from seatwise.operators.split import split_of
 from seatwise.sources import samples as sample_files, tables, taxonomy
 from seatwise.workspace import new_path
@@ -150,11 +149,3 @@ def _(spark, sf):
     tables.save_intermediate(prep_seat_monthly(dates(spark, sf), STAR), path)
     columns = ["seat_id", "contract_id", "month", *FEATURES, "label", "weight"]
     return encoded(tables.load_intermediate(spark, path, columns), FEATURES)
-
-
-@query("training_history")
-def _(spark, sf):
-    used = dates(spark, sf)
-    features = STAR.features + STAR.lifetime_features + ["n_seats"]
-    split = scaled_split(prep_tabular_baseline(used, STAR), features, STAR)
-    return training_history(spark, "logreg", fit_logreg(split, features).summary.objectiveHistory)

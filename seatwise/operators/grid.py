@@ -19,14 +19,14 @@ def _life_end(n_days: int) -> Column:
 def zero_fill_life(days: DataFrame, spans: DataFrame, features: Sequence[str], n_days: int) -> DataFrame:
     """Usage days plus a zero row for every day of life without usage.
 
-    Life is ``[create_day, cancel_day]``, to the horizon when cancelled at or past it. Days outside life
+    Life is ``[create_day, cancel_day]`` inside the horizon ``0 … n_days - 1``. Days outside life
     stay missing unless there is usage on them. Zero rows are added to the usage rows and summed, one
     shuffle on (seat, day) instead of a join.
     """
     zeros = (
-        spans.withColumn("_last", _life_end(n_days))
-        .filter(F.col("create_day") <= F.col("_last"))
-        .select("seat_id", F.explode(F.sequence("create_day", "_last")).alias("day"))
+        spans.select("seat_id", F.greatest("create_day", F.lit(0)).alias("_first"), _life_end(n_days).alias("_last"))
+        .filter(F.col("_first") <= F.col("_last"))
+        .select("seat_id", F.explode(F.sequence("_first", "_last")).alias("day"))
         .withColumns({f: F.lit(0).cast("bigint") for f in features})
     )
     rows = days.select("seat_id", "day", *features).unionByName(zeros)

@@ -93,10 +93,12 @@ def sample_weights(df: DataFrame, cfg: ChurnConfig) -> DataFrame:
 def expand_monthly_to_daily(periods: DataFrame, key: str, cfg: ChurnConfig) -> DataFrame:
     """Put the label of period p on day ``p * period_days``, with weight 1 unless it lies outside life.
 
-    All other days have label 0 and weight 0. Each period expands to its own days, so no join is needed.
+    All other days have label 0 and weight 0. Each period expands to its own days, the last one to the horizon, so no
+    join is needed.
     """
     first_day = F.col("period") * cfg.period_days
     last_day = F.least(first_day + cfg.period_days - 1, F.lit(cfg.horizon_days - 1))
+    last_day = F.when(F.col("period") == cfg.n_periods - 1, F.lit(cfg.horizon_days - 1)).otherwise(last_day)
     days = (
         periods.filter(first_day < cfg.horizon_days)
         .withColumn("day", F.explode(F.sequence(first_day, last_day)))

@@ -56,7 +56,8 @@ def presence_from_spans(spans: DataFrame, features: Sequence[str], n_steps: int,
     a row per seat and day: a seat costs two rows, a contract ``n_steps``.
     """
     cancelled = F.col("cancel_day")
-    first = F.when(cancelled < F.col("create_day"), cancelled).otherwise(F.col("create_day"))
+    # A life that began before day 0 counts from day 0 on. One cancelled before its creation is the cancel day alone.
+    first = F.when(cancelled < F.col("create_day"), cancelled).otherwise(F.greatest("create_day", F.lit(0)))
     last = F.least(F.coalesce(cancelled, F.lit(n_steps - 1)), F.lit(n_steps - 1))
     lives = spans.select("contract_id", first.alias("_first"), last.alias("_last")).filter(
         (F.col("_first") >= 0) & (F.col("_first") <= F.col("_last"))

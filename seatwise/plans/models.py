@@ -18,7 +18,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from seatwise.config import ChurnConfig
 from seatwise.functions.vectors import encode_missing, total
@@ -84,16 +84,22 @@ def scores(model, df: DataFrame) -> DataFrame:
 # ---- baselines --------------------------------------------------------------------------------
 
 
-def fit_logreg(split: DataFrame, features: Sequence[str], reg: float = 0.0) -> LogisticRegressionModel:
-    """Weighted logistic regression on the months of all contracts."""
-    trainer = LogisticRegression(weightCol="weight", standardization=False, regParam=reg, maxIter=100)
+def fit_logreg(
+    split: DataFrame, features: Sequence[str], reg: float = 0.0, iterations: int = 100, tolerance: float = 1e-6
+) -> LogisticRegressionModel:
+    """Weighted logistic regression on the months of all contracts. It has converged if its history is shorter than
+    ``iterations`` + 1."""
+    trainer = LogisticRegression(weightCol="weight", standardization=False, regParam=reg, maxIter=iterations, tol=tolerance)
     return trainer.fit(assemble(part(split, "train"), features))
 
 
 def fit_mlp(
     split: DataFrame, features: Sequence[str], hidden: Sequence[int] = HIDDEN, iterations: int = 100
 ) -> MultilayerPerceptronClassificationModel:
-    """Multilayer perceptron. It takes no weights, so a row of weight w is given w times."""
+    """Multilayer perceptron. It takes no weights, so a row of weight w is given w times; w must be whole and positive."""
+    weight = F.col("weight")
+    if not part(split, "train").filter((weight < 1) | (weight != F.floor(weight)) | weight.isNull()).isEmpty():
+        raise ValueError("weights of a perceptron's rows must be whole numbers of at least 1")
     copies = F.explode(F.sequence(F.lit(1), F.col("weight").cast("int"))).alias("_copy")
     train = assemble(part(split, "train"), features).select("features", "label", copies)
     trainer = MultilayerPerceptronClassifier(
@@ -155,11 +161,14 @@ def fit_gbt(
     return trainer.fit(assemble(learn, features))
 
 
-def sequence_input(prep: DataFrame, features: Sequence[str], cfg: ChurnConfig, key: str, use: str) -> DataFrame:
-    """Scaled months inside life with their history features, as a stage table."""
-    months = stage(with_split(prep), "months")
+def sequence_input(prep: DataFrame, features: Sequence[str], cfg: ChurnConfig, key: str, use: Column) -> DataFrame:
+    """Scaled months inside life with their history features, as a stage table.
+
+    ``use`` is above 0 in months with use; it is taken before scaling.
+    """
+    months = stage(with_split(prep).withColumn("_use", use), "months")
     scaled = filter_scored(encode_features(scale_months(months, features), features, cfg))
-    return stage(history_features(scaled, key, features, use), "sequence_input")
+    return stage(history_features(scaled, key, features, "_use").drop("_use"), "sequence_input")
 
 
 def daily_group_input(dates: DataFrame, cfg: ChurnConfig) -> tuple[DataFrame, list[str]]:
@@ -187,7 +196,8 @@ def seat_stage_scores(seat_rows: DataFrame, cfg: ChurnConfig, weighted: bool = F
     are kept, with NULLs. ``seat_rows`` is the output of ``prep_seat_monthly``.
     """
     features = cfg.features
-    scaled = scale_months(stage(with_split(seat_rows), "seat_months"), features)
+    months = with_split(seat_rows).withColumn("_use", total(cfg.count_features))
+    scaled = scale_months(stage(months, "seat_months"), features)
     live = encode_features(filter_scored(scaled), features, cfg)
     fold = F.pmod(F.xxhash64(F.lit(FOLD_SEED), "contract_id"), F.lit(N_FOLDS))
     live = live.withColumns(
@@ -198,7 +208,7 @@ def seat_stage_scores(seat_rows: DataFrame, cfg: ChurnConfig, weighted: bool = F
         }
     )
     names = history_names(features)
-    rows = stage(history_features(live, "seat_id", features, cfg.count_features[0]), "seat_sequence_input")
+    rows = stage(history_features(live, "seat_id", features, "_use"), "seat_sequence_input")
 
     parts = []
     train = F.col("split") == "train"
@@ -235,7 +245,7 @@ def hierarchical_input(seat_scores: DataFrame, dates: DataFrame, cfg: ChurnConfi
     """Stage 2 input: seat scores pooled by contract, scaled, with history features."""
     pooled = prep_pooled(seat_scores, dates, LATENT, cfg)
     features = [*pooled_names(LATENT), "n_seats"]
-    rows = sequence_input(pooled, features, cfg, "contract_id", "max_squeezed_count")
+    rows = sequence_input(pooled, features, cfg, "contract_id", F.col("max_squeezed_count"))
     return rows, history_names(features)
 
 

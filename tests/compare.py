@@ -12,7 +12,7 @@ import duckdb
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
-TYPES = {"VARCHAR": "string", "INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double"}
+TYPES = {"BOOLEAN": "boolean", "VARCHAR": "string", "INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double"}
 
 
 def duck(sf_dir: str):
