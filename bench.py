@@ -11,6 +11,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).parent))
 
 from registry import QUERIES  # noqa: E402
+from seatwise.workspace import close  # noqa: E402
 from tests.session import session  # noqa: E402
 
 HEADLINE = [
@@ -27,6 +28,9 @@ HEADLINE = [
     "auc_churn_months",
     "logreg_monthly",
     "sequence_monthly",
+    "prep_seat_daily",
+    "mlp_monthly",
+    "hierarchical_monthly",
 ]
 
 
@@ -39,6 +43,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+    close(spark)
     total = round(sum(seconds.values()), 3)
     print(json.dumps({"metric": "headline queries, total time", "value": total, "unit": "sec", "queries": seconds, "sf": Path(sf_dir).name}))
 

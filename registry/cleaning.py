@@ -161,21 +161,21 @@ def _(spark, sf):
 
 @query(
     "decode_missing",
-    star(f"""select month, {', '.join(f'count({f}) as {f}' for f in FEATURES)}, count(*) as n_cells
-from (select month, {', '.join(f'case when label <> -1 then {f} end as {f}' for f in FEATURES)} from seat_month) group by month"""),
+    star(f"""select seat_id, month, {', '.join(f'label <> -1 as has_{f}, coalesce(case when label <> -1 then {f} end, 0) as {f}' for f in FEATURES)}
+from seat_month"""),
 )
 def _(spark, sf):
     codes = encoded(seat_months(dates(spark, sf), STAR), FEATURES)
     df = codes.withColumns({f: decode_missing(F.col(f), STAR.missing_value) for f in FEATURES})
-    return df.groupBy("month").agg(
-        *[F.count(f).alias(f) for f in FEATURES], F.count(F.lit(1)).alias("n_cells")
-    )
+    # NULL is told from 0 by a column of its own.
+    shown = [c for f in FEATURES for c in (F.col(f).isNotNull().alias(f"has_{f}"), F.coalesce(f, F.lit(0)).cast("bigint").alias(f))]
+    return df.select("seat_id", "month", *shown)
 
 
-@query("dedup_rows", star(f"select distinct member_id, {_day('event_time')}, product_name from usage"))
+@query("dedup_rows", star(f"select distinct member_id, {_day('event_time')}, product_name, session_time from usage"))
 def _(spark, sf):
-    df = star_usage(spark, sf).select("member_id", text("event_time"), "product_name")
-    return clean.dedup_rows(df)
+    df = clean.dedup_rows(star_usage(spark, sf))
+    return df.select("member_id", text("event_time"), "product_name", "session_time")
 
 
 @query(

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from seatwise.config import ChurnConfig
 from seatwise.fixtures import EVENTS, STAR, star_assignment, star_taxonomy, star_usage
 from seatwise.functions.vectors import encode_missing
 from seatwise.operators.clean import clean_assignments
@@ -34,9 +35,9 @@ def cleaned(spark: SparkSession, sf: str) -> DataFrame:
     return clean_assignments(star_assignment(spark, sf), STAR)
 
 
-def assigned(spark: SparkSession, sf: str) -> DataFrame:
+def assigned(spark: SparkSession, sf: str, cfg: ChurnConfig = STAR) -> DataFrame:
     return assigned_from_raw(
-        star_assignment(spark, sf), star_usage(spark, sf), star_taxonomy(spark, sf), STAR
+        star_assignment(spark, sf), star_usage(spark, sf), star_taxonomy(spark, sf), cfg
     )
 
 

@@ -140,9 +140,14 @@ def _(spark, sf):
     return quality.label_histogram(seat_months(dates(spark, sf), STAR))
 
 
-@query("check_mask_consistency", star("select count(*) as n_cells, cast(0 as bigint) as n_masked_with_features from seat_month"))
+@query("check_mask_consistency", star("""select 'masked' as kind, count(*) as n_cells, count(case when label = -1 and label <> -1 then 1 end) as n_masked_with_features from seat_month
+union all select 'unmasked', count(*), count(case when label = -1 then 1 end) from seat_month"""))
 def _(spark, sf):
-    return quality.check_mask_consistency(seat_months(dates(spark, sf), STAR), FEATURES)
+    """Masked months, and months on purpose left unmasked, which the check must find."""
+    used = dates(spark, sf)
+    unmasked = labels.with_month_label(seat_month_usage(used, STAR), STAR)
+    found = quality.check_mask_consistency(seat_months(used, STAR), FEATURES).withColumn("kind", F.lit("masked"))
+    return found.unionByName(quality.check_mask_consistency(unmasked, FEATURES).withColumn("kind", F.lit("unmasked")))
 
 
 _POOLED_SQL = f"""select p.contract_id, p.month, l.label, s.split,

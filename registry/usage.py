@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from registry.core import (
@@ -54,7 +56,7 @@ def _prepared(spark, sf):
 
 @query("interval_join_usage", star(_ASSIGNED_SQL))
 def _(spark, sf):
-    return _assigned_columns(assign.interval_join(*_prepared(spark, sf)))
+    return _assigned_columns(assign.interval_join_bucketed(*_prepared(spark, sf), STAR.bucket_days, floor=50))
 
 
 @query("interval_join_bucketed", star(_ASSIGNED_SQL))
@@ -85,6 +87,12 @@ def _(spark, sf):
     return _assigned_columns(assigned(spark, sf))
 
 
+@query("assigned_usage_split", star(_ASSIGNED_SQL))
+def _(spark, sf):
+    """With a floor so low that members are split at any size."""
+    return _assigned_columns(assigned(spark, sf, replace(STAR, hot_floor=2)))
+
+
 @query("ingest_months", star(_ASSIGNED_SQL))
 def _(spark, sf):
     base, out = new_path(spark, "monthly_usage"), new_path(spark, "assigned")

@@ -38,6 +38,8 @@ class ChurnConfig:
     dedup_per_seat: bool = False
     # Width of the time buckets of the interval join.
     bucket_days: int = 30
+    # Members with fewer events than this in a bucket are never split.
+    hot_floor: int = 1_000_000
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "categories", tuple(sorted(self.categories)))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seatwise.config import ChurnConfig
 from seatwise.functions.dates import time_bucket
@@ -49,11 +49,11 @@ def prepare_usage(raw: DataFrame, taxonomy: DataFrame, cfg: ChurnConfig) -> Data
     return dedup_rows(df).withColumn("event_date", F.to_date("event_time"))
 
 
-def _in_session(usage: DataFrame, sessions: DataFrame):
+def _in_session(column: Callable[[str], Column]) -> Column:
     return (
-        (usage["event_date"] >= sessions["create_date"])
-        & (usage["event_time"] >= sessions["start_time"])
-        & (usage["event_time"] <= sessions["end_time"])
+        (column("event_date") >= column("create_date"))
+        & (column("event_time") >= column("start_time"))
+        & (column("event_time") <= column("end_time"))
     )
 
 
@@ -63,7 +63,7 @@ def interval_join(usage: DataFrame, assignments: DataFrame) -> DataFrame:
     An equi-join on the member with the ranges as residual condition. Within one member all events are
     compared with all sessions, so use ``interval_join_bucketed`` where members can be heavy.
     """
-    on = (usage["member_id"] == assignments["member_id"]) & _in_session(usage, assignments)
+    on = (usage["member_id"] == assignments["member_id"]) & _in_session(F.col)
     return usage.join(assignments, on, "inner").drop(assignments["member_id"])
 
 
@@ -106,18 +106,13 @@ def interval_join_bucketed(
         )
         .select(*assignments.columns, "_bucket")
     )
-    in_session = (
-        (F.col("event_date") >= F.col("create_date"))
-        & (F.col("event_time") >= F.col("start_time"))
-        & (F.col("event_time") <= F.col("end_time"))
-    )
     spread = ["event_time", "product_name", "session_time"]
     return skew_join(
         events,
         sessions,
         ["member_id", "_bucket"],
         spread,
-        condition=in_session,
+        condition=_in_session(F.col),
         share=share,
         floor=floor,
         n_rows=n_events,
@@ -129,7 +124,7 @@ def assigned_usage(
 ) -> DataFrame:
     """Prepared events and cleaned assignments → one row per event and seat it was made on."""
     window = (cfg.event_from, cfg.event_to)
-    df = interval_join_bucketed(events, assignments, cfg.bucket_days, window, n_events=n_events)
+    df = interval_join_bucketed(events, assignments, cfg.bucket_days, window, floor=cfg.hot_floor, n_events=n_events)
     if cfg.dedup_per_seat:
         df = df.dropDuplicates([*events.columns, "seat_id"])
     return df.drop("event_time", "start_time", "end_time")

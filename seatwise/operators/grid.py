@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def dense_grid(entities: DataFrame, n_steps: int, name: str) -> DataFrame:
@@ -19,34 +19,41 @@ def _life_end(n_days: int) -> Column:
 def zero_fill_life(days: DataFrame, spans: DataFrame, features: Sequence[str], n_days: int) -> DataFrame:
     """Usage days plus a zero row for every day of life without usage.
 
-    Life is ``[create_day, cancel_day]`` inside the horizon ``0 … n_days - 1``. Days outside life
-    stay missing unless there is usage on them. Zero rows are added to the usage rows and summed, one
-    shuffle on (seat, day) instead of a join.
+    Life is ``[create_day, cancel_day]`` inside the horizon ``0 … n_days - 1``. Days outside life stay missing unless
+    there is usage on them.
     """
-    zeros = (
-        spans.select("seat_id", F.greatest("create_day", F.lit(0)).alias("_first"), _life_end(n_days).alias("_last"))
-        .filter(F.col("_first") <= F.col("_last"))
-        .select("seat_id", F.explode(F.sequence("_first", "_last")).alias("day"))
-        .withColumns({f: F.lit(0).cast("bigint") for f in features})
-    )
-    rows = days.select("seat_id", "day", *features).unionByName(zeros)
-    return rows.groupBy("seat_id", "day").agg(*[F.sum(f).alias(f) for f in features])
+    filled = dense_days(days, spans, features, n_days)
+    return filled.filter(F.col(features[0]).isNotNull()).select("seat_id", "day", *features)
 
 
 def dense_days(days: DataFrame, spans: DataFrame, features: Sequence[str], n_days: int) -> DataFrame:
-    """All days of every seat, with its span: ``zero_fill_life``, NULL where that has no row.
+    """All days of every seat, with its span: usage, 0 on days of life without, NULL on others.
 
-    The same single shuffle: the grid rows carry the zeros of life, NULLs outside it, and the span.
+    What is shuffled is a row for each day with usage and one for each seat. The gaps are filled after that, each row
+    making the days up to the next one. Seats without a span keep their days with usage only.
     """
-    in_life = F.col("day").between(F.col("create_day"), _life_end(n_days))
     span = ["create_day", "cancel_day"]
-    grid = dense_grid(spans.select("seat_id", *span), n_days, "day").withColumns(
-        {f: F.when(in_life, F.lit(0)).cast("bigint") for f in features}
+    # A seat's span stands on day -1, before all usage.
+    marks = spans.select("seat_id", *span, F.lit(-1).alias("day"), F.lit(True).alias("_span"))
+    used = days.select("seat_id", "day", *features).filter(F.col("day").between(0, n_days - 1))
+    rows = used.unionByName(marks, allowMissingColumns=True).repartition("seat_id")
+    rows = rows.groupBy("seat_id", "day").agg(
+        *[F.max(c).alias(c) for c in span], F.max("_span").alias("_span"), *[F.sum(f).alias(f) for f in features]
     )
-    rows = days.select("seat_id", "day", *features).unionByName(grid, allowMissingColumns=True)
-    return rows.groupBy("seat_id", "day").agg(
-        *[F.max(c).alias(c) for c in span], *[F.sum(f).alias(f) for f in features]
+    by_day = Window.partitionBy("seat_id").orderBy("day")
+    whole = by_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = rows.withColumns(
+        {c: F.max(c).over(whole) for c in [*span, "_span"]}
+        | {"_next": F.coalesce(F.lead("day").over(by_day), F.lit(n_days))}
     )
+    last = F.when(F.col("_span"), F.col("_next") - 1).otherwise(F.col("day"))
+    spread = placed.withColumn("_last", last).filter(F.col("_last") >= F.greatest("day", F.lit(0)))
+    spread = spread.withColumn("_day", F.explode(F.sequence(F.greatest("day", F.lit(0)), F.col("_last"))))
+    own = F.col("day") == F.col("_day")
+    in_life = F.col("_day").between(F.col("create_day"), _life_end(n_days))
+    zero = F.when(in_life, F.lit(0)).cast("bigint")
+    filled = {f: F.coalesce(F.when(own, F.col(f)), F.when(~own | F.col(f).isNull(), zero)) for f in features}
+    return spread.select("seat_id", F.col("_day").alias("day"), *span, *[c.alias(f) for f, c in filled.items()])
 
 
 def mask_by_label(df: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:

@@ -12,6 +12,9 @@ HOT_SHARE = 1 / 2000
 # Keys below this many rows are never worth splitting.
 HOT_FLOOR = 1_000_000
 
+# Parts of the rows with a NULL key.
+NULL_PARTS = 2000
+
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Hint a broadcast only after counting that the table has at most ``max_rows`` rows.
@@ -65,7 +68,12 @@ def skew_join(
         return _plain_join(facts, dims, keys, how, condition)
     hot = F.broadcast(hot_keys(facts, keys, share, floor))
     n_salts = F.coalesce("n_salts", F.lit(1))
-    left = facts.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), n_salts).cast("int"))
+    # A NULL key matches nothing, but a left join keeps its rows: they are spread too.
+    null_key = F.lit(False)
+    for key in keys:
+        null_key = null_key | F.col(key).isNull()
+    parts = F.when(null_key, F.lit(NULL_PARTS)).otherwise(n_salts)
+    left = facts.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), parts).cast("int"))
     right = dims.join(hot, keys, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), n_salts - 1))
     )

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,15 +25,35 @@ def shared_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+def own_root(spark: SparkSession) -> str:
+    """The folder of this application: all that it stages lies below."""
+    return f"{shared_root(spark)}/seatwise/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path nobody else writes to, so that concurrent runs never overwrite each other."""
-    return f"{shared_root(spark)}/seatwise/{name}-{uuid4().hex}"
+    return f"{own_root(spark)}/{name}-{uuid4().hex}"
 
 
 def use_checkpoints(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` and the iterative ML trainers cut their lineage in the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(f"{shared_root(spark)}/seatwise/checkpoints")
+        spark.sparkContext.setCheckpointDir(f"{own_root(spark)}/checkpoints")
+
+
+def close(spark: SparkSession) -> None:
+    """Remove what this application has staged. Results that read a stage must have been used or written before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def run(spark: SparkSession) -> Iterator[SparkSession]:
+    """A run whose stage tables are removed at its end, also after a failure."""
+    try:
+        yield spark
+    finally:
+        close(spark)
 
 
 def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

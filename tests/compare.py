@@ -56,6 +56,7 @@ def compare(df, con, sql: str) -> str | None:
 def main() -> int:
     sys.path.insert(0, str(Path(__file__).parents[1]))
     import __spark_entry__ as entry
+    from seatwise.workspace import close
     from tests.session import session
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
@@ -72,6 +73,7 @@ def main() -> int:
             problem, note = f"{type(error).__name__}: {str(error)[:600]}", ""
         failed += problem is not None
         print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - start:.1f}s {note} {problem or ''}", flush=True)
+    close(spark)
     print(f"{len(names)} queries, {failed} failed")
     return failed
 
