@@ -115,6 +115,8 @@ def signature_rules() -> tuple[Rule, ...]:
         for i, (form, confidence) in enumerate(FORMS)
         for label, keyword, name, short in NAMES
     ]
+    # A full name speaks for itself; "mit" or "bsd" alone do not.
+    rules += [Rule(label, keyword, name, len(FORMS), 0.7) for label, keyword, name, _ in NAMES if "licen" in name]
     rules += [Rule(label, keyword, pattern, len(FORMS), score) for label, keyword, pattern, score in PLAIN]
     return (*rules, *BASE)
 

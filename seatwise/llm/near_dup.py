@@ -196,22 +196,21 @@ def merger(config: NearDupConfig) -> Callable[[pa.Table], pa.Table]:
 def components(links: DataFrame, name: str = "star") -> DataFrame:
     """``(node, root)`` of each node in the undirected ``links (u, v)``; the root is the smallest node.
 
-    Large stars then small stars, until nothing changes. A root with very many nodes is a hot key on one side of a join
-    with one row for each key, and minima are taken in the tasks first.
+    Large stars then small stars, until each node but the roots has one edge, to a root. A root with very many nodes is
+    a hot key on one side of a join with one row for each key, and minima are taken in the tasks first.
     """
     edges = stage(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), name)
-    mark = _mark(edges)
-    while mark[0]:
+    before = None
+    while (mark := _mark(edges)) != before and mark[0]:
+        before = mark
+        # Large star: what is larger than u goes to the smallest of u and its neighbours.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stage(large.distinct(), name)
+        large = stage(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), name)
+        # Small star: u and its smaller neighbours go to the smallest of them.
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stage(small.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct(), name)
-        before, mark = mark, _mark(edges)
-        if mark == before:
-            break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -267,7 +266,10 @@ def text_classes(rows: DataFrame, docs: DataFrame, config: NearDupConfig) -> Dat
         classes = merged_blocks(blocks.select("bucket", "block", F.lit(0).alias("part"), "key", "class"), texts, classes, config)
 
     # Buckets that were cut and still hold several classes: what is outside the largest class meets every block.
-    large = stage(with_classes(members.filter(F.col("n") > config.block), classes), "large")
+    cut = members.filter(F.col("n") > config.block)
+    if cut.isEmpty():
+        return classes
+    large = stage(with_classes(cut, classes), "large")
     sizes = large.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("bucket").agg(F.max_by("class", F.struct("c", "class")).alias("main"), F.sum("c").alias("n"), F.max("c").alias("most")).filter("n > most")
     main = main.select("bucket", "main", F.ceil(F.col("n") / config.block).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / config.block).cast("int").alias("parts"))
