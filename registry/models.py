@@ -66,7 +66,7 @@ def _(spark, sf):
 def _(spark, sf):
     """At the optimum the weighted mean of (probability - label) times a feature is 0 for every feature."""
     rows = _tabular(dates(spark, sf))
-    train = models.scores(models.fit_logreg(rows, TABULAR, iterations=2000, tolerance=1e-10), models.assemble(models.part(rows, "train"), TABULAR))
+    train = models.scores(models.fit_logreg(rows, TABULAR, iterations=500, tolerance=1e-9), models.assemble(models.part(rows, "train"), TABULAR))
     miss = F.col("weight") * (F.col("score") - F.col("label"))
     means = train.agg(*[F.round(F.sum(miss * F.col(f)) / F.sum("weight"), 3).alias(f) for f in TABULAR])
     residual = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), (F.col(f) + F.lit(0.0)).alias("residual")) for f in TABULAR]))

@@ -105,23 +105,60 @@ from (select contract_id, ('0x' || substring(md5('churn:' || contract_id), 1, 8)
       from (select distinct contract_id from assigned))"""
 
 
-@query(
-    "write_split_sets",
-    star(f"""select p.split, s.contract_id, s.seat_id, s.create_day
-from seats s join ({SPLIT_SQL}) p on p.contract_id = s.contract_id"""),
-)
-def _(spark, sf):
-    from seatwise.operators.labels import seat_rollup
+def samples_sql(split: str) -> str:
+    """Days of life or usage of all samples of a split, with their labels."""
+    seat, contract = (label_sql("d.day", f"{t}.create_day", f"{t}.cancel_day", 365) for t in ("s", "c"))
+    return star(f"""select p.split, s.contract_id, s.seat_id, d.day, {seat} as seat_label, {contract} as contract_label,
+  {', '.join(f'coalesce(u.{f}, 0) as {f}' for f in FEATURES)}, s.create_day as seat_create, s.cancel_day as seat_cancel,
+  c.create_day as contract_create, c.cancel_day as contract_cancel,
+  greatest(0, least(floor(s.cancel_day / 30.0), 13) - floor(s.create_day / 30.0))::int as alive_seat_periods,
+  greatest(0, least(floor(c.cancel_day / 30.0), 13) - floor(c.create_day / 30.0))::int as alive_contract_periods
+from seats s join ({split}) p on p.contract_id = s.contract_id join contracts c on c.contract_id = s.contract_id
+cross join (select cast(unnest(range(365)) as int) as day) d
+left join (select a.seat_id, a.day, {sums_sql()} from aged a group by a.seat_id, a.day) u on u.seat_id = s.seat_id and u.day = d.day
+where u.seat_id is not null or d.day between s.create_day and s.cancel_day""")
+
+
+def sample_days(df):
+    """Zero-filled samples as rows of days, with the labels of the day."""
+    alive = lambda c: F.size(F.filter(c, lambda v: v == 0))
+    rows = sample_files.fill_life(df, STAR).select("*", F.explode("x").alias("cell"))
+    return rows.select(
+        "split", "contract_id", "seat_id", "cell.day",
+        F.get("label_seat_daily", F.col("cell.day")).alias("seat_label"),
+        F.get("label_contract_daily", F.col("cell.day")).alias("contract_label"),
+        *[F.col("cell.f")[i].alias(f) for i, f in enumerate(FEATURES)],
+        "seat_create", "seat_cancel", "contract_create", "contract_cancel",
+        alive("label_seat_monthly").alias("alive_seat_periods"), alive("label_contract_monthly").alias("alive_contract_periods"),
+    )
 
+
+@query("write_split_sets", samples_sql(SPLIT_SQL))
+def _(spark, sf):
     path = new_path(spark, "splits")
-    rows = seat_rollup(dates(spark, sf))
+    rows = seat_samples(dates(spark, sf), STAR)
     # The split follows from the contract id, so no membership table is joined.
     tables.write_split_sets(rows.withColumn("split", split_of(F.col("contract_id"), _SHARES, "churn")), path)
     parts = [
         tables.read_split_set(spark, path, split).withColumn("split", F.lit(split)) for split in _SHARES
     ]
-    df = tables.union_all(*parts)
-    return df.select("split", "contract_id", "seat_id", "create_day")
+    return sample_days(tables.union_all(*parts))
+
+
+_DENSE = [f"case when u.seat_id is null then -1 else u.{f} end as {f}" for f in FEATURES]
+
+
+@query(
+    "dense_tensor",
+    star(f"""select s.seat_id, d.day, {', '.join(_DENSE)}
+from seats s cross join (select cast(unnest(range(365)) as int) as day) d
+left join (select a.seat_id, a.day, {sums_sql()} from aged a group by a.seat_id, a.day) u on u.seat_id = s.seat_id and u.day = d.day"""),
+)
+def _(spark, sf):
+    samples = seat_samples(dates(spark, sf), STAR)
+    filled = samples.withColumn("x", F.coalesce("x", F.array().cast(samples.schema["x"].dataType)))
+    days = sample_files.dense_tensor(filled, STAR).select("seat_id", F.posexplode("x").alias("day", "f"))
+    return days.select("seat_id", "day", *[F.col("f")[i].alias(f) for i, f in enumerate(FEATURES)])
 
 
 @query(

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from registry.core import assigned, dates, query, star
-from registry.sources import SPLIT_SQL, _SHARES
+from registry.sources import SPLIT_SQL, _SHARES, sample_days, samples_sql
+from seatwise.fixtures import STAR
 from seatwise.operators import split
 from seatwise.operators.labels import seat_rollup
+from seatwise.plans.prep import seat_samples
 
 SIZES = {"train": 60, "valid": 20, "test": 20}
 _EXACT_SQL = """select contract_id, case when r <= 60 then 'train' when r <= 80 then 'valid' else 'test' end as split
@@ -34,14 +36,10 @@ def _(spark, sf):
 def _(spark, sf):
     used = dates(spark, sf)
     train = _exact(used).filter("split = 'train'")
-    return split.semi_join_split(seat_rollup(used), train, SIZES["train"]).select("seat_id", "contract_id")
+    return split.semi_join_split(seat_rollup(used), train).select("seat_id", "contract_id")
 
 
-@query(
-    "apply_split",
-    star(f"select s.seat_id, s.contract_id, p.split from seats s join ({_EXACT_SQL}) p on p.contract_id = s.contract_id"),
-)
+@query("apply_split", samples_sql(_EXACT_SQL))
 def _(spark, sf):
     used = dates(spark, sf)
-    # No bound given: contracts are joined by key, hot ones split.
-    return split.apply_split(seat_rollup(used), _exact(used)).select("seat_id", "contract_id", "split")
+    return sample_days(split.apply_split(seat_samples(used, STAR), _exact(used)))

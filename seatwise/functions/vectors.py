@@ -18,10 +18,6 @@ def decode_missing(value: Column, missing: float = -1) -> Column:
     return F.nullif(value, F.lit(missing))
 
 
-def encode_missing_array(values: Column, missing: float = -1) -> Column:
-    return F.transform(values, lambda v: encode_missing(v, missing))
-
-
 def total(columns: list[str]) -> Column:
     """Sum of several columns of a row, NULL if any is."""
     result = F.col(columns[0])

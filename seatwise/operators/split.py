@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seatwise.operators.running import running_totals
-from seatwise.operators.skew import skew_join
+from seatwise.operators.skew import broadcast_if_small, skew_join
 
 # Memberships up to this many contracts are broadcast.
 MAX_BROADCAST_CONTRACTS = 200_000
@@ -53,26 +53,21 @@ def group_split_fraction(rows: DataFrame, shares: Mapping[str, float], seed: str
     return rows.select("contract_id").distinct().select("contract_id", split)
 
 
-def _small(membership: DataFrame, n_contracts: int | None) -> bool:
-    return n_contracts is not None and n_contracts <= MAX_BROADCAST_CONTRACTS
-
-
-def semi_join_split(rows: DataFrame, membership: DataFrame, n_contracts: int | None = None) -> DataFrame:
-    """Rows of the listed contracts.
-
-    ``n_contracts`` is an upper bound of the list's length if known (the sizes of an exact split). Short
-    lists are broadcast; otherwise hot contracts are split.
-    """
+def semi_join_split(rows: DataFrame, membership: DataFrame) -> DataFrame:
+    """Rows of the listed contracts. Lists that have been counted to be short are broadcast; otherwise hot contracts
+    are split."""
     ids = membership.select("contract_id").distinct()
-    if _small(membership, n_contracts):
-        return rows.join(F.broadcast(ids), "contract_id", "left_semi")
+    small = broadcast_if_small(ids, MAX_BROADCAST_CONTRACTS)
+    if small is not ids:
+        return rows.join(small, "contract_id", "left_semi")
     spread = [c for c in rows.columns if c != "contract_id"]
     return skew_join(rows, ids, ["contract_id"], spread, "left_semi")
 
 
-def apply_split(rows: DataFrame, membership: DataFrame, n_contracts: int | None = None) -> DataFrame:
+def apply_split(rows: DataFrame, membership: DataFrame) -> DataFrame:
     """Rows of the listed contracts with their ``split``."""
-    if _small(membership, n_contracts):
-        return rows.join(F.broadcast(membership), "contract_id")
+    small = broadcast_if_small(membership, MAX_BROADCAST_CONTRACTS)
+    if small is not membership:
+        return rows.join(small, "contract_id")
     spread = [c for c in rows.columns if c != "contract_id"]
     return skew_join(rows, membership, ["contract_id"], spread)

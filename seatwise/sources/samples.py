@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seatwise.config import ChurnConfig
-from seatwise.functions.vectors import encode_missing
 from seatwise.sources.tables import load_intermediate, write_parquet_overwrite
 
+# The names of an export.
 SAMPLE_COLUMNS = [
     "seat_id",
     "contract_id",
@@ -53,6 +53,17 @@ def dense_tensor(samples: DataFrame, cfg: ChurnConfig) -> DataFrame:
     return samples.withColumn("x", F.transform(days, lambda d: F.coalesce(F.try_element_at(by_day, d), empty)))
 
 
-def encode_tensor(cells: DataFrame, missing: int) -> DataFrame:
-    """Missing cells of ``(…, f)`` rows → the missing value."""
-    return cells.withColumn("f", F.transform("f", lambda v: encode_missing(v.cast("double"), missing)))
+def fill_life(samples: DataFrame, cfg: ChurnConfig) -> DataFrame:
+    """``x`` with an entry for each day of the seat's life too: zeros on days without usage, sorted by day.
+
+    A seat has at most one entry for each day of the horizon.
+    """
+    first = F.greatest("seat_create", F.lit(0))
+    last = F.least(F.coalesce("seat_cancel", F.lit(cfg.horizon_days - 1)), F.lit(cfg.horizon_days - 1))
+    life = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    used = F.coalesce("x", F.array().cast(samples.schema["x"].dataType))
+    by_day = F.map_from_entries(used)
+    zeros = F.array_repeat(F.lit(0).cast("bigint"), len(cfg.features))
+    days = F.array_sort(F.array_union(F.transform(used, lambda c: c["day"]), life))
+    cells = F.transform(days, lambda d: F.struct(d.alias("day"), F.coalesce(F.try_element_at(by_day, d), zeros).alias("f")))
+    return samples.withColumn("x", cells)

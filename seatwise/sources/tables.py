@@ -39,12 +39,14 @@ def list_input_files(df: DataFrame) -> DataFrame:
     return df.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def write_split_sets(df: DataFrame, path: str) -> None:
+def write_split_sets(df: DataFrame, path: str, key: str = "seat_id", parts: int = 64) -> None:
     """One directory per ``split``; reading one split touches only its own directory.
 
-    Rows are spread by seat within a split, so no writer gets a whole split or a whole contract.
+    Rows are dealt over ``parts`` writers per split by a hash of ``key``, so no writer gets a whole split or a whole
+    contract, and a split has at most ``parts`` files.
     """
-    df.write.mode("overwrite").partitionBy("split").parquet(path)
+    dealt = df.repartition("split", F.pmod(F.xxhash64(key), parts))
+    dealt.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
 def read_split_set(spark: SparkSession, path: str, split: str) -> DataFrame:

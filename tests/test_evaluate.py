@@ -105,14 +105,15 @@ def test_exact_split(spark):
     assert {s: list(first.values()).count(s) for s in sizes} == sizes
 
 
-@pytest.mark.parametrize("bound", [None, 280])
-def test_apply_and_semi_join(spark, bound):
+@pytest.mark.parametrize("most", [0, 280])
+def test_apply_and_semi_join(spark, monkeypatch, most):
+    monkeypatch.setattr(split, "MAX_BROADCAST_CONTRACTS", most)
     rows = contracts(spark, 500)
     member = split.group_split_exact(rows, {"train": 200, "valid": 50, "test": 30}, "a")
-    applied = split.apply_split(rows, member, bound)
+    applied = split.apply_split(rows, member)
     assert applied.count() == 280 * 3
     assert applied.groupBy("contract_id").agg(F.count_distinct("split").alias("n")).filter("n > 1").count() == 0
-    train = split.semi_join_split(rows, member.filter("split = 'train'"), bound)
+    train = split.semi_join_split(rows, member.filter("split = 'train'"))
     assert train.count() == 600 and set(train.columns) == set(rows.columns)
 
 

@@ -34,7 +34,7 @@ def test_overwrite_files_and_splits(spark, tmp_path):
     assert sum(r.n_rows for r in tables.list_input_files(df).collect()) == 3
     parts = str(tmp_path / "p")
     rows = spark.range(9).selectExpr("id", "case when id < 2 then 'test' else 'train' end as split")
-    tables.write_split_sets(rows, parts)
+    tables.write_split_sets(rows, parts, "id", 4)
     assert tables.read_split_set(spark, parts, "test").count() == 2
     assert tables.load_intermediate(spark, path, ["id"]).columns == ["id"]
 
