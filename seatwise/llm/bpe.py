@@ -16,6 +16,7 @@ id and text columns are read; ids may be NULL or repeat.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from pathlib import Path
 from uuid import uuid4
@@ -33,8 +34,11 @@ from seatwise.llm.text import texts_of
 from seatwise.workspace import new_path
 
 CHUNK_WORDS = 5_000_000
+GROUP_WORDS = 200_000
 # Texts of these characters are normalised by lower-casing alone: no combining marks, no special spaces, no dotted I.
-_PLAIN = regex.compile("[\t\n\r\x20-\x7e\xa1-įı-ňŊ-ſ]*")
+_PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ňŊ-ſ]*")
+# The letters and numbers among them.
+_LETTERS, _NUMBERS = "a-zA-Zªµº\xc0-\xd6\xd8-\xf6\xf8-ſ", "0-9²³¹¼½¾"
 
 
 class Splitter:
@@ -45,7 +49,7 @@ class Splitter:
         pattern = next(p for p in parsed["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         specials = [t["content"] for t in parsed["added_tokens"]]
         self.specials = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
-        self.find = regex.compile(pattern).findall
+        self.find = re.compile(pattern.replace(r"\p{L}", _LETTERS).replace(r"\p{N}", _NUMBERS)).findall
         self.normalizer = Tokenizer.from_str(definition).normalizer
         self.split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
 
@@ -89,96 +93,101 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-_SPLIT = "chunk bigint, doc_id {id}, words array<string>, places binary"
-
-
 def split_documents(docs: DataFrame, definition: str, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """Chunks of documents: one row with ``words`` for each chunk, one row with ``places`` for each document."""
+    """Chunks of documents: a row with the chunk's ``words``, and rows of some documents with their ids, numbers of words
+    and the ``places`` of those words."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(definition)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(shared.value)
-        chunk = TaskContext.get().partitionId() << 32
+        chunk = TaskContext.get().partitionId() << 12
         dictionary: dict[str, int] = {}
+        ids, sizes, found = [], [], []
         held = 0
-        for batch, texts in texts_of(batches):
-            ids, places = [], []
-
-            def flushed(with_words: bool, ids=ids, places=places, batch=batch):
-                n = len(places)
-                arrays = [
-                    pa.array([chunk] * (n + with_words), pa.int64()),
-                    pa.array([*ids, *[None] * with_words], batch.schema.field("doc_id").type),
-                    pa.array([*[None] * n, *[list(dictionary)] * with_words], pa.list_(pa.string())),
-                    pa.array([*places, *[None] * with_words], pa.binary()),
-                ]
-                return pa.RecordBatch.from_arrays(arrays, ["chunk", "doc_id", "words", "places"])
+        kind = None
 
+        def row(words=None, doc_ids=None, counts=None, places=None) -> pa.RecordBatch:
+            values = [(chunk, pa.int64()), (doc_ids, pa.list_(kind)), (counts, pa.list_(pa.int32())), (words, pa.list_(pa.string())), (places, pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in values], ["chunk", "doc_ids", "sizes", "words", "places"])
+
+        for batch, texts in texts_of(batches):
+            kind = batch.schema.field("doc_id").type
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
                 words = splitter.words(text)
-                if held and held + len(words) > chunk_words:
-                    yield flushed(True)
-                    ids.clear()
-                    places.clear()
+                full = held and held + len(words) > chunk_words
+                if ids and (full or len(found) + len(words) > GROUP_WORDS):
+                    yield row(doc_ids=ids, counts=sizes, places=packed(np.array(found, np.uint32)))
+                    ids, sizes, found = [], [], []
+                if full:
+                    yield row(words=list(dictionary))
                     dictionary, held, chunk = {}, 0, chunk + 1
                 held += len(words)
-                found = [dictionary.setdefault(w, len(dictionary)) for w in words]
                 ids.append(doc_id)
-                places.append(packed(np.array(found, np.uint32)))
-            yield flushed(False)
-        if held:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([chunk], pa.int64()), pa.nulls(1, batch.schema.field("doc_id").type),
-                    pa.array([list(dictionary)], pa.list_(pa.string())), pa.nulls(1, pa.binary()),
-                ],
-                ["chunk", "doc_id", "words", "places"],
-            )
+                sizes.append(len(words))
+                found += [dictionary.setdefault(w, len(dictionary)) for w in words]
+        if ids:
+            yield row(doc_ids=ids, counts=sizes, places=packed(np.array(found, np.uint32)))
+        if dictionary:
+            yield row(words=list(dictionary))
+
+    return docs.mapInArrow(run, f"chunk bigint, doc_ids array<{id_type}>, sizes array<int>, words array<string>, places binary")
 
-    return docs.mapInArrow(run, _SPLIT.format(id=id_type))
+
+# A chunk's number and a place in its dictionary are one long: this many bits are the place.
+SLOT_BITS = 28
 
 
 def encoded_entries(entries: DataFrame, definition: str) -> DataFrame:
-    """``(chunk, slot, ids)`` for ``(chunk, slot, word)``: dealt and sorted by word, each distinct word is encoded once."""
+    """``(chunk, slot_ids)`` for ``(entry, word)``: dealt and sorted by word, each distinct word is encoded once.
+
+    ``slot_ids`` are the place in the chunk's dictionary and the ids, as 4-byte numbers.
+    """
     shared = entries.sparkSession.sparkContext.broadcast(definition)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(shared.value)
         last, data = None, b""
         for batch in batches:
+            entry = batch.column("entry").to_numpy()
+            slots = (entry & ((1 << SLOT_BITS) - 1)).astype("<i4").tobytes()
             found = []
-            for word in batch.column("word").to_pylist():
+            for i, word in enumerate(batch.column("word").to_pylist()):
                 if word != last:
                     last, data = word, np.array(encoder.ids(word), "<i4").tobytes()
-                found.append(data)
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("slot"), pa.array(found, pa.binary())], ["chunk", "slot", "ids"])
+                found.append(slots[4 * i : 4 * i + 4] + data)
+            yield pa.RecordBatch.from_arrays([pa.array(entry >> SLOT_BITS), pa.array(found, pa.binary())], ["chunk", "slot_ids"])
 
     dealt = entries.repartition("word").sortWithinPartitions("word")
-    return dealt.mapInArrow(run, "chunk bigint, slot int, ids binary")
+    return dealt.mapInArrow(run, "chunk bigint, slot_ids binary")
 
 
 def assemble(coded: pa.Table, table: pa.Table) -> pa.Table:
     """One chunk: the ids of its words to the places of its documents."""
-    slots = table.column("slot").to_numpy()
-    data = table.column("ids").combine_chunks()
-    order = np.argsort(slots)
-    words = data.take(pa.array(order)) if len(order) else data
-    sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-    flat = np.frombuffer(b"".join(words.to_pylist()), "<i4")
-    starts = np.cumsum(sizes) - sizes
-    rows = []
-    for raw in coded.column("places").to_pylist():
-        at = unpacked(raw)
-        n = sizes[at]
+    data = table.column("slot_ids").combine_chunks()
+    lengths = pc.binary_length(data).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    flat = np.frombuffer(b"".join(data.to_pylist()), "<i4")
+    at = np.cumsum(lengths) - lengths
+    # By place in the dictionary: where the word's ids start, and how many there are.
+    starts, sizes = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    slots = flat[at]
+    starts[slots], sizes[slots] = at + 1, lengths - 1
+    kind = coded.schema.field("doc_ids").type.value_type
+    ids, parts, counts = [], [], []
+    for row in coded.select(["doc_ids", "sizes", "places"]).to_pylist():
+        places = unpacked(row["places"])
+        n = sizes[places]
         # The ids of word after word: each word's start, then one further at a time.
         ends = np.cumsum(n)
-        steps = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - (ends - n), n)
-        rows.append(flat[steps])
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-    values = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
-    return pa.Table.from_arrays([coded.column("doc_id").combine_chunks(), ids], names=["doc_id", "ids"])
+        steps = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[places] - (ends - n), n)
+        parts.append(flat[steps].astype(np.int32))
+        until = np.concatenate([[0], ends])[np.cumsum(row["sizes"])]
+        counts += np.diff(until, prepend=0).tolist()
+        ids += row["doc_ids"]
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+    return pa.Table.from_arrays([pa.array(ids, kind), lists], names=["doc_id", "ids"])
 
 
 def encode(
@@ -194,8 +203,9 @@ def encode(
         "path", new_path(spark, "words")
     ).saveAsTable(name)
 
-    entries = spark.table(name).filter(F.col("words").isNotNull()).select("chunk", F.posexplode("words").alias("slot", "word"))
-    places = spark.table(name).filter(F.col("places").isNotNull()).select("chunk", "doc_id", "places")
+    dictionaries = spark.table(name).filter(F.col("words").isNotNull()).select("chunk", F.posexplode("words").alias("slot", "word"))
+    entries = dictionaries.select(F.shiftleft("chunk", SLOT_BITS).bitwiseOR(F.col("slot").cast("bigint")).alias("entry"), "word")
+    places = spark.table(name).filter(F.col("places").isNotNull()).select("chunk", "doc_ids", "sizes", "places")
     sent = encoded_entries(entries, definition)
     id_type = read.schema["doc_id"].dataType.simpleString()
     return places.groupBy("chunk").cogroup(sent.groupBy("chunk")).applyInArrow(assemble, f"doc_id {id_type}, ids array<int>")
@@ -214,17 +224,33 @@ def decode(coded: DataFrame, tokenizer_file: str, ids_column: str = "ids", name:
     shared = coded.sparkSession.sparkContext.broadcast(by_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.array(shared.value, pa.string())
+        table = pa.array(shared.value, pa.large_string())
         for batch in batches:
-            ids = pc.fill_null(batch.column(ids_column), pa.scalar([], batch.schema.field(ids_column).type))
-            found = pc.if_else(pc.and_(pc.less(ids.flatten(), len(table)), pc.greater_equal(ids.flatten(), 0)), ids.flatten(), None)
-            lists = pa.LargeListArray.from_arrays(pc.cast(ids.offsets, pa.int64()), table.take(found).cast(pa.large_string()))
-            text = pc.binary_join(lists, pa.scalar(" ", pa.large_string())) if not found.null_count else _joined(lists)
-            yield pa.RecordBatch.from_arrays([*batch.columns, text.cast(pa.string())], [*batch.schema.names, name])
+            for part in _parts(batch, ids_column):
+                ids = pc.fill_null(part.column(ids_column), pa.scalar([], part.schema.field(ids_column).type))
+                flat = ids.flatten()
+                known = pc.and_(pc.less(flat, len(table)), pc.greater_equal(flat, 0))
+                found = table.take(pc.if_else(known, flat, None))
+                lists = pa.LargeListArray.from_arrays(pc.cast(pc.subtract(ids.offsets, ids.offsets[0]), pa.int64()), found)
+                text = pc.binary_join(lists, pa.scalar(" ", pa.large_string())) if not found.null_count else _joined(lists)
+                yield pa.RecordBatch.from_arrays([*part.columns, text.cast(pa.string())], [*part.schema.names, name])
 
     others = coded.drop(name)
     return others.mapInArrow(run, others.select("*", F.lit("").alias(name)).schema)
 
 
+def _parts(batch: pa.RecordBatch, column: str, most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch with at most ``most`` ids at a time (or one longer row)."""
+    sizes = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    first, n = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > first and n + size > most:
+            yield batch.slice(first, i - first)
+            first, n = i, 0
+        n += size
+    if len(sizes):
+        yield batch.slice(first)
+
+
 def _joined(lists: pa.LargeListArray) -> pa.Array:
     return pa.array([" ".join(p for p in row if p is not None) for row in lists.to_pylist()], pa.large_string())
