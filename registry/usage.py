@@ -56,14 +56,14 @@ def _prepared(spark, sf):
 
 @query("interval_join_usage", star(_ASSIGNED_SQL))
 def _(spark, sf):
-    return _assigned_columns(assign.interval_join_bucketed(*_prepared(spark, sf), STAR.bucket_days, floor=50))
+    return _assigned_columns(assign.interval_join_bucketed(*_prepared(spark, sf), STAR.bucket_days, floor=50, distinct=True))
 
 
 @query("interval_join_bucketed", star(_ASSIGNED_SQL))
 def _(spark, sf):
     # Low limits, so that members are split even in small tables.
     window = (STAR.event_from, STAR.event_to)
-    df = assign.interval_join_bucketed(*_prepared(spark, sf), bucket_days=7, window=window, share=1e-5, floor=2)
+    df = assign.interval_join_bucketed(*_prepared(spark, sf), bucket_days=7, window=window, share=1e-5, floor=2, distinct=True)
     return _assigned_columns(df)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seatwise.config import ChurnConfig
 from seatwise.functions.dates import time_bucket
-from seatwise.operators.clean import dedup_rows, filter_date_range, project_columns
+from seatwise.operators.clean import filter_date_range, project_columns
 from seatwise.operators.skew import HOT_FLOOR, HOT_SHARE, broadcast_if_small, skew_join
 
 USAGE_COLUMNS = ["member_id", "event_time", "product_name", "session_time"]
@@ -41,12 +41,15 @@ def validate_interest(taxonomy: DataFrame, interest: Sequence[str]) -> DataFrame
 
 
 def prepare_usage(raw: DataFrame, taxonomy: DataFrame, cfg: ChurnConfig) -> DataFrame:
-    """Raw events → distinct events of interest inside the event window, with their date."""
+    """Raw events → events of interest inside the event window, with their date; copies are still there.
+
+    Without a shuffle, if the taxonomy is small: ``assigned_usage`` removes the copies in the shuffle of its join.
+    """
     df = project_columns(raw, USAGE_COLUMNS)
     df = filter_date_range(df, "event_time", cfg.event_from, cfg.event_to)
     df = normalize_product(df, taxonomy, cfg.unknown_category)
     df = filter_products(df, cfg.interest)
-    return dedup_rows(df).withColumn("event_date", F.to_date("event_time"))
+    return df.withColumn("event_date", F.to_date("event_time"))
 
 
 def _in_session(column: Callable[[str], Column]) -> Column:
@@ -74,7 +77,7 @@ def interval_join_bucketed(
     window: tuple[date, date] | None = None,
     share: float = HOT_SHARE,
     floor: int = HOT_FLOOR,
-    n_events: int | None = None,
+    distinct: bool = False,
 ) -> DataFrame:
     """``interval_join`` on (member, time bucket), with hot pairs split further.
 
@@ -82,8 +85,7 @@ def interval_join_bucketed(
     dates that events can have (taken from the events when not given). A member with a third of all
     events is thus spread over the buckets of the window, and each of its hot buckets over several parts.
 
-    The events are read twice, once to count the hot keys: give a stage table when they are costly to
-    make, and their number ``n_events`` if known, since a small table has no hot keys.
+    The events are read twice, once to count the hot keys. ``distinct`` removes copies of events in the same shuffle.
     """
     events = usage.withColumn("_bucket", time_bucket(F.col("event_date"), bucket_days))
     first_day = F.greatest(F.to_date("start_time"), "create_date")
@@ -115,16 +117,17 @@ def interval_join_bucketed(
         condition=_in_session(F.col),
         share=share,
         floor=floor,
-        n_rows=n_events,
+        distinct=distinct,
     ).drop("_bucket")
 
 
-def assigned_usage(
-    events: DataFrame, assignments: DataFrame, cfg: ChurnConfig, n_events: int | None = None
-) -> DataFrame:
-    """Prepared events and cleaned assignments → one row per event and seat it was made on."""
+def assigned_usage(events: DataFrame, assignments: DataFrame, cfg: ChurnConfig) -> DataFrame:
+    """Prepared events and cleaned assignments → one row per distinct event and seat it was made on.
+
+    One shuffle of the events serves both the removal of copies and the join.
+    """
     window = (cfg.event_from, cfg.event_to)
-    df = interval_join_bucketed(events, assignments, cfg.bucket_days, window, floor=cfg.hot_floor, n_events=n_events)
+    df = interval_join_bucketed(events, assignments, cfg.bucket_days, window, floor=cfg.hot_floor, distinct=True)
     if cfg.dedup_per_seat:
         df = df.dropDuplicates([*events.columns, "seat_id"])
     return df.drop("event_time", "start_time", "end_time")

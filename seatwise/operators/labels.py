@@ -112,18 +112,17 @@ def expand_monthly_to_daily(periods: DataFrame, key: str, cfg: ChurnConfig) -> D
     )
 
 
-def join_seat_contract_labels(seats: DataFrame, contracts: DataFrame, n_seats: int | None = None) -> DataFrame:
+def join_seat_contract_labels(seats: DataFrame, contracts: DataFrame) -> DataFrame:
     """Seat spans with the span of their contract.
 
-    A contract with a third of all seats is split (``n_seats``, if known, tells when there are too few seats
-    for that), and the label arrays are made after the join so that the shuffle carries day numbers only.
+    A contract with a third of all seats is split, and the label arrays are made after the join so that the shuffle carries day numbers only.
     """
     spans = contracts.select(
         "contract_id",
         F.col("create_day").alias("contract_create_day"),
         F.col("cancel_day").alias("contract_cancel_day"),
     )
-    return skew_join(seats, spans, ["contract_id"], ["seat_id"], n_rows=n_seats)
+    return skew_join(seats, spans, ["contract_id"], ["seat_id"])
 
 
 def join_features_labels(features: DataFrame, labels: DataFrame, how: str = "inner") -> DataFrame:

@@ -50,7 +50,7 @@ def skew_join(
     condition: Column | None = None,
     share: float = HOT_SHARE,
     floor: int = HOT_FLOOR,
-    n_rows: int | None = None,
+    distinct: bool = False,
 ) -> DataFrame:
     """Equi-join ``facts`` to ``dims`` on ``keys``, splitting the hot keys of ``facts``.
 
@@ -60,12 +60,10 @@ def skew_join(
     that of the plain join. The part is a hash, never a random number: a task that is run again after an
     executor loss sends its rows to the same place.
 
-    ``n_rows`` is an upper bound of the fact rows, if known: up to ``floor`` no key can be hot, and the
-    search for hot keys is left out.
+    ``facts`` is read twice, once to count the keys. With ``distinct`` copies of fact rows are removed on the way: equal
+    rows have equal keys and parts, so the join's own shuffle brings them together.
     """
     keys = list(keys)
-    if n_rows is not None and n_rows <= floor:
-        return _plain_join(facts, dims, keys, how, condition)
     hot = F.broadcast(hot_keys(facts, keys, share, floor))
     n_salts = F.coalesce("n_salts", F.lit(1))
     # A NULL key matches nothing, but a left join keeps its rows: they are spread too.
@@ -78,6 +76,8 @@ def skew_join(
         "_salt", F.explode(F.sequence(F.lit(0), n_salts - 1))
     )
     left, right = left.drop("n_salts"), right.drop("n_salts")
+    if distinct:
+        left = left.repartition(*keys, "_salt").dropDuplicates()
     return _plain_join(left, right, [*keys, "_salt"], how, condition).drop("_salt")
 
 

@@ -29,12 +29,10 @@ from seatwise.workspace import stage
 def assigned_from_raw(assignment: DataFrame, usage: DataFrame, taxonomy: DataFrame, cfg: ChurnConfig) -> DataFrame:
     """Raw assignments and raw events → assigned usage.
 
-    The prepared events are a stage table: the raw events are scanned once, filtered, named and freed of
-    copies, and the join's search for hot members then reads two columns of the result.
+    The raw events are scanned twice: the search for hot members reads the columns that it needs and shuffles counts,
+    the join reads all. Nothing of them is written.
     """
-    events = stage(prepare_usage(usage, taxonomy, cfg), "events")
-    # Counting a Parquet table reads its footers only.
-    return assigned_usage(events, clean_assignments(assignment, cfg), cfg, events.count())
+    return assigned_usage(prepare_usage(usage, taxonomy, cfg), clean_assignments(assignment, cfg), cfg)
 
 
 def dated_usage(assigned: DataFrame, cfg: ChurnConfig, path: str | None = None) -> DataFrame:
@@ -52,7 +50,7 @@ def seat_samples(dates: DataFrame, cfg: ChurnConfig) -> DataFrame:
     x = vectors.groupBy("seat_id").agg(F.sort_array(F.collect_list(F.struct("day", "f"))).alias("x"))
     # One row per seat; the search for hot contracts reads it again.
     seats = stage(seat_rollup(dates), "seats")
-    spans = join_seat_contract_labels(seats, contract_rollup(dates), seats.count())
+    spans = join_seat_contract_labels(seats, contract_rollup(dates))
     # A seat whose usage all lies outside the horizon still is a sample, without usage days.
     joined = join_features_labels(x, spans, "right")
     return sample_labels(joined, cfg).select(

@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from seatwise.config import ChurnConfig
 from seatwise.operators.assign import assigned_usage, prepare_usage
-from seatwise.workspace import new_path, stage
+from seatwise.workspace import new_path
 
 USAGE_SCHEMA = "member_id string, event_time timestamp_ntz, product_name string, session_time bigint"
 
@@ -29,8 +29,7 @@ def ingest_months(
     """
 
     def assign(batch: DataFrame, batch_id: int) -> None:
-        events = stage(prepare_usage(batch, taxonomy, cfg), "events")
-        rows = assigned_usage(events, assignments, cfg, events.count())
+        rows = assigned_usage(prepare_usage(batch, taxonomy, cfg), assignments, cfg)
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (

@@ -77,7 +77,7 @@ def test_bucketed_equals_plain(frames, tables, bucket_days, floor):
 
 def test_bucketed_small_table_and_window(frames, tables):
     window = (date(1995, 5, 1), date(1995, 12, 31))
-    assert result(assign.interval_join_bucketed(*frames, 30, window, n_events=700)) == pairs(tables)
+    assert result(assign.interval_join_bucketed(*frames, 30, window, distinct=True)) == pairs(tables)
 
 
 def test_salting_really_splits(frames):
@@ -123,7 +123,7 @@ def test_normalize_and_filter(spark):
     assert assign.filter_products(named, ["NA"]).count() == 2
     # Two aliases with the same time and duration are one event.
     cfg = replace(STAR, interest=("X",))
-    assert assign.prepare_usage(usage, taxonomy, cfg).count() == 1
+    assert assign.prepare_usage(usage, taxonomy, cfg).distinct().count() == 1
     assert [r.category for r in assign.validate_interest(taxonomy, ["X", "y"]).collect()] == ["y"]
 
 
@@ -162,3 +162,26 @@ def test_clean_assignments(spark):
     assert rows["last day"].create_date == date(1996, 5, 29) and rows["last day"].contract_cancelled_date == date(1996, 9, 1)
     dirty = spark.createDataFrame([("1995-05-01",), ("no date",)], "d string")
     assert {r.d for r in clean.cast_dates(dirty, ["d"]).collect()} == {date(1995, 5, 1), None}
+
+
+def test_one_shuffle_of_the_events(spark, tmp_path):
+    """Copies are removed and sessions joined after a single exchange of the events."""
+    events = spark.range(500).selectExpr(
+        "concat('m', id % 7) as member_id", "timestamp_ntz'1995-06-01 00:00:00' + make_dt_interval(id % 50) as event_time",
+        "'a x' as product_name", "id % 3 as session_time",
+    )
+    events.unionAll(events).write.parquet(str(tmp_path / "events"))
+    day = "timestamp_ntz'1995-05-01 00:00:00'"
+    sessions = spark.range(7).selectExpr(
+        "concat('m', id) as member_id", "concat('c', id) as contract_id", "concat('s', id) as seat_id", f"{day} as start_time",
+        f"{day} + make_dt_interval(200) as end_time", f"date({day}) as create_date", f"date({day}) as seat_cancelled_date", f"date({day}) as contract_cancelled_date",
+    )
+    sessions.write.parquet(str(tmp_path / "sessions"))
+    taxonomy = spark.createDataFrame([("a x", "anvil")], "alias string, category string")
+    prepared = assign.prepare_usage(spark.read.parquet(str(tmp_path / "events")), taxonomy, STAR)
+    got = assign.assigned_usage(prepared, spark.read.parquet(str(tmp_path / "sessions")), STAR)
+    assert got.count() == events.distinct().count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.split("== Initial Plan ==")[-1].split("\n") if "Exchange hashpartitioning" in x]
+    assert not any("event_time" in x for x in exchanges)
+    assert sum("_salt" in x for x in exchanges) == 2
