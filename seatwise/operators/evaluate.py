@@ -91,11 +91,21 @@ def areas(curve: DataFrame) -> DataFrame:
     return curve.agg(_roc_area(), _pr_area())
 
 
-def curve_tables(curve: DataFrame, n_steps: int | None = None) -> DataFrame:
-    """ROC and precision-recall points in one long table to plot: ``(curve, x, y)``.
+def loss_points(history: DataFrame) -> DataFrame:
+    """Losses by iteration as points to plot: ``(curve, x, y)``, a curve for each loss column of ``history``."""
+    losses = [c for c in history.columns if c not in ("model", "iteration")]
+    points = history.unpivot(["iteration"], losses, "curve", "y")
+    return points.select("curve", F.col("iteration").cast("double").alias("x"), "y")
 
-    ``n_steps`` thins it for a plot: of the points with the same ``x`` up to ``1 / n_steps``, the highest.
+
+def curve_tables(curve: DataFrame, n_steps: int | None = None, history: DataFrame | None = None) -> DataFrame:
+    """ROC and precision-recall points in one long table to plot: ``(curve, x, y)``; with the losses of a training
+    ``history``, if one is given.
+
+    ``n_steps`` thins the areas' curves: of the points with the same ``x`` up to ``1 / n_steps``, the highest.
     """
+    if history is not None:
+        return curve_tables(curve, n_steps).unionByName(loss_points(history))
     roc = roc_curve(curve).select(F.lit("roc").alias("curve"), F.col("fpr").alias("x"), F.col("tpr").alias("y"))
     pr = pr_curve(curve).select(F.lit("pr").alias("curve"), F.col("recall").alias("x"), F.col("precision").alias("y"))
     points = roc.unionByName(pr)

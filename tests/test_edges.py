@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seatwise import workspace
 from seatwise.fixtures import EVENTS, STAR
-from seatwise.operators import grid, labels, pool, skew
+from seatwise.operators import evaluate, grid, labels, pool, skew
 from seatwise.plans import models
 from seatwise.sources import samples
 
@@ -98,6 +98,15 @@ def test_filled_samples(spark):
     assert got == {"s": [(0, [0, 0]), (1, [0, 0]), (2, [0, 0]), (4, [7, 1])], "t": [(4, [0, 0]), (5, [0, 0])], "u": []}
 
 
+def test_losses_are_points_too(spark):
+    history = spark.createDataFrame([("m", 0, 0.7, 0.8), ("m", 1, 0.5, 0.9)], "model string, iteration int, train_loss double, valid_loss double")
+    scored = spark.createDataFrame([(1, 0.9), (0, 0.1)], "label int, score double")
+    got = evaluate.curve_tables(evaluate.confusion_curve(scored), history=history).collect()
+    losses = sorted((r["curve"], r["x"], r["y"]) for r in got if r["curve"].endswith("loss"))
+    assert losses == [("train_loss", 0.0, 0.7), ("train_loss", 1.0, 0.5), ("valid_loss", 0.0, 0.8), ("valid_loss", 1.0, 0.9)]
+    assert {r["curve"] for r in got} == {"roc", "pr", "train_loss", "valid_loss"}
+
+
 def test_stages_are_removed_at_the_end_of_a_run(spark):
     child = spark.newSession()
     with workspace.run(child):
