@@ -34,7 +34,7 @@ class SubwordConfig:
     min_docs: int = 3
     max_train: int = 5000
     folds: int = 5
-    max_words: int = 200_000
+    max_words: int = 400_000
     seed: int = 7
 
 
@@ -42,8 +42,14 @@ def buckets_of(word: str, config: SubwordConfig) -> list[int]:
     """Hash buckets of ``<word>`` and of its character n-grams."""
     marked = f"<{word}>"
     least, most = config.n_grams
-    parts = [marked, *(marked[i : i + n] for n in range(least, most + 1) for i in range(len(marked) - n + 1))]
-    return [crc32(p.encode("utf-8", "surrogatepass")) % config.buckets for p in parts]
+    size, buckets = len(marked), config.buckets
+    if marked.isascii():
+        data = marked.encode()
+        parts = [data[i : i + n] for n in range(least, most + 1) for i in range(size - n + 1)]
+    else:
+        data = marked.encode("utf-8", "surrogatepass")
+        parts = [marked[i : i + n].encode("utf-8", "surrogatepass") for n in range(least, most + 1) for i in range(size - n + 1)]
+    return [crc32(data) % buckets, *[crc32(p) % buckets for p in parts]]
 
 
 def bag(words: Sequence[str], config: SubwordConfig) -> tuple[np.ndarray, np.ndarray]:
