@@ -35,6 +35,8 @@ from seatwise.workspace import new_path
 
 CHUNK_WORDS = 5_000_000
 GROUP_WORDS = 200_000
+# What Spark allows by default.
+MAX_BUCKETS = 100_000
 # Texts of these characters are normalised by lower-casing alone: no combining marks, no special spaces, no dotted I.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ňŊ-ſ]*")
 # The letters and numbers among them.
@@ -198,7 +200,7 @@ def encode(
     definition = Path(tokenizer_file).read_text(encoding="utf-8")
     read = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     name = f"words_{uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(MAX_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     split_documents(read, definition, chunk_words).write.bucketBy(buckets, "chunk").option("compression", "zstd").option(
         "path", new_path(spark, "words")
     ).saveAsTable(name)

@@ -200,6 +200,8 @@ def calibrated_window(classes: DataFrame, ranks: DataFrame, k: int, config: Curv
     """The least rank distance that reaches the wanted recall for a sample of queries, searched exactly."""
     spark = classes.sparkSession
     sample = classes.filter("asks").orderBy(F.xxhash64("class"), "class").limit(config.fit_queries).select("class", "vector").collect()
+    if not sample:
+        return 0
     own = np.array([r["class"] for r in sample], np.int64)
     shared = spark.sparkContext.broadcast((own, np.array([r["vector"] for r in sample])))
 
