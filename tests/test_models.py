@@ -59,16 +59,19 @@ def test_seat_stage_scores(used):
 
 @pytest.mark.parametrize("name", ["logreg_monthly", "mlp_monthly", "sequence_monthly", "sequence_daily"])
 def test_areas(spark, name):
+    """The area under the curve is the rank statistic of the same scores, and all is in range."""
     row = QUERIES[name](spark, SF).first()
-    for value in row:
-        assert value is None or 0 <= value <= 1
+    assert row.area_agrees and row.scores_in_range and row.pr_in_range
+    assert row.n_kept > 0
 
 
-def test_history_and_choice(spark):
-    loss = QUERIES["training_history"](spark, SF).orderBy("iteration").collect()
+def test_history_and_choice(spark, tabular):
+    fitted = models.fit_logreg(tabular, TABULAR)
+    loss = models.training_history(spark, "logreg", fitted.summary.objectiveHistory).orderBy("iteration").collect()
     assert loss[0].iteration == 0 and loss[-1].objective <= loss[0].objective
-    best = QUERIES["select_best"](spark, SF).collect()
-    assert sum(r.is_best for r in best) == 1
+    candidates = {f"reg={reg}": models.fit_logreg(tabular, TABULAR, reg) for reg in (0.0, 0.1)}
+    best = models.select_best(candidates, tabular, TABULAR).collect()
+    assert sum(r.is_best for r in best) == 1 and all(r.auc_roc is None or 0 <= r.auc_roc <= 1 for r in best)
 
 
 def test_entry(spark):
