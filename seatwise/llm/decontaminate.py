@@ -295,3 +295,39 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, config: Decontam
     keyed = docs.select(F.struct("*").alias("row"), key.alias("key"), "text")
     found = contamination(keyed, benchmark, config, id_column="key").filter(F.size("runs") > 0)
     return keyed.join(found.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select("row.*")
+
+
+# The same over the given tables, with the defaults of DecontaminationConfig as fixed values.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+CONTAMINATION_SQL = f"""
+with docs as (select row_number() over () as rid, doc_id, {_WORDS} as ws from documents),
+words as (select rid, unnest(ws) as w, unnest(range(len(ws))) as i from docs),
+tests as (select coalesce(cast(item_id as varchar), '') as item, {_WORDS} as ws from benchmark),
+windows as (
+  select distinct item, list_slice(ws, k, k + 9) as win
+  from (select item, ws, unnest(range(1, greatest(1, len(ws) - 9) + 1)) as k from tests where len(ws) > 0)),
+tens as (select rid, i, list(w) over (partition by rid order by i rows between current row and 9 following) as win from words),
+found as (
+  select t.rid, t.i, len(w.win) as n, w.item
+  from tens t cross join (select distinct len(win) as n from windows) l
+  join windows w on len(w.win) = l.n and w.win = list_slice(t.win, 1, l.n)),
+hits as (select rid, count(distinct p) as n_hit from (select rid, unnest(range(i, i + n)) as p from found) group by rid),
+items as (select rid, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as h from (select distinct rid, item from found) group by rid),
+frequency as (select w, count(*) as n from words group by w),
+rare as (
+  select item, w, row_number() over (partition by item order by coalesce(n, 0), w) as r
+  from (select distinct item, unnest(ws) as w from tests) left join frequency using (w)),
+rarest as (select item, w, r, max(r) over (partition by item) as most from rare where r <= 4),
+near as (
+  select distinct rid, item from (
+    select a.rid, a.i, t.item, t.most, count(distinct u.r) as others
+    from words a join rarest t on t.w = a.w and t.r = 1
+    left join rarest u on u.item = t.item and u.r > 1
+      and exists (select 1 from words b where b.rid = a.rid and b.w = u.w and b.i between a.i - 30 and a.i + 30)
+    group by a.rid, a.i, t.item, t.most)
+  where others = most - 1)
+select d.doc_id, cast(len(d.ws) as bigint) as n_words, coalesce(h.n_hit, 0) as n_hit, coalesce(i.n_items, 0) as n_items,
+  coalesce(i.h, sha256('')) as items_sha256, h.n_hit is not null as contaminated,
+  (select count(*) from near x where x.rid = d.rid) as n_near_items
+from docs d left join hits h on h.rid = d.rid left join items i on i.rid = d.rid
+"""

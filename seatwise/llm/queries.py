@@ -112,3 +112,4 @@ ORACLES["op10_line_dedup"] = line_dedup.LINES_SQL
 @query
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+ORACLES["op7_decontamination"] = decontaminate.CONTAMINATION_SQL

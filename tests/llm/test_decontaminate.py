@@ -7,6 +7,7 @@ import pytest
 
 from seatwise.llm import decontaminate, queries
 from seatwise.llm.decontaminate import DecontaminationConfig
+from tests.compare import compare, duck
 from tests.llm.helpers import documents, plain_words, sha
 
 PASSAGE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
@@ -107,3 +108,8 @@ def test_empty_tables(spark):
     assert decontaminate.contamination(documents(spark, []), benchmark(spark, ITEMS)).count() == 0
     row = decontaminate.contamination(docs, benchmark(spark, [])).first()
     assert (row["n_words"], row["runs"], row["items"]) == (2, [], [])
+
+
+def test_query_equals_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    assert compare(queries.QUERIES["op7_decontamination"](spark, sf), duck(sf), queries.ORACLES["op7_decontamination"]) is None
