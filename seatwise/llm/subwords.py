@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from math import log
 from zlib import crc32
 
 import numpy as np
@@ -23,7 +24,8 @@ from seatwise.llm.text import held_out, texts_of
 @dataclass(frozen=True)
 class SubwordConfig:
     """``max_train`` bounds the labelled documents that the model is fitted on, and so what the driver holds;
-    ``max_words`` bounds the word cache of a task."""
+    ``max_words`` bounds the word cache of a task. With ``damped`` a word that stands n times in a text counts 1 + ln(n)
+    times, and ``neutral`` words without a vector are averaged in: so one word, repeated, does not decide."""
 
     buckets: int = 1 << 18
     n_grams: tuple[int, int] = (3, 5)
@@ -35,6 +37,8 @@ class SubwordConfig:
     max_train: int = 5000
     folds: int = 5
     max_words: int = 400_000
+    damped: bool = False
+    neutral: float = 0.0
     seed: int = 7
 
 
@@ -52,13 +56,20 @@ def buckets_of(word: str, config: SubwordConfig) -> list[int]:
     return [crc32(data) % buckets, *[crc32(p) % buckets for p in parts]]
 
 
+def word_counts(words: Sequence[str], config: SubwordConfig) -> dict[str, float]:
+    counts = Counter(words)
+    return {w: 1 + log(n) for w, n in counts.items()} if config.damped else counts
+
+
 def bag(words: Sequence[str], config: SubwordConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a document and their shares, which sum to 1; empty for a document without words."""
+    """Buckets of a document and their shares, which sum to 1 less that of neutral words; empty without words."""
     shares: Counter[int] = Counter()
-    for word, n in Counter(words).items():
+    counts = word_counts(words, config)
+    total = sum(counts.values()) + config.neutral
+    for word, n in counts.items():
         ids = buckets_of(word, config)
         for i in ids:
-            shares[i] += n / (len(words) * len(ids))
+            shares[i] += n / (total * len(ids))
     return np.fromiter(shares, np.int32, len(shares)), np.fromiter(shares.values(), np.float32, len(shares))
 
 
@@ -80,13 +91,14 @@ class SubwordModel:
             return margin
 
         def score(words: Sequence[str]) -> float:
-            total = 0.0
-            for word, n in Counter(words).items():
+            total, weight = 0.0, config.neutral
+            for word, n in word_counts(words, config).items():
                 margin = known.get(word)
                 total += n * (of_word(word) if margin is None else margin)
+                weight += n
             if len(known) > config.max_words:
                 known.clear()
-            x = self.bias + (total / len(words) if words else 0.0)
+            x = self.bias + (total / weight if words else 0.0)
             return float(1 / (1 + np.exp(-x))) if x > -700 else 0.0
 
         return score
