@@ -34,9 +34,9 @@ class SubwordConfig:
     learning_rate: float = 1.0
     output_rate: float = 0.001
     min_docs: int = 3
-    max_train: int = 5000
+    max_train: int = 4000
     folds: int = 5
-    max_words: int = 400_000
+    max_words: int = 150_000
     damped: bool = False
     neutral: float = 0.0
     seed: int = 7
@@ -104,12 +104,12 @@ class SubwordModel:
         return score
 
 
-def train(bags: Sequence[tuple[np.ndarray, np.ndarray]], labels: Sequence[int], config: SubwordConfig) -> SubwordModel:
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: Sequence[int], config: SubwordConfig) -> SubwordModel:
     """Bucket vectors and output weights, fitted together.
 
     A document's step is shared out among its buckets by their shares divided by the number of documents that have
     them, so a few telling buckets in a long text move more than its common ones. Buckets in fewer than ``min_docs``
-    documents stay at zero: what they say of the sample does not carry over.
+    documents stay at zero: what they say of the sample does not carry over. They are taken out of ``bags``.
     """
     if not len(labels):
         return SubwordModel(config, np.zeros(config.buckets, np.float32), 0.0)
@@ -117,7 +117,9 @@ def train(bags: Sequence[tuple[np.ndarray, np.ndarray]], labels: Sequence[int],
     docs_with = np.zeros(config.buckets, np.float32)
     for ids, _ in bags:
         docs_with[ids] += 1
-    bags = [(ids[common], shares[common]) for ids, shares in bags for common in [docs_with[ids] >= config.min_docs]]
+    for k, (ids, shares) in enumerate(bags):
+        common = docs_with[ids] >= config.min_docs
+        bags[k] = ids[common], shares[common]  # in place: the whole bags need not be held beside the rest
     vectors = np.zeros((config.buckets, config.dimension), np.float32)
     output = rng.normal(0, 1, (config.dimension, 2)).astype(np.float32)
     bias, past = np.zeros(2, np.float32), np.full(2, 1e-4, np.float32)
@@ -169,7 +171,9 @@ def fit(
     rows = read.select("doc_id", "label", "text").mapInArrow(bags, f"doc_id {id_type}, label int, ids binary, shares binary").collect()
     rows.sort(key=lambda r: r["doc_id"])
     found = [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in rows]
-    return train(found, [int(r["label"] > 0) for r in rows], config)
+    known_labels = [int(r["label"] > 0) for r in rows]
+    del rows
+    return train(found, known_labels, config)
 
 
 def scored(docs: DataFrame, model: SubwordModel, words: Callable[[str], list[str]], name: str = "score") -> DataFrame:

@@ -46,7 +46,13 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def texts_of(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Each batch with its texts; NULL is the empty text."""
+def texts_of(
+    batches: Iterable[pa.RecordBatch], column: str = "text", rows: int = 500
+) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Batches of at most ``rows`` rows with their texts, so that few texts are Python strings at a time; NULL is the
+    empty text. An empty batch stays."""
     for batch in batches:
-        yield batch, [t or "" for t in batch.column(column).to_pylist()]
+        for first in range(0, max(1, batch.num_rows), rows):
+            part = batch.slice(first, rows)
+            yield part, [t or "" for t in part.column(column).to_pylist()]
+        pa.default_memory_pool().release_unused()
