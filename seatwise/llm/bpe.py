@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from uuid import uuid4
 
@@ -87,7 +87,7 @@ class WordEncoder:
 def packed(numbers: np.ndarray) -> bytes:
     """Numbers below 2 ** 32, compressed: the four bytes of all numbers apart, since the upper ones are mostly 0."""
     planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 6)
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -140,11 +140,17 @@ def split_documents(docs: DataFrame, definition: str, chunk_words: int = CHUNK_W
 SLOT_BITS = 28
 
 
+def id_type(definition: str) -> str:
+    """The smallest number type for the ids of the vocabulary."""
+    return "<u2" if Tokenizer.from_str(definition).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
+
 def encoded_entries(entries: DataFrame, definition: str) -> DataFrame:
     """``(chunk, slot_ids)`` for ``(entry, word)``: dealt and sorted by word, each distinct word is encoded once.
 
-    ``slot_ids`` are the place in the chunk's dictionary and the ids, as 4-byte numbers.
+    ``slot_ids`` are the place in the chunk's dictionary, in 4 bytes, and the ids, in ``id_type`` each.
     """
+    kind = id_type(definition)
     shared = entries.sparkSession.sparkContext.broadcast(definition)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +162,7 @@ def encoded_entries(entries: DataFrame, definition: str) -> DataFrame:
             found = []
             for i, word in enumerate(batch.column("word").to_pylist()):
                 if word != last:
-                    last, data = word, np.array(encoder.ids(word), "<i4").tobytes()
+                    last, data = word, np.array(encoder.ids(word), kind).tobytes()
                 found.append(slots[4 * i : 4 * i + 4] + data)
             yield pa.RecordBatch.from_arrays([pa.array(entry >> SLOT_BITS), pa.array(found, pa.binary())], ["chunk", "slot_ids"])
 
@@ -164,16 +170,30 @@ def encoded_entries(entries: DataFrame, definition: str) -> DataFrame:
     return dealt.mapInArrow(run, "chunk bigint, slot_ids binary")
 
 
-def assemble(coded: pa.Table, table: pa.Table) -> pa.Table:
+def assembler(id_kind: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def assemble(coded: pa.Table, table: pa.Table) -> pa.Table:
+        try:
+            return assembled(coded, table, id_kind)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return assemble
+
+
+def assembled(coded: pa.Table, table: pa.Table, id_kind: str) -> pa.Table:
     """One chunk: the ids of its words to the places of its documents."""
+    width = np.dtype(id_kind).itemsize
     data = table.column("slot_ids").combine_chunks()
-    lengths = pc.binary_length(data).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-    flat = np.frombuffer(b"".join(data.to_pylist()), "<i4")
+    lengths = pc.binary_length(data).to_numpy(zero_copy_only=False).astype(np.int64) // width
+    raw = b"".join(data.to_pylist())
+    flat = np.frombuffer(raw, id_kind)
     at = np.cumsum(lengths) - lengths
     # By place in the dictionary: where the word's ids start, and how many there are.
     starts, sizes = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    slots = flat[at]
-    starts[slots], sizes[slots] = at + 1, lengths - 1
+    slots = flat[at].astype(np.int64)
+    if width == 2:
+        slots += flat[at + 1].astype(np.int64) << 16
+    starts[slots], sizes[slots] = at + 4 // width, lengths - 4 // width
     kind = coded.schema.field("doc_ids").type.value_type
     ids, parts, counts = [], [], []
     for row in coded.select(["doc_ids", "sizes", "places"]).to_pylist():
@@ -209,8 +229,8 @@ def encode(
     entries = dictionaries.select(F.shiftleft("chunk", SLOT_BITS).bitwiseOR(F.col("slot").cast("bigint")).alias("entry"), "word")
     places = spark.table(name).filter(F.col("places").isNotNull()).select("chunk", "doc_ids", "sizes", "places")
     sent = encoded_entries(entries, definition)
-    id_type = read.schema["doc_id"].dataType.simpleString()
-    return places.groupBy("chunk").cogroup(sent.groupBy("chunk")).applyInArrow(assemble, f"doc_id {id_type}, ids array<int>")
+    doc_type = read.schema["doc_id"].dataType.simpleString()
+    return places.groupBy("chunk").cogroup(sent.groupBy("chunk")).applyInArrow(assembler(id_type(definition)), f"doc_id {doc_type}, ids array<int>")
 
 
 def decode(coded: DataFrame, tokenizer_file: str, ids_column: str = "ids", name: str = "decoded") -> DataFrame:
@@ -236,12 +256,13 @@ def decode(coded: DataFrame, tokenizer_file: str, ids_column: str = "ids", name:
                 lists = pa.LargeListArray.from_arrays(pc.cast(pc.subtract(ids.offsets, ids.offsets[0]), pa.int64()), found)
                 text = pc.binary_join(lists, pa.scalar(" ", pa.large_string())) if not found.null_count else _joined(lists)
                 yield pa.RecordBatch.from_arrays([*part.columns, text.cast(pa.string())], [*part.schema.names, name])
+            pa.default_memory_pool().release_unused()
 
     others = coded.drop(name)
     return others.mapInArrow(run, others.select("*", F.lit("").alias(name)).schema)
 
 
-def _parts(batch: pa.RecordBatch, column: str, most: int = 500_000) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, column: str, most: int = 200_000) -> Iterator[pa.RecordBatch]:
     """Rows of a batch with at most ``most`` ids at a time (or one longer row)."""
     sizes = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     first, n = 0, 0
