@@ -34,6 +34,7 @@ class SubwordConfig:
     learning_rate: float = 1.0
     output_rate: float = 0.001
     min_docs: int = 3
+    min_share: float = 0.0
     max_train: int = 4000
     folds: int = 5
     max_words: int = 150_000
@@ -109,7 +110,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: Sequence[int], conf
 
     A document's step is shared out among its buckets by their shares divided by the number of documents that have
     them, so a few telling buckets in a long text move more than its common ones. Buckets in fewer than ``min_docs``
-    documents stay at zero: what they say of the sample does not carry over. They are taken out of ``bags``.
+    documents, or less than ``min_share`` of them, stay at zero: what they say of the sample does not carry over. They are taken out of ``bags``.
     """
     if not len(labels):
         return SubwordModel(config, np.zeros(config.buckets, np.float32), 0.0)
@@ -117,8 +118,9 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: Sequence[int], conf
     docs_with = np.zeros(config.buckets, np.float32)
     for ids, _ in bags:
         docs_with[ids] += 1
+    least = max(config.min_docs, config.min_share * len(labels))
     for k, (ids, shares) in enumerate(bags):
-        common = docs_with[ids] >= config.min_docs
+        common = docs_with[ids] >= least
         bags[k] = ids[common], shares[common]  # in place: the whole bags need not be held beside the rest
     vectors = np.zeros((config.buckets, config.dimension), np.float32)
     output = rng.normal(0, 1, (config.dimension, 2)).astype(np.float32)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from seatwise.llm.subwords import SubwordConfig, SubwordModel, fit, predictions, scored
 from seatwise.llm.text import WORD
 
-CONFIG = SubwordConfig(learning_rate=3.0, epochs=12, damped=True, neutral=5.0)
+CONFIG = SubwordConfig(learning_rate=3.0, epochs=12, damped=True, neutral=5.0, min_share=0.005)
 THRESHOLD = 0.5
 
 
