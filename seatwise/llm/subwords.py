@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import log
 from zlib import crc32
 
@@ -25,7 +25,8 @@ from seatwise.llm.text import held_out, texts_of
 class SubwordConfig:
     """``max_train`` bounds the labelled documents that the model is fitted on, and so what the driver holds;
     ``max_words`` bounds the word cache of a task. With ``damped`` a word that stands n times in a text counts 1 + ln(n)
-    times, and ``neutral`` words without a vector are averaged in: so one word, repeated, does not decide."""
+    times, and ``neutral`` words without a vector are averaged in: so one word, repeated, does not decide.
+    ``false_alarms`` is the share of class 0 that may score 0.5 or more, see ``shift``; None leaves the bias as fitted."""
 
     buckets: int = 1 << 18
     n_grams: tuple[int, int] = (3, 5)
@@ -34,12 +35,12 @@ class SubwordConfig:
     learning_rate: float = 1.0
     output_rate: float = 0.001
     min_docs: int = 3
-    min_share: float = 0.0
     max_train: int = 4000
     folds: int = 5
     max_words: int = 150_000
     damped: bool = False
     neutral: float = 0.0
+    false_alarms: float | None = None
     seed: int = 7
 
 
@@ -108,20 +109,34 @@ class SubwordModel:
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: Sequence[int], config: SubwordConfig) -> SubwordModel:
     """Bucket vectors and output weights, fitted together.
 
-    A document's step is shared out among its buckets by their shares divided by the number of documents that have
-    them, so a few telling buckets in a long text move more than its common ones. Buckets in fewer than ``min_docs``
-    documents, or less than ``min_share`` of them, stay at zero: what they say of the sample does not carry over. They are taken out of ``bags``.
+    Buckets in fewer than ``min_docs`` documents stay at zero: what they say of the sample does not carry over. They
+    are taken out of ``bags``.
     """
     if not len(labels):
         return SubwordModel(config, np.zeros(config.buckets, np.float32), 0.0)
-    rng = np.random.default_rng(config.seed)
-    docs_with = np.zeros(config.buckets, np.float32)
-    for ids, _ in bags:
-        docs_with[ids] += 1
-    least = max(config.min_docs, config.min_share * len(labels))
+    common = documents_with(bags, config) >= config.min_docs
     for k, (ids, shares) in enumerate(bags):
-        common = docs_with[ids] >= least
-        bags[k] = ids[common], shares[common]  # in place: the whole bags need not be held beside the rest
+        bags[k] = ids[common[ids]], shares[common[ids]]  # in place: the whole bags need not be held beside the rest
+    model = descend(bags, labels, config)
+    return replace(model, bias=model.bias - shift(bags, labels, config))
+
+
+def documents_with(bags: Sequence[tuple[np.ndarray, np.ndarray]], config: SubwordConfig) -> np.ndarray:
+    counts = np.zeros(config.buckets, np.float32)
+    for ids, _ in bags:
+        counts[ids] += 1
+    return counts
+
+
+def descend(bags: Sequence[tuple[np.ndarray, np.ndarray]], labels: Sequence[int], config: SubwordConfig) -> SubwordModel:
+    """Stochastic gradient descent.
+
+    A document's step is shared out among its buckets by their shares divided by the number of documents that have
+    them, so a few telling buckets in a long text move more than its common ones.
+    """
+    rng = np.random.default_rng(config.seed)
+    docs_with = documents_with(bags, config)
+    docs_with[docs_with < config.min_docs] = np.inf  # no steps
     vectors = np.zeros((config.buckets, config.dimension), np.float32)
     output = rng.normal(0, 1, (config.dimension, 2)).astype(np.float32)
     bias, past = np.zeros(2, np.float32), np.full(2, 1e-4, np.float32)
@@ -145,6 +160,32 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: Sequence[int], conf
     return SubwordModel(config, vectors @ (output[:, 1] - output[:, 0]), float(bias[1] - bias[0]))
 
 
+def shift(bags: Sequence[tuple[np.ndarray, np.ndarray]], labels: Sequence[int], config: SubwordConfig) -> float:
+    """What the bias goes down by, so that at most ``false_alarms`` of class 0 get a margin of 0 or more.
+
+    Each half of the sample gets the margins of a model of the other half; copies are in the same half. The bias goes up
+    no further than documents of class 1 are gained. 0 if a half lacks a class.
+    """
+    if config.false_alarms is None:
+        return 0.0
+    known = np.asarray(labels)
+    half = np.array([crc32(ids.tobytes()) % 2 for ids, _ in bags])
+    if len({*zip(half.tolist(), known.tolist(), strict=True)}) < 4:
+        return 0.0
+    margins = np.zeros(len(bags))
+    for h in (0, 1):
+        inside = np.flatnonzero(half != h)
+        model = descend([bags[i] for i in inside], known[inside], config)
+        for i in np.flatnonzero(half == h):
+            ids, shares = bags[i]
+            margins[i] = model.bias + shares @ model.margins[ids]
+    clean = np.sort(margins[known == 0])[::-1]
+    last = float(clean[int(config.false_alarms * len(clean))])
+    caught = margins[(known == 1) & (margins > last)]
+    lowest = float(caught.min()) if len(caught) else max(last, 0.0)
+    return min(lowest, 0.0) if last < 0 else lowest
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, label: str, words: Callable[[str], list[str]], config: SubwordConfig
 ) -> SubwordModel:

@@ -1,6 +1,7 @@
 """Subword classifiers: held-out accuracy, misspellings, labels that must not be seen."""
 
 import random
+from dataclasses import replace
 from zlib import crc32
 
 import numpy as np
@@ -17,7 +18,7 @@ def held(doc_id):
     return crc32(str(doc_id).encode()) % 5 == 0
 
 
-@pytest.mark.parametrize(("module", "column", "least", "false"), [(quality, "quality", 0.98, 0.02), (toxicity, "toxic", 0.65, 0.03)])
+@pytest.mark.parametrize(("module", "column", "least", "false"), [(quality, "quality", 0.98, 0.02), (toxicity, "toxic", 0.75, 0.03)])
 def test_held_out_accuracy(spark, module, column, least, false):
     read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
     scores = getattr(module, f"{'quality' if module is quality else 'toxicity'}_scores")(read("documents"), read("labels"))
@@ -62,6 +63,30 @@ def test_misspellings_and_awkward_rows(spark):
     assert left.count(7) == 2 and 1001 in left and 1002 in left and None not in left
 
 
+def test_words_of_few_documents_count():
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(300)]
+    rare = ["xuqqiz", "wyjjok", "vozzuy"]
+    texts = [rng.choices(words, k=20) + [rare[i // 4 % 3]] * 2 * (i < 12) for i in range(1200)]
+    bags = [subwords.bag(t, toxicity.CONFIG) for t in texts]
+    model = subwords.train(bags, [int(i < 12) for i in range(1200)], toxicity.CONFIG)
+    own = [model.margins[subwords.buckets_of(w, toxicity.CONFIG)[0]] for w in rare]
+    assert min(own) > 0
+
+
+def test_bias_follows_false_alarms():
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(60)]
+    texts = [rng.choices(words, k=15) + ["xuqqiz"] * (i % 8 == 0 and i % 3 > 0) for i in range(800)]
+    known = [int(i % 8 == 0) for i in range(800)]
+    for most in (0.0, 0.02, 0.2):
+        config = replace(toxicity.CONFIG, false_alarms=most, epochs=4)
+        score = subwords.train([subwords.bag(t, config) for t in texts[:600]], known[:600], config).scorer()
+        wrong = [score(t) >= 0.5 for t, k in zip(texts[600:], known[600:], strict=True) if not k]
+        assert np.mean(wrong) <= most + 0.05
+        assert all(score(t) >= 0.5 for t in texts[600:] if "xuqqiz" in t)
+
+
 def test_held_out_labels_do_not_matter(spark):
     rows = corpus(200)
     docs = documents(spark, rows)
