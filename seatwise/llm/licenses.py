@@ -37,7 +37,7 @@ BASE = (
     Rule("reserved", "rights", "all rights reserved", 0, 0.5, True),
 )
 
-# Label, keyword, the name as words, the short identifier as words.
+# Label, keyword, the name as words, the short identifier as words, which starts with a plain word.
 NAMES = (
     ("mit", "mit", "mit", "mit"),
     ("mit-0", "mit", "mit no attribution", "mit 0"),
@@ -108,10 +108,16 @@ PLAIN = (
 )
 
 
+def keyword_of(keyword: str, short: str) -> str:
+    """The keyword where the short identifier has it, else the first word of the identifier."""
+    found = short.split(" ")
+    return keyword if keyword in found else found[0]
+
+
 def signature_rules() -> tuple[Rule, ...]:
     """All rules in order of priority: forms of names, more telling forms first, then the plain ones, then base."""
     rules = [
-        Rule(label, keyword, form.replace("{name}", name).replace("{id}", short), i, confidence)
+        Rule(label, keyword_of(keyword, short) if "{id}" in form else keyword, form.replace("{name}", name).replace("{id}", short), i, confidence)
         for i, (form, confidence) in enumerate(FORMS)
         for label, keyword, name, short in NAMES
     ]

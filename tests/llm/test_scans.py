@@ -148,6 +148,50 @@ def test_license_suppression(spark, monkeypatch, table):
     assert len(licenses.signature_rules()) > 300
 
 
+def examples(pattern):
+    """Texts that a rule's pattern matches: the shortest and the longest, with each branch in turn."""
+
+    def write(parts, longest, branch):
+        out = ""
+        for op, value in parts:
+            if str(op) == "LITERAL":
+                out += chr(value)
+            elif str(op) == "IN":
+                first = value[branch % len(value)]
+                out += chr(first[1] if str(first[0]) == "LITERAL" else first[1][0])
+            elif str(op) == "BRANCH":
+                out += write(value[1][branch % len(value[1])], longest, branch)
+            elif str(op) == "SUBPATTERN":
+                out += write(value[3], longest, branch)
+            else:
+                least, most, inner = value
+                out += write(inner, longest, branch) * (most if longest else least)
+        return out
+
+    return {write(re._parser.parse(pattern), longest, branch).strip() for longest in (False, True) for branch in range(4)}
+
+
+def test_license_rules_pass_their_prefilter():
+    for rule in licenses.signature_rules():
+        for text in examples(rule.pattern):
+            assert re.fullmatch(rule.pattern, text) or re.fullmatch(rule.pattern, f" {text}"), rule
+            assert rule.keyword in text.split(), (rule, text)
+
+
+def test_license_identifiers(spark):
+    ids = {
+        "GPL-2.0-only": "gpl-2.0", "GPL-3.0-or-later": "gpl-3.0", "LGPL-2.1-or-later": "lgpl-2.1", "LGPL-3.0": "lgpl-3.0",
+        "AGPL-3.0-only": "agpl-3.0", "MPL-2.0": "mpl-2.0", "EPL-1.0": "epl-1.0", "EPL-2.0": "epl-2.0", "BSL-1.0": "boost-1.0",
+        "CC0-1.0": "cc0-1.0", "MIT": "mit",
+    }
+    rows = [(f"{form}{name}", form + name, "s") for name in ids for form in ("SPDX-License-Identifier: ", "License: ")]
+    docs = documents(spark, [(i, text, s) for i, (_, text, s) in enumerate(rows)])
+    got = {r["doc_id"]: r for r in licenses.license_report(licenses.license_detections(docs)).collect()}
+    for i, (_, text, _) in enumerate(rows):
+        assert got[i]["labels"] == ids[text.split(": ")[1]], text
+        assert got[i]["score"] == (0.99 if text.startswith("SPDX") else 0.85)
+
+
 def test_empty_tables(spark):
     empty = documents(spark, [])
     assert secrets.secret_spans(empty).count() == 0
