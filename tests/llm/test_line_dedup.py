@@ -3,7 +3,9 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from seatwise.llm import line_dedup, queries
 from seatwise.llm.line_dedup import LineConfig
 from tests.compare import compare, duck
@@ -41,6 +43,21 @@ def test_lines(spark, monkeypatch, broadcast):
     assert Counter((r["doc_id"], r["text"], r["lines_dropped"]) for r in got.collect()) == Counter(expected(ROWS, config))
 
 
+def test_pipeline_cuts_lines_of_one_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    left = corpus_pipeline.drop_boilerplate_lines(spark, docs, sf)
+    counts = lambda df: Counter(
+        {r["line"]: r["count"] for r in df.select(F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).groupBy("line").count().collect()}
+    )
+    before, after = counts(docs), counts(left)
+    for start, most in (("En laleenéelle", 0), ("Nicht aulich", 0), ("Ascirr para", 30)):
+        line = max((x for x in before if x.startswith(start)), key=before.get)
+        assert before[line] > 150 and after[line] <= most, line
+    assert all(after[x] == 1 for x, n in before.items() if n == 1)
+    assert left.filter((F.trim("text") == "") & (F.col("n_chars") > 0)).count() == docs.filter((F.trim("text") == "") & (F.col("n_chars") > 0)).count()
+
+
 def test_empty_table(spark):
     assert line_dedup.drop_boilerplate(documents(spark, []), "source").count() == 0
 
