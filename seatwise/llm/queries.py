@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from seatwise.llm import bpe, decontaminate, licenses, line_dedup, near_dup, neighbours, pii, quality, secrets, toxicity
+from seatwise.llm import bpe, decontaminate, divergence, licenses, line_dedup, near_dup, negatives, neighbours, pii, quality, secrets, toxicity
 from seatwise.llm.text import digest, span_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,21 @@ ORACLES["op10_line_dedup"] = line_dedup.LINES_SQL
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 ORACLES["op7_decontamination"] = decontaminate.CONTAMINATION_SQL
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    other = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", other), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op11_hard_negatives"] = negatives.NEGATIVES_SQL
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_source_divergence"] = divergence.DIVERGENCE_SQL
