@@ -18,12 +18,13 @@ table gives an empty one. Other columns are not read.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from seatwise.llm.text import fold, texts_of
@@ -39,7 +40,7 @@ class DivergenceConfig:
 
     min_docs: int = 3
     top: int = 200
-    max_cells: int = 250_000
+    max_cells: int = 1_000_000
     bucket_terms: int = 20_000
     block_sources: int = 256
 
@@ -49,44 +50,85 @@ _STRIPE = "lang string, term string, docs bigint, sources array<string>, counts
 _NAMES = ["lang", "term", "docs", "sources", "counts"]
 
 
-def _stripes(rows: list[tuple[str, str, int, dict[str, int]]]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 4
-    types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
-    values = [*columns[:3], [list(s) for s in columns[3]], [list(s.values()) for s in columns[3]]]
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], _NAMES)
+def _cells(key: np.ndarray, docs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of documents and occurrences by key, in the order of the keys."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(docs[order], first) if len(first) else docs, np.add.reduceat(n[order], first) if len(first) else n
+
+
+def _stripes(lang: pa.Array, term: pa.Array, docs: np.ndarray, offsets: np.ndarray, sources: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    cuts = pa.array(offsets, pa.int32())
+    lists = [pa.ListArray.from_arrays(cuts, sources), pa.ListArray.from_arrays(cuts, pa.array(counts, pa.int64()))]
+    return pa.RecordBatch.from_arrays([lang, term, pa.array(docs, pa.int64()), *lists], _NAMES)
+
+
+class Stripes:
+    """Stripes of the documents folded so far: a number for each term and each (language, source), and a cell for each
+    pair of them that occurs, sorted by key."""
+
+    def __init__(self) -> None:
+        self.terms: dict[str, int] = {}
+        self.groups: dict[tuple[str, str], int] = {}
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def fold(self, langs: list[str], sources: list[str], texts: list[str]) -> None:
+        found = [TERM.findall(fold(t)) for t in texts]
+        flat = [t for terms in found for t in terms]
+        own = np.array([self.groups.setdefault(g, len(self.groups)) for g in zip(langs, sources, strict=True)], np.int64)
+        if not flat:
+            return
+        codes, distinct = pd.factorize(np.array(flat, dtype=object))
+        number = np.array([self.terms.setdefault(t, len(self.terms)) for t in distinct], np.int64)
+        doc = np.repeat(np.arange(len(found)), [len(terms) for terms in found])
+        place, n = np.unique(doc * len(distinct) + codes, return_counts=True)
+        key = number[place % len(distinct)] << 32 | own[place // len(distinct)]
+        self.parts.append(_cells(key, np.ones(len(key), np.int64), n))
+        self.size += len(self.parts[-1][0])
+
+    def fill(self) -> int:
+        """Number of cells, after the parts have become one."""
+        if len(self.parts) > 1:
+            self.parts = [_cells(*(np.concatenate(c) for c in zip(*self.parts, strict=True)))]
+        self.size = sum(len(p[0]) for p in self.parts)
+        return self.size
+
+    def rows(self, most: int = 20_000) -> Iterator[pa.RecordBatch]:
+        """All stripes, a row for each language and term."""
+        if not self.fill():
+            return
+        key, docs, n = self.parts[0]
+        langs = sorted({lang for lang, _ in self.groups})
+        lang_of = np.array([langs.index(lang) for lang, _ in self.groups], np.int64)
+        term, group = key >> 32, key & 0xFFFFFFFF
+        order = np.lexsort((lang_of[group], term))
+        term, group, docs, n = term[order], group[order], docs[order], n[order]
+        lang = lang_of[group]
+        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (lang[1:] != lang[:-1])]))
+        ends = np.append(first, len(term))
+        names, sources, lang_names = pa.array(self.terms, pa.string()), pa.array([s for _, s in self.groups], pa.string()), pa.array(langs, pa.string())
+        in_stripe = np.add.reduceat(docs, first)
+        for start in range(0, len(first), most):
+            at, cuts = first[start : start + most], ends[start : start + most + 1]
+            cells = slice(cuts[0], cuts[-1])
+            yield _stripes(
+                lang_names.take(pa.array(lang[at])), names.take(pa.array(term[at])), in_stripe[start : start + most], cuts - cuts[0], sources.take(pa.array(group[cells])), n[cells]
+            )
 
 
 def folded(docs: DataFrame, config: DivergenceConfig) -> DataFrame:
     """Stripes of the tasks; a term may have several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], list] = {}
-        cells = 0
-
-        def spilled() -> Iterator[pa.RecordBatch]:
-            rows = [(lang, term, docs, stripe) for (lang, term), (docs, stripe) in held.items()]
-            for first in range(0, len(rows), 5000):
-                yield _stripes(rows[first : first + 5000])
-
+        held = Stripes()
         for batch, texts in texts_of(batches):
-            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts, strict=True):
-                for term, n in Counter(TERM.findall(fold(text))).items():
-                    stripe = held.get((lang, term))
-                    if stripe is None:
-                        held[lang, term] = [1, {source: n}]
-                        cells += 1
-                    else:
-                        stripe[0] += 1
-                        counts = stripe[1]
-                        if source in counts:
-                            counts[source] += n
-                        else:
-                            counts[source] = n
-                            cells += 1
-                if cells >= config.max_cells:
-                    yield from spilled()
-                    held, cells = {}, 0
-        yield from spilled()
+            held.fold(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts)
+            if held.size >= 2 * config.max_cells and held.fill() >= config.max_cells:
+                yield from held.rows()
+                held = Stripes()
+        yield from held.rows()
 
     return docs.mapInArrow(run, _STRIPE)
 
@@ -94,20 +136,35 @@ def folded(docs: DataFrame, config: DivergenceConfig) -> DataFrame:
 def merged(stripes: DataFrame, config: DivergenceConfig) -> DataFrame:
     """One stripe for each kept term."""
 
+    def of(table: pa.RecordBatch) -> pa.RecordBatch:
+        """The stripes of each run of equal keys as one."""
+        lang, term = table.column("lang"), table.column("term")
+        change = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(term[1:], term[:-1])).to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(np.concatenate([[True], change]))
+        run_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, table.num_rows)))
+        sources = table.column("sources").flatten().dictionary_encode()
+        cell_run = np.repeat(run_of, pc.list_value_length(table.column("sources")).to_numpy(zero_copy_only=False))
+        names = sources.dictionary
+        key, _, n = _cells(cell_run * max(len(names), 1) + sources.indices.to_numpy(), np.zeros(len(cell_run), np.int64), table.column("counts").flatten().to_numpy())
+        cuts = np.searchsorted(key, np.arange(len(first) + 1) * max(len(names), 1))
+        at = pa.array(first)
+        return _stripes(lang.take(at), term.take(at), np.add.reduceat(table.column("docs").to_numpy(), first), cuts, names.take(pa.array(key % max(len(names), 1))), n)
+
+    def kept(table: pa.RecordBatch) -> pa.RecordBatch:
+        return table.filter(pc.greater_equal(table.column("docs"), config.min_docs))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, docs, counts = None, 0, {}
+        held = None  # the last run, which may go on in the next batch
         for batch in batches:
-            done = []
-            for lang, term, n, sources, values in zip(*(batch.column(c).to_pylist() for c in _NAMES), strict=True):
-                if (lang, term) != key:
-                    if docs >= config.min_docs:
-                        done.append((*key, docs, counts))
-                    key, docs, counts = (lang, term), 0, {}
-                docs += n
-                for source, value in zip(sources, values, strict=True):
-                    counts[source] = counts.get(source, 0) + value
-            yield _stripes(done)
-        yield _stripes([(*key, docs, counts)] if docs >= config.min_docs else [])
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch.select(_NAMES).cast(held.schema)]).combine_chunks().to_batches()[0]
+            done = of(batch)
+            held = done.slice(done.num_rows - 1)
+            yield kept(done.slice(0, done.num_rows - 1))
+        if held is not None:
+            yield kept(held)
 
     return stripes.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, _STRIPE)
 
