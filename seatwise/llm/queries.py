@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from seatwise.llm import bpe, decontaminate, divergence, licenses, line_dedup, near_dup, negatives, neighbours, pii, quality, secrets, toxicity
+from seatwise.llm import (
+    bpe, decontaminate, divergence, language_model, licenses, line_dedup, near_dup, negatives, neighbours, pii, quality, secrets, toxicity,
+)
 from seatwise.llm.text import digest, span_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +133,8 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_source_divergence"] = divergence.DIVERGENCE_SQL
+
+
+@query
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.text_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
