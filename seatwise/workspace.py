@@ -56,7 +56,7 @@ def run(spark: SparkSession) -> Iterator[SparkSession]:
         close(spark)
 
 
-def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, path: str | None = None, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once and return it as a table scan.
 
     For a result that several branches of a plan need: written once, each branch then reads only its
@@ -64,5 +64,5 @@ def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
