@@ -9,9 +9,13 @@ from registry.core import CATEGORIES, FEATURES, dates, label_sql, query, star
 from registry.splits import SPLIT_SQL
 from seatwise.fixtures import STAR
 from seatwise.functions.vectors import total
-from seatwise.operators.evaluate import areas, model_comparison
-from seatwise.plans import models
+from seatwise.operators.evaluate import N_BUCKETS, areas, model_comparison
+from seatwise.operators.running import running_totals, value_buckets
+from seatwise.plans import models, recurrent
 from seatwise.plans.prep import prep_seat_monthly, prep_sequence_baseline, prep_tabular_baseline
+from seatwise.training.epochs import Schedule
+from seatwise.training.newton import fit_newton
+from seatwise.training.recurrent import RecurrentConfig, fit_recurrent
 
 TABULAR = STAR.features + STAR.lifetime_features + ["n_seats"]
 SEQUENCE = STAR.features + ["n_seats"]
@@ -28,21 +32,26 @@ def _sequence(used):
 
 def rank_area(scored: DataFrame) -> DataFrame:
     """Rows by label and the share of (churned, kept) pairs in the right order, ties counting half: another way to the ROC
-    area, for tables that fit a window."""
-    ties = Window.partitionBy("score")
-    place = F.rank().over(Window.orderBy("score")) + (F.count(F.lit(1)).over(ties) - 1) / 2
-    churned, kept = F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)
-    ranks = F.sum(F.when(F.col("label") == 1, F.col("place")))
-    return scored.withColumn("place", place).agg(
-        churned.alias("n_churned"), kept.alias("n_kept"),
-        F.try_divide(ranks - churned * (churned + 1) / 2, (churned * kept).cast("double")).alias("rank_area"),
-        F.count_if(~F.col("score").between(0, 1)).alias("n_outside"),
+    area. Equal scores are merged first, then what lies below each score is summed bucket by bucket."""
+    per_score = scored.groupBy(F.col("score").cast("double").alias("score")).agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"), F.count_if(~F.col("score").between(0, 1)).alias("outside")
+    )
+    bucketed = value_buckets(per_score, "score", N_BUCKETS, F.col("pos") + F.col("neg") > 0)
+    ranked = running_totals(bucketed, F.asc("score"), {"below": "neg"}, ascending=True)
+    churned, kept, outside = (F.coalesce(F.sum(c), F.lit(0)) for c in ("pos", "neg", "outside"))
+    twice = F.sum((F.col("pos") * (F.col("below") * 2 - F.col("neg"))).cast("decimal(38,0)")).cast("double")
+    return ranked.agg(
+        churned.alias("n_churned"), kept.alias("n_kept"), F.try_divide(twice, churned.cast("double") * kept * 2).alias("rank_area"), outside.alias("n_outside")
     )
 
 
 def _evaluated(model, rows, features):
     """Test rows by label, and whether both areas and all scores are as they must be."""
-    scored = models.stage(models.scores(model, models.assemble(models.part(rows, "test"), features)).select("label", "score"), "scored")
+    return _checked(models.scores(model, models.assemble(models.part(rows, "test"), features)).select("label", "score"))
+
+
+def _checked(test_scores):
+    scored = models.stage(test_scores, "scored")
     found = areas(models.confusion_curve(scored))
     same = (F.abs(F.coalesce("auc_roc", F.lit(-1.0)) - F.coalesce("rank_area", F.lit(-1.0))) < 1e-9)
     return rank_area(scored).withColumns({c: found.select(c).scalar() for c in ("auc_roc", "auc_pr")}).select(
@@ -62,15 +71,31 @@ def _(spark, sf):
     return _evaluated(models.fit_logreg(rows, TABULAR), rows, TABULAR)
 
 
+PENALTY = 1e-4
+
+
 @query("logreg_optimality", " union all ".join(f"select '{f}' as feature, 0.0::double as residual" for f in TABULAR))
 def _(spark, sf):
-    """At the optimum the weighted mean of (probability - label) times a feature is 0 for every feature."""
+    """At the optimum the weighted mean of (probability - label) times a feature, plus the penalty's slope, is 0 for every
+    feature; residuals below 1e-6 count as 0."""
     rows = _tabular(dates(spark, sf))
-    train = models.scores(models.fit_logreg(rows, TABULAR, iterations=500, tolerance=1e-9), models.assemble(models.part(rows, "train"), TABULAR))
+    model = fit_newton(rows, TABULAR, PENALTY)
+    train = model.scored(models.part(rows, "train"))
     miss = F.col("weight") * (F.col("score") - F.col("label"))
-    means = train.agg(*[F.round(F.sum(miss * F.col(f)) / F.sum("weight"), 3).alias(f) for f in TABULAR])
-    residual = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), (F.col(f) + F.lit(0.0)).alias("residual")) for f in TABULAR]))
-    return means.select(residual.alias("r")).select("r.feature", F.when(F.col("r.residual") == 0, 0.0).otherwise(F.col("r.residual")).alias("residual"))
+    slopes = [F.sum(miss * F.col(f)) / F.sum("weight") + PENALTY * float(c) for f, c in zip(TABULAR, model.coefficients)]
+    means = train.agg(*[F.when(F.abs(slope) < 1e-6, 0.0).otherwise(slope).alias(f) for f, slope in zip(TABULAR, slopes)])
+    residual = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("residual")) for f in TABULAR]))
+    return means.select(residual.alias("r")).select("r.feature", "r.residual")
+
+
+@query("logreg_history", "select 'logreg' as model, true as consecutive, true as train_loss_falls, true as valid_loss_known, true as converged")
+def _(spark, sf):
+    """Train and valid loss of each Newton step."""
+    rows = _tabular(dates(spark, sf))
+    model = fit_newton(rows, TABULAR, PENALTY)
+    history = spark.createDataFrame([("logreg", *h) for h in model.history], "model string, iteration int, train_loss double, valid_loss double")
+    known = F.lit(all(valid == valid for *_, valid in model.history))
+    return _history_checks(history, ["train_loss"]).select("*", known.alias("valid_loss_known"), F.lit(model.converged).alias("converged"))
 
 
 @query("mlp_monthly", _EVALUATED_SQL)
@@ -187,6 +212,64 @@ def _hierarchical(used):
     return models.hierarchical_input(seat_scores, used, STAR)
 
 
+MONTHS = Schedule(epochs=20, rate=0.05, patience=6)
+SEATS = Schedule(epochs=8, rate=0.08, patience=3)
+
+
+def _month_sequences(used):
+    return recurrent.month_sequences(prep_sequence_baseline(used, STAR), SEQUENCE, STAR)
+
+
+@query("recurrent_monthly", _EVALUATED_SQL)
+def _(spark, sf):
+    """The recurrent model over contract months, best epoch of the valid split."""
+    table = _month_sequences(dates(spark, sf))
+    return _checked(recurrent.split_scores(fit_recurrent(table, len(SEQUENCE), schedule=MONTHS), table))
+
+
+@query("recurrent_history", "select 'recurrent' as model, true as consecutive, true as learns, true as best_is_least, true as patient")
+def _(spark, sf):
+    """Losses of both splits by epoch; the epoch that is restored has the least valid loss, and no run outlasts its patience."""
+    table = _month_sequences(dates(spark, sf))
+    fitted = fit_recurrent(table, len(SEQUENCE), schedule=MONTHS).fitted
+    first = F.min_by("train_loss", "iteration")
+    best = F.max(F.when(F.col("iteration") == fitted.best_epoch, F.col("valid_loss")))
+    return fitted.table(spark, "recurrent").groupBy("model").agg(
+        (F.count_distinct("iteration") == F.max("iteration") + 1).alias("consecutive"), (F.min("train_loss") < first).alias("learns"),
+        (best == F.min("valid_loss")).alias("best_is_least"), (F.max("iteration") - fitted.best_epoch <= MONTHS.patience).alias("patient"),
+    )
+
+
+UNITS = RecurrentConfig().units
+
+
+@query(
+    "seat_latent_states",
+    star(f"""{_SEAT_SQL}
+select m.seat_id, m.contract_id, m.month, m.split, m.label, case when m.label <> -1 then {UNITS} else 0 end as n_latent, true as in_range,
+  case when m.label <> -1 then round({_squeezed(STAR.time_features)}, 6) else -999 end as squeezed_time,
+  case when m.label <> -1 then round({_squeezed(STAR.count_features)}, 6) else -999 end as squeezed_count
+from parts m join state t on t.month = m.month"""),
+)
+def _(spark, sf):
+    """The latent vector of each live seat month, out of fold, and NULLs outside life."""
+    states = recurrent.seat_latent_states(prep_seat_monthly(dates(spark, sf), STAR), STAR, schedule=SEATS)
+    latent = F.filter(F.array(*recurrent.latent_names(UNITS)), lambda v: v.isNotNull())
+    return states.select(
+        "seat_id", "contract_id", "month", "split", "label", F.size(latent).alias("n_latent"), F.forall(latent, lambda v: F.abs(v) <= 1).alias("in_range"),
+        *[F.round(F.coalesce(c, F.lit(-999.0)), 6).alias(c) for c in ("squeezed_time", "squeezed_count")],
+    )
+
+
+@query("hierarchical_recurrent", _EVALUATED_SQL)
+def _(spark, sf):
+    """Recurrent seats below, a recurrent model of contracts above that reads their pooled states."""
+    used = dates(spark, sf)
+    states = models.stage(recurrent.seat_latent_states(prep_seat_monthly(used, STAR), STAR, schedule=SEATS), "seat_states")
+    table, n_features = recurrent.contract_sequences(states, used, STAR)
+    return _checked(recurrent.split_scores(fit_recurrent(table, n_features, schedule=MONTHS), table))
+
+
 @query("hierarchical_monthly", _EVALUATED_SQL)
 def _(spark, sf):
     rows, names = _hierarchical(dates(spark, sf))

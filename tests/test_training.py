@@ -178,3 +178,32 @@ def test_newton_with_a_constant_feature_and_separable_rows(spark):
     data = [(float(i), 1.0, int(i > 4), 1.0, "train") for i in range(10)]
     model = fit_newton(spark.createDataFrame(data, "a double, b double, label int, weight double, split string"), ["a", "b"], penalty=1e-3)
     assert model.converged and np.isfinite(model.coefficients).all() and math.isnan(model.history[0][2])
+
+
+def test_seat_states_are_out_of_fold(spark):
+    """Each live seat month has one vector, months outside life none; a contract's fold is not in its own model."""
+    from registry.core import dates
+    from seatwise.fixtures import STAR
+    from seatwise.plans import recurrent as plans
+    from seatwise.plans.prep import prep_seat_monthly
+    from seatwise.workspace import stage
+
+    used = dates(spark, "/root/testdata/sf0.001")
+    seat_rows = stage(prep_seat_monthly(used, STAR), "seat_rows")
+    seen = []
+    fit = plans.fit_recurrent
+
+    def watched(table, n, config, schedule, learn):
+        seen.append({r.fold for r in table.filter(learn & (F.col("split") == "train")).select(plans._fold(F.col("contract_id")).alias("fold")).distinct().collect()})
+        return fit(table, n, config, schedule, learn=learn)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(plans, "fit_recurrent", watched)
+        states = stage(plans.seat_latent_states(seat_rows, STAR, RecurrentConfig(units=4), Schedule(epochs=2)), "states")
+    assert all(k not in folds for k, folds in enumerate(seen[:3])) and seen[3] == set.union(*seen[:3])
+    assert states.count() == seat_rows.count() == states.select("seat_id", "month").distinct().count()
+    whole = " and ".join(f"latent_{i} is not null" for i in range(4))
+    none = " and ".join(f"latent_{i} is null" for i in range(4))
+    assert states.filter(f"label <> -1 and not ({whole}) or label = -1 and not ({none})").count() == 0
+    table, n = plans.contract_sequences(states, used, STAR, 4)
+    assert n == 19 and table.selectExpr("max(size(x) / size(steps)) as a", "min(size(x) / size(steps)) as b").first() == (19, 19)
