@@ -2,7 +2,7 @@
 
 Pages are grouped by host. The share of a line is the number of pages of the host that contain it, divided by all pages
 of the host; lines above the boilerplate ratio, on at least ``min_pages`` pages, are dropped from that host's pages.
-Lines compare exactly, by two 64-bit hashes; blank lines are never dropped.
+Lines compare by a digest of 128 bits; blank lines are never dropped.
 
 Counts are summed in the tasks before the shuffle, so a host or a line with a third of all rows is a few rows per task.
 A host has at most (mean lines per page) / ratio lines above the ratio, so a row can carry its host's set.
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seatwise.operators.skew import skew_join
 from seatwise.workspace import stage
 
-# Sets of lines with at most this many lines in all (16 bytes each) are broadcast.
+# Sets of lines with at most this many lines in all (32 bytes each) are broadcast.
 MAX_BROADCAST_LINES = 1_000_000
 
 
@@ -32,7 +32,8 @@ class LineConfig:
 
 
 def _line_key(line: Column) -> Column:
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(1)).alias("b"))
+    """One atomic value: Spark takes distinct and common elements of these by hashing, of structs by comparing all pairs."""
+    return F.md5(line)
 
 
 def _lines(text: Column) -> Column:
@@ -68,8 +69,11 @@ def drop_boilerplate(pages: DataFrame, host: str, text: str = "text", config: Li
         joined = keyed.join(F.broadcast(sets), "_host", "left")
     else:
         joined = skew_join(keyed, sets, ["_host"], spread=["text"], how="left")
-    left = F.filter("lines", lambda line: (F.trim(line) == "") | ~F.array_contains(F.col("_set"), _line_key(line)))
-    kept = joined.select("row", "text", "lines", F.when(F.col("_set").isNotNull() & F.col("text").isNotNull(), left).alias("kept"))
+    # Of the host's set, which may be long, only what this page has: few lines, which each line is held against.
+    hits = F.array_intersect(F.transform(F.filter("lines", lambda line: F.trim(line) != ""), _line_key), F.col("_set"))
+    marked = joined.select("row", "text", "lines", F.when(F.col("_set").isNotNull() & F.col("text").isNotNull(), hits).alias("hits"))
+    left = F.filter("lines", lambda line: (F.trim(line) == "") | ~F.array_contains(F.col("hits"), _line_key(line)))
+    kept = marked.select("row", "text", "lines", F.when(F.size("hits") > 0, left).alias("kept"))
     dropped = F.when(F.col("kept").isNotNull(), F.size("lines") - F.size("kept")).otherwise(0).cast("bigint")
     changed = kept.select("row", "text", "kept", dropped.alias("dropped"))
     cleaned = F.when(F.col("dropped") > 0, F.array_join("kept", "\n")).otherwise(F.col("text"))

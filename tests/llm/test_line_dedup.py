@@ -1,5 +1,6 @@
 """Boilerplate lines beside a plain loop and SQL."""
 
+import time
 from collections import Counter
 
 import pytest
@@ -65,3 +66,23 @@ def test_empty_table(spark):
 def test_query_equals_sql(spark):
     sf = "/root/testdata/sf0.001"
     assert compare(queries.QUERIES["op10_line_dedup"](spark, sf), duck(sf), queries.ORACLES["op10_line_dedup"]) is None
+
+
+def test_line_keys_have_no_common_half(spark):
+    """Keys are one value of 128 bits, and different lines have different ones."""
+    keys = spark.range(200_000).select(line_dedup._line_key(F.col("id").cast("string")).alias("key"))
+    assert keys.distinct().count() == 200_000 and keys.filter("length(key) <> 32").count() == 0
+    halves = keys.agg(F.count_distinct(F.substring("key", 1, 16)), F.count_distinct(F.substring("key", 17, 16))).first()
+    assert tuple(halves) == (200_000, 200_000)
+
+
+def test_a_text_of_very_many_lines_takes_time_in_proportion(spark):
+    """200,000 different lines in one text, some of them boilerplate of their host."""
+    common = [f"common {i}" for i in range(20)]
+    long = "\n".join(f"line {i}\n{common[i % 20]}" for i in range(100_000))
+    rows = [(0, long, "a")] + [(i, "\n".join([*common, f"own {i}"]), "a") for i in range(1, 30)]
+    start = time.perf_counter()
+    found = {r.doc_id: r for r in line_dedup.drop_boilerplate(documents(spark, rows), "source", config=LineConfig(ratio=0.5)).collect()}
+    assert time.perf_counter() - start < 60
+    assert found[0].lines_dropped == 100_000 and found[0].text == "\n".join(f"line {i}" for i in range(100_000))
+    assert all(found[i].text == f"own {i}" and found[i].lines_dropped == 20 for i in range(1, 30))
