@@ -11,8 +11,8 @@ the threshold merges two classes; pairs inside a class are skipped. So no more l
 Buckets are taken in rounds, and only those that still hold several classes go on. Buckets that were cut are finished
 in the last round, where the texts outside a bucket's largest class meet all its blocks.
 
-Misses: 80 registers in 20 bands of 4 miss a pair at 0.8 with probability 2.6e-5; pairs that agree on less than 65 % of
-the registers are not verified, which at 0.8 leaves out 4e-4 and falls fast above.
+Misses: 80 registers in 20 bands of 4 miss a pair at 0.8 with probability 2.6e-5; pairs that agree on less than 55 % of
+the registers are not verified, which at 0.8 leaves out 1e-7 (binomial) and falls fast above.
 
 Results by case: texts without words (NULL, empty, separators only) are classes of their own, each row apart; copies and
 repeated rows share a class; a NULL id counts for a class only if all its ids are NULL; an empty table gives an empty
@@ -30,8 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seatwise.llm.text import texts_of, words
+from seatwise.operators.skew import skew_join
 from seatwise.workspace import stage
 
+# A class or text with more rows than this, and than 1/2000 of all, is split over tasks.
+HOT_ROWS = 300
+
 
 @dataclass(frozen=True)
 class NearDupConfig:
@@ -40,7 +44,7 @@ class NearDupConfig:
     bands: int = 20
     rows: int = 4
     first_bands: int = 4
-    least_agreement: float = 0.65
+    least_agreement: float = 0.55
     block: int = 400
     batch_words: int = 400_000
 
@@ -300,7 +304,10 @@ def labelled(docs: DataFrame, id_column: str, text_column: str, config: NearDupC
     rows = stage(signatures(keyed, config), "signatures")
     classes = text_classes(rows, keyed, config)
     found = rows.select("key", "doc_id", F.col("signature").isNull().alias("alone"))
-    return with_classes(found, classes)
+    if classes is None:
+        return with_classes(found, None)
+    # A text with very many copies is a hot key.
+    return skew_join(found, classes, ["key"], ["doc_id"], "left", floor=HOT_ROWS).withColumn("class", F.coalesce("class", "key"))
 
 
 def near_duplicates(
@@ -309,7 +316,7 @@ def near_duplicates(
     """``(doc_id, class_id)`` for each row: the smallest id of the documents that are linked to it, directly or not."""
     found = stage(labelled(docs, id_column, text_column, config), "labelled")
     least = found.filter("not alone").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = found.join(least.select("class", "class_id"), "class", "left")
+    shared = skew_join(found, least.select("class", "class_id"), ["class"], ["doc_id", "key"], "left", floor=HOT_ROWS)
     return shared.select("doc_id", F.when(F.col("alone"), F.col("doc_id")).otherwise(F.coalesce("class_id", "doc_id")).alias("class_id"))
 
 
@@ -322,7 +329,7 @@ def without_near_duplicates(
     least = found.groupBy("class").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     # Rows to drop: members of a class of several rows, apart from those equal in id and text to the one that stays.
     gone = (
-        found.join(least, "class").filter((F.col("key") != F.col("kept.key")) | ~F.col("doc_id").eqNullSafe(F.col("kept.doc_id")))
+        skew_join(found, least, ["class"], ["doc_id", "key"], floor=HOT_ROWS).filter((F.col("key") != F.col("kept.key")) | ~F.col("doc_id").eqNullSafe(F.col("kept.doc_id")))
         .select("key", F.array("doc_id").alias("id")).distinct()
     )
     # NULL equals NULL inside an array. The row is one column, so that its columns clash with none of these.
