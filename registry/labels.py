@@ -12,6 +12,7 @@ from seatwise.operators.months import seat_month_usage, seat_months
 from seatwise.operators.grid import mask_by_label
 from seatwise.plans.models import part, scale_months, with_split
 from seatwise.plans.prep import prep_sequence_baseline
+from seatwise.workspace import new_path, stage
 
 
 def _period_label(alias: str) -> str:
@@ -176,6 +177,22 @@ def _(spark, sf):
     return rounded(state, [f"std_{f}" for f in FEATURES])
 
 
+@query(
+    "merge_scaler_states",
+    star(f"""select month, {', '.join(f"round(coalesce({_train_state('stddev_pop', f)}, -1), 6) as std_{f}" for f in FEATURES)},
+  {', '.join(f"round(coalesce({_train_state('avg', f)}, -1), 6) as mean_{f}" for f in FEATURES)}
+from ({_POOLED_SQL}) group by month"""),
+)
+def _(spark, sf):
+    """Moments of four parts of the contracts, one part stored twice, merged into the scaler of all training rows."""
+    train = stage(part(_pooled(spark, sf), "train"), "train_months")
+    path = new_path(spark, "moments")
+    for k in (0, 1, 2, 3, 0):
+        scale.store_moments(train.filter(F.pmod(F.xxhash64("contract_id"), F.lit(4)) == k), FEATURES, path, str(k))
+    state = scale.stored_scaler(spark, FEATURES, path)
+    return rounded(state, [f"{kind}_{f}" for kind in ("std", "mean") for f in FEATURES])
+
+
 @query(
     "apply_std_scaler",
     star(f"""with pooled as ({_POOLED_SQL}),

@@ -1,6 +1,10 @@
 """Files in and out."""
 
+import math
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from seatwise import workspace
 from seatwise.operators import quality, scale
@@ -89,6 +93,24 @@ def test_scaler(spark):
     assert sorted(r.x for r in centred if r.x is not None) == [-1.0, -1.0, 1.0, 1.0]
 
 
+@pytest.mark.parametrize("offset", [0.0, 1e9])
+def test_merged_scaler_equals_that_of_all_rows(spark, tmp_path, offset):
+    """Any parts of the rows, empty ones and missing values included; values far from 0 keep their digits."""
+    rng = random.Random(3)
+    data = [(m, rng.randrange(5), None if rng.random() < 0.2 else offset + rng.random(), float(m), None) for m in range(3) for _ in range(40)]
+    df = spark.createDataFrame(data, "month int, part int, x double, y double, z double")
+    names, path = ["x", "y", "z"], str(tmp_path / "moments")
+    for k in (0, 1, 2, 3, 4, 5, 2):
+        scale.store_moments(df.filter(F.col("part") == k), names, path, str(k))
+    merged = {r.month: r for r in scale.stored_scaler(spark, names, path).collect()}
+    for m in range(3):
+        x = [v for month, _, v, _, _ in data if month == m and v is not None]
+        mean = math.fsum(x) / len(x)
+        deviation = math.sqrt(math.fsum((v - mean) ** 2 for v in x) / len(x))
+        assert merged[m].std_x == pytest.approx(deviation, rel=1e-6) and merged[m].mean_x == pytest.approx(mean)
+        assert (merged[m].std_y, merged[m].mean_y, merged[m].std_z, merged[m].mean_z) == (0, m, None, None)
+
+
 def test_ingest_takes_each_month_once(spark, tmp_path):
     from seatwise.fixtures import STAR
     from seatwise.streaming.monthly import USAGE_SCHEMA, ingest_months
