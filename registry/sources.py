@@ -155,9 +155,7 @@ from seats s cross join (select cast(unnest(range(365)) as int) as day) d
 left join (select a.seat_id, a.day, {sums_sql()} from aged a group by a.seat_id, a.day) u on u.seat_id = s.seat_id and u.day = d.day"""),
 )
 def _(spark, sf):
-    samples = seat_samples(dates(spark, sf), STAR)
-    filled = samples.withColumn("x", F.coalesce("x", F.array().cast(samples.schema["x"].dataType)))
-    days = sample_files.dense_tensor(filled, STAR).select("seat_id", F.posexplode("x").alias("day", "f"))
+    days = sample_files.dense_tensor(seat_samples(dates(spark, sf), STAR), STAR).select("seat_id", F.posexplode("x").alias("day", "f"))
     return days.select("seat_id", "day", *[F.col("f")[i].alias(f) for i, f in enumerate(FEATURES)])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seatwise.config import ChurnConfig
 from seatwise.sources.tables import load_intermediate, write_parquet_overwrite
@@ -44,13 +44,26 @@ def explode_tensor(samples: DataFrame) -> DataFrame:
     return samples.select("seat_id", F.explode("x").alias("cell")).select("seat_id", "cell.day", "cell.f")
 
 
+def _with_days(used: Column, days: Column, empty: Column) -> Column:
+    """The cells ``used`` and an ``empty`` one for each of ``days`` that has none, sorted by day.
+
+    Missing days are found by hashing and cells put in order by one sort: a lookup of each day in a map would go through all
+    used days each time.
+    """
+    missing = F.array_except(days, F.transform(used, lambda c: c["day"]))
+    return F.array_sort(F.concat(used, F.transform(missing, lambda d: F.struct(d.alias("day"), empty.alias("f")))))
+
+
+def _used(samples: DataFrame) -> Column:
+    return F.coalesce("x", F.array().cast(samples.schema["x"].dataType))
+
+
 def dense_tensor(samples: DataFrame, cfg: ChurnConfig) -> DataFrame:
-    """``x`` as a full day × feature array, missing days filled with the missing value."""
-    missing = F.lit(cfg.missing_value).cast("bigint")
-    empty = F.array_repeat(missing, len(cfg.features))
-    by_day = F.map_from_entries("x")
-    days = F.sequence(F.lit(0), F.lit(cfg.horizon_days - 1))
-    return samples.withColumn("x", F.transform(days, lambda d: F.coalesce(F.try_element_at(by_day, d), empty)))
+    """``x`` as a full day × feature array, missing days filled with the missing value; a NULL ``x`` has no days."""
+    empty = F.array_repeat(F.lit(cfg.missing_value).cast("bigint"), len(cfg.features))
+    inside = F.filter(_used(samples), lambda c: c["day"].between(0, cfg.horizon_days - 1))
+    cells = _with_days(inside, F.sequence(F.lit(0), F.lit(cfg.horizon_days - 1)), empty)
+    return samples.withColumn("x", F.transform(cells, lambda c: c["f"]))
 
 
 def fill_life(samples: DataFrame, cfg: ChurnConfig) -> DataFrame:
@@ -61,9 +74,5 @@ def fill_life(samples: DataFrame, cfg: ChurnConfig) -> DataFrame:
     first = F.greatest("seat_create", F.lit(0))
     last = F.least(F.coalesce("seat_cancel", F.lit(cfg.horizon_days - 1)), F.lit(cfg.horizon_days - 1))
     life = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-    used = F.coalesce("x", F.array().cast(samples.schema["x"].dataType))
-    by_day = F.map_from_entries(used)
     zeros = F.array_repeat(F.lit(0).cast("bigint"), len(cfg.features))
-    days = F.array_sort(F.array_union(F.transform(used, lambda c: c["day"]), life))
-    cells = F.transform(days, lambda d: F.struct(d.alias("day"), F.coalesce(F.try_element_at(by_day, d), zeros).alias("f")))
-    return samples.withColumn("x", cells)
+    return samples.withColumn("x", _with_days(_used(samples), life, zeros))
