@@ -15,6 +15,7 @@ from seatwise.plans import models, recurrent
 from seatwise.plans.prep import prep_seat_monthly, prep_sequence_baseline, prep_tabular_baseline
 from seatwise.training.epochs import Schedule
 from seatwise.training.newton import fit_newton
+from seatwise.training.perceptron import fit_perceptron
 from seatwise.training.recurrent import RecurrentConfig, fit_recurrent
 
 TABULAR = STAR.features + STAR.lifetime_features + ["n_seats"]
@@ -104,6 +105,18 @@ def _(spark, sf):
     return _evaluated(models.fit_mlp(rows, TABULAR), rows, TABULAR)
 
 
+PERCEPTRON = Schedule(epochs=12, rate=0.05, patience=4)
+MONTH_KEY = ["contract_id", "month"]
+
+
+@query("perceptron_monthly", _EVALUATED_SQL)
+def _(spark, sf):
+    """The perceptron with batch normalisation, dropout and weights as they are, best epoch of the valid split."""
+    rows = _tabular(dates(spark, sf))
+    model = fit_perceptron(rows, TABULAR, MONTH_KEY, schedule=PERCEPTRON)
+    return _checked(model.scored(models.part(rows, "test").select("label", *TABULAR)).select("label", "score"))
+
+
 LAGGED = [FEATURES[0], FEATURES[-1]]
 _LAGS = ", ".join(f"coalesce(lag({f}, {k}) over w, 0) as lag{k}_{f}" for f in LAGGED for k in (1, 2))
 
@@ -227,19 +240,32 @@ def _(spark, sf):
     return _checked(recurrent.split_scores(fit_recurrent(table, len(SEQUENCE), schedule=MONTHS), table))
 
 
-@query("recurrent_history", "select 'recurrent' as model, true as consecutive, true as learns, true as best_is_least, true as patient")
-def _(spark, sf):
-    """Losses of both splits by epoch; the epoch that is restored has the least valid loss, and no run outlasts its patience."""
-    table = _month_sequences(dates(spark, sf))
-    fitted = fit_recurrent(table, len(SEQUENCE), schedule=MONTHS).fitted
+def _epoch_checks(spark, fitted, model, schedule):
     first = F.min_by("train_loss", "iteration")
     best = F.max(F.when(F.col("iteration") == fitted.best_epoch, F.col("valid_loss")))
-    return fitted.table(spark, "recurrent").groupBy("model").agg(
+    return fitted.table(spark, model).groupBy("model").agg(
         (F.count_distinct("iteration") == F.max("iteration") + 1).alias("consecutive"), (F.min("train_loss") < first).alias("learns"),
-        (best == F.min("valid_loss")).alias("best_is_least"), (F.max("iteration") - fitted.best_epoch <= MONTHS.patience).alias("patient"),
+        (best == F.min("valid_loss")).alias("best_is_least"), (F.max("iteration") - fitted.best_epoch <= schedule.patience).alias("patient"),
     )
 
 
+_EPOCHS_SQL = "select '{}' as model, true as consecutive, true as learns, true as best_is_least, true as patient"
+
+
+@query("recurrent_history", _EPOCHS_SQL.format("recurrent"))
+def _(spark, sf):
+    """Losses of both splits by epoch; the epoch that is restored has the least valid loss, and no run outlasts its patience."""
+    table = _month_sequences(dates(spark, sf))
+    return _epoch_checks(spark, fit_recurrent(table, len(SEQUENCE), schedule=MONTHS).fitted, "recurrent", MONTHS)
+
+
+@query("perceptron_history", _EPOCHS_SQL.format("perceptron"))
+def _(spark, sf):
+    """Losses of both splits by epoch of the perceptron, and its patience."""
+    fitted = fit_perceptron(_tabular(dates(spark, sf)), TABULAR, MONTH_KEY, schedule=PERCEPTRON).fitted
+    return _epoch_checks(spark, fitted, "perceptron", PERCEPTRON)
+
+
 UNITS = RecurrentConfig().units
 
 

@@ -97,7 +97,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -105,8 +105,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def kept_units(b: Batch, t: int, epoch: int, config: RecurrentConfig) -> np.ndarray:
     """What the units' outputs at place ``t`` are multiplied by: 0 or the inverse of the share that stays."""
-    seed = _mixed(b.mark.astype(np.uint64) ^ _mixed(b.steps[:, t].astype(np.uint64) + np.uint64(epoch * 1_000_003 + config.seed)))
-    draw = _mixed(seed[:, None] + np.arange(1, config.units + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    seed = mixed(b.mark.astype(np.uint64) ^ mixed(b.steps[:, t].astype(np.uint64) + np.uint64(epoch * 1_000_003 + config.seed)))
+    draw = mixed(seed[:, None] + np.arange(1, config.units + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     share = (draw >> np.uint64(11)).astype(np.float64) * 2.0**-53
     return (share >= config.dropout) / (1 - config.dropout)
 
