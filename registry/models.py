@@ -225,6 +225,22 @@ def _hierarchical(used):
     return models.hierarchical_input(seat_scores, used, STAR)
 
 
+DAYS = Schedule(epochs=6, rate=0.08, patience=3)
+
+
+@query(
+    "recurrent_seat_daily",
+    star(f"""select count(case when label = 1 then 1 end) as n_churned, count(case when label = 0 then 1 end) as n_kept,
+  true as scores_in_range, true as area_agrees, true as pr_in_range
+from (select s.contract_id, {label_sql('d.day', 's.create_day', 's.cancel_day', 365)} as label from seats s cross join (select cast(unnest(range(365)) as int) as day) d) l
+join ({SPLIT_SQL}) s on s.contract_id = l.contract_id where s.split = 'test' and l.label <> -1"""),
+)
+def _(spark, sf):
+    """The recurrent model over the days of a seat's life, with gradients of spans of 30 days."""
+    table = recurrent.seat_day_sequences(dates(spark, sf), STAR)
+    return _checked(recurrent.split_scores(fit_recurrent(table, len(STAR.features), recurrent.DAILY, DAYS), table))
+
+
 MONTHS = Schedule(epochs=20, rate=0.05, patience=6)
 SEATS = Schedule(epochs=8, rate=0.08, patience=3)
 

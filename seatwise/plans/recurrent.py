@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seatwise.config import ChurnConfig
 from seatwise.functions.vectors import total
 from seatwise.operators.evaluate import filter_scored
+from seatwise.operators.labels import seat_rollup
 from seatwise.operators.pool import pooled_names
 from seatwise.plans.models import FOLD_SEED, N_FOLDS, encode_features, scale_months, with_split
-from seatwise.plans.prep import prep_pooled
+from seatwise.plans.prep import prep_pooled, prep_seat_daily
 from seatwise.training.epochs import Schedule
 from seatwise.training.recurrent import RecurrentConfig, RecurrentModel, fit_recurrent, staged_sequences
 from seatwise.workspace import stage
@@ -23,6 +24,24 @@ def month_sequences(prep: DataFrame, features: Sequence[str], cfg: ChurnConfig,
     return staged_sequences(filter_scored(encode_features(scaled, features, cfg)), key, "month", features)
 
 
+# A day's gradient goes back through the days of its own span of 30.
+DAILY = RecurrentConfig(truncate=30, batch=64)
+
+
+def seat_day_sequences(dates: DataFrame, cfg: ChurnConfig) -> DataFrame:
+    """The days of each seat's life as one sequence, with its contract's split.
+
+    Features are divided by their deviation over all train days (one number for each feature: a day of its own has too few
+    seats with use), weights are 1. A seat has at most ``horizon_days`` steps, which bounds a row.
+    """
+    days = filter_scored(prep_seat_daily(dates, cfg)).join(seat_rollup(dates).select("seat_id", "contract_id"), "seat_id")
+    days = stage(with_split(days), "seat_days")
+    train = days.filter(F.col("split") == "train")
+    deviation = train.agg(*[F.stddev_pop(f).alias(f) for f in cfg.features]).first()  # one row
+    features = {f: F.coalesce(F.try_divide(F.col(f).cast("double"), F.lit(deviation[f])), F.lit(float(cfg.missing_value))) for f in cfg.features}
+    return staged_sequences(days.withColumns({**features, "weight": F.lit(1.0)}), "seat_id", "day", cfg.features)
+
+
 def latent_names(units: int) -> list[str]:
     return [f"latent_{i}" for i in range(units)]
 

@@ -207,3 +207,26 @@ def test_seat_states_are_out_of_fold(spark):
     assert states.filter(f"label <> -1 and not ({whole}) or label = -1 and not ({none})").count() == 0
     table, n = plans.contract_sequences(states, used, STAR, 4)
     assert n == 19 and table.selectExpr("max(size(x) / size(steps)) as a", "min(size(x) / size(steps)) as b").first() == (19, 19)
+
+
+def test_seat_days_are_sequences_of_life(spark):
+    """One step for each live day in order, the contract's split, features of deviation 1 over train days."""
+    from registry.core import dates
+    from seatwise.fixtures import STAR
+    from seatwise.plans import recurrent as plans
+    from seatwise.plans.models import with_split
+    from seatwise.plans.prep import prep_seat_daily
+    from seatwise.workspace import stage
+
+    used = dates(spark, "/root/testdata/sf0.001")
+    table = plans.seat_day_sequences(used, STAR)
+    live = stage(prep_seat_daily(used, STAR).filter("label <> -1"), "live")
+    steps = table.select("seat_id", F.explode(F.arrays_zip("steps", "label")).alias("s")).select("seat_id", "s.steps", F.col("s.label").cast("int").alias("label"))
+    assert steps.exceptAll(live.select("seat_id", "day", "label")).isEmpty() and steps.count() == live.count()
+    assert table.filter("not forall(sequence(1, size(steps) - 1), i -> i = 0 or steps[i] > steps[i - 1])").isEmpty()
+    assert table.filter(f"size(x) <> {len(STAR.features)} * size(steps)").isEmpty()
+    split = with_split(used.select("seat_id", "contract_id").distinct()).select("seat_id", "split")
+    assert table.select("seat_id", "split").exceptAll(split).isEmpty()
+    flat = np.array([v for r in table.filter("split = 'train'").select("x").collect() for v in r.x]).reshape(-1, len(STAR.features))
+    used_ones = flat.std(axis=0)[(flat != -1).any(axis=0)]
+    assert used_ones.size and np.allclose(used_ones, 1)
