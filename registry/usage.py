@@ -35,6 +35,7 @@ from seatwise.operators.labels import seat_rollup
 from seatwise.plans.prep import contract_month_features, seat_samples
 from seatwise.streaming.monthly import ingest_months
 from seatwise.workspace import new_path
+from seatwise.operators.sweep import interval_join_sweep
 
 _ASSIGNED_SQL = """select member_id, product_name, session_time, strftime(event_date, '%Y-%m-%d') as event_date,
   contract_id, seat_id, strftime(seat_cancelled_date, '%Y-%m-%d') as seat_cancelled_date,
@@ -76,6 +77,13 @@ def _log_joined(spark, sf):
     return usage.with_day(usage.with_day_zero(df, EVENTS))
 
 
+@query("interval_join_sweep", star(_ASSIGNED_SQL))
+def _(spark, sf):
+    """The sweep over time, with both sides of busy members split."""
+    events, sessions = _prepared(spark, sf)
+    return _assigned_columns(interval_join_sweep(events.dropDuplicates(), sessions, 30, (STAR.event_from, STAR.event_to), share=1e-4, floor=20))
+
+
 @query("interval_join_events", log(_LOG_JOIN_SQL))
 def _(spark, sf):
     df = _log_joined(spark, sf)
