@@ -29,12 +29,12 @@ from seatwise.fixtures import (
     star_taxonomy,
     star_usage,
 )
-from seatwise.operators import assign, grid, months, quality, usage
+from seatwise.operators import assign, grid, months, observed, quality, usage
 from seatwise.operators.clean import clean_assignments
 from seatwise.operators.labels import seat_rollup
-from seatwise.plans.prep import contract_month_features, seat_samples
+from seatwise.plans.prep import contract_month_features, dated_usage, seat_samples
 from seatwise.streaming.monthly import ingest_months
-from seatwise.workspace import new_path
+from seatwise.workspace import new_path, stage
 from seatwise.operators.sweep import interval_join_sweep
 
 _ASSIGNED_SQL = """select member_id, product_name, session_time, strftime(event_date, '%Y-%m-%d') as event_date,
@@ -292,6 +292,36 @@ def _(spark, sf):
     return quality.check_event_after_create(assigned(spark, sf))
 
 
+_COUNTED = ["member_id", "seat_id", "contract_id"]
+
+
+@query(
+    "observed_figures",
+    star(f"""select a.*, m.* from (select count(case when event_date < create_date then 1 end) as n_before_create, count(*) as n_events from assigned) a
+cross join (select count(*) as n_cells, 0::bigint as n_masked_with_features, count(case when label = -1 then 1 end) as n_label_m1,
+  count(case when label = 0 then 1 end) as n_label_0, count(case when label = 1 then 1 end) as n_label_1, 0::bigint as n_label_other from seat_month) m"""),
+)
+def _(spark, sf):
+    """The checks' figures, taken along while assigned usage and seat months are written."""
+    table, found = observed.observed_stage(assigned(spark, sf), "assigned", observed.create_figures() | {"n_events": F.count(F.lit(1))})
+    cells = observed.mask_figures(FEATURES) | observed.label_figures()
+    found |= observed.observed_stage(months.seat_months(dated_usage(table, STAR), STAR), "seat_months", cells)[1]
+    return spark.createDataFrame([found], ", ".join(f"{n} bigint" for n in found))
+
+
+@query(
+    "sketched_counts",
+    star("select count(*) as n_rows, " + ", ".join(f"count(distinct {c}) > 0 as {c}_agrees" for c in _COUNTED) + " from assigned"),
+)
+def _(spark, sf):
+    """Sketches by month of the event, stored and merged, within 4 % (five standard errors) of the exact counts."""
+    table, path = stage(assigned(spark, sf), "assigned"), new_path(spark, "sketches")
+    observed.store_sketches(observed.month_sketches(table, _COUNTED, F.date_format("event_date", "yyyy-MM")), path)
+    exact = quality.distinct_counts(table, _COUNTED).select(F.struct(*[f"n_{c}" for c in _COUNTED])).scalar()
+    near = [(F.abs(F.col(f"n_{c}") - exact[f"n_{c}"]) <= exact[f"n_{c}"] * 0.04).alias(f"{c}_agrees") for c in _COUNTED]
+    return observed.stored_counts(spark, path, _COUNTED).select("n_rows", *near)
+
+
 @query(
     "contract_month_features",
     star(f"""select p.contract_id, p.month, l.label,
