@@ -52,7 +52,8 @@ def prepare_usage(raw: DataFrame, taxonomy: DataFrame, cfg: ChurnConfig) -> Data
     return df.withColumn("event_date", F.to_date("event_time"))
 
 
-def _in_session(column: Callable[[str], Column]) -> Column:
+def in_session(column: Callable[[str], Column]) -> Column:
+    """Whether an event lies in a session of its member: both ends count, days before the creation date do not."""
     return (
         (column("event_date") >= column("create_date"))
         & (column("event_time") >= column("start_time"))
@@ -66,7 +67,7 @@ def interval_join(usage: DataFrame, assignments: DataFrame) -> DataFrame:
     An equi-join on the member with the ranges as residual condition. Within one member all events are
     compared with all sessions, so use ``interval_join_bucketed`` where members can be heavy.
     """
-    on = (usage["member_id"] == assignments["member_id"]) & _in_session(F.col)
+    on = (usage["member_id"] == assignments["member_id"]) & in_session(F.col)
     return usage.join(assignments, on, "inner").drop(assignments["member_id"])
 
 
@@ -114,7 +115,7 @@ def interval_join_bucketed(
         sessions,
         ["member_id", "_bucket"],
         spread,
-        condition=_in_session(F.col),
+        condition=in_session(F.col),
         share=share,
         floor=floor,
         distinct=distinct,

@@ -41,12 +41,34 @@ def use_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(f"{own_root(spark)}/checkpoints")
 
 
-def close(spark: SparkSession) -> None:
-    """Remove what this application has staged. Results that read a stage must have been used or written before."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_root(spark))
+def delete(spark: SparkSession, folder: str) -> None:
+    """Remove a folder, if it is there, from whatever file system it lies in."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _own_tables(spark: SparkSession) -> list[str]:
+    """Tables of the current database whose files lie below the folder of this application."""
+    own = own_root(spark)
+    names = [r["tableName"] for r in spark.sql("show tables").collect() if not r["isTemporary"]]
+    found = []
+    for name in names:
+        rows = spark.sql(f"describe table extended `{name}`").filter("col_name = 'Location'").collect()
+        if rows and own in rows[0]["data_type"]:
+            found.append(name)
+    return found
+
+
+def close(spark: SparkSession) -> None:
+    """Remove what this application has staged, catalog entries included.
+
+    Results that read a stage must have been used or written before.
+    """
+    for name in _own_tables(spark):
+        spark.sql(f"drop table if exists `{name}`")
+    delete(spark, own_root(spark))
+
+
 @contextmanager
 def run(spark: SparkSession) -> Iterator[SparkSession]:
     """A run whose stage tables are removed at its end, also after a failure."""
