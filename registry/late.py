@@ -1,4 +1,4 @@
-"""The event log with a day 0 three days late, so that seats exist before it, and with periods that end early."""
+"""The event log with a day 0 three days late, so that seats exist before it, and with periods that end early; arrivals out of order."""
 
 from __future__ import annotations
 
@@ -7,10 +7,13 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from registry.core import LOG_FEATURES, label_sql, log, query, rounded
+from registry.core import FEATURES, LOG_FEATURES, STAR_TABLES, encoded, label_sql, log, query, rounded
+from registry.pooling import PREP_SEQUENCE_SQL
 from registry.usage import log_days
-from seatwise.fixtures import EVENTS, event_spans
+from seatwise.fixtures import DAY_ONE, EVENTS, STAR, event_spans, star_assignment, star_taxonomy, star_usage
 from seatwise.operators import grid, labels, pool
+from seatwise.streaming.upkeep import Upkeep, kept_features, run_batch
+from seatwise.workspace import new_path
 
 LATE = replace(EVENTS, day_zero=date(2024, 1, 4))
 # 5 periods of 5 days end on day 25 of 30.
@@ -63,3 +66,20 @@ left join (select s.seat_id, p.period, {_period_label('s')} as label from ({_LAT
 def _(spark, sf):
     periods = labels.period_labels(late_spans(spark, sf).select("seat_id", "create_day", "cancel_day"), SHORT)
     return labels.expand_monthly_to_daily(periods, "seat_id", SHORT)
+
+
+@query("kept_up_features", PREP_SEQUENCE_SQL.replace(STAR_TABLES["day0"], f"select date '{DAY_ONE}' as day_zero"))
+def _(spark, sf):
+    """Usage in two arrivals by member and month, the first under sessions that are partly wrong, missing or too many."""
+    up = Upkeep(new_path(spark, "upkeep"), replace(STAR, day_zero=DAY_ONE), 8, share=1e-4, floor=20)
+    usage, right, taxonomy = star_usage(spark, sf), star_assignment(spark, sf), star_taxonomy(spark, sf)
+    key, later = F.col("seat_id").cast("bigint"), F.expr("interval 20 days")
+    wrong = right.filter(key % 7 != 0).withColumns({
+        "end_time": F.when(key % 5 == 0, F.col("end_time") - later).otherwise(F.col("end_time")),
+        "contract_id": F.when(key % 11 == 0, F.concat(F.lit("old-"), "contract_id")).otherwise(F.col("contract_id")),
+        "seat_cancelled_date": F.when(key % 3 == 0, F.col("seat_cancelled_date") + later).otherwise(F.col("seat_cancelled_date")),
+    })
+    arrival = F.pmod(F.xxhash64("member_id", F.date_format("event_time", "yyyy-MM")), F.lit(2))
+    run_batch(spark, up, 0, usage.filter(arrival == 0), taxonomy, wrong)
+    run_batch(spark, up, 1, usage.filter(arrival == 1), taxonomy, right)
+    return encoded(kept_features(spark, up), [*FEATURES, "n_seats"])

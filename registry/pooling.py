@@ -136,7 +136,10 @@ def _(spark, sf):
     return encoded(df, [*FEATURES, *LIFE, "n_seats"])
 
 
-@query("prep_sequence_baseline", _labelled(_sum_pool(FEATURES), _shown(FEATURES) + ", " + _COUNT_OR_MISSING))
+PREP_SEQUENCE_SQL = _labelled(_sum_pool(FEATURES), _shown(FEATURES) + ", " + _COUNT_OR_MISSING)
+
+
+@query("prep_sequence_baseline", PREP_SEQUENCE_SQL)
 def _(spark, sf):
     return encoded(prep.prep_sequence_baseline(dates(spark, sf), STAR), [*FEATURES, "n_seats"])
 

@@ -31,6 +31,7 @@ from seatwise.fixtures import (
 )
 from seatwise.operators import assign, grid, months, observed, quality, usage
 from seatwise.operators.clean import clean_assignments
+from seatwise.operators.layout import EventLayout, add_events, assigned_from_layout
 from seatwise.operators.labels import seat_rollup
 from seatwise.plans.prep import contract_month_features, dated_usage, seat_samples
 from seatwise.streaming.monthly import ingest_months
@@ -111,6 +112,22 @@ def _(spark, sf):
     return _assigned_columns(spark.read.parquet(out))
 
 
+def _third(events):
+    """Events dealt over three arrivals, whole months late or early, members apart."""
+    return events.withColumn("_arrival", F.pmod(F.xxhash64("member_id", F.date_format("event_time", "yyyy-MM")), F.lit(3)))
+
+
+@query("laid_out_usage", star(_ASSIGNED_SQL))
+def _(spark, sf):
+    """Events added to a layout in three batches, the last with copies of the others, then joined where they lie."""
+    layout = EventLayout(new_path(spark, "layout"), 8)
+    events, sessions = _prepared(spark, sf)
+    events = _third(events)
+    for batch in range(3):
+        add_events(layout, events.filter((F.col("_arrival") == batch) | F.lit(batch == 2)), batch, share=1e-4, floor=20)
+    return _assigned_columns(assigned_from_layout(layout, sessions, STAR))
+
+
 @query(
     "sum_by_category",
     star("select a.seat_id, " + ", ".join(

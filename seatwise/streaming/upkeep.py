@@ -20,7 +20,7 @@ from seatwise.config import ChurnConfig
 from seatwise.operators.assign import prepare_usage
 from seatwise.operators.clean import clean_assignments
 from seatwise.operators.layout import EventLayout, add_events, batch_numbers, join_laid_out, touched_months
-from seatwise.operators.skew import HOT_FLOOR, HOT_SHARE
+from seatwise.operators.skew import HOT_FLOOR, HOT_SHARE, skew_join
 from seatwise.operators.usage import time_sums, with_day_zero
 from seatwise.plans.prep import prep_sequence_baseline
 from seatwise.workspace import stage
@@ -95,15 +95,17 @@ def kept_dates(state: DataFrame, cfg: ChurnConfig) -> DataFrame:
     return with_day_zero(dates, cfg)
 
 
+def changes_until(spark: SparkSession, up: Upkeep, batch: int) -> DataFrame:
+    """Rows that add up to the state after ``batch``: the last merged state and the changes since."""
+    bases = batch_numbers(spark, f"{up.path}/state", batch + 1)[-1:]
+    since = [b for b in batch_numbers(spark, f"{up.path}/changes", batch + 1) if not bases or b > bases[0]]
+    parts = [_read(spark, up, kind, batches).drop("batch") for kind, batches in (("state", bases), ("changes", since)) if batches]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def state_at(spark: SparkSession, up: Upkeep, batch: int) -> DataFrame:
-    """The state after ``batch``, from the last merged state and the changes since."""
-    bases = batch_numbers(spark, f"{up.path}/state", batch + 1)
-    since = bases[-1] if bases else -1
-    rows = _read(spark, up, "changes", [b for b in batch_numbers(spark, f"{up.path}/changes", batch + 1) if b > since] or [batch])
-    rows = rows.drop("batch")
-    if bases:
-        rows = rows.unionByName(_read(spark, up, "state", [since]).drop("batch"))
-    return merged(rows, up.cfg)
+    """The state after ``batch``."""
+    return merged(changes_until(spark, up, batch), up.cfg)
 
 
 def compact(spark: SparkSession, up: Upkeep, batch: int) -> None:
@@ -111,18 +113,19 @@ def compact(spark: SparkSession, up: Upkeep, batch: int) -> None:
     stage(state_at(spark, up, batch), "state", up.folder("state", batch))
 
 
-def affected(changes: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(contracts, rows)``: the contracts whose features can differ after ``changes``, and the state rows they need.
+def affected(changes: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(contracts, rows)``: the contracts whose features can differ after ``changes``, and those of ``rows`` that they need.
 
     A seat counts for its least contract, so a changed seat touches every contract that it is or was assigned to; and a contract
-    needs all rows of all its seats. Both joins are semi-joins on distinct keys.
+    needs all rows of all its seats. ``rows`` need not be merged: only what is returned has to be. Contracts with many seats
+    are split.
     """
     seats = changes.select("seat_id").distinct()
-    moved = state.join(seats, "seat_id", "left_semi").select("contract_id")
-    contracts = changes.select("contract_id").unionByName(moved).distinct()
-    contracts = stage(contracts, "changed_contracts")
-    members = state.join(contracts, "contract_id", "left_semi").select("seat_id").distinct()
-    return contracts, state.join(members, "seat_id", "left_semi")
+    moved = rows.join(seats, "seat_id", "left_semi").select("contract_id")
+    contracts = stage(changes.select("contract_id").unionByName(moved).distinct(), "changed_contracts")
+    known = rows.filter(F.col("contract_id").isNotNull())
+    members = skew_join(known, contracts, ["contract_id"], ["seat_id"], "left_semi").select("seat_id").distinct()
+    return contracts, rows.join(members, "seat_id", "left_semi")
 
 
 def run_batch(
@@ -159,8 +162,8 @@ def run_batch(
             sums = sums.unionByName(signed_sums(again, cfg))
     changes = stage(sums, "changes", up.folder("changes", batch))
 
-    contracts, rows = affected(changes, state_at(spark, up, batch))
-    dates = stage(kept_dates(rows, cfg), "changed_dates")
+    contracts, rows = affected(changes, changes_until(spark, up, batch))
+    dates = stage(kept_dates(merged(rows, cfg), cfg), "changed_dates")
     months_now = prep_sequence_baseline(dates, cfg).join(contracts, "contract_id", "left_semi")
     stage(months_now, "features", up.folder("features", batch))
     # Written last: a batch counts once its contracts are named here.
