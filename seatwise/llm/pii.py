@@ -1,10 +1,13 @@
 """Personal data: candidate spans, voting labelers, reliabilities by expectation-maximisation, a span classifier.
 
-DataFrame expressions only. One pass over the texts finds candidate spans with their votes; they are written as a stage
-table, so the texts are read once. All further work is on counts of vote patterns, of which there are at most a few
-thousand however large the corpus: they are what the driver sees.
+DataFrame expressions only. One pass over the texts finds candidate spans with their votes and traits; they are written as
+a stage table, so the texts are read once. All further work is on counts of patterns of votes and traits, of which there is
+a bounded number however large the corpus: they are what the driver sees.
 
-A candidate of a base kind that passes its check is always a span. Other kinds are spans where the classifier says so.
+Votes say whether a candidate is personal; traits (how many digits, how varied, where on its line) say nothing by
+themselves, so expectation-maximisation sees the votes alone and the classifier sees both. Every span carries its score. A
+candidate of a base kind that passes its check is always a span. Other kinds (numbers of accounts, persons, and so on) are
+spans where the classifier says so.
 
 Results by case: NULL and empty texts have no spans; copies of a row get equal results; an empty table gives an
 empty one; ids may be NULL or repeat, since rows have a key of their own. Only the id and text columns are read.
@@ -21,6 +24,17 @@ from pyspark.sql.window import Window
 
 from seatwise.workspace import stage
 
+# Given names in frequent use in four languages, and titles.
+GIVEN_NAMES = (
+    "Alejandro|Alexander|Alice|Ana|Andreas|Andrew|Anna|Anne|Antoine|Antonio|Barbara|Carlos|Carmen|Caroline|Charles|Charlotte|"
+    "Christian|Christine|Claire|Claudia|Daniel|David|Diego|Elena|Elizabeth|Emily|Emma|Fernando|Francisco|Frank|Fritz|George|"
+    "Hans|Heinrich|Helen|Henri|Isabel|Jack|Jacques|James|Javier|Jean|Jennifer|Johann|John|José|Juan|Julia|Julie|Karl|Katharina|"
+    "Klaus|Laura|Linda|Louis|Lucas|Lucía|Luis|Manuel|Margaret|Maria|María|Marie|Mark|Martin|Mary|Matthias|Michael|Michel|"
+    "Miguel|Nicolas|Oliver|Pablo|Patricia|Paul|Pedro|Peter|Philippe|Pierre|Rafael|Richard|Robert|Sabine|Sarah|Sophie|Stefan|"
+    "Susan|Susanne|Teresa|Thomas|Ursula|Walter|William|Wolfgang"
+)
+TITLES = r"Mr\.?|Mrs\.?|Ms\.?|Dr\.|Prof\.|Herr|Frau|Mme\.?|Madame|Monsieur|Señor|Señora|Sra?\."
+
 # Base kinds in their order, then the kinds that the classifier decides on.
 # The patterns find what the plain ones do: a look behind and possessive loops keep them linear on long runs.
 _LOCAL, _HOST = "A-Za-z0-9._%+-", "A-Za-z0-9-"
@@ -32,6 +46,8 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "mac": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:])",
+    "account": r"(?<![0-9A-Za-z.+:-])(?<!\+[0-9]{1,3} )[0-9]{8,19}(?![0-9A-Za-z-])",
+    "person": rf"(?<!\p{{L}})(?:(?:{TITLES})\x20(?:(?:{GIVEN_NAMES})\x20)?|(?:{GIVEN_NAMES})\x20)\p{{Lu}}\p{{Ll}}+(?:-\p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})",
 }
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = tuple(PATTERNS)
@@ -40,8 +56,8 @@ NEEDED = {"email": "@", "ip": ".", "phone": "+", "ssn": "-", "mac": ":"}
 
 # Word lists of the labelers.
 DOMAINS = "com|org|net|edu|gov|info|io|co|uk|de|fr|es|it|eu"
-HELPING = "mail|email|e-mail|contact|phone|tel|telephone|call|mobile|fax|card|visa|payment|ip|address|host|ssn|social|iban|account|mac"
-HINDERING = "version|release|order|invoice|isbn|sku|hash|commit|build|part|serial|chapter|section"
+HELPING = "mail|email|e-mail|contact|phone|tel|telephone|call|mobile|fax|card|visa|payment|ip|address|host|ssn|social|iban|account|mac|name|dear|signed|author|regards|sincerely|konto|cuenta|compte"
+HINDERING = "saint|prize|university|street|version|release|order|invoice|isbn|sku|hash|commit|build|part|serial|chapter|section"
 
 
 @dataclass(frozen=True)
@@ -58,6 +74,7 @@ class PiiConfig:
 
 
 LABELERS = ("format", "check", "gazetteer", "helping", "hindering", "border")
+TRAITS = ("numeric", "varied", "opening")
 
 
 def candidates(docs: DataFrame, id_column: str, text_column: str, context: int) -> DataFrame:
@@ -105,8 +122,12 @@ def candidates(docs: DataFrame, id_column: str, text_column: str, context: int)
 
 
 def with_votes(spans: DataFrame) -> DataFrame:
-    """Add ``passes`` and one vote of 1, 0 or -1 per labeler; match and context texts go."""
+    """Add ``passes``, one vote of 1, 0 or -1 per labeler and traits of 0 or 1; match and context texts go.
+
+    A card's number is no account beside it.
+    """
     kind, match = F.col("kind"), F.col("match")
+    yes = lambda c: F.when(c, 1).otherwise(-1)
     digits = F.regexp_replace(match, "[^0-9]", "")
     n = F.length(digits)
     in_range = F.regexp_like(match, F.lit(r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$"))
@@ -116,38 +137,66 @@ def with_votes(spans: DataFrame) -> DataFrame:
         .when(kind == "card", n.between(16, 19) & F.call_function("luhn_check", digits))
         .when(kind == "phone", n.between(8, 15))
         .when(kind == "ssn", ~F.regexp_like(match, F.lit("^(?:000|666|9)|-00-|-0000$")))
+        .when(kind == "account", ~(n.between(16, 19) & F.call_function("luhn_check", digits)))
         .otherwise(True)
     )
-    yes_no = lambda c: F.when(c, 1).otherwise(-1)
     strict = (
         F.when(kind == "email", F.regexp_like(match, F.lit(r"^[A-Za-z0-9][^@]*[A-Za-z0-9]@[^@]+\.[A-Za-z]{2,}$")))
         .when(kind == "ip", F.regexp_like(match, F.lit(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")))
         .when(kind == "card", F.regexp_like(match, F.lit(r"^[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4,7}$")))
         .when(kind == "phone", F.regexp_like(match, F.lit(r"^\+[0-9]{1,3}[ .(-]")))
+        # No date, no round number.
+        .when(kind == "account", ~F.regexp_like(match, F.lit(r"^(?:19|20)[0-9]{6}(?:[0-9]{6})?$|0000$")))
+        .when(kind == "person", ~F.regexp_like(match, F.lit(r"\p{Lu}\p{Ll}$")))
         .otherwise(True)
     )
+    # An IBAN's letters count 10 to 35 and its first four characters stand last; the number is 1 modulo 97.
+    turned = F.concat(F.substring(match, 5, 40), F.substring(match, 1, 4))
+    mod_97 = F.aggregate(
+        F.split(F.when(kind == "iban", turned), ""),
+        F.lit(0),
+        lambda r, c: F.when(
+            c.between("0", "9"), (r * 10 + F.ascii(c) - 48) % 97
+        ).otherwise((r * 100 + F.ascii(c) - 55) % 97),
+    )
+    checked = (
+        F.when(kind == "iban", yes(mod_97 == 1))
+        .when(kind == "account", yes(F.call_function("luhn_check", digits)))
+        .when(kind.isin("person", "mac"), 0)
+        .otherwise(yes(passes))
+    )
     listed = (
         F.when(kind == "email", F.when(F.regexp_like(match, F.lit(rf"(?i)\.(?:{DOMAINS})$")), 1).otherwise(0))
         .when(kind == "ip", F.when(F.regexp_like(match, F.lit(r"^(?:0|127|255)\.|\.0\.0\.0$")), -1).otherwise(0))
         .when(kind == "card", F.when(F.regexp_like(digits, F.lit("^(?:4|5[1-5]|2[2-7]|3[47]|6)")), 1).otherwise(-1))
         .when(kind == "phone", F.when(F.regexp_like(match, F.lit(r"^\+(?:1|33|34|39|44|49)[^0-9]")), 1).otherwise(0))
+        .when(kind == "person", F.when(F.regexp_like(match, F.lit(rf"(?:^|\x20)(?:{GIVEN_NAMES})\x20")), 1).otherwise(0))
         .otherwise(0)
     )
     word = lambda w: F.regexp_like("before", F.lit(rf"(?i)(?<![a-z])(?:{w})(?![a-z])"))
     glued = F.regexp_like("before", F.lit("[A-Za-z0-9]$")) | F.coalesce(F.regexp_like("after", F.lit("^[A-Za-z0-9]")), F.lit(False))
     votes = {
-        "format": yes_no(strict),
-        "check": yes_no(passes),
+        # Nearly all candidates are well formed and stand alone, which is no sign of anything: only the opposite is a vote.
+        "format": F.when(strict, 0).otherwise(-1),
+        "check": checked,
         "gazetteer": listed,
         "helping": F.when(word(HELPING), 1).otherwise(0),
         "hindering": F.when(word(HINDERING), -1).otherwise(0),
-        "border": yes_no(~glued),
+        "border": F.when(glued, -1).otherwise(0),
+    }
+    seen = lambda c: F.when(c, 1).otherwise(0)
+    traits = {
+        "numeric": seen(n * 2 > F.length(match)),
+        "varied": seen(F.length(F.regexp_replace(digits, r"([0-9])(?=.*\1)", "")) >= 5),
+        "opening": seen(F.regexp_like("before", F.lit(r"(?:^|[\n:=(|])\s*$"))),
     }
     return spans.select(
-        "_row", "doc_id", "kind", "start", "end", passes.alias("passes"), *[v.cast("int").alias(k) for k, v in votes.items()]
+        "_row", "doc_id", "kind", "start", "end", passes.alias("passes"),
+        *[v.cast("int").alias(k) for k, v in (votes | traits).items()],
     )
 
 
+# Kind, votes and then traits, and how many candidates have them.
 Pattern = tuple[str, tuple[int, ...], int]
 
 
@@ -163,7 +212,7 @@ def reliabilities(patterns: Sequence[Pattern], config: PiiConfig) -> tuple[dict[
         truth = []
         for kind, votes, _ in patterns:
             odds = math.log(prior[kind] / (1 - prior[kind]))
-            odds += sum(v * math.log(a / (1 - a)) for v, a in zip(votes, accuracy, strict=True))
+            odds += sum(v * math.log(a / (1 - a)) for v, a in zip(votes[: len(LABELERS)], accuracy, strict=True))
             truth.append(sigmoid(odds))
         s = config.smoothing
         for j in range(len(LABELERS)):
@@ -184,15 +233,16 @@ def sigmoid(x: float) -> float:
 
 
 def fit_classifier(patterns: Sequence[Pattern], truth: Sequence[float], config: PiiConfig) -> dict[str, float]:
-    """Logistic weights of kinds and votes on the probabilities of the patterns, each weighted by its count."""
-    weights = {f"kind:{k}": 0.0 for k in KINDS} | {name: 0.0 for name in LABELERS}
+    """Logistic weights of kinds, votes and traits on the probabilities of the patterns, each weighted by its count."""
+    names = (*LABELERS, *TRAITS)
+    weights = {f"kind:{k}": 0.0 for k in KINDS} | dict.fromkeys(names, 0.0)
     total = sum(n for _, _, n in patterns)
     for _ in range(config.steps if total else 0):
         slope = dict.fromkeys(weights, 0.0)
-        for (kind, votes, n), p in zip(patterns, truth, strict=True):
-            miss = n / total * (p - sigmoid(weights[f"kind:{kind}"] + sum(weights[x] * v for x, v in zip(LABELERS, votes, strict=True))))
+        for (kind, seen, n), p in zip(patterns, truth, strict=True):
+            miss = n / total * (p - sigmoid(weights[f"kind:{kind}"] + sum(weights[x] * v for x, v in zip(names, seen, strict=False))))
             slope[f"kind:{kind}"] += miss
-            for name, v in zip(LABELERS, votes, strict=True):
+            for name, v in zip(names, seen, strict=False):
                 slope[name] += miss * v
         for name, s in slope.items():
             weights[name] += config.learning_rate * s
@@ -204,13 +254,15 @@ def pii_spans(
 ) -> DataFrame:
     """``(doc_id, spans)``: spans ``(kind, start, end, score)`` in the order of ``KINDS``, then by start."""
     found = stage(with_votes(candidates(docs, id_column, text_column, config.context)), "pii")
-    # At most 7 kinds times 3 ** 6 votes.
-    counts = found.filter(F.col("kind").isNotNull()).groupBy("kind", *LABELERS).count().collect()
-    patterns = sorted((r["kind"], tuple(r[x] for x in LABELERS), r["count"]) for r in counts)
+    # At most 9 kinds times 3 ** 6 votes times 2 ** 3 traits; most votes have two values, so it is far less.
+    seen = (*LABELERS, *TRAITS)
+    # A card's number counts as a card alone.
+    counts = found.filter(F.col("kind").isNotNull() & ((F.col("kind") != "account") | F.col("passes"))).groupBy("kind", *seen).count().collect()
+    patterns = sorted((r["kind"], tuple(r[x] for x in seen), r["count"]) for r in counts)
     _, _, truth = reliabilities(patterns, config)
     weights = fit_classifier(patterns, truth, config)
 
-    margin = sum((F.col(name) * weights[name] for name in LABELERS), F.lit(0.0))
+    margin = sum((F.col(name) * weights[name] for name in seen), F.lit(0.0))
     bias = F.coalesce(*[F.when(F.col("kind") == k, F.lit(weights[f"kind:{k}"])) for k in KINDS])
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(margin + bias)))
     base = F.col("kind").isin(*BASE_KINDS)

@@ -62,6 +62,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[_counted(spans, kind) for kind in pii.BASE_KINDS],
         _based(spans, pii.BASE_KINDS),
         span_text(spans).alias("spans"),
+        # In the order of the spans.
+        F.transform(spans, lambda s: F.round(s["score"], 4)).alias("scores"),
     )
 
 

@@ -4,7 +4,9 @@ import base64
 import json
 import re
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from seatwise.llm import licenses, pii, queries, secrets
@@ -123,6 +125,53 @@ def test_reliabilities_prefer_the_labeler_that_agrees():
     assert weights["check"] > abs(weights["border"])
 
 
+def test_reliabilities_row_by_row():
+    """The same model over single candidates, each with arrays of its own, gives the same probabilities."""
+    rng = np.random.default_rng(4)
+    config = pii.PiiConfig()
+    kinds = rng.choice(["card", "person", "account"], 300)
+    personal = rng.random(300) < 0.6
+    votes = np.where(rng.random((300, 6)) < 0.85, np.where(personal, 1, -1)[:, None], np.where(personal, -1, 1)[:, None])
+    votes[rng.random((300, 6)) < 0.3] = 0
+    counted = Counter((k, tuple(int(x) for x in v)) for k, v in zip(kinds, votes, strict=True))
+    patterns = [(k, v, n) for (k, v), n in sorted(counted.items())]
+    prior, accuracy, truth = pii.reliabilities(patterns, config)
+
+    right, share = np.full(6, config.first_accuracy), {k: 0.5 for k in set(kinds)}
+    for _ in range(config.rounds):
+        start = np.array([share[k] for k in kinds])
+        yes = start * np.prod(np.where(votes == 1, right, np.where(votes == -1, 1 - right, 1)), axis=1)
+        no = (1 - start) * np.prod(np.where(votes == -1, right, np.where(votes == 1, 1 - right, 1)), axis=1)
+        p = yes / (yes + no)
+        agree = (np.where(votes == 1, p[:, None], 0) + np.where(votes == -1, 1 - p[:, None], 0)).sum(axis=0)
+        right = np.clip((agree + 4) / ((votes != 0).sum(axis=0) + 5), 0.5, 0.99)
+        share = {k: float(np.clip((p[kinds == k].sum() + 1) / ((kinds == k).sum() + 2), 0.01, 0.99)) for k in share}
+    assert np.allclose(accuracy, right) and all(abs(prior[k] - share[k]) < 1e-9 for k in share)
+    by_pattern = {(k, v): t for (k, v, _), t in zip(patterns, truth, strict=True)}
+    assert np.allclose([by_pattern[k, tuple(int(x) for x in v)] for k, v in zip(kinds, votes, strict=True)], p)
+    # What the votes allow: the rule that knows the true accuracies and the true share.
+    best = np.log(0.6 / 0.4) + votes.sum(axis=1) * np.log(0.85 / 0.15) > 0
+    assert np.mean((p > 0.5) == personal) > np.mean(best == personal) - 0.02
+
+
+def test_classifier_decides(spark):
+    """Kinds without a base rule: what is kept follows from votes and traits, and each span has a score."""
+    said = {
+        "keep": ["Dear Mary Smith, hello", "account 79927398713 x", "signed Dr. Karl Wagner", "IBAN DE89370400440532013000"],
+        "drop": ["order 20240115 was sent", "invoice 70000000 due", "IBAN DE88370400440532013000x"],
+        "base": ["mail a@b.com", "card 4111 1111 1111 1111", "+49 30 1234567"],
+    }
+    texts = [(i, t) for i, t in enumerate(t for part in said.values() for t in part)] * 20
+    got = {r["doc_id"]: r["spans"] for r in pii.pii_spans(spark.createDataFrame(texts, "doc_id int, text string")).collect()}
+    keep, drop = len(said["keep"]), len(said["drop"])
+    assert [[s["kind"] for s in got[i]] for i in range(keep)] == [["person"], ["account"], ["person"], ["iban"]]
+    assert all(not got[i] for i in range(keep, keep + drop))
+    assert [[s["kind"] for s in got[keep + drop + i]] for i in range(3)] == [["email"], ["card"], ["phone"]]
+    assert all(0 < s["score"] < 1 for spans in got.values() for s in spans)
+    span = got[0][0]
+    assert said["keep"][0][span["start"] : span["end"]] == "Mary Smith"
+
+
 def test_license_base_places(spark, monkeypatch, table):
     got = results(spark, monkeypatch, table, "op3_license_scan", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     phrases = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
