@@ -47,7 +47,7 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "mac": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:])",
     "account": r"(?<![0-9A-Za-z.+:-])(?<!\+[0-9]{1,3} )[0-9]{8,19}(?![0-9A-Za-z-])",
-    "person": rf"(?<!\p{{L}})(?:(?:{TITLES})\x20(?:(?:{GIVEN_NAMES})\x20)?|(?:{GIVEN_NAMES})\x20)\p{{Lu}}\p{{Ll}}+(?:-\p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})",
+    "person": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{TITLES})\x20(?:(?:{GIVEN_NAMES})\x20)?|(?:{GIVEN_NAMES})\x20)\p{{Lu}}\p{{Ll}}+(?:-\p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})",
 }
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = tuple(PATTERNS)
