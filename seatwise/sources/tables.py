@@ -35,8 +35,15 @@ def write_parquet_overwrite(df: DataFrame, path: str, compression: str = "zstd")
 
 
 def list_input_files(df: DataFrame) -> DataFrame:
-    """``(file_path, n_rows)`` of the files that a scan reads."""
-    return df.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(F.count(F.lit(1)).alias("n_rows"))
+    """``(file_path, n_rows)`` of the files that a scan reads, those without rows included.
+
+    The names of all files come from the listing that planned the scan, the counts from the scan.
+    """
+    counts = df.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(F.count(F.lit(1)).alias("n_rows"))
+    listed = df.sparkSession.createDataFrame([(path, 0) for path in df.inputFiles()], counts.schema)
+    # The listing writes file:///a, the scan file:/a.
+    listed = listed.withColumn("file_path", F.regexp_replace("file_path", "^([A-Za-z0-9+.-]+):///", "$1:/"))
+    return counts.unionByName(listed).groupBy("file_path").agg(F.sum("n_rows").alias("n_rows"))
 
 
 def write_split_sets(df: DataFrame, path: str, key: str = "seat_id", parts: int = 64) -> None:

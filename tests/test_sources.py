@@ -29,6 +29,15 @@ def test_monthly_paths(spark, tmp_path):
     assert sorted(r.m for r in df.collect()) == ["2020-01", "2020-03"]
 
 
+def test_files_without_rows_are_listed(spark, tmp_path):
+    path = str(tmp_path / "a b%c")
+    spark.range(3).coalesce(1).write.parquet(path)
+    spark.range(0).coalesce(1).write.mode("append").parquet(path)
+    found = tables.list_input_files(spark.read.parquet(path)).collect()
+    assert sorted(r.n_rows for r in found) == [0, 3]
+    assert len({r.file_path.rsplit("/", 1)[0] for r in found}) == 1
+
+
 def test_overwrite_files_and_splits(spark, tmp_path):
     path = str(tmp_path / "t")
     tables.write_parquet_overwrite(spark.range(10), path)
