@@ -43,6 +43,15 @@ def test_grid_stays_inside_the_horizon(spark):
     assert dense == every | zero | used
 
 
+def test_days_are_spread_in_all_parts(spark):
+    """Usage rows are few and days many, so parts must not be merged by the size of the usage."""
+    spans = spark.range(64).select(F.col("id").cast("string").alias("seat_id"), F.lit(0).alias("create_day"), F.lit(7).alias("cancel_day"))
+    days = spark.createDataFrame([("1", 3, 9)], "seat_id string, day int, x bigint")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dense = grid.dense_days(days, spans, ["x"], 8)
+    assert dense.count() == 64 * 8 and dense.rdd.getNumPartitions() == parts > 1
+
+
 def test_days_past_the_last_period(spark):
     periods = spark.createDataFrame([("c", p, p % 2) for p in range(5)], "contract_id string, period int, label int")
     for n_periods in (5, 3):
@@ -72,6 +81,18 @@ def test_any_product_counts_as_use(spark):
     assert [r["steps_since_use"] for r in got] == [0, 1, 0, 1, 2]
 
 
+def test_trees_scan_one_vector(spark):
+    """The staged input of boosted trees has its vector, so no scan puts it together again."""
+    rows = [("c", m, *[0] * 14, 0.0, 1.0) for m in range(3)]
+    columns = [*STAR.time_features, *STAR.count_features]
+    schema = "contract_id string, month int, " + ", ".join(f"{c} bigint" for c in columns) + ", label double, weight double"
+    got = models.sequence_input(spark.createDataFrame(rows, schema), columns, STAR, "contract_id", models.total(STAR.count_features))
+    names = models.history_names(columns)
+    row = got.orderBy("month").collect()[-1]
+    assert list(row["features"]) == [row[n] for n in names]
+    assert models.assemble(got, names).columns == got.columns
+
+
 def test_null_keys_are_spread(spark):
     facts = spark.range(2000).select(F.lit(None).cast("int").alias("k"), F.col("id").alias("v"))
     facts = facts.unionByName(spark.createDataFrame([(1, -1), (2, -2)], "k int, v bigint"))
