@@ -47,9 +47,18 @@ def with_split(df: DataFrame, shares: Mapping[str, float] = SHARES, seed: str =
 
 
 def assemble(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Add ``features``, the columns as one vector; a table from ``stage_assembled`` has it already."""
+    if "features" in df.columns:
+        return df
     return VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="error").transform(df)
 
 
+def stage_assembled(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+    """A stage table with ``features`` beside ``columns``: boosted trees scan their input many times, and to put a vector
+    together from many columns takes longer than all else in a scan."""
+    return stage(assemble(df, columns), name)
+
+
 def scale_months(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Scale by the training rows of the same month."""
     state = fit_std_scaler(df.filter(F.col("split") == "train"), features)
@@ -162,13 +171,13 @@ def fit_gbt(
 
 
 def sequence_input(prep: DataFrame, features: Sequence[str], cfg: ChurnConfig, key: str, use: Column) -> DataFrame:
-    """Scaled months inside life with their history features, as a stage table.
+    """Scaled months inside life with their history features as one vector, as a stage table.
 
     ``use`` is above 0 in months with use; it is taken before scaling.
     """
     months = stage(with_split(prep).withColumn("_use", use), "months")
     scaled = filter_scored(encode_features(scale_months(months, features), features, cfg))
-    return stage(history_features(scaled, key, features, "_use").drop("_use"), "sequence_input")
+    return stage_assembled(history_features(scaled, key, features, "_use").drop("_use"), history_names(features), "sequence_input")
 
 
 def daily_group_input(dates: DataFrame, cfg: ChurnConfig) -> tuple[DataFrame, list[str]]:
@@ -182,7 +191,8 @@ def daily_group_input(dates: DataFrame, cfg: ChurnConfig) -> tuple[DataFrame, li
     days = days.withColumns({f: F.col(f).cast("double") for f in features})
     rows = history_features(days, "contract_id", features, "max_alive", DAY_LAGS, "day")
     labelled = rows.filter(F.col("weight") != 0).withColumn("weight", F.col("weight").cast("double"))
-    return stage(labelled, "daily_input"), history_names(features, DAY_LAGS)
+    names = history_names(features, DAY_LAGS)
+    return stage_assembled(labelled, names, "daily_input"), names
 
 
 # ---- two stages: seats, then contracts ----------------------------------------------------------
@@ -208,7 +218,7 @@ def seat_stage_scores(seat_rows: DataFrame, cfg: ChurnConfig, weighted: bool = F
         }
     )
     names = history_names(features)
-    rows = stage(history_features(live, "seat_id", features, "_use"), "seat_sequence_input")
+    rows = stage(assemble(history_features(live, "seat_id", features, "_use"), names).drop(*names), "seat_sequence_input")
 
     parts = []
     train = F.col("split") == "train"
