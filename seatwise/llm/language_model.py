@@ -7,8 +7,7 @@
    their own; the last symbol stands for all others, which share its probability by their counts.
 3. The model is trained by rounds. In a round each bucket of training texts goes on from the last state on its own, step by
    step, and the states of all buckets are averaged in a tree. Buckets have a bounded size, so there are more of them when the
-   input grows. The model is trained on the training texts whose hash lies below a share: ``lesson_share``, or what gives
-   about ``least_lessons`` subwords if that is more.
+   input grows. Every training text is in one bucket of one round.
 4. The vocabulary is joined to the chunks' words, and each chunk's texts meet their words: counts, subwords, windows, scores.
 
 Windows overlap: each scores its last ``stride`` places, so a subword is scored once, with ``length - stride`` to
@@ -51,8 +50,6 @@ class ModelConfig:
     held_fold: int = 2
     chunk_bytes: int = 32_000_000
     slice_rows: int = 1000
-    lesson_share: float = 1 / 24
-    least_lessons: int = 2_000_000
     rounds: int = 4
     bucket_subwords: int = 400_000
     windows: int = 64  # of a training step
@@ -259,11 +256,10 @@ def fitted(texts: DataFrame, tokenizer: str, symbols: Symbols, config: ModelConf
     """The model after all rounds."""
     spark = texts.sparkSession
     state = attention.with_moments(attention.initial(symbols.counts, config.model))
-    total = max(int(symbols.counts.sum()), 1)
-    share = max(config.lesson_share, min(1.0, config.least_lessons / total))
-    parts = max(1, round(share * total / (config.rounds * config.bucket_subwords)))
+    total = int(symbols.counts.sum())
+    parts = max(1, round(total / (config.rounds * config.bucket_subwords)))
     mark = F.xxhash64(F.col("doc_id").cast("string"), "text")
-    lessons = texts.filter(~F.col("held_out") & (F.pmod(mark, F.lit(1_000_000)) < share * 1_000_000))
+    lessons = texts.filter(~F.col("held_out"))
     bucket = F.pmod(F.xxhash64(F.lit("bucket"), mark), F.lit(parts * config.rounds)).cast("int")
     lessons = stage(lessons.select(bucket.alias("bucket"), mark.alias("mark"), "text"), "lessons")
     shared = spark.sparkContext.broadcast((tokenizer, symbols))  # a tokenizer file and an entry for each of its ids

@@ -10,9 +10,10 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from seatwise.llm import attention
+from seatwise.llm import attention, language_model
 from seatwise.llm.attention import AttentionConfig
 from seatwise.llm.language_model import END, ModelConfig, Scorer, Splitter, Symbols, text_scores
+from seatwise.workspace import stage
 from tests.llm.helpers import documents
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -160,6 +161,24 @@ def test_scores_follow_the_model(spark):
         assert r["score"] == pytest.approx(expected, rel=1e-4)
 
 
+def test_all_training_texts_are_lessons(spark):
+    """However many subwords there are, every text outside the held-out fold is trained on, once."""
+    rows = [(i, f"text {i} of many") for i in range(60)]
+    texts = language_model.chunked(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text", ModelConfig())
+    seen = {}
+
+    def watched(df, name, **options):
+        seen[name] = stage(df, name, **options)
+        return seen[name]
+
+    counts = np.full(AttentionConfig().symbols, 50_000.0)
+    known = Symbols(np.zeros(Splitter(tokenizer_text()).end + 1, np.int64), np.zeros(Splitter(tokenizer_text()).end + 1), counts)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(language_model, "stage", watched)
+        language_model.fitted(texts, tokenizer_text(), known, ModelConfig(rounds=1))
+    assert seen["lessons"].count() == texts.filter("not held_out").count() > 40
+
+
 def test_training_beats_the_counts(spark):
     """On text with a pattern the trained model says more than the counts of words, also on held-out texts."""
     rows = [(i, " ".join(["red blue green blue", "one two three two"][(i + k) % 2] for k in range(30)), "s") for i in range(400)]
