@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seatwise.config import ChurnConfig
+from seatwise.functions.labels import ALIVE, CHURN
 from seatwise.functions.vectors import total
 from seatwise.operators.evaluate import filter_scored
+from seatwise.operators.grid import day_runs
 from seatwise.operators.labels import seat_rollup
 from seatwise.operators.pool import pooled_names
+from seatwise.operators.usage import seat_days
 from seatwise.plans.models import FOLD_SEED, N_FOLDS, encode_features, scale_months, with_split
-from seatwise.plans.prep import prep_pooled, prep_seat_daily
+from seatwise.plans.prep import prep_pooled
 from seatwise.training.epochs import Schedule
 from seatwise.training.recurrent import RecurrentConfig, RecurrentModel, fit_recurrent, staged_sequences
 from seatwise.workspace import stage
@@ -34,12 +39,50 @@ def seat_day_sequences(dates: DataFrame, cfg: ChurnConfig) -> DataFrame:
     Features are divided by their deviation over all train days (one number for each feature: a day of its own has too few
     seats with use), weights are 1. A seat has at most ``horizon_days`` steps, which bounds a row.
     """
-    days = filter_scored(prep_seat_daily(dates, cfg)).join(seat_rollup(dates).select("seat_id", "contract_id"), "seat_id")
-    days = stage(with_split(days), "seat_days")
-    train = days.filter(F.col("split") == "train")
-    deviation = train.agg(*[F.stddev_pop(f).alias(f) for f in cfg.features]).first()  # one row
-    features = {f: F.coalesce(F.try_divide(F.col(f).cast("double"), F.lit(deviation[f])), F.lit(float(cfg.missing_value))) for f in cfg.features}
-    return staged_sequences(days.withColumns({**features, "weight": F.lit(1.0)}), "seat_id", "day", cfg.features)
+    seats = seat_rollup(dates)
+    runs = day_runs(seat_days(dates, cfg), seats, cfg.features, cfg.horizon_days).join(seats.select("seat_id", "contract_id"), "seat_id")
+    runs = stage(with_split(_live_runs(runs, cfg)), "seat_runs")
+    deviation = _deviations(runs.filter(F.col("split") == "train"), cfg.features)
+    x = F.array(*[F.coalesce(F.try_divide(F.col(f).cast("double"), F.lit(deviation[f]).cast("double")), F.lit(float(cfg.missing_value))) for f in cfg.features])
+    # What moves is a row for each run; the days of a seat are put together from its runs in its own row. Runs are small and every
+    # epoch works on the days, so the number of parts is fixed.
+    item = F.struct("first", "last", "label", x.alias("x"))
+    n_parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seat = runs.repartition(n_parts, "seat_id").groupBy("seat_id", "split").agg(F.array_sort(F.collect_list(item)).alias("s"))
+    size = lambda r: r["last"] - r["first"] + 1
+    rows = seat.select(
+        "seat_id", "split", F.xxhash64("seat_id").alias("mark"), F.flatten(F.transform("s", lambda r: F.sequence(r["first"], r["last"]))).alias("steps"),
+        F.flatten(F.flatten(F.transform("s", lambda r: F.array_repeat(r["x"], size(r))))).alias("x"),
+        F.flatten(F.transform("s", lambda r: F.array_repeat(r["label"], size(r)))).alias("label"),
+    )
+    return stage(rows.withColumn("weight", F.array_repeat(F.lit(1.0), F.size("steps"))), "sequences")
+
+
+def _live_runs(runs: DataFrame, cfg: ChurnConfig) -> DataFrame:
+    """``day_runs`` cut to the days that have a label, with it: the days alive, and the day of cancellation on its own."""
+    first, last, created, cancelled, n = F.col("first"), F.col("last"), F.col("create_day"), F.col("cancel_day"), cfg.horizon_days
+    censored = cancelled.isNull() | (cancelled >= n)
+    end = F.when(censored, F.lit(n - 1)).otherwise(cancelled - 1)
+    # A cancellation before day 0 or creation leaves no day alive.
+    alive = F.struct(F.greatest(first, F.coalesce(created, F.lit(n))).alias("first"), F.least(last, end).alias("last"), F.lit(float(ALIVE)).alias("label"))
+    churn = F.struct(F.when(~censored & cancelled.between(first, last), cancelled).alias("first"), cancelled.alias("last"), F.lit(float(CHURN)).alias("label"))
+    cut = runs.select("seat_id", "contract_id", *cfg.features, F.inline(F.array(alive, churn)))
+    return cut.filter(F.col("first") <= F.col("last"))
+
+
+def _deviations(runs: DataFrame, features: Sequence[str]) -> dict[str, float | None]:
+    """Population deviation of each feature over the days of ``runs``, from exact sums; None without values."""
+    days = (F.col("last") - F.col("first") + 1).cast("decimal(6,0)")
+    sums = []
+    for f in features:
+        value = F.col(f).cast("decimal(12,0)")
+        sums += [F.sum(F.when(value.isNotNull(), days)).alias(f"n_{f}"), F.sum(days * value).cast("string").alias(f"s_{f}"), F.sum(days * value * value).cast("string").alias(f"q_{f}")]
+    row = runs.agg(*sums).first()  # one row
+    found = {}
+    for f in features:
+        n, s, q = (int(row[f"{k}_{f}"] or 0) for k in "nsq")
+        found[f] = math.sqrt(Fraction(n * q - s * s, n * n)) if n else None
+    return found
 
 
 def latent_names(units: int) -> list[str]:

@@ -103,10 +103,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def kept_units(b: Batch, t: int, epoch: int, config: RecurrentConfig) -> np.ndarray:
-    """What the units' outputs at place ``t`` are multiplied by: 0 or the inverse of the share that stays."""
-    seed = mixed(b.mark.astype(np.uint64) ^ mixed(b.steps[:, t].astype(np.uint64) + np.uint64(epoch * 1_000_003 + config.seed)))
-    draw = mixed(seed[:, None] + np.arange(1, config.units + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def kept_units(b: Batch, epoch: int, config: RecurrentConfig) -> np.ndarray:
+    """What the units' outputs at all places, the places first, are multiplied by: 0 or the inverse of the share that stays."""
+    seed = mixed(b.mark.astype(np.uint64) ^ mixed(b.steps.T.astype(np.uint64) + np.uint64(epoch * 1_000_003 + config.seed)))
+    draw = mixed(seed[..., None] + np.arange(1, config.units + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     share = (draw >> np.uint64(11)).astype(np.float64) * 2.0**-53
     return (share >= config.dropout) / (1 - config.dropout)
 
@@ -115,53 +115,69 @@ def forward(w: Arrays, b: Batch) -> dict[str, np.ndarray]:
     """Gates, memory and outputs of all places; sequences that have ended keep their last state."""
     n, longest, _ = b.x.shape
     h = w["output"].size
-    fed = b.x @ w["input"] + w["bias"]
+    fed = np.ascontiguousarray(b.x.transpose(1, 0, 2)) @ w["input"] + w["bias"]
     gates, memory, out = np.zeros((longest, n, 4 * h)), np.zeros((longest + 1, n, h)), np.zeros((longest + 1, n, h))
-    for t in range(longest):
-        live = int((b.lengths > t).sum())  # the longest come first
-        z = fed[:live, t] + out[t, :live] @ w["hidden"]
-        gates[t, :live, : 2 * h], gates[t, :live, 3 * h :] = sigmoid(z[:, : 2 * h]), sigmoid(z[:, 3 * h :])
-        gates[t, :live, 2 * h : 3 * h] = np.tanh(z[:, 2 * h : 3 * h])
-        take, keep, new, show = np.split(gates[t, :live], 4, axis=1)
-        memory[t + 1], out[t + 1] = memory[t], out[t]
-        memory[t + 1, :live] = keep * memory[t, :live] + take * new
-        out[t + 1, :live] = show * np.tanh(memory[t + 1, :live])
-    return {"gates": gates, "memory": memory, "out": out}
+    bent = np.zeros((longest, n, h))
+    lives = (np.arange(longest)[:, None] < b.lengths).sum(axis=1).tolist()  # the longest come first
+    # One tanh for all gates: a sigmoid is half of the tanh of half, plus a half.
+    half = np.repeat([0.5, 0.5, 1.0, 0.5], h)
+    shift = 1 - half
+    for t, live in enumerate(lives):
+        z = fed[t, :live] + out[t, :live] @ w["hidden"]
+        z *= half
+        np.tanh(z, out=z)
+        z *= half
+        z += shift
+        gates[t, :live] = z
+        if live < n:
+            memory[t + 1, live:], out[t + 1, live:] = memory[t, live:], out[t, live:]
+        memory[t + 1, :live] = z[:, h : 2 * h] * memory[t, :live] + z[:, :h] * z[:, 2 * h : 3 * h]
+        np.tanh(memory[t + 1, :live], out=bent[t, :live])
+        out[t + 1, :live] = z[:, 3 * h :] * bent[t, :live]
+    return {"gates": gates, "memory": memory, "out": out, "bent": bent}
 
 
 def loss_and_gradient(w: Arrays, b: Batch, epoch: int, config: RecurrentConfig) -> tuple[np.ndarray, Arrays]:
     """Sums of (train loss, train weight, valid loss, valid weight), and the gradient of the train loss's sum."""
     f, h = forward(w, b), w["output"].size
     g = {k: np.zeros_like(v) for k, v in w.items()}
-    sums = np.zeros(4)
     longest = b.x.shape[1]
-    dh, dc, dz_all = np.zeros((len(b.lengths), h)), np.zeros((len(b.lengths), h)), np.zeros((*b.x.shape[:2], 4 * h))
+    there = np.arange(longest)[:, None] < b.lengths  # the places first, as in the gates
+    # Only the way back goes place by place; what a place has of its own is computed for all places at once.
+    kept = np.where(b.learn[:, None], kept_units(b, epoch, config), 1.0) if config.dropout else 1.0
+    shown = f["out"][1:] * kept
+    z = shown @ w["output"] + w["offset"]
+    label, weight = b.label.T, np.where(there, b.weight.T, 0.0)
+    loss = weight * (np.logaddexp(0, z) - label * z)
+    learn = b.learn
+    sums = np.array([loss[:, learn].sum(), weight[:, learn].sum(), loss[:, ~learn].sum(), weight[:, ~learn].sum()])
+    slope = np.where(learn, weight * (sigmoid(z) - label), 0.0)
+    g["output"], g["offset"] = slope.ravel() @ shown.reshape(-1, h), np.array([slope.sum()])
+    own = slope[..., None] * w["output"] * kept
+    take, keep, new, show = (f["gates"][:, :, i * h : (i + 1) * h] for i in range(4))
+    bent = f["bent"]
+    into = show * (1 - bent * bent)
+    # A gate's slope is the slope of the memory, or of the output for the last one, times these.
+    by_take, by_keep = new * take * (1 - take), f["memory"][:-1] * keep * (1 - keep)
+    by_new, by_show = take * (1 - new * new), bent * show * (1 - show)
+    back = np.ascontiguousarray(w["hidden"].T)
+    dh, dc, dz = np.zeros((len(b.lengths), h)), np.zeros((len(b.lengths), h)), np.zeros_like(f["gates"])
+    lives = there.sum(axis=1)
     for t in reversed(range(longest)):
-        live = int((b.lengths > t).sum())
+        live = int(lives[t])
         if config.truncate and (t + 1) % config.truncate == 0:
             dh[:], dc[:] = 0, 0
-        learn = b.learn[:live]
-        kept = np.where(learn[:, None], kept_units(b, t, epoch, config)[:live], 1.0) if config.dropout else np.ones((live, h))
-        out = f["out"][t + 1, :live] * kept
-        z = out @ w["output"] + w["offset"]
-        label, weight = b.label[:live, t], b.weight[:live, t]
-        loss = weight * (np.logaddexp(0, z) - label * z)
-        sums += [loss[learn].sum(), weight[learn].sum(), loss[~learn].sum(), weight[~learn].sum()]
-        slope = np.where(learn, weight * (sigmoid(z) - label), 0.0)
-        g["output"] += out.T @ slope
-        g["offset"] += slope.sum()
-        dh[:live] += slope[:, None] * w["output"] * kept
-        take, keep, new, show = np.split(f["gates"][t, :live], 4, axis=1)
-        bent = np.tanh(f["memory"][t + 1, :live])
-        d_memory = dc[:live] + dh[:live] * show * (1 - bent * bent)
-        dz = np.concatenate(
-            [d_memory * new * take * (1 - take), d_memory * f["memory"][t, :live] * keep * (1 - keep), d_memory * take * (1 - new * new), dh[:live] * bent * show * (1 - show)], axis=1
-        )
-        dz_all[:live, t] = dz
-        g["hidden"] += f["out"][t, :live].T @ dz
-        dh[:live], dc[:live] = dz @ w["hidden"].T, d_memory * keep
-    flat = dz_all.reshape(-1, 4 * h)
-    g["input"], g["bias"] = b.x.reshape(len(flat), -1).T @ flat, flat.sum(axis=0)
+        out = dh[:live] + own[t, :live]
+        memory = dc[:live] + out * into[t, :live]
+        at = dz[t, :live]
+        np.multiply(memory, by_take[t, :live], out=at[:, :h])
+        np.multiply(memory, by_keep[t, :live], out=at[:, h : 2 * h])
+        np.multiply(memory, by_new[t, :live], out=at[:, 2 * h : 3 * h])
+        np.multiply(out, by_show[t, :live], out=at[:, 3 * h :])
+        dh[:live], dc[:live] = at @ back, memory * keep[t, :live]
+    flat = dz.reshape(-1, 4 * h)
+    g["hidden"] = f["out"][:-1].reshape(-1, h).T @ flat
+    g["input"], g["bias"] = b.x.transpose(1, 0, 2).reshape(len(flat), -1).T @ flat, flat.sum(axis=0)
     return sums, g
 
 

@@ -230,3 +230,30 @@ def test_seat_days_are_sequences_of_life(spark):
     flat = np.array([v for r in table.filter("split = 'train'").select("x").collect() for v in r.x]).reshape(-1, len(STAR.features))
     used_ones = flat.std(axis=0)[(flat != -1).any(axis=0)]
     assert used_ones.size and np.allclose(used_ones, 1)
+
+
+def test_seat_days_equal_the_dense_days(spark):
+    """Steps, features and labels are those of the daily table, which the sequences are not made of: no table of days is staged."""
+    from registry.core import dates
+    from seatwise.fixtures import STAR
+    from seatwise.plans import recurrent as plans
+    from seatwise.plans.models import with_split
+    from seatwise.plans.prep import prep_seat_daily
+    from seatwise.workspace import stage
+
+    used, staged = dates(spark, "/root/testdata/sf0.001"), []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(plans, "stage", lambda df, name: staged.append((name, stage(df, name))) or staged[-1][1])
+        table = plans.seat_day_sequences(used, STAR)
+    live = stage(prep_seat_daily(used, STAR).filter("label <> -1"), "live").join(with_split(used.select("seat_id", "contract_id").distinct()), "seat_id").toPandas()
+    deviation = live[live.split == "train"][STAR.features].astype(float).std(ddof=0)
+    assert staged[0][1].count() < len(live)
+    got = {r.seat_id: r for r in table.collect()}
+    assert set(got) == set(live.seat_id)
+    for seat, rows in live.sort_values("day").groupby("seat_id"):
+        x = rows[STAR.features].astype(float).to_numpy()
+        with np.errstate(all="ignore"):
+            x = np.where(deviation.to_numpy() == 0, -1, np.nan_to_num(x / deviation.to_numpy(), nan=-1))
+        r = got[seat]
+        assert r.steps == rows.day.tolist() and r.label == rows.label.tolist() and r.weight == [1.0] * len(rows)
+        assert np.allclose(np.array(r.x).reshape(len(rows), -1), x)
