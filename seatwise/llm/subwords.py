@@ -9,9 +9,11 @@ of its words, so scoring keeps one number per bucket and runs in the tasks, over
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
+from functools import cache
 from math import log
+from typing import TypeVar
 from zlib import crc32
 
 import numpy as np
@@ -20,11 +22,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from seatwise.llm.text import held_out, texts_of
 
+T = TypeVar("T")
+
 
 @dataclass(frozen=True)
 class SubwordConfig:
     """``max_train`` bounds the labelled documents that the model is fitted on, and so what the driver holds;
-    ``max_words`` bounds the word cache of a task. With ``damped`` a word that stands n times in a text counts 1 + ln(n)
+    ``max_words`` bounds the word cache of a task. Texts are scored together up to ``batch_words``, and words hashed together up
+    to ``batch_chars``, or one larger text or word. With ``damped`` a word that stands n times in a text counts 1 + ln(n)
     times, and ``neutral`` words without a vector are averaged in: so one word, repeated, does not decide.
     ``false_alarms`` is the share of class 0 that may score 0.5 or more, see ``shift``; None leaves the bias as fitted."""
 
@@ -38,6 +43,8 @@ class SubwordConfig:
     max_train: int = 4000
     folds: int = 5
     max_words: int = 150_000
+    batch_words: int = 50_000
+    batch_chars: int = 500_000
     damped: bool = False
     neutral: float = 0.0
     false_alarms: float | None = None
@@ -83,27 +90,84 @@ class SubwordModel:
     margins: np.ndarray
     bias: float
 
-    def scorer(self) -> Callable[[Sequence[str]], float]:
-        """Probability of class 1 for a list of words."""
-        margins, config, known = self.margins.tolist(), self.config, {}
-
-        def of_word(word: str) -> float:
-            ids = buckets_of(word, config)
-            known[word] = margin = sum([margins[i] for i in ids]) / len(ids)
-            return margin
-
-        def score(words: Sequence[str]) -> float:
-            total, weight = 0.0, config.neutral
-            for word, n in word_counts(words, config).items():
-                margin = known.get(word)
-                total += n * (of_word(word) if margin is None else margin)
-                weight += n
+    def word_margins(self, words: Sequence[str]) -> np.ndarray:
+        """Margin of each word: the mean over ``buckets_of`` it, all words at once."""
+        config, margins = self.config, self.margins.astype(np.float64)
+        marked = [f"<{w}>" for w in words]
+        pieces = [m.encode("utf-8", "surrogatepass") for m in marked]
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        starts = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # of characters
+        sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+        owner = np.repeat(np.arange(len(marked)), sizes)
+        left = np.cumsum(sizes)[owner] - np.arange(len(owner))  # characters up to the end of the word
+        whole = np.fromiter(map(crc32, pieces), np.uint32, len(pieces))
+        total, found = margins[whole % np.uint32(config.buckets)], np.ones(len(marked), np.int64)
+        for n in range(config.n_grams[0], config.n_grams[1] + 1):
+            first = np.flatnonzero(left >= n)
+            buckets = _crcs(data, starts[first], starts[first + n] - starts[first]) % np.uint32(config.buckets)
+            total += np.bincount(owner[first], margins[buckets], len(marked))
+            found += np.maximum(sizes - n + 1, 0)
+        return total / found
+
+    def batch_scorer(self) -> Callable[[Sequence[Sequence[str]]], list[float]]:
+        """Probabilities of class 1 for lists of words, the words that are new among them hashed together."""
+        config, known = self.config, {}
+
+        def scores(documents: Sequence[Sequence[str]]) -> list[float]:
             if len(known) > config.max_words:
                 known.clear()
-            x = self.bias + (total / weight if words else 0.0)
-            return float(1 / (1 + np.exp(-x))) if x > -700 else 0.0
+            counted = [word_counts(words, config) for words in documents]
+            new = list(dict.fromkeys(w for counts in counted for w in counts if w not in known))
+            for part in cut(new, config.batch_chars, len):
+                known.update(zip(part, self.word_margins(part).tolist(), strict=True))
+            result = []
+            for counts in counted:
+                total = sum([n * known[w] for w, n in counts.items()])
+                weight = sum(counts.values()) + config.neutral
+                x = self.bias + (total / weight if counts else 0.0)
+                result.append(float(1 / (1 + np.exp(-x))) if x > -700 else 0.0)
+            return result
+
+        return scores
 
-        return score
+    def scorer(self) -> Callable[[Sequence[str]], float]:
+        """Probability of class 1 for a list of words."""
+        scores = self.batch_scorer()
+        return lambda words: scores([words])[0]
+
+
+def cut(items: Iterable[T], most: int, size: Callable[[T], int]) -> Iterator[list[T]]:
+    """Runs of items whose sizes add up to ``most`` at least, the last to less; a larger item ends its run."""
+    run: list[T] = []
+    held = 0
+    for item in items:
+        run.append(item)
+        held += size(item)
+        if held >= most:
+            yield run
+            run, held = [], 0
+    if run:
+        yield run
+
+
+@cache
+def _crc_table(after: int) -> np.ndarray:
+    """What each byte adds (by exclusive or) to the CRC-32 of a text in which ``after`` bytes follow it."""
+    zero = crc32(bytes(after + 1))
+    return np.array([crc32(bytes([b]) + bytes(after)) ^ zero for b in range(256)], np.uint32)
+
+
+def _crcs(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """CRC-32 of spans of ``data``: for one length it is linear in the bytes."""
+    result = np.empty(len(starts), np.uint32)
+    for length in np.flatnonzero(np.bincount(lengths)).tolist():
+        at = np.flatnonzero(lengths == length)
+        own = starts[at]
+        found = np.full(len(at), crc32(bytes(length)), np.uint32)
+        for k in range(length):
+            found ^= _crc_table(length - 1 - k)[data[own + k]]
+        result[at] = found
+    return result
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: Sequence[int], config: SubwordConfig) -> SubwordModel:
@@ -225,9 +289,11 @@ def scored(docs: DataFrame, model: SubwordModel, words: Callable[[str], list[str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = shared.value.scorer()
+        model = shared.value
+        scores = model.batch_scorer()
         for batch, texts in texts_of(batches):
-            values = pa.array([score(words(t)) for t in texts], pa.float64())
+            runs = cut(map(words, texts), model.config.batch_words, len)
+            values = pa.array([x for run in runs for x in scores(run)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
 
     others = docs.drop(name)

@@ -101,3 +101,21 @@ def test_without_labels_or_documents(spark):
     docs, none = documents(spark, corpus(5)), labels(spark, [])
     assert {r["score"] for r in quality.quality_scores(docs, none, SMALL).collect()} == {0.5}
     assert quality.quality_scores(documents(spark, []), none, SMALL).count() == 0
+
+
+@pytest.mark.parametrize("config", [quality.CONFIG, toxicity.CONFIG, SMALL])
+def test_words_are_hashed_together(monkeypatch, config):
+    """Margins equal a loop over each word's buckets; scoring itself hashes no word alone."""
+    rng = np.random.default_rng(1)
+    model = subwords.SubwordModel(config, rng.normal(0, 1, config.buckets).astype(np.float32), 0.1)
+    words = ["", "a", "ab", "word", "<>", "é", "ßé", "naïve", "日本語", "𝛼𝛽x", "a😀", "\udc00", "\x00\x01", "x" * 1000, "é" * 300]
+    expected = [np.mean(model.margins[subwords.buckets_of(w, config)].astype(float)) for w in words]
+    assert model.word_margins(words) == pytest.approx(expected, abs=1e-12)
+    monkeypatch.setattr(subwords, "buckets_of", None)
+    texts = [words, ["a"] * 5, [], ["word", "日本語"] * 3]
+    together, score = replace(model, config=replace(config, batch_chars=3, max_words=2)).batch_scorer(), model.scorer()
+    assert together(texts) == pytest.approx([score(t) for t in texts]) == together(texts)
+
+
+def test_cut():
+    assert list(subwords.cut([5, 1, 9, 2, 2], 6, int)) == [[5, 1], [9], [2, 2]] and not list(subwords.cut([], 6, int))
