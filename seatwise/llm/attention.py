@@ -7,7 +7,6 @@ softmax in two levels: over classes of symbols, then over the symbols of the cla
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -94,25 +93,31 @@ def times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[-1])
 
 
-def _visible(held: np.ndarray, config: AttentionConfig) -> np.ndarray:
-    """1 where a scored place sees a place: itself and those before it, none that is masked."""
+def _hide(attention: np.ndarray, held: np.ndarray, config: AttentionConfig) -> None:
+    """0 where a scored place does not see a place: it sees itself and those before it, none that is masked. In place."""
     length, stride = config.length, config.stride
-    earlier = np.arange(length) <= np.arange(length - stride, length)[:, None]
-    return (earlier & (held >= 0)[:, None, :]).astype(np.float32)
+    attention *= (np.arange(length) <= np.arange(length - stride, length)[:, None]).astype(attention.dtype)
+    some = np.flatnonzero((held < 0).any(axis=1))
+    if len(some):
+        attention[some] *= (held[some] >= 0)[:, None, :]
 
 
 def _forward(w: Weights, held: np.ndarray, config: AttentionConfig) -> dict[str, np.ndarray]:
     tail = config.length - config.stride
-    h0 = w["embedding"][held] + w["place"]  # -1 takes some row, which nobody sees
+    h0 = w["embedding"][held]  # -1 takes some row, which nobody sees
+    h0 += w["place"]
     own = np.ascontiguousarray(h0[:, tail:])
     q, k, v = times(own, w["query"] * np.float32(config.dimension**-0.5)), times(h0, w["key"]), times(h0, w["value"])
     attention = np.matmul(q, k.transpose(0, 2, 1))
     exponentials(attention)
-    attention *= _visible(held, config)
+    _hide(attention, held, config)
     attention /= np.maximum(attention @ np.ones(config.length, attention.dtype), np.float32(1e-30))[..., None]
     seen = np.matmul(attention, v)
-    h1 = own + times(seen, w["out"])
-    up = np.maximum(times(h1, w["up"]) + w["up_bias"], 0)
+    h1 = times(seen, w["out"])
+    h1 += own
+    up = times(h1, w["up"])
+    up += w["up_bias"]
+    np.maximum(up, 0, out=up)
     return {"h0": h0, "own": own, "q": q, "k": k, "v": v, "attention": attention, "seen": seen, "h1": h1, "up": up, "h2": h1 + times(up, w["down"])}
 
 
@@ -131,8 +136,12 @@ def log_probabilities(w: Weights, held: np.ndarray, wanted: np.ndarray, config:
         hidden[at] = h
         result[at] = _chosen(h @ w["class"] + w["class_bias"], kind[at])
     # The members of a class in all windows at once.
-    for c, at in _by_class(kind):
-        result[at] += _chosen(hidden[at] @ w["member"][c] + w["member_bias"][c], member[at])
+    order, spans = _class_spans(kind)
+    hidden, member = hidden[order], member[order]
+    members = np.empty(len(symbol))
+    for c, at in spans:
+        members[at] = _chosen(hidden[at] @ w["member"][c] + w["member_bias"][c], member[at])
+    result[order] += members
     found = np.zeros(wanted.shape)
     found[there] = result
     return found
@@ -145,12 +154,12 @@ def _chosen(logits: np.ndarray, choice: np.ndarray) -> np.ndarray:
     return np.log(own / (logits @ np.ones(logits.shape[1], logits.dtype)))
 
 
-def _by_class(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _class_spans(kind: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """The order of places by class, and where in it each class that occurs lies."""
     small = kind.astype(np.uint16)  # sorted by digits
     order = np.argsort(small, kind="stable")
-    if len(order):
-        for at in np.split(order, np.flatnonzero(np.diff(small[order])) + 1):
-            yield int(kind[at[0]]), at
+    ends = np.cumsum(np.bincount(small))
+    return order, [(c, slice(a, b)) for c, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if a < b] if len(order) else []
 
 
 def gradient(w: Weights, held: np.ndarray, wanted: np.ndarray, config: AttentionConfig) -> tuple[float, Weights]:
@@ -168,12 +177,22 @@ def gradient(w: Weights, held: np.ndarray, wanted: np.ndarray, config: Attention
     slope[rows, kind] -= 1
     g["class"], g["class_bias"] = h.T @ slope, slope.sum(axis=0)
     dh = slope @ w["class"].T
-    for c, at in _by_class(kind):
-        slope, here = softmax(h[at] @ w["member"][c] + w["member_bias"][c]), np.arange(len(at))
-        loss -= np.log(slope[here, member[at]].astype(np.float64)).sum()
-        slope[here, member[at]] -= 1
-        g["member"][c], g["member_bias"][c] = h[at].T @ slope, slope.sum(axis=0)
-        dh[at] += slope @ w["member"][c].T
+    # Sorted by class, so that the members of a class are one product of matrices and all else is done for all at once.
+    order, spans = _class_spans(kind)
+    hs, kinds = h[order], kind[order]
+    slope = w["member_bias"][kinds]
+    for c, at in spans:
+        slope[at] += hs[at] @ w["member"][c]
+    softmax(slope)
+    loss -= np.log(slope[rows, member[order]].astype(np.float64)).sum()
+    slope[rows, member[order]] -= 1
+    back = np.empty_like(hs)
+    for c, at in spans:
+        np.matmul(hs[at].T, slope[at], out=g["member"][c])
+        np.matmul(slope[at], w["member"][c].T, out=back[at])
+    if spans:
+        g["member_bias"][[c for c, _ in spans]] = np.add.reduceat(slope, [at.start for _, at in spans])
+    dh[order] += back
 
     dh2 = np.zeros_like(f["h2"])
     dh2[there] = dh
@@ -185,7 +204,8 @@ def gradient(w: Weights, held: np.ndarray, wanted: np.ndarray, config: Attention
     dseen = times(dh1, w["out"].T)
     dv = np.matmul(f["attention"].transpose(0, 2, 1), dseen)
     da = np.matmul(dseen, f["v"].transpose(0, 2, 1))
-    da = f["attention"] * (da - (da * f["attention"]).sum(axis=-1, keepdims=True))
+    da -= ((da * f["attention"]) @ np.ones(config.length, da.dtype))[..., None]
+    da *= f["attention"]
     dq, dk = np.matmul(da, f["k"]) * np.float32(config.dimension**-0.5), np.matmul(da.transpose(0, 2, 1), f["q"])
     g["query"], g["key"], g["value"] = flat(f["own"]).T @ flat(dq), flat(f["h0"]).T @ flat(dk), flat(f["h0"]).T @ flat(dv)
     dh0 = times(dk, w["key"].T) + times(dv, w["value"].T)

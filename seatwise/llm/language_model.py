@@ -5,9 +5,9 @@
 2. Occurrences are added up by word, and each distinct word is split into subwords once: the vocabulary. The
    subwords' counts come from it, so both counts cover all training texts. The most frequent subwords are symbols of
    their own; the last symbol stands for all others, which share its probability by their counts.
-3. The model is trained by rounds. In a round each bucket of training texts goes on from the last state on its own, step by
-   step, and the states of all buckets are averaged in a tree. Buckets have a bounded size, so there are more of them when the
-   input grows. Every training text is in one bucket of one round.
+3. The model is trained by rounds, on symbols that are found once for all of them. In a round each bucket of training texts
+   goes on from the last state on its own, step by step, and the states of all buckets are averaged in a tree. Buckets have a
+   bounded size, so there are more of them when the input grows. Every training text is in one bucket of one round.
 4. The vocabulary is joined to the chunks' words, and each chunk's texts meet their words: counts, subwords, windows, scores.
 
 Windows overlap: each scores its last ``stride`` places, so a subword is scored once, with ``length - stride`` to
@@ -21,7 +21,6 @@ columns are not read. A word goes by any text length; words are never cut.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import chain
@@ -35,10 +34,8 @@ from tokenizers import Tokenizer
 
 from seatwise.llm import attention
 from seatwise.llm.attention import AttentionConfig, Weights
-from seatwise.llm.text import fold, texts_of
-from seatwise.workspace import stage
+from seatwise.workspace import delete, new_path, shuffles_dropped, stage
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # No word has a line break, so it can stand for the end of a text.
 END = "\n"
 
@@ -50,6 +47,7 @@ class ModelConfig:
     held_fold: int = 2
     chunk_bytes: int = 32_000_000
     slice_rows: int = 1000
+    cached_words: int = 200_000
     rounds: int = 4
     bucket_subwords: int = 400_000
     windows: int = 64  # of a training step
@@ -57,10 +55,6 @@ class ModelConfig:
     fan_in: int = 32
 
 
-def words_of(text: str) -> list[str]:
-    return WORD.findall(fold(text))
-
-
 class Splitter:
     """Words to subword ids; the end of a text has an id of its own, after those of the tokenizer."""
 
@@ -125,6 +119,23 @@ def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(full), np.bincount(owner, minlength=len(texts))
 
 
+def with_ends(words: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of words with that of the end after each text, and where each text starts in them."""
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    flat = np.full(len(words) + len(lengths), end, np.int64)
+    inside = np.ones(len(flat), bool)
+    inside[starts + lengths] = False
+    flat[inside] = words
+    return flat, starts
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray, words: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the subwords of some words lie, one after the other, and how many each text has; ``texts``: their first words."""
+    size = sizes[words]
+    at = np.repeat(starts[words] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    return at, np.add.reduceat(size, texts)
+
+
 def counted(words: pa.Array, n: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """Distinct words with the sums of ``n``."""
     coded = words.dictionary_encode()
@@ -233,8 +244,9 @@ def trained(state: Weights, symbols: np.ndarray, lengths: np.ndarray, turn: int,
 _STATE = "part int, weight bigint, turn bigint, state binary"
 
 
-def averaged(states: DataFrame, n: int, config: ModelConfig) -> tuple[np.ndarray, int]:
-    """Mean state of a round by weight, and the mean turn. ``fan_in`` states meet in a task, until few are left."""
+def averaged(states: DataFrame, n: int, folder: str, config: ModelConfig) -> tuple[np.ndarray, int]:
+    """Mean state of a round by weight, and the mean turn. ``fan_in`` states meet in a task, until few are left; what lies
+    between goes below ``folder``."""
 
     def merge(table: pa.Table) -> pa.Table:
         weight = table.column("weight").to_numpy()
@@ -245,51 +257,88 @@ def averaged(states: DataFrame, n: int, config: ModelConfig) -> tuple[np.ndarray
 
     while n > 4:
         n = -(-n // config.fan_in)
-        states = stage(states.withColumn("part", F.pmod("part", F.lit(n))).groupBy("part").applyInArrow(merge, _STATE), "states")
+        states = states.withColumn("part", F.pmod("part", F.lit(n))).groupBy("part").applyInArrow(merge, _STATE)
+        states = stage(states, "states", path=f"{folder}/{n}")
     rows = sorted(states.collect(), key=lambda r: r["part"])  # at most 4 states
     weight = np.array([r["weight"] for r in rows], np.float64)
     mean = sum(w * np.frombuffer(r["state"], np.float32).astype(np.float64) for w, r in zip(weight, rows, strict=True)) / weight.sum()
     return mean, int(sum(r["turn"] * r["weight"] for r in rows) // weight.sum())
 
 
-def fitted(texts: DataFrame, tokenizer: str, symbols: Symbols, config: ModelConfig) -> Weights:
-    """The model after all rounds."""
+def symbol_type(config: ModelConfig) -> np.dtype:
+    return np.min_scalar_type(config.model.symbols - 1)
+
+
+def lessons_of(texts: DataFrame, tokenizer: str, symbols: Symbols, buckets: int, config: ModelConfig) -> DataFrame:
+    """``(bucket, mark, symbols)`` of each training text: its symbols and that of its end, found once for all rounds.
+
+    A task splits a word once, as long as it holds no more than ``cached_words``.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((tokenizer, symbols))  # a tokenizer file and an entry for each of its ids
+    mark = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    bucket = F.pmod(F.xxhash64(F.lit("bucket"), mark), F.lit(buckets)).cast("int")
+    rows = texts.filter(~F.col("held_out")).select(bucket.alias("bucket"), mark.alias("mark"), "text")
+    kind = symbol_type(config)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text_of_tokenizer, known = shared.value
+        splitter = Splitter(text_of_tokenizer)
+        numbers: dict[str, int] = {}
+        flat, sizes = np.empty(0, kind), np.empty(0, np.int64)
+        for batch in batches:
+            for first in range(0, batch.num_rows, config.slice_rows):
+                part = batch.slice(first, config.slice_rows)
+                found, lengths = tokens(part.column("text"))
+                coded = found.dictionary_encode()
+                words = [*coded.dictionary.to_pylist(), END]
+                if len(numbers) > config.cached_words:
+                    numbers, flat, sizes = {}, np.empty(0, kind), np.empty(0, np.int64)
+                new = [w for w in words if w not in numbers]
+                numbers.update(zip(new, range(len(numbers), len(numbers) + len(new)), strict=True))
+                ids = splitter.split(new)
+                flat = np.concatenate([flat, known.symbol[np.fromiter(chain.from_iterable(ids), np.int64)].astype(kind)])
+                sizes = np.concatenate([sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
+                number = np.fromiter((numbers[w] for w in words), np.int64, len(words))
+                word, starts = with_ends(coded.indices.to_numpy(), lengths, len(words) - 1)
+                at, subwords = spread(np.cumsum(sizes) - sizes, sizes, number[word], starts)
+                offsets = np.concatenate([[0], np.cumsum(subwords * kind.itemsize)]).astype(np.int32)
+                found = pa.BinaryArray.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(flat[at])])
+                yield pa.RecordBatch.from_arrays([part.column("bucket"), part.column("mark"), found], ["bucket", "mark", "symbols"])
+
+    return rows.mapInArrow(run, "bucket int, mark bigint, symbols binary")
+
+
+def fitted(texts: DataFrame, tokenizer: str, symbols: Symbols, config: ModelConfig, path: str | None = None) -> Weights:
+    """The model after all rounds. ``path``: where the lessons lie, which nobody needs afterwards."""
     spark = texts.sparkSession
     state = attention.with_moments(attention.initial(symbols.counts, config.model))
     total = int(symbols.counts.sum())
     parts = max(1, round(total / (config.rounds * config.bucket_subwords)))
-    mark = F.xxhash64(F.col("doc_id").cast("string"), "text")
-    lessons = texts.filter(~F.col("held_out"))
-    bucket = F.pmod(F.xxhash64(F.lit("bucket"), mark), F.lit(parts * config.rounds)).cast("int")
-    lessons = stage(lessons.select(bucket.alias("bucket"), mark.alias("mark"), "text"), "lessons")
-    shared = spark.sparkContext.broadcast((tokenizer, symbols))  # a tokenizer file and an entry for each of its ids
+    lessons = stage(lessons_of(texts, tokenizer, symbols, parts * config.rounds, config), "lessons", path=path, codec="zstd")
+    kind = symbol_type(config)
     turn = 0
     for turn_of in range(config.rounds):
         begin = spark.sparkContext.broadcast((state, turn))  # bounded by the shape of the model
 
         def run(table: pa.Table) -> pa.Table:
-            text_of_tokenizer, known = shared.value
             found, turn = begin.value
             own = {k: x.copy() for k, x in found.items()}
-            splitter, ids = Splitter(text_of_tokenizer), {}
             bucket = table.column("bucket")[0].as_py()
-            rows, lengths = [], []
-            for _, text in sorted(zip(table.column("mark").to_pylist(), table.column("text").to_pylist(), strict=True)):
-                words = [*words_of(text), END]
-                new = [w for w in dict.fromkeys(words) if w not in ids]
-                ids.update(zip(new, splitter.split(new), strict=True))
-                rows.append(known.symbol[[i for w in words for i in ids[w]]])
-                lengths.append(len(rows[-1]))
-            own, turn = trained(own, np.concatenate(rows), np.array(lengths), turn, config, bucket)
-            columns = [pa.array([bucket // config.rounds], pa.int32()), pa.array([sum(lengths)], pa.int64()), pa.array([turn], pa.int64()), pa.array([packed(own)], pa.binary())]
+            rows = [row for _, row in sorted(zip(table.column("mark").to_pylist(), table.column("symbols").to_pylist(), strict=True))]
+            lengths = np.array([len(row) // kind.itemsize for row in rows])
+            own, turn = trained(own, np.frombuffer(b"".join(rows), kind).astype(np.int64), lengths, turn, config, bucket)
+            columns = [pa.array([bucket // config.rounds], pa.int32()), pa.array([int(lengths.sum())], pa.int64()), pa.array([turn], pa.int64()), pa.array([packed(own)], pa.binary())]
             return pa.Table.from_arrays(columns, ["part", "weight", "turn", "state"])
 
-        here = lessons.filter(F.pmod("bucket", F.lit(config.rounds)) == turn_of)
-        states = stage(here.groupBy("bucket").applyInArrow(run, _STATE), "states")
+        # About four buckets in a task: a task is long by its steps, not by its bytes.
+        here = lessons.filter(F.pmod("bucket", F.lit(config.rounds)) == turn_of).repartition(max(1, parts // 4), "bucket")
+        folder = new_path(spark, "states")
+        states = stage(here.groupBy("bucket").applyInArrow(run, _STATE), "states", path=f"{folder}/all")
         n = states.count()
         if n:
-            mean, turn = averaged(states, n, config)
+            mean, turn = averaged(states, n, folder, config)
             state = unpacked(mean, state)
+        delete(spark, folder)  # the mean is on the driver
     return attention.weights_of(state)
 
 
@@ -319,15 +368,9 @@ class Scorer:
         result: list[tuple[np.ndarray, ...]] = []
         for start in range(0, texts.num_rows, self.config.slice_rows):
             found, lengths = tokens(pa.concat_arrays(texts.column("text").slice(start, self.config.slice_rows).chunks))
+            flat, first = with_ends(pc.index_in(found, value_set=vocabulary).to_numpy(), lengths, end)
             lengths += 1
-            first = np.cumsum(lengths) - lengths
-            flat = np.full(lengths.sum(), end, np.int64)  # the last token of each text is its end
-            inside = np.ones(len(flat), bool)
-            inside[first + lengths - 1] = False
-            flat[inside] = pc.index_in(found, value_set=vocabulary).to_numpy()
-            size = sizes[flat]
-            at = np.repeat(starts[flat] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            subwords = np.add.reduceat(size, first)
+            at, subwords = spread(starts, sizes, flat, first)
             score = np.add.reduceat(share[at], np.cumsum(subwords) - subwords) + self.model_scores(symbol[at], subwords)
             result.append((lengths, np.add.reduceat((counts[flat] > 0).astype(np.int64), first), np.add.reduceat(logs[flat], first), score / np.log(10)))
         columns = [np.concatenate(c) for c in zip(*result, strict=True)]
@@ -354,12 +397,15 @@ def text_scores(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id",
     """
     spark: SparkSession = docs.sparkSession
     tokenizer = Path(tokenizer_path).read_text(encoding="utf-8")
-    texts = chunked(docs, id_column, text_column, config)
-    words = stage(chunk_words(texts, config), "chunk_words")
-    known = stage(vocabulary(words, tokenizer), "vocabulary")
-    totals = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    symbols = Symbols.by_counts(subword_counts(known, Splitter(tokenizer).end + 1), config.model.symbols)
-    weights = fitted(texts, tokenizer, symbols, config)
+    with shuffles_dropped(spark):
+        texts = chunked(docs, id_column, text_column, config)
+        words = stage(chunk_words(texts, config), "chunk_words", codec="zstd")
+        known = stage(vocabulary(words, tokenizer), "vocabulary", codec="zstd")
+        totals = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
+        symbols = Symbols.by_counts(subword_counts(known, Splitter(tokenizer).end + 1), config.model.symbols)
+        lessons = new_path(spark, "lessons")
+        weights = fitted(texts, tokenizer, symbols, config, lessons)
+        delete(spark, lessons)
     shared = spark.sparkContext.broadcast(Scorer(weights, symbols, int(totals["n"]), int(totals["v"]), config))  # bounded, as above
     met = words.select("chunk", "word").join(known, "word")
     doc_id = docs.schema[id_column].dataType.simpleString()

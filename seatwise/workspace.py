@@ -78,6 +78,18 @@ def run(spark: SparkSession) -> Iterator[SparkSession]:
         close(spark)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """In here a query's shuffle files go when it ends, not when the driver collects garbage. For frames that are read once."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stage(df: DataFrame, name: str, path: str | None = None, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once and return it as a table scan.
 

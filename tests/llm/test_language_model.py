@@ -3,6 +3,7 @@
 import math
 import re
 from collections import Counter
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
@@ -185,3 +186,41 @@ def test_training_beats_the_counts(spark):
     config = ModelConfig(bucket_subwords=20_000, rounds=2, windows=8)
     row = text_scores(documents(spark, rows), PATH, config=config).filter("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
     assert row.score > 0.5 * row.base
+
+
+def test_lessons_hold_the_symbols_of_their_texts(spark, monkeypatch):
+    """Texts are split once for all rounds, also when the words of a task are more than it keeps; nothing is left behind."""
+    rows = [(i, t) for i, t in enumerate(["Some words here", " other\twords words ", "", None, "a" * 50, "été ß"] * 8)]
+    config = ModelConfig(model=TINY, slice_rows=3, cached_words=4)
+    texts = language_model.chunked(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text", config)
+    splitter = Splitter(tokenizer_text())
+    rng = np.random.default_rng(0)
+    known = Symbols(rng.integers(0, TINY.symbols, splitter.end + 1), np.zeros(splitter.end + 1), np.ones(TINY.symbols))
+    found = language_model.lessons_of(texts, tokenizer_text(), known, 5, config).collect()
+    kind = language_model.symbol_type(config)
+    expected = []
+    for text in [r.text for r in texts.filter("not held_out").collect()]:
+        ids = splitter.split([*WORD.findall(text.lower()), END])
+        expected.append(known.symbol[[i for w in ids for i in w]].tolist())
+    assert sorted(np.frombuffer(r.symbols, kind).tolist() for r in found) == sorted(expected)
+    assert len({r.bucket for r in found}) > 1 and all(0 <= r.bucket < 5 for r in found)
+
+
+def test_stages_of_training_go_with_it(spark):
+    """What only the training needs is gone when it ends, and the setting for shuffle files is as it was."""
+    left, kept = {}, []
+
+    def watched(df, name, path=None, **options):
+        result = stage(df, name, path, **options)
+        kept.append((name, result.inputFiles()))
+        return result
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(language_model, "stage", watched)
+        text_scores(documents(spark, [(i, f"text {i}", "s") for i in range(30)]), PATH, config=SMALL).collect()
+    for kind, files in kept:
+        left[kind] = left.get(kind, 0) + sum(Path("/" + f.removeprefix("file:").lstrip("/")).exists() for f in files)
+    assert left["lessons"] == left["states"] == 0 < min(left["texts"], left["vocabulary"])
+    assert spark.conf.get(name) == before
