@@ -93,7 +93,8 @@ def add_events(layout: EventLayout, events: DataFrame, batch: int, share: float
         if not earlier.isEmpty():
             # NULL equals NULL inside a struct. Copies may lie in other slots, if the member had fewer events then.
             key = F.struct(*names)
-            known = earlier.select(key.alias("_event"))
+            # By their size in files, events look small enough to send whole to the driver; in memory they are many times that.
+            known = earlier.select(key.alias("_event")).hint("merge")
             dealt = dealt.withColumn("_event", key).join(known, "_event", "left_anti").drop("_event")
             dealt = dealt.repartition(layout.buckets, "member_id", "slot")
 
@@ -141,7 +142,8 @@ def join_laid_out(
     sessions = sessions.repartition(layout.buckets, "member_id", "slot")
     events = events.select(*names, "slot")
     on = (events["member_id"] == sessions["member_id"]) & (events["slot"] == sessions["slot"]) & in_session(F.col)
-    return events.join(sessions, on).drop(sessions["member_id"]).drop("slot")
+    # Not by broadcast of the events, however small their files are: they would pass through the driver.
+    return events.join(sessions.hint("merge"), on).drop(sessions["member_id"]).drop("slot")
 
 
 def touched_months(assignments: DataFrame, cfg: ChurnConfig) -> DataFrame:

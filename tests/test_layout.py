@@ -70,3 +70,14 @@ def test_empty(frames, tmp_path):  # noqa: F811
     twice = frames[1].unionAll(frames[1])
     plain = assigned_from_layout(layout, frames[1], replace(CFG, dedup_per_seat=True)).count()
     assert assigned_from_layout(layout, twice, replace(CFG, dedup_per_seat=True)).count() == plain
+
+
+def test_events_do_not_pass_through_the_driver(frames, tmp_path, spark, monkeypatch):  # noqa: F811
+    """However small the files of the events are, neither the join nor the search for copies broadcasts them."""
+    layout = laid(frames, tmp_path / "layout", 2)
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 1_000_000
+    joined = join_laid_out(layout, frames[1], CFG)
+    result(joined)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    scans = [part for part in plan.split("BroadcastExchange")[1:] if "Bucketed: true" in part.split("SortMergeJoin")[0]]
+    assert "SortMergeJoin" in plan and not scans, plan
