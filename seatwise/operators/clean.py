@@ -64,8 +64,14 @@ def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def dedup_rows(df: DataFrame) -> DataFrame:
-    """One of each group of equal rows; copies collapse on the map side before the shuffle."""
-    return df.dropDuplicates()
+    """One of each group of equal rows.
+
+    Rows are dealt by all their columns first, in ``spark.sql.shuffle.partitions`` parts: a task then holds the distinct rows of
+    its part only, not those of whatever the tasks before it read. Copies meet in one task and collapse as they are read.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = df.toDF(*[f"_{i}" for i in range(len(df.columns))])  # names may be equal or hold dots
+    return numbered.repartition(parts, *numbered.columns).dropDuplicates().toDF(*df.columns)
 
 
 def clean_assignments(raw: DataFrame, cfg: ChurnConfig) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seatwise.fixtures import STAR
+from seatwise.operators.clean import dedup_rows
 from seatwise.operators.layout import EventLayout, add_events, assigned_from_layout, join_laid_out, month_number
 from tests.test_joins import frames, pairs, result, tables  # noqa: F401
 
@@ -81,3 +82,12 @@ def test_events_do_not_pass_through_the_driver(frames, tmp_path, spark, monkeypa
     plan = joined._jdf.queryExecution().executedPlan().toString()
     scans = [part for part in plan.split("BroadcastExchange")[1:] if "Bucketed: true" in part.split("SortMergeJoin")[0]]
     assert "SortMergeJoin" in plan and not scans, plan
+
+def test_rows_are_dealt_before_copies_are_removed(spark):
+    """No task holds the distinct rows of all that it read before the shuffle; names may be equal or hold dots."""
+    rows = spark.createDataFrame([(1, None), (1, None), (2, "x"), (1, "x"), (2, "x")], "a int, b string").toDF("a.b", "a.b")
+    found = dedup_rows(rows)
+    assert found.columns == rows.columns
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, "x"), (1, None), (2, "x")]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.rindex("HashAggregate") < plan.index("Exchange"), plan  # both lie above the exchange
