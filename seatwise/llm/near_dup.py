@@ -31,10 +31,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seatwise.llm.text import texts_of, words
 from seatwise.operators.skew import skew_join
-from seatwise.workspace import stage
+from seatwise.workspace import in_few, stage
 
 # A class or text with more rows than this, and than 1/2000 of all, is split over tasks.
 HOT_ROWS = 300
+# Rows of a task that writes a stage: of keys and classes, and of whole texts.
+KEY_ROWS, TEXT_ROWS = 100_000, 5_000
 
 
 @dataclass(frozen=True)
@@ -197,24 +199,28 @@ def merger(config: NearDupConfig) -> Callable[[pa.Table], pa.Table]:
     return merge
 
 
-def components(links: DataFrame, name: str = "star") -> DataFrame:
-    """``(node, root)`` of each node in the undirected ``links (u, v)``; the root is the smallest node.
+def components(links: DataFrame, name: str = "star", most: int | None = None) -> DataFrame:
+    """``(node, root)`` of each node in the undirected ``links (u, v)``; the root is the smallest node. ``most``: a bound of
+    the number of links, if one is known.
 
     Large stars then small stars, until each node but the roots has one edge, to a root. A root with very many nodes is
     a hot key on one side of a join with one row for each key, and minima are taken in the tasks first.
     """
-    edges = stage(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), name)
+    edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
+    edges = stage(edges if most is None else in_few(edges, most, KEY_ROWS), name)
     before = None
     while (mark := _mark(edges)) != before and mark[0]:
         before = mark
         # Large star: what is larger than u goes to the smallest of u and its neighbours.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = stage(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), name)
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stage(in_few(large, mark[0], KEY_ROWS), name)
         # Small star: u and its smaller neighbours go to the smallest of them.
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stage(small.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct(), name)
+        edges = small.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct()
+        edges = stage(in_few(edges, 2 * mark[0], KEY_ROWS), name)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -234,19 +240,21 @@ def with_classes(members: DataFrame, classes: DataFrame | None) -> DataFrame:
     return members.join(classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
 
 
-def relabelled(classes: DataFrame | None, merged: DataFrame) -> DataFrame:
-    """``(key, class)`` after classes have merged into roots; keys that are classes of their own have no row."""
+def relabelled(classes: DataFrame | None, merged: DataFrame, most: int) -> DataFrame:
+    """``(key, class)`` after classes have merged into roots; keys that are classes of their own have no row. ``most``: a bound
+    of the number of keys."""
     new = merged.select(F.col("node").alias("key"), F.col("root").alias("class"))
     if classes is None:
-        return stage(new, "classes")
+        return stage(in_few(new, most, KEY_ROWS), "classes")
     moved = classes.join(merged, F.col("class") == F.col("node"), "left").select("key", F.coalesce("root", "class").alias("class"))
-    return stage(moved.unionByName(new.join(classes.select("key"), "key", "left_anti")), "classes")
+    return stage(in_few(moved.unionByName(new.join(classes.select("key"), "key", "left_anti")), most, KEY_ROWS), "classes")
 
 
-def text_classes(rows: DataFrame, docs: DataFrame, config: NearDupConfig) -> DataFrame | None:
+def text_classes(rows: DataFrame, docs: DataFrame, config: NearDupConfig, n_rows: int) -> DataFrame | None:
     """``(key, class)`` of the texts that are in a class with other texts; None if there are none.
 
-    ``rows`` is the staged output of ``signatures``; ``docs`` has the texts, of which only those in buckets are read.
+    ``rows`` is the staged output of ``signatures``, ``n_rows`` their number; ``docs`` has the texts, of which only those in
+    buckets are read.
     """
     nodes = rows.filter(F.col("signature").isNotNull()).groupBy("key").agg(F.first("signature").alias("signature"))
     width = 4 * config.rows
@@ -256,10 +264,11 @@ def text_classes(rows: DataFrame, docs: DataFrame, config: NearDupConfig) -> Dat
     )
     placed = nodes.select("key", F.inline(band))
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stage(placed.join(shared, "bucket"), "members")
+    members = stage(in_few(placed.join(shared, "bucket"), n_rows * config.bands, KEY_ROWS), "members")
     wanted = members.select("key").distinct()
     texts = docs.select("key", "text").join(wanted, "key").groupBy("key").agg(F.first("text").alias("text"))
-    texts = stage(texts.join(nodes, "key"), "texts")
+    texts = stage(in_few(texts.join(nodes, "key"), n_rows, TEXT_ROWS), "texts")
+    most = members.count()
 
     classes = None
     for part in (F.col("band") < config.first_bands, F.col("band") >= config.first_bands):
@@ -267,7 +276,7 @@ def text_classes(rows: DataFrame, docs: DataFrame, config: NearDupConfig) -> Dat
         mixed_up = found.groupBy("bucket").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a != b").select("bucket")
         cut = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / F.lit(config.block)).cast("int"))
         blocks = found.join(mixed_up, "bucket").withColumn("block", cut)
-        classes = merged_blocks(blocks.select("bucket", "block", F.lit(0).alias("part"), "key", "class"), texts, classes, config)
+        classes = merged_blocks(blocks.select("bucket", "block", F.lit(0).alias("part"), "key", "class"), texts, classes, config, most)
 
     # Buckets that were cut and still hold several classes: what is outside the largest class meets every block.
     cut = members.filter(F.col("n") > config.block)
@@ -284,14 +293,14 @@ def text_classes(rows: DataFrame, docs: DataFrame, config: NearDupConfig) -> Dat
     outside = here.filter("class != main").withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     columns = ["bucket", "block", "part", "key", "class"]
     pairs = every.select(columns).unionByName(outside.select(columns)).distinct()
-    return merged_blocks(pairs, texts, classes, config)
+    return merged_blocks(pairs, texts, classes, config, most)
 
 
-def merged_blocks(blocks: DataFrame, texts: DataFrame, classes: DataFrame | None, config: NearDupConfig) -> DataFrame | None:
-    links = stage(
-        blocks.join(texts, "key").groupBy("bucket", "block", "part").applyInArrow(merger(config), "u string, v string"), "links"
-    )
-    return classes if links.isEmpty() else relabelled(classes, components(links))
+def merged_blocks(blocks: DataFrame, texts: DataFrame, classes: DataFrame | None, config: NearDupConfig, most: int) -> DataFrame | None:
+    """The classes after the pairs inside the blocks have merged. ``most``: the number of members, which bounds links and keys."""
+    links = blocks.join(texts, "key").groupBy("bucket", "block", "part").applyInArrow(merger(config), "u string, v string")
+    merged = components(links, most=most)
+    return classes if merged.isEmpty() else relabelled(classes, merged, most)
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -302,12 +311,14 @@ def labelled(docs: DataFrame, id_column: str, text_column: str, config: NearDupC
     """``(key, doc_id, alone, class)`` for each row; ``alone`` marks rows without words."""
     keyed = _keyed(docs, id_column, text_column)
     rows = stage(signatures(keyed, config), "signatures")
-    classes = text_classes(rows, keyed, config)
+    n_rows = rows.count()
+    classes = text_classes(rows, keyed, config, n_rows)
     found = rows.select("key", "doc_id", F.col("signature").isNull().alias("alone"))
     if classes is None:
         return with_classes(found, None)
     # A text with very many copies is a hot key.
-    return skew_join(found, classes, ["key"], ["doc_id"], "left", floor=HOT_ROWS).withColumn("class", F.coalesce("class", "key"))
+    joined = skew_join(found, classes, ["key"], ["doc_id"], "left", floor=HOT_ROWS).withColumn("class", F.coalesce("class", "key"))
+    return in_few(joined, n_rows, KEY_ROWS)
 
 
 def near_duplicates(
@@ -339,4 +350,4 @@ def without_near_duplicates(
     if not repeated.isEmpty():
         words_in = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
         kept = kept.filter(words_in).dropDuplicates(["key", "id"]).unionByName(kept.filter(~words_in))
-    return kept.select("row.*")
+    return in_few(kept.select("row.*"), found.count(), TEXT_ROWS)

@@ -100,3 +100,11 @@ def stage(df: DataFrame, name: str, path: str | None = None, codec: str = "snapp
     path = path or new_path(spark, name)
     df.write.mode("overwrite").option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def in_few(df: DataFrame, rows: int, per_task: int) -> DataFrame:
+    """``df``, of at most ``rows`` rows, in tasks of about ``per_task`` rows, but not fewer than there are cores.
+
+    For results that are small beside the number of shuffle partitions, each of which would write a file.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_task)))

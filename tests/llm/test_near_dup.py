@@ -8,6 +8,7 @@ from dataclasses import replace
 import numpy as np
 import pytest
 
+from seatwise import workspace
 from seatwise.llm import near_dup
 from seatwise.llm.near_dup import NearDupConfig
 from tests.llm.helpers import documents, plain_words
@@ -86,6 +87,23 @@ def test_one_of_each_class_stays(spark, rows):
     assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == stay
 
 
+def test_small_stages_are_few_files(spark, rows, tmp_path, monkeypatch):
+    """Each file costs a process on a local file system; a stage of a few rows is not one file for each shuffle partition."""
+    monkeypatch.setattr(workspace, "new_path", lambda spark, name: f"{tmp_path}/{name}-{len([*tmp_path.iterdir()])}")
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        near_dup.without_near_duplicates(documents(spark, rows)).write.parquet(f"{tmp_path}/out")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = {stage.name: len([*stage.glob("part-*")]) for stage in tmp_path.iterdir()}
+    assert {name.split("-")[0] for name in files} >= {"members", "texts", "star", "classes", "labelled", "out"}
+    assert max(files.values()) <= spark.sparkContext.defaultParallelism, files
+
+
 def test_signatures_estimate_the_probability_jaccard():
     rng = random.Random(1)
     a = [rng.choice("abcdefghij") + str(rng.randrange(40)) for _ in range(500)]
