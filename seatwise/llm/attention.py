@@ -104,7 +104,7 @@ def _hide(attention: np.ndarray, held: np.ndarray, config: AttentionConfig) -> N
 
 def _forward(w: Weights, held: np.ndarray, config: AttentionConfig) -> dict[str, np.ndarray]:
     tail = config.length - config.stride
-    h0 = w["embedding"][held]  # -1 takes some row, which nobody sees
+    h0 = w["embedding"].take(held, axis=0, mode="wrap")  # -1 takes some row, which nobody sees
     h0 += w["place"]
     own = np.ascontiguousarray(h0[:, tail:])
     q, k, v = times(own, w["query"] * np.float32(config.dimension**-0.5)), times(h0, w["key"]), times(h0, w["value"])
@@ -164,41 +164,39 @@ def _class_spans(kind: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]
 
 def gradient(w: Weights, held: np.ndarray, wanted: np.ndarray, config: AttentionConfig) -> tuple[float, Weights]:
     """Mean negative log probability of the wanted symbols, and its gradient."""
-    g = {name: np.zeros_like(value) for name, value in w.items()}
+    g = {name: np.zeros_like(w[name]) for name in ("embedding", "member", "member_bias")}
     f = _forward(w, held, config)
-    there = wanted >= 0
-    n = max(int(there.sum()), 1)
-    symbol, h = wanted[there], f["h2"][there]
-    kind, member = symbol // config.width, symbol % config.width
+    flat = (lambda x: x.reshape(-1, x.shape[-1]))
+    # The scored places, sorted by class, so that the members of a class are one product of matrices and all else is done for all at once.
+    places = np.flatnonzero(wanted.ravel() >= 0)
+    n = max(len(places), 1)
+    order, spans = _class_spans(wanted.ravel()[places] // config.width)
+    places = places[order]
+    kind, member = np.divmod(wanted.ravel()[places], config.width)
+    h = flat(f["h2"]).take(places, axis=0)
 
     slope = softmax(h @ w["class"] + w["class_bias"])
-    rows = np.arange(len(symbol))
+    rows, ones = np.arange(len(places)), np.ones(len(places), h.dtype)
     loss = -np.log(slope[rows, kind].astype(np.float64)).sum()
     slope[rows, kind] -= 1
-    g["class"], g["class_bias"] = h.T @ slope, slope.sum(axis=0)
+    g["class"], g["class_bias"] = h.T @ slope, ones @ slope
     dh = slope @ w["class"].T
-    # Sorted by class, so that the members of a class are one product of matrices and all else is done for all at once.
-    order, spans = _class_spans(kind)
-    hs, kinds = h[order], kind[order]
-    slope = w["member_bias"][kinds]
+    slope = w["member_bias"].take(kind, axis=0)
     for c, at in spans:
-        slope[at] += hs[at] @ w["member"][c]
+        slope[at] += h[at] @ w["member"][c]
     softmax(slope)
-    loss -= np.log(slope[rows, member[order]].astype(np.float64)).sum()
-    slope[rows, member[order]] -= 1
-    back = np.empty_like(hs)
+    loss -= np.log(slope[rows, member].astype(np.float64)).sum()
+    slope[rows, member] -= 1
     for c, at in spans:
-        np.matmul(hs[at].T, slope[at], out=g["member"][c])
-        np.matmul(slope[at], w["member"][c].T, out=back[at])
+        np.matmul(h[at].T, slope[at], out=g["member"][c])
+        dh[at] += slope[at] @ w["member"][c].T
     if spans:
         g["member_bias"][[c for c, _ in spans]] = np.add.reduceat(slope, [at.start for _, at in spans])
-    dh[order] += back
 
     dh2 = np.zeros_like(f["h2"])
-    dh2[there] = dh
-    flat = (lambda x: x.reshape(-1, x.shape[-1]))
+    flat(dh2)[places] = dh
     dup = times(dh2, w["down"].T) * (f["up"] > 0)
-    g["down"], g["up"], g["up_bias"] = flat(f["up"]).T @ flat(dh2), flat(f["h1"]).T @ flat(dup), flat(dup).sum(axis=0)
+    g["down"], g["up"], g["up_bias"] = flat(f["up"]).T @ flat(dh2), flat(f["h1"]).T @ flat(dup), np.ones(len(flat(dup)), dup.dtype) @ flat(dup)
     dh1 = dh2 + times(dup, w["up"].T)
     g["out"] = flat(f["seen"]).T @ flat(dh1)
     dseen = times(dh1, w["out"].T)
@@ -212,8 +210,8 @@ def gradient(w: Weights, held: np.ndarray, wanted: np.ndarray, config: Attention
     dh0[:, config.length - config.stride :] += dh1 + times(dq, w["query"].T)
     dh0[held < 0] = 0
     g["place"] = dh0.sum(axis=0)
-    order = np.argsort(held.ravel(), kind="stable")
-    sums = flat(dh0)[order]
+    order = np.argsort((held.ravel() + 1).astype(np.min_scalar_type(config.symbols + 1)), kind="stable")  # sorted by digits
+    sums = flat(dh0).take(order, axis=0)
     symbols = held.ravel()[order]
     first = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
     g["embedding"][symbols[first]] = np.add.reduceat(sums, first)

@@ -23,7 +23,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, islice
 from pathlib import Path
 
 import numpy as np
@@ -48,6 +48,7 @@ class ModelConfig:
     chunk_bytes: int = 32_000_000
     slice_rows: int = 1000
     cached_words: int = 200_000
+    frequent_words: int = 200_000
     rounds: int = 4
     bucket_subwords: int = 400_000
     windows: int = 64  # of a training step
@@ -217,28 +218,37 @@ def packed(state: Weights) -> bytes:
     return b"".join(state[k].astype(np.float32).tobytes() for k in sorted(state))
 
 
-def unpacked(data: bytes | np.ndarray, like: Weights) -> Weights:
-    flat = np.frombuffer(data, np.float32) if isinstance(data, bytes) else data.astype(np.float32)
+def views(flat: np.ndarray, like: Weights) -> Weights:
+    """Parts of ``flat`` in the order of their names, shaped as ``like``."""
     result, at = {}, 0
     for k in sorted(like):
-        result[k] = flat[at : at + like[k].size].reshape(like[k].shape).copy()
+        result[k] = flat[at : at + like[k].size].reshape(like[k].shape)
         at += like[k].size
     return result
 
 
+def unpacked(data: bytes | np.ndarray, like: Weights) -> Weights:
+    flat = np.frombuffer(data, np.float32) if isinstance(data, bytes) else data.astype(np.float32)
+    return {k: x.copy() for k, x in views(flat, like).items()}
+
+
 def trained(state: Weights, symbols: np.ndarray, lengths: np.ndarray, turn: int, config: ModelConfig, seed: int) -> tuple[Weights, int]:
     """A pass over the windows of some texts in random order; the rate falls over all rounds. State and turns after it."""
     model = config.model
+    # All weights lie in one array, all first and all second moments too: a step is few operations on long arrays.
+    like = attention.weights_of(state)
+    whole = {f"{kind}all": np.concatenate([state[f"{kind}{k}"].ravel() for k in sorted(like)]) for kind in ("", "m.", "v.")}
+    weights = views(whole["all"], like)
     held, wanted, _ = attention.windows(symbols, lengths, model)
     order = np.random.default_rng(seed).permutation(len(held))
     n = -(-len(order) // config.windows)
-    weights = attention.weights_of(state)
     for k in range(n):
         rows = order[k * config.windows : (k + 1) * config.windows]
         _, slope = attention.gradient(weights, held[rows], wanted[rows], model)
         done = (seed % config.rounds + k / n) / config.rounds
-        attention.step(state, slope, turn + k + 1, config.rate * (1 - 0.95 * done))
-    return state, turn + n
+        together = np.concatenate([slope[name].ravel() for name in sorted(like)])
+        attention.step(whole, {"all": together}, turn + k + 1, config.rate * (1 - 0.95 * done))
+    return {f"{kind}{k}": x for kind in ("", "m.", "v.") for k, x in views(whole[f"{kind}all"], like).items()}, turn + n
 
 
 _STATE = "part int, weight bigint, turn bigint, state binary"
@@ -269,30 +279,53 @@ def symbol_type(config: ModelConfig) -> np.dtype:
     return np.min_scalar_type(config.model.symbols - 1)
 
 
-def lessons_of(texts: DataFrame, tokenizer: str, symbols: Symbols, buckets: int, config: ModelConfig) -> DataFrame:
+Frequent = tuple[pa.Array, pa.Array]
+
+
+def frequent_words(vocabulary: DataFrame, config: ModelConfig) -> Frequent:
+    """The most frequent words of the training texts and their ids: at most ``frequent_words``, and no word without all others of
+    about its count or above (in steps of 2 ** (1 / 8))."""
+    level = F.floor(8 * F.log2("n")).alias("level")
+    sizes = vocabulary.filter("n > 0").groupBy(level).agg(F.count(F.lit(1)).alias("words")).collect()  # at most 8 levels for each bit of a count
+    least, held = None, 0
+    for row in sorted(sizes, reverse=True):
+        held += row["words"]
+        if held > config.frequent_words:
+            break
+        least = row["level"]
+    if least is None:
+        return pa.array([], pa.string()), pa.array([], pa.binary())
+    found = vocabulary.filter((F.col("n") > 0) & (level >= least)).select("word", "ids").toArrow().combine_chunks()
+    return tuple(pa.concat_arrays(found.column(k).chunks) for k in ("word", "ids"))
+
+
+def lessons_of(texts: DataFrame, tokenizer: str, symbols: Symbols, buckets: int, config: ModelConfig, frequent: Frequent | None = None) -> DataFrame:
     """``(bucket, mark, symbols)`` of each training text: its symbols and that of its end, found once for all rounds.
 
-    A task splits a word once, as long as it holds no more than ``cached_words``.
+    ``frequent`` words come with their ids; a task splits any other word once, as long as it holds no more than ``cached_words``.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((tokenizer, symbols))  # a tokenizer file and an entry for each of its ids
+    # A tokenizer file, an entry for each of its ids, and a bounded number of words.
+    shared = texts.sparkSession.sparkContext.broadcast((tokenizer, symbols, frequent or (pa.array([], pa.string()), pa.array([], pa.binary()))))
     mark = F.xxhash64(F.col("doc_id").cast("string"), "text")
     bucket = F.pmod(F.xxhash64(F.lit("bucket"), mark), F.lit(buckets)).cast("int")
     rows = texts.filter(~F.col("held_out")).select(bucket.alias("bucket"), mark.alias("mark"), "text")
     kind = symbol_type(config)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text_of_tokenizer, known = shared.value
+        text_of_tokenizer, known, (given, packed_ids) = shared.value
         splitter = Splitter(text_of_tokenizer)
-        numbers: dict[str, int] = {}
-        flat, sizes = np.empty(0, kind), np.empty(0, np.int64)
+        numbers = {w: i for i, w in enumerate(given.to_pylist())}
+        sizes = pc.binary_length(packed_ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+        flat = known.symbol[np.frombuffer(b"".join(packed_ids.to_pylist()), np.int32)].astype(kind)
+        n_flat = len(flat)
         for batch in batches:
             for first in range(0, batch.num_rows, config.slice_rows):
                 part = batch.slice(first, config.slice_rows)
                 found, lengths = tokens(part.column("text"))
                 coded = found.dictionary_encode()
                 words = [*coded.dictionary.to_pylist(), END]
-                if len(numbers) > config.cached_words:
-                    numbers, flat, sizes = {}, np.empty(0, kind), np.empty(0, np.int64)
+                if len(numbers) - len(given) > config.cached_words:
+                    numbers, flat, sizes = dict(islice(numbers.items(), len(given))), flat[:n_flat], sizes[: len(given)]
                 new = [w for w in words if w not in numbers]
                 numbers.update(zip(new, range(len(numbers), len(numbers) + len(new)), strict=True))
                 ids = splitter.split(new)
@@ -308,13 +341,15 @@ def lessons_of(texts: DataFrame, tokenizer: str, symbols: Symbols, buckets: int,
     return rows.mapInArrow(run, "bucket int, mark bigint, symbols binary")
 
 
-def fitted(texts: DataFrame, tokenizer: str, symbols: Symbols, config: ModelConfig, path: str | None = None) -> Weights:
-    """The model after all rounds. ``path``: where the lessons lie, which nobody needs afterwards."""
+def fitted(
+    texts: DataFrame, tokenizer: str, symbols: Symbols, config: ModelConfig, path: str | None = None, frequent: Frequent | None = None
+) -> Weights:
+    """The model after all rounds. ``path``: where the lessons lie, which nobody needs afterwards; ``frequent``: see ``lessons_of``."""
     spark = texts.sparkSession
     state = attention.with_moments(attention.initial(symbols.counts, config.model))
     total = int(symbols.counts.sum())
     parts = max(1, round(total / (config.rounds * config.bucket_subwords)))
-    lessons = stage(lessons_of(texts, tokenizer, symbols, parts * config.rounds, config), "lessons", path=path, codec="zstd")
+    lessons = stage(lessons_of(texts, tokenizer, symbols, parts * config.rounds, config, frequent), "lessons", path=path, codec="zstd")
     kind = symbol_type(config)
     turn = 0
     for turn_of in range(config.rounds):
@@ -404,7 +439,7 @@ def text_scores(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id",
         totals = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
         symbols = Symbols.by_counts(subword_counts(known, Splitter(tokenizer).end + 1), config.model.symbols)
         lessons = new_path(spark, "lessons")
-        weights = fitted(texts, tokenizer, symbols, config, lessons)
+        weights = fitted(texts, tokenizer, symbols, config, lessons, frequent_words(known, config))
         delete(spark, lessons)
     shared = spark.sparkContext.broadcast(Scorer(weights, symbols, int(totals["n"]), int(totals["v"]), config))  # bounded, as above
     met = words.select("chunk", "word").join(known, "word")

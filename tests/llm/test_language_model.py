@@ -8,6 +8,7 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,6 +207,26 @@ def test_lessons_hold_the_symbols_of_their_texts(spark, monkeypatch):
     assert len({r.bucket for r in found}) > 1 and all(0 <= r.bucket < 5 for r in found)
 
 
+def test_frequent_words_are_not_split_again(spark):
+    """The most frequent words come to the lessons with their ids, which give the same symbols, and are bounded in number."""
+    rows = [(i, " ".join(["often"] * 9 + ["twice"] * 2 + [f"x{i}y"])) for i in range(40)]
+    config = ModelConfig(model=TINY, slice_rows=3, cached_words=4, frequent_words=4)
+    texts = language_model.chunked(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text", config)
+    known = language_model.vocabulary(language_model.chunk_words(texts, config), tokenizer_text())
+    frequent = language_model.frequent_words(known, config)
+    assert sorted(frequent[0].to_pylist()) == sorted(["often", "twice", END])
+    splitter = Splitter(tokenizer_text())
+    assert [np.frombuffer(ids, np.int32).tolist() for ids in frequent[1].to_pylist()] == splitter.split(frequent[0].to_pylist())
+    assert language_model.frequent_words(known, ModelConfig(frequent_words=0))[0].to_pylist() == []
+    symbols = Symbols(np.random.default_rng(0).integers(0, TINY.symbols, splitter.end + 1), np.zeros(splitter.end + 1), np.ones(TINY.symbols))
+    plainly, given = ({(r.bucket, r.mark, bytes(r.symbols)) for r in language_model.lessons_of(texts, tokenizer_text(), symbols, 5, config, f).collect()} for f in (None, frequent))
+    assert plainly == given and len(given) > 20
+    # Other ids for a frequent word reach the lessons: it was not split there.
+    other = frequent[0], pa.array([np.array([7], np.int32).tobytes()] * len(frequent[0]), pa.binary())
+    changed = {bytes(r.symbols) for r in language_model.lessons_of(texts, tokenizer_text(), symbols, 5, config, other).collect()}
+    assert changed.isdisjoint({s for _, _, s in given})
+
+
 def test_stages_of_training_go_with_it(spark):
     """What only the training needs is gone when it ends, and the setting for shuffle files is as it was."""
     left, kept = {}, []
