@@ -207,6 +207,23 @@ def test_lessons_hold_the_symbols_of_their_texts(spark, monkeypatch):
     assert len({r.bucket for r in found}) > 1 and all(0 <= r.bucket < 5 for r in found)
 
 
+def test_steps_on_one_array_equal_steps_by_name():
+    config = ModelConfig(model=TINY, windows=2)
+    lengths = np.array([30, 1, 47])
+    symbols = np.random.default_rng(3).integers(0, TINY.symbols, lengths.sum())
+    start = attention.with_moments({k: x.astype(np.float32) for k, x in weights().items()})
+    got, turn = language_model.trained({k: x.copy() for k, x in start.items()}, symbols, lengths, 4, config, 1)
+    held, wanted, _ = attention.windows(symbols, lengths, TINY)
+    order = np.random.default_rng(1).permutation(len(held))
+    for k in range(turn - 4):
+        rows = order[2 * k : 2 * k + 2]
+        slope = attention.gradient(attention.weights_of(start), held[rows], wanted[rows], TINY)[1]
+        attention.step(start, slope, 4 + k + 1, config.rate * (1 - 0.95 * (1 + k / (turn - 4)) / config.rounds))
+    assert turn - 4 == -(-len(held) // 2) and got.keys() == start.keys()
+    for k in start:
+        assert np.allclose(got[k], start[k], rtol=1e-5, atol=1e-7), k
+
+
 def test_frequent_words_are_not_split_again(spark):
     """The most frequent words come to the lessons with their ids, which give the same symbols, and are bounded in number."""
     rows = [(i, " ".join(["often"] * 9 + ["twice"] * 2 + [f"x{i}y"])) for i in range(40)]
