@@ -81,142 +81,177 @@ def exponentials(x: np.ndarray) -> np.ndarray:
     return np.exp(np.clip(x, -60, 60, out=x), out=x)
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    """In place, along the last axis."""
-    exponentials(x)
-    x /= (x @ np.ones(x.shape[-1], x.dtype))[..., None]
-    return x
-
-
 def times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     """``x @ w`` as one product of matrices, however many axes ``x`` has."""
     return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[-1])
 
 
+def _flat(x: np.ndarray) -> np.ndarray:
+    return x.reshape(-1, x.shape[-1])
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums along the last axis, which is kept."""
+    return (x @ np.ones(x.shape[-1], x.dtype))[..., None]
+
+
+def _with_one(n: int, like: np.ndarray) -> np.ndarray:
+    """Room for ``n`` rows as long as those of ``like`` and a last column of ones, which a product multiplies by a bias."""
+    x = np.empty((n, like.shape[-1] + 1), like.dtype)
+    x[:, -1] = 1
+    return x
+
+
+def _biased(w: Weights, name: str) -> np.ndarray:
+    """Weights with the bias as their last row."""
+    return np.concatenate([w[name], w[f"{name}_bias"][..., None, :]], axis=-2)
+
+
 def _hide(attention: np.ndarray, held: np.ndarray, config: AttentionConfig) -> None:
     """0 where a scored place does not see a place: it sees itself and those before it, none that is masked. In place."""
     length, stride = config.length, config.stride
     attention *= (np.arange(length) <= np.arange(length - stride, length)[:, None]).astype(attention.dtype)
-    some = np.flatnonzero((held < 0).any(axis=1))
+    some = np.flatnonzero(held[:, : length - stride].min(axis=1, initial=0) < 0)  # a text's end is after all that its places see
     if len(some):
         attention[some] *= (held[some] >= 0)[:, None, :]
 
 
 def _forward(w: Weights, held: np.ndarray, config: AttentionConfig) -> dict[str, np.ndarray]:
-    tail = config.length - config.stride
+    """``query`` and ``key`` meet in one product of both, ``value`` and ``out`` in another: places are multiplied by neither alone.
+    ``attention`` is not divided by its sums, what it has ``seen`` is. ``h1`` and ``h2`` have a column of ones."""
+    tail, d = config.length - config.stride, config.dimension
     h0 = w["embedding"].take(held, axis=0, mode="wrap")  # -1 takes some row, which nobody sees
     h0 += w["place"]
     own = np.ascontiguousarray(h0[:, tail:])
-    q, k, v = times(own, w["query"] * np.float32(config.dimension**-0.5)), times(h0, w["key"]), times(h0, w["value"])
-    attention = np.matmul(q, k.transpose(0, 2, 1))
+    asked = times(own, w["query"] @ w["key"].T * np.float32(d**-0.5))
+    attention = np.matmul(asked, h0.transpose(0, 2, 1))
     exponentials(attention)
     _hide(attention, held, config)
-    attention /= np.maximum(attention @ np.ones(config.length, attention.dtype), np.float32(1e-30))[..., None]
-    seen = np.matmul(attention, v)
-    h1 = times(seen, w["out"])
-    h1 += own
-    up = times(h1, w["up"])
-    up += w["up_bias"]
+    share = 1 / np.maximum(_sums(attention), np.float32(1e-30))
+    seen = np.matmul(attention, h0)
+    seen *= share
+    h1 = _with_one(seen.shape[0] * seen.shape[1], seen)
+    np.add(_flat(seen) @ (w["value"] @ w["out"]), _flat(own), out=h1[:, :d])
+    up = h1 @ _biased(w, "up")
     np.maximum(up, 0, out=up)
-    return {"h0": h0, "own": own, "q": q, "k": k, "v": v, "attention": attention, "seen": seen, "h1": h1, "up": up, "h2": h1 + times(up, w["down"])}
+    h2 = h1.copy()
+    h2[:, :d] += up @ w["down"]
+    return {"h0": h0, "own": own, "asked": asked, "attention": attention, "share": share, "seen": seen, "h1": h1, "up": up, "h2": h2}
 
 
 def log_probabilities(w: Weights, held: np.ndarray, wanted: np.ndarray, config: AttentionConfig) -> np.ndarray:
     """Natural logarithm of the probability of each wanted symbol; 0 where nothing is wanted."""
-    there = wanted >= 0
-    symbol = wanted[there]
-    kind, member = symbol // config.width, symbol % config.width
-    hidden, result = np.empty((len(symbol), config.dimension), w["class"].dtype), np.empty(len(symbol))
-    ends = np.cumsum(there.sum(axis=1))
-    done = 0
-    for start in range(0, len(held), config.batch):
-        rows = slice(start, start + config.batch)
-        h = _forward(w, held[rows], config)["h2"][there[rows]]
-        at = slice(done, done := int(ends[min(start + config.batch, len(held)) - 1]))
-        hidden[at] = h
-        result[at] = _chosen(h @ w["class"] + w["class_bias"], kind[at])
+    places = np.flatnonzero(wanted.ravel() >= 0)
+    kind, member = np.divmod(wanted.ravel()[places], config.width)
+    hidden, result = _with_one(len(places), w["class"].T), np.empty(len(places))
+    classes, members = _biased(w, "class"), _biased(w, "member")
+    scored = config.stride * config.batch
+    ends = np.searchsorted(places, np.arange(0, wanted.size + scored, scored)).tolist()
+    for k, start in enumerate(range(0, len(held), config.batch)):
+        at = slice(ends[k], ends[k + 1])
+        h = hidden[at]
+        _forward(w, held[start : start + config.batch], config)["h2"].take(places[at] - k * scored, axis=0, out=h, mode="clip")
+        result[at] = _chosen(h @ classes, kind[at])
     # The members of a class in all windows at once.
     order, spans = _class_spans(kind)
-    hidden, member = hidden[order], member[order]
-    members = np.empty(len(symbol))
+    hidden, member = hidden.take(order, axis=0), member[order]
+    found = np.empty(len(places))
     for c, at in spans:
-        members[at] = _chosen(hidden[at] @ w["member"][c] + w["member_bias"][c], member[at])
-    result[order] += members
-    found = np.zeros(wanted.shape)
-    found[there] = result
-    return found
+        found[at] = _chosen(hidden[at] @ members[c], member[at])
+    result[order] += found
+    every = np.zeros(wanted.shape)
+    every.reshape(-1)[places] = result
+    return every
 
 
 def _chosen(logits: np.ndarray, choice: np.ndarray) -> np.ndarray:
     """Log probability of the chosen column of each row."""
     exponentials(logits)
-    own = logits[np.arange(len(choice)), choice].astype(np.float64)
+    own = logits.reshape(-1).take(np.arange(len(choice)) * logits.shape[1] + choice)
     return np.log(own / (logits @ np.ones(logits.shape[1], logits.dtype)))
 
 
 def _class_spans(kind: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
     """The order of places by class, and where in it each class that occurs lies."""
-    small = kind.astype(np.uint16)  # sorted by digits
+    small = kind.astype(np.min_scalar_type(int(kind.max(initial=0))))  # small numbers are sorted by digits
     order = np.argsort(small, kind="stable")
-    ends = np.cumsum(np.bincount(small))
-    return order, [(c, slice(a, b)) for c, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if a < b] if len(order) else []
+    ends = np.cumsum(np.bincount(small)).tolist()
+    return order, [(c, slice(a, b)) for c, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if a < b] if len(order) else []
 
 
-def gradient(w: Weights, held: np.ndarray, wanted: np.ndarray, config: AttentionConfig) -> tuple[float, Weights]:
-    """Mean negative log probability of the wanted symbols, and its gradient."""
-    g = {name: np.zeros_like(w[name]) for name in ("embedding", "member", "member_bias")}
+def _slopes(logits: np.ndarray, choice: np.ndarray, n: int) -> float:
+    """Negative log probability of the chosen columns; in place, its gradient by the logits, divided by ``n``."""
+    at = np.arange(len(choice)) * logits.shape[1] + choice
+    exponentials(logits)
+    sums = _sums(logits)
+    flat = logits.reshape(-1)
+    loss = -np.log(flat.take(at).astype(np.float64) / sums[:, 0]).sum()
+    logits *= 1 / (sums * n)
+    flat[at] -= 1 / n
+    return loss
+
+
+def gradient(w: Weights, held: np.ndarray, wanted: np.ndarray, config: AttentionConfig, into: Weights | None = None) -> tuple[float, Weights]:
+    """Mean negative log probability of the wanted symbols, and its gradient, which is written to ``into`` if it is given."""
+    g = into or {name: np.empty_like(x) for name, x in w.items()}
+    d, tail = config.dimension, config.length - config.stride
     f = _forward(w, held, config)
-    flat = (lambda x: x.reshape(-1, x.shape[-1]))
+    h0, attention = f["h0"], f["attention"]
     # The scored places, sorted by class, so that the members of a class are one product of matrices and all else is done for all at once.
     places = np.flatnonzero(wanted.ravel() >= 0)
     n = max(len(places), 1)
-    order, spans = _class_spans(wanted.ravel()[places] // config.width)
-    places = places[order]
     kind, member = np.divmod(wanted.ravel()[places], config.width)
-    h = flat(f["h2"]).take(places, axis=0)
+    order, spans = _class_spans(kind)
+    places, kind, member = places[order], kind[order], member[order]
+    h = f["h2"].take(places, axis=0)
 
-    slope = softmax(h @ w["class"] + w["class_bias"])
-    rows, ones = np.arange(len(places)), np.ones(len(places), h.dtype)
-    loss = -np.log(slope[rows, kind].astype(np.float64)).sum()
-    slope[rows, kind] -= 1
-    g["class"], g["class_bias"] = h.T @ slope, ones @ slope
+    slope = h @ _biased(w, "class")
+    loss = _slopes(slope, kind, n)
+    both = h.T @ slope
+    g["class"][...], g["class_bias"][...] = both[:d], both[d]
     dh = slope @ w["class"].T
-    slope = w["member_bias"].take(kind, axis=0)
+    biased, every = _biased(w, "member"), np.zeros((config.classes, d + 1, config.width), h.dtype)
+    slope = np.empty((len(h), config.width), h.dtype)
     for c, at in spans:
-        slope[at] += h[at] @ w["member"][c]
-    softmax(slope)
-    loss -= np.log(slope[rows, member].astype(np.float64)).sum()
-    slope[rows, member] -= 1
+        np.matmul(h[at], biased[c], out=slope[at])
+    loss += _slopes(slope, member, n)
+    back = np.empty_like(dh)
     for c, at in spans:
-        np.matmul(h[at].T, slope[at], out=g["member"][c])
-        dh[at] += slope[at] @ w["member"][c].T
-    if spans:
-        g["member_bias"][[c for c, _ in spans]] = np.add.reduceat(slope, [at.start for _, at in spans])
-
-    dh2 = np.zeros_like(f["h2"])
-    flat(dh2)[places] = dh
-    dup = times(dh2, w["down"].T) * (f["up"] > 0)
-    g["down"], g["up"], g["up_bias"] = flat(f["up"]).T @ flat(dh2), flat(f["h1"]).T @ flat(dup), np.ones(len(flat(dup)), dup.dtype) @ flat(dup)
-    dh1 = dh2 + times(dup, w["up"].T)
-    g["out"] = flat(f["seen"]).T @ flat(dh1)
-    dseen = times(dh1, w["out"].T)
-    dv = np.matmul(f["attention"].transpose(0, 2, 1), dseen)
-    da = np.matmul(dseen, f["v"].transpose(0, 2, 1))
-    da -= ((da * f["attention"]) @ np.ones(config.length, da.dtype))[..., None]
-    da *= f["attention"]
-    dq, dk = np.matmul(da, f["k"]) * np.float32(config.dimension**-0.5), np.matmul(da.transpose(0, 2, 1), f["q"])
-    g["query"], g["key"], g["value"] = flat(f["own"]).T @ flat(dq), flat(f["h0"]).T @ flat(dk), flat(f["h0"]).T @ flat(dv)
-    dh0 = times(dk, w["key"].T) + times(dv, w["value"].T)
-    dh0[:, config.length - config.stride :] += dh1 + times(dq, w["query"].T)
-    dh0[held < 0] = 0
-    g["place"] = dh0.sum(axis=0)
-    order = np.argsort((held.ravel() + 1).astype(np.min_scalar_type(config.symbols + 1)), kind="stable")  # sorted by digits
-    sums = flat(dh0).take(order, axis=0)
-    symbols = held.ravel()[order]
-    first = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
-    g["embedding"][symbols[first]] = np.add.reduceat(sums, first)
-    for name in g:
-        g[name] /= n
+        own = slope[at]
+        np.matmul(h[at].T, own, out=every[c])
+        np.matmul(own, w["member"][c].T, out=back[at])
+    dh += back
+    g["member"][...], g["member_bias"][...] = every[:, :d], every[:, d]
+
+    dh2 = np.zeros((len(f["h2"]), d), dh.dtype)
+    dh2[places] = dh
+    dup = dh2 @ w["down"].T
+    dup *= f["up"] > 0
+    np.matmul(f["up"].T, dh2, out=g["down"])
+    both = f["h1"].T @ dup
+    g["up"][...], g["up_bias"][...] = both[:d], both[d]
+    dh1 = dup @ w["up"].T
+    dh1 += dh2
+    # By the two products of weights, then by each factor.
+    both = _flat(f["seen"]).T @ dh1
+    np.matmul(both, w["out"].T, out=g["value"])
+    np.matmul(w["value"].T, both, out=g["out"])
+    dseen = (dh1 @ (w["value"] @ w["out"]).T).reshape(f["seen"].shape)
+    dseen *= f["share"]
+    da = np.matmul(dseen, h0.transpose(0, 2, 1))
+    da -= _sums(dseen * f["seen"])
+    da *= attention
+    dasked = np.matmul(da, h0)
+    both = _flat(f["own"]).T @ _flat(dasked) * np.float32(d**-0.5)
+    np.matmul(both, w["key"], out=g["query"])
+    np.matmul(both.T, w["query"], out=g["key"])
+    dh0 = np.matmul(attention.transpose(0, 2, 1), dseen)  # 0 for places that nobody sees
+    dh0 += np.matmul(da.transpose(0, 2, 1), f["asked"])
+    dh1 += _flat(dasked) @ (w["key"] @ w["query"].T * np.float32(d**-0.5))
+    dh0[:, tail:] += dh1.reshape(f["own"].shape)
+    np.sum(dh0, axis=0, out=g["place"])
+    g["embedding"][...] = 0
+    np.add.at(g["embedding"].reshape(-1), (held.reshape(-1, 1) * d + np.arange(d)).ravel(), dh0.ravel())
     return loss / n, g
 
 
@@ -225,9 +260,18 @@ def step(state: Weights, g: Weights, turn: int, rate: float) -> None:
     rate *= (1 - 0.98**turn) ** 0.5 / (1 - 0.9**turn)
     for k, slope in g.items():
         m, v = state[f"m.{k}"], state[f"v.{k}"]
-        m += 0.1 * (slope - m)
-        v += 0.02 * (slope * slope - v)
-        state[k] -= rate * m / (np.sqrt(v) + 1e-8)
+        part = slope - m
+        part *= 0.1
+        m += part
+        np.multiply(slope, slope, out=part)
+        part -= v
+        part *= 0.02
+        v += part
+        np.sqrt(v, out=part)
+        part += 1e-8
+        np.divide(m, part, out=part)
+        part *= rate
+        state[k] -= part
 
 
 def with_moments(w: Weights) -> Weights:

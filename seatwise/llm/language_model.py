@@ -20,6 +20,7 @@ columns are not read. A word goes by any text length; words are never cut.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -31,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from seatwise.llm import attention
 from seatwise.llm.attention import AttentionConfig, Weights
@@ -56,6 +58,21 @@ class ModelConfig:
     fan_in: int = 32
 
 
+_TOGETHER = 64  # words that are coded as one text
+_SPACE = "\u0120"  # how byte-level tokenizers write a space
+
+
+def _cuts_at_spaces(tokenizer: str) -> bool:
+    """Whether the subwords of words with a space between them are those of each word, none of them empty."""
+    parts = json.loads(tokenizer)
+    cut = parts.get("pre_tokenizer") or {}
+    letters = parts.get("model", {}).get("vocab", {})
+    return (
+        parts.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True)
+        and all(t["special"] for t in parts.get("added_tokens", [])) and all(c in letters for c in ByteLevel.alphabet())
+    )
+
+
 class Splitter:
     """Words to subword ids; the end of a text has an id of its own, after those of the tokenizer."""
 
@@ -64,10 +81,44 @@ class Splitter:
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.tokenizer.encode_special_tokens = True
         self.end = self.tokenizer.get_vocab_size()
+        self.together = _TOGETHER if _cuts_at_spaces(tokenizer) else 1
+        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith(_SPACE) for i in range(self.end)], bool)
 
     def split(self, words: Sequence[str]) -> list[list[int]]:
-        coded = iter(self.tokenizer.encode_batch_fast([f" {w}" for w in words if w != END], add_special_tokens=False))
-        return [[self.end] if w == END else next(coded).ids for w in words]
+        flat, sizes = self.flat(words)
+        ends = np.cumsum(sizes).tolist()
+        return [flat[a:b].tolist() for a, b in zip([0, *ends], ends)]
+
+    def flat(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after the other, and how many each word has.
+
+        Some words are coded as one text, where each brings its own space before it and no subword goes beyond it. Words that
+        hold white space beyond ASCII, which could draw that space to itself, are coded alone, with those beside them.
+        """
+        plain = [w for w in words if w != END]
+        texts: list[str] = []
+        whole: list[bool] = []
+        for at in range(0, len(plain), self.together):
+            some = plain[at : at + self.together]
+            text = " " + " ".join(some)
+            if len(some) > 1 and len(text.split()) == len(some):
+                texts.append(text)
+                whole.append(True)
+            else:
+                texts += [f" {w}" for w in some]
+                whole += [False] * len(some)
+        coded = [c.ids for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat, sizes = np.fromiter(chain.from_iterable(coded), np.int32), np.fromiter(map(len, coded), np.int64, len(coded))
+        if any(whole):
+            first = self.begins[flat] & np.repeat(whole, sizes)
+            first[np.cumsum(sizes) - sizes] = True
+            sizes = np.diff(np.flatnonzero(first), append=len(flat))
+        if len(plain) < len(words):
+            inside = np.array([w != END for w in words])
+            every = np.ones(len(words), np.int64)
+            every[inside] = sizes
+            flat, sizes = np.insert(flat, np.cumsum(every * inside)[~inside], self.end), every
+        return flat, sizes
 
 
 @dataclass(frozen=True)
@@ -182,10 +233,9 @@ def vocabulary(words: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(shared.value)
         for batch in batches:
-            ids = splitter.split(batch.column("word").to_pylist())
-            flat = np.fromiter(chain.from_iterable(ids), np.int32)
-            offsets = np.concatenate([[0], np.cumsum([4 * len(i) for i in ids])]).astype(np.int32)
-            packed = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+            flat, sizes = splitter.flat(batch.column("word").to_pylist())
+            offsets = np.concatenate([[0], np.cumsum(4 * sizes)]).astype(np.int32)
+            packed = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
             yield pa.RecordBatch.from_arrays([*batch.columns, packed], ["word", "n", "ids"])
 
     counted = words.groupBy("word").agg(F.sum("n").alias("n"))
@@ -241,12 +291,14 @@ def trained(state: Weights, symbols: np.ndarray, lengths: np.ndarray, turn: int,
     weights = views(whole["all"], like)
     held, wanted, _ = attention.windows(symbols, lengths, model)
     order = np.random.default_rng(seed).permutation(len(held))
+    held, wanted = held[order], wanted[order]
+    together = np.empty_like(whole["all"])
+    slopes = views(together, like)
     n = -(-len(order) // config.windows)
     for k in range(n):
-        rows = order[k * config.windows : (k + 1) * config.windows]
-        _, slope = attention.gradient(weights, held[rows], wanted[rows], model)
+        rows = slice(k * config.windows, (k + 1) * config.windows)
+        attention.gradient(weights, held[rows], wanted[rows], model, slopes)
         done = (seed % config.rounds + k / n) / config.rounds
-        together = np.concatenate([slope[name].ravel() for name in sorted(like)])
         attention.step(whole, {"all": together}, turn + k + 1, config.rate * (1 - 0.95 * done))
     return {f"{kind}{k}": x for kind in ("", "m.", "v.") for k, x in views(whole[f"{kind}all"], like).items()}, turn + n
 
@@ -328,9 +380,9 @@ def lessons_of(texts: DataFrame, tokenizer: str, symbols: Symbols, buckets: int,
                     numbers, flat, sizes = dict(islice(numbers.items(), len(given))), flat[:n_flat], sizes[: len(given)]
                 new = [w for w in words if w not in numbers]
                 numbers.update(zip(new, range(len(numbers), len(numbers) + len(new)), strict=True))
-                ids = splitter.split(new)
-                flat = np.concatenate([flat, known.symbol[np.fromiter(chain.from_iterable(ids), np.int64)].astype(kind)])
-                sizes = np.concatenate([sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
+                ids, n_ids = splitter.flat(new)
+                flat = np.concatenate([flat, known.symbol[ids].astype(kind)])
+                sizes = np.concatenate([sizes, n_ids])
                 number = np.fromiter((numbers[w] for w in words), np.int64, len(words))
                 word, starts = with_ends(coded.indices.to_numpy(), lengths, len(words) - 1)
                 at, subwords = spread(np.cumsum(sizes) - sizes, sizes, number[word], starts)
@@ -401,9 +453,16 @@ class Scorer:
         starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(words.column("ids").to_pylist()), np.int32)
         symbol, share = self.symbols.symbol[ids], self.symbols.log_share[ids]
         result: list[tuple[np.ndarray, ...]] = []
+        slices: list[tuple[pa.DictionaryArray, np.ndarray]] = []
         for start in range(0, texts.num_rows, self.config.slice_rows):
             found, lengths = tokens(pa.concat_arrays(texts.column("text").slice(start, self.config.slice_rows).chunks))
-            flat, first = with_ends(pc.index_in(found, value_set=vocabulary).to_numpy(), lengths, end)
+            slices.append((found.dictionary_encode(), lengths))
+        # The distinct words of all slices are looked up at once: a look-up goes through the chunk's vocabulary first.
+        number = pc.index_in(pa.concat_arrays([coded.dictionary for coded, _ in slices]), value_set=vocabulary).to_numpy()
+        done = 0
+        for coded, lengths in slices:
+            flat, first = with_ends(number[done : done + len(coded.dictionary)][coded.indices.to_numpy()], lengths, end)
+            done += len(coded.dictionary)
             lengths += 1
             at, subwords = spread(starts, sizes, flat, first)
             score = np.add.reduceat(share[at], np.cumsum(subwords) - subwords) + self.model_scores(symbol[at], subwords)

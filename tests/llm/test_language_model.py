@@ -262,3 +262,52 @@ def test_stages_of_training_go_with_it(spark):
         left[kind] = left.get(kind, 0) + sum(Path("/" + f.removeprefix("file:").lstrip("/")).exists() for f in files)
     assert left["lessons"] == left["states"] == 0 < min(left["texts"], left["vocabulary"])
     assert spark.conf.get(name) == before
+
+
+def test_words_are_coded_together_as_alone():
+    """Also words with white space beyond ASCII, which a text of several words would cut elsewhere; few texts are coded."""
+    splitter = Splitter(tokenizer_text())
+    odd = [END, "a\u00a0", "b", "\u3000x", "\u0085", "''s", "'s", "!!", "<|endoftext|>", "\x1cx", "\u0120x", "\u200b", "1", "\u00b2", "\u00e9", END, END]
+    words = odd + [f"w{i}, it's" if i % 50 else END for i in range(300)] + [chr(c) * 3 for c in range(33, 1000)] + odd
+    words = [part for w in words for part in (w.split(" ") if w != END else [w])]
+
+    class Watched:
+        texts = 0
+
+        def encode_batch_fast(self, texts, **options):
+            Watched.texts += len(texts)
+            return Splitter(tokenizer_text()).tokenizer.encode_batch_fast(texts, **options)
+
+    expected = [[splitter.end] if w == END else splitter.tokenizer.encode(f" {w}", add_special_tokens=False).ids for w in words]
+    splitter.tokenizer = Watched()
+    flat, sizes = splitter.flat(words)
+    assert sizes.tolist() == [len(i) for i in expected] and flat.tolist() == [i for ids in expected for i in ids]
+    assert splitter.split(words) == expected and Watched.texts < len(words)
+    assert splitter.split([]) == [] and splitter.split([END]) == [[splitter.end]]
+    # Where a space doesn't cut, words are coded alone.
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        assert splitter.together > 1 == Splitter(f.read()).together
+
+
+def test_gradient_fills_the_arrays_it_is_given():
+    """A step's gradient takes no new arrays, and nothing of the step before stays in them."""
+    w, rng = weights(6), np.random.default_rng(7)
+    held, wanted, _ = attention.windows(rng.integers(0, 4, 9), np.array([2, 7]), TINY)
+    loss, plain = attention.gradient(w, held, wanted, TINY)
+    into = {name: np.full_like(x, np.nan) for name, x in w.items()}
+    again, given = attention.gradient(w, held, wanted, TINY, into)
+    assert again == loss and all(given[name] is into[name] and np.array_equal(into[name], plain[name]) for name in w)
+
+
+def test_words_of_a_chunk_are_looked_up_once(monkeypatch):
+    """However many slices a chunk has, its vocabulary is gone through once for its texts and once for the end."""
+    splitter, calls = Splitter(tokenizer_text()), []
+    texts = [f"word{i} again" for i in range(9)]
+    words = sorted({w for t in texts for w in t.split()}) + [END]
+    table = pa.table({"word": words, "n": [1] * len(words), "ids": [np.array(i, np.int32).tobytes() for i in splitter.split(words)]})
+    rows = pa.table({"doc_id": list(range(9)), "held_out": [False] * 9, "text": texts})
+    symbols = Symbols(np.zeros(splitter.end + 1, np.int64), np.zeros(splitter.end + 1), np.ones(TINY.symbols))
+    found = language_model.pc.index_in
+    monkeypatch.setattr(language_model.pc, "index_in", lambda *a, **k: (calls.append(1), found(*a, **k))[1])
+    result = Scorer(weights(), symbols, 10, 5, ModelConfig(model=TINY, slice_rows=2))(rows, table).to_pylist()
+    assert len(calls) == 2 and [r["n_tokens"] for r in result] == [3] * 9 == [r["n_known"] for r in result]
