@@ -8,6 +8,7 @@ softmax in two levels: over classes of symbols, then over the symbols of the cla
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 
@@ -107,13 +108,22 @@ def _biased(w: Weights, name: str) -> np.ndarray:
     return np.concatenate([w[name], w[f"{name}_bias"][..., None, :]], axis=-2)
 
 
-def _hide(attention: np.ndarray, held: np.ndarray, config: AttentionConfig) -> None:
-    """0 where a scored place does not see a place: it sees itself and those before it, none that is masked. In place."""
+@cache
+def _most(config: AttentionConfig, kind: np.dtype) -> np.ndarray:
+    """The largest logit by scored place and seen place: nothing is left of one that the scored place does not see."""
     length, stride = config.length, config.stride
-    attention *= (np.arange(length) <= np.arange(length - stride, length)[:, None]).astype(attention.dtype)
-    some = np.flatnonzero(held[:, : length - stride].min(axis=1, initial=0) < 0)  # a text's end is after all that its places see
+    return np.where(np.arange(length) <= np.arange(length - stride, length)[:, None], 60, -np.inf).astype(kind)
+
+
+def _seen_exponentials(logits: np.ndarray, held: np.ndarray, config: AttentionConfig) -> np.ndarray:
+    """In place, as ``exponentials``. A scored place sees itself and the places before it, none that is masked: those are 0."""
+    np.maximum(logits, -60, out=logits)
+    np.minimum(logits, _most(config, logits.dtype), out=logits)
+    np.exp(logits, out=logits)
+    some = np.flatnonzero(held[:, 0] < 0)  # masked places come first; no scored place sees those after a text's end
     if len(some):
-        attention[some] *= (held[some] >= 0)[:, None, :]
+        logits[some] *= (held[some] >= 0)[:, None, :]
+    return logits
 
 
 def _forward(w: Weights, held: np.ndarray, config: AttentionConfig) -> dict[str, np.ndarray]:
@@ -125,8 +135,7 @@ def _forward(w: Weights, held: np.ndarray, config: AttentionConfig) -> dict[str,
     own = np.ascontiguousarray(h0[:, tail:])
     asked = times(own, w["query"] @ w["key"].T * np.float32(d**-0.5))
     attention = np.matmul(asked, h0.transpose(0, 2, 1))
-    exponentials(attention)
-    _hide(attention, held, config)
+    _seen_exponentials(attention, held, config)
     share = 1 / np.maximum(_sums(attention), np.float32(1e-30))
     seen = np.matmul(attention, h0)
     seen *= share
@@ -213,13 +222,13 @@ def gradient(w: Weights, held: np.ndarray, wanted: np.ndarray, config: Attention
     biased, every = _biased(w, "member"), np.zeros((config.classes, d + 1, config.width), h.dtype)
     slope = np.empty((len(h), config.width), h.dtype)
     for c, at in spans:
-        np.matmul(h[at], biased[c], out=slope[at])
+        np.dot(h[at], biased[c], out=slope[at])
     loss += _slopes(slope, member, n)
-    back = np.empty_like(dh)
+    back, turned = np.empty_like(dh), w["member"].transpose(0, 2, 1)
     for c, at in spans:
         own = slope[at]
-        np.matmul(h[at].T, own, out=every[c])
-        np.matmul(own, w["member"][c].T, out=back[at])
+        np.dot(h[at].T, own, out=every[c])
+        np.dot(own, turned[c], out=back[at])
     dh += back
     g["member"][...], g["member_bias"][...] = every[:, :d], every[:, d]
 
