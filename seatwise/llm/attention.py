@@ -74,7 +74,8 @@ def windows(symbols: np.ndarray, lengths: np.ndarray, config: AttentionConfig, w
     held = np.where(place > 0, symbols[np.where(inside & (place > 0), at - 1, 0)], config.symbols)
     held = np.where((place < 0) | ~inside, -1, held)
     scored = slice(length - stride, None)
-    return held, np.where(inside[:, scored], symbols[np.where(inside, at, 0)[:, scored]], -1), text
+    wanted = np.where(inside[:, scored], symbols[np.where(inside[:, scored], at[:, scored], 0)], -1)
+    return held, wanted.astype(np.int32), text  # short numbers are divided faster
 
 
 def exponentials(x: np.ndarray) -> np.ndarray:

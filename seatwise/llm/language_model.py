@@ -24,6 +24,7 @@ import json
 import os
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import chain, islice
 from pathlib import Path
 
@@ -59,9 +60,11 @@ class ModelConfig:
 
 
 _TOGETHER = 64  # words that are coded as one text
+_SLICES = 4  # slices whose words are looked up together
 _SPACE = "\u0120"  # how byte-level tokenizers write a space
 
 
+@lru_cache(1)
 def _cuts_at_spaces(tokenizer: str) -> bool:
     """Whether the subwords of words with a space between them are those of each word, none of them empty."""
     parts = json.loads(tokenizer)
@@ -82,7 +85,8 @@ class Splitter:
         self.tokenizer.encode_special_tokens = True
         self.end = self.tokenizer.get_vocab_size()
         self.together = _TOGETHER if _cuts_at_spaces(tokenizer) else 1
-        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith(_SPACE) for i in range(self.end)], bool)
+        self.begins = np.zeros(self.end, bool)
+        self.begins[[i for letters, i in self.tokenizer.get_vocab().items() if letters.startswith(_SPACE)]] = True
 
     def split(self, words: Sequence[str]) -> list[list[int]]:
         flat, sizes = self.flat(words)
@@ -188,6 +192,11 @@ def spread(starts: np.ndarray, sizes: np.ndarray, words: np.ndarray, texts: np.n
     return at, np.add.reduceat(size, texts)
 
 
+def joined(values: pa.Array) -> bytes:
+    """All values one after the other, without an object for each."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), b"")[0].as_py()
+
+
 def counted(words: pa.Array, n: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """Distinct words with the sums of ``n``."""
     coded = words.dictionary_encode()
@@ -450,22 +459,14 @@ class Scorer:
         counts = words.column("n").to_numpy()
         logs = np.log10((counts + 1) / (self.n_tokens + self.n_words + 1))
         sizes = pc.binary_length(words.column("ids")).to_numpy().astype(np.int64) // 4
-        starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(words.column("ids").to_pylist()), np.int32)
-        symbol, share = self.symbols.symbol[ids], self.symbols.log_share[ids]
+        starts, ids = np.cumsum(sizes) - sizes, np.concatenate([np.frombuffer(joined(part), np.int32) for part in words.column("ids").chunks])
+        symbol, share = self.symbols.symbol.astype(symbol_type(self.config))[ids], self.symbols.log_share[ids]
         result: list[tuple[np.ndarray, ...]] = []
-        slices: list[tuple[pa.DictionaryArray, np.ndarray]] = []
-        for start in range(0, texts.num_rows, self.config.slice_rows):
-            found, lengths = tokens(pa.concat_arrays(texts.column("text").slice(start, self.config.slice_rows).chunks))
-            slices.append((found.dictionary_encode(), lengths))
-        # The distinct words of all slices are looked up at once: a look-up goes through the chunk's vocabulary first.
-        number = pc.index_in(pa.concat_arrays([coded.dictionary for coded, _ in slices]), value_set=vocabulary).to_numpy()
-        done = 0
-        for coded, lengths in slices:
-            flat, first = with_ends(number[done : done + len(coded.dictionary)][coded.indices.to_numpy()], lengths, end)
-            done += len(coded.dictionary)
+        for lengths, numbers in self.numbered(texts.column("text"), vocabulary):
+            flat, first = with_ends(numbers, lengths, end)
             lengths += 1
             at, subwords = spread(starts, sizes, flat, first)
-            score = np.add.reduceat(share[at], np.cumsum(subwords) - subwords) + self.model_scores(symbol[at], subwords)
+            score = np.add.reduceat(share[at], np.cumsum(subwords) - subwords) + self.model_scores(symbol[at].astype(np.int64), subwords)
             result.append((lengths, np.add.reduceat((counts[flat] > 0).astype(np.int64), first), np.add.reduceat(logs[flat], first), score / np.log(10)))
         columns = [np.concatenate(c) for c in zip(*result, strict=True)]
         total = pa.array(np.full(texts.num_rows, self.n_tokens), pa.int64())
@@ -474,6 +475,23 @@ class Scorer:
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
+    def numbered(self, texts: pa.ChunkedArray, vocabulary: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """By slices: how many words each text has, and the numbers of the words. A look-up goes through the whole vocabulary
+        first, so the distinct words of some slices are looked up together."""
+        rows = self.config.slice_rows
+        for start in range(0, len(texts), _SLICES * rows):
+            slices: list[tuple[np.ndarray, np.ndarray]] = []
+            distinct: list[pa.Array] = []
+            for at in range(start, min(start + _SLICES * rows, len(texts)), rows):
+                found, lengths = tokens(pa.concat_arrays(texts.slice(at, rows).chunks))
+                coded = found.dictionary_encode()
+                slices.append((coded.indices.to_numpy(), lengths))
+                distinct.append(coded.dictionary)
+            number = pc.index_in(pa.concat_arrays(distinct), value_set=vocabulary).to_numpy()
+            ends = np.cumsum([len(d) for d in distinct])[:-1]
+            for (own, lengths), numbers in zip(slices, np.split(number, ends), strict=True):
+                yield lengths, numbers[own]
+
     def model_scores(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Natural logarithm of the model's probability of each text's symbols."""
         model, result = self.config.model, np.zeros(len(lengths))

@@ -299,8 +299,8 @@ def test_gradient_fills_the_arrays_it_is_given():
     assert again == loss and all(given[name] is into[name] and np.array_equal(into[name], plain[name]) for name in w)
 
 
-def test_words_of_a_chunk_are_looked_up_once(monkeypatch):
-    """However many slices a chunk has, its vocabulary is gone through once for its texts and once for the end."""
+def test_words_of_slices_are_looked_up_together(monkeypatch):
+    """A chunk's vocabulary is not gone through for each of its slices: here once for four, once for one and once for the end."""
     splitter, calls = Splitter(tokenizer_text()), []
     texts = [f"word{i} again" for i in range(9)]
     words = sorted({w for t in texts for w in t.split()}) + [END]
@@ -310,4 +310,4 @@ def test_words_of_a_chunk_are_looked_up_once(monkeypatch):
     found = language_model.pc.index_in
     monkeypatch.setattr(language_model.pc, "index_in", lambda *a, **k: (calls.append(1), found(*a, **k))[1])
     result = Scorer(weights(), symbols, 10, 5, ModelConfig(model=TINY, slice_rows=2))(rows, table).to_pylist()
-    assert len(calls) == 2 and [r["n_tokens"] for r in result] == [3] * 9 == [r["n_known"] for r in result]
+    assert len(calls) == 3 and [r["n_tokens"] for r in result] == [3] * 9 == [r["n_known"] for r in result]
