@@ -6,11 +6,13 @@ from collections import Counter
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seatwise import workspace
 from seatwise.llm import near_dup
 from seatwise.llm.near_dup import NearDupConfig
+from seatwise.llm.text import words
 from tests.llm.helpers import documents, plain_words
 
 
@@ -76,6 +78,96 @@ def test_classes_equal_brute_force(spark, rows, config):
     assert Counter((r["doc_id"], r["class_id"]) for r in got) == expected
 
 
+def test_blocks_of_the_last_round_and_small_batches(spark, rows):
+    """Blocks of the signatures go on over batches; texts outside the largest class meet the other blocks in parts."""
+    name, config = "spark.sql.execution.arrow.maxRecordsPerBatch", NearDupConfig(block=3, late_block=2, late_bytes=3000)
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "4")
+        got = near_dup.near_duplicates(documents(spark, rows), config=config).collect()
+    finally:
+        spark.conf.set(name, before)
+    expected = Counter((r[0], c) for r, c in zip(rows, classes(rows), strict=True))
+    assert Counter((r["doc_id"], r["class_id"]) for r in got) == expected
+
+
+def block(texts, band):
+    """A block of ``merger`` with the texts, each in a class of its own."""
+    config = NearDupConfig()
+    coded = [t.encode() for t in texts]
+    owner, value, weight = near_dup.weighted(*near_dup.text_shingles(coded, config.shingle))
+    signs = near_dup.prob_minhash(owner, value, weight, len(texts), config.registers)
+    each = [(value[owner == k], weight[owner == k]) for k in range(len(texts))]
+    return signs, pa.table({
+        "class": [f"{k:03}" for k in range(len(texts))], "band": pa.array([band] * len(texts), pa.int32()), "signature": [s.tobytes() for s in signs],
+        "value": [v.tobytes() for v, _ in each], "heavy": [np.flatnonzero(w > 1).astype(np.uint32).tobytes() for _, w in each], "weight": [w[w > 1].tobytes() for _, w in each],
+    })
+
+
+def test_a_pair_is_verified_in_one_bucket_only(monkeypatch):
+    """Texts that are somewhat alike share many buckets; their number of comparisons must not grow with the buckets."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(30):
+        text = list(base)
+        for place in rng.sample(range(300), 7):
+            text[place] = f"v{rng.randrange(10**9)}"
+        texts.append(" ".join(text))
+    seen, exact = Counter(), []
+    bounds, jaccard = near_dup.bounds, near_dup.probability_jaccard
+    monkeypatch.setattr(near_dup, "bounds", lambda *x: (seen.update(zip(x[4].tolist(), x[5].tolist(), strict=True)), bounds(*x))[1])
+    monkeypatch.setattr(near_dup, "probability_jaccard", lambda *x: (exact.append(x), jaccard(*x))[1])
+    shared = Counter()
+    for band in range(20):
+        signs, table = block(texts, band)
+        part = signs[:, 4 * band : 4 * band + 4]
+        for k in {tuple(r) for r in part.tolist()}:
+            here = np.flatnonzero((part == k).all(axis=1))
+            shared.update((int(i), int(j)) for i in here for j in here if i < j)
+            if len(here) > 1:
+                seen, found = Counter(), seen
+                merged = near_dup.merger(NearDupConfig())(table.take(here))
+                seen = found + Counter({(int(here[i]), int(here[j])): n for (i, j), n in seen.items()})
+                assert merged.num_rows == 0
+    assert sum(shared.values()) > 2 * len(shared)
+    assert max(seen.values()) == 1 and len(seen) > 0.9 * len(shared) and not exact
+
+
+def test_merged_pairs_need_no_look(monkeypatch):
+    text = " ".join(f"w{i}" for i in range(400))
+    _, table = block([f"{text} x{k}" for k in range(60)], 0)
+    bounds, seen = near_dup.bounds, []
+    monkeypatch.setattr(near_dup, "bounds", lambda *x: (seen.append(len(x[4])), bounds(*x))[1])
+    merged = near_dup.merger(NearDupConfig())(table)
+    assert set(merged["v"].to_pylist()) == {"000"} and merged.num_rows == 59
+    assert sum(seen) < 60 * 59 / 4
+
+
+def test_bounds_enclose_the_probability_jaccard():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["one", "two"], k=rng.randrange(1, 200))) for _ in range(20)] + [" ".join(map(str, range(k, 50))) for k in range(8)]
+    _, table = block(texts, 0)
+    value, weight, cuts = near_dup.read_shingles(table)
+    distinct, codes = np.unique(value, return_inverse=True)
+    i, j = np.triu_indices(len(texts), 1)
+    low, high = near_dup.bounds(codes, weight, cuts, len(distinct), i, j)
+    exact = np.array([similarity(shingles(texts[a]), shingles(texts[b])) for a, b in zip(i, j, strict=True)])
+    assert (low <= exact + 1e-9).all() and (exact <= high + 1e-9).all() and (high > low + 0.01).any()
+    same = (i >= 20) & (j >= 20)  # all weights 1
+    assert low[same] == pytest.approx(exact[same], abs=1e-9) and high[same] == pytest.approx(exact[same], abs=1e-9)
+
+
+def test_words_of_bytes_are_the_words_of_texts():
+    rng = random.Random(4)
+    chars = ["a", "B", "z", "Z", "0", "9", " ", ".", "/", ":", "@", "[", "`", "{", "\x7f", "\x00", "é", "ß", "İ", "漢", "😀", " "]
+    texts = ["".join(rng.choices(chars, k=rng.randrange(50))) for _ in range(2000)] + ["", ".", "x" * 37 + " " + "x" * 38]
+    value, lengths = near_dup.word_hashes([t.encode() for t in texts])
+    found = [w for t in texts for w in words(t)]
+    assert lengths.tolist() == [len(words(t)) for t in texts]
+    assert len(set(zip(found, value.tolist(), strict=True))) == len(set(found)) == len(set(value.tolist()))
+
+
 def test_one_of_each_class_stays(spark, rows):
     docs = documents(spark, rows)
     left = near_dup.without_near_duplicates(docs)
