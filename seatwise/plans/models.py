@@ -86,6 +86,10 @@ def part(df: DataFrame, split: str) -> DataFrame:
 
 def scores(model, df: DataFrame) -> DataFrame:
     """Add ``score``, the probability of churn."""
+    if isinstance(model, LogisticRegressionModel) and model.hasSummary:
+        # The summary holds the session, which can't go to tasks once ``observe`` has been used in it.
+        model = model.copy()
+        model._java_obj.setSummary(df.sparkSession._jvm.scala.Option.empty())
     scored = model.transform(df).withColumn("score", vector_to_array("probability")[1])
     return scored.drop("probability", "rawPrediction", "prediction")
 

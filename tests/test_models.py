@@ -1,7 +1,7 @@
 """Models on the smallest tables: shapes, determinism and the out-of-fold rule."""
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from registry import QUERIES
 from registry.core import dates
@@ -80,3 +80,14 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_scores_after_observe(spark):
+    """An observation stays with the session; a fitted model's summary must not carry both to the tasks."""
+    watch = Observation()
+    spark.range(3).observe(watch, F.count(F.lit(1)).alias("n")).collect()
+    assert watch.get["n"] == 3
+    rows = spark.createDataFrame([(float(i), i % 3 % 2, 1.0, "train") for i in range(30)], "x double, label int, weight double, split string")
+    fitted = models.fit_logreg(rows, ["x"])
+    found = models.scores(fitted, models.assemble(rows, ["x"])).filter("score between 0 and 1")
+    assert found.count() == 30 and fitted.hasSummary
